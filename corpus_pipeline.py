@@ -1,30 +1,49 @@
-"""A corpus pipeline over documents: each stage works on all that its predecessor kept."""
+"""A corpus pipeline over documents: each stage works on all that its predecessor kept, and its decisions take effect.
+
+Nothing but the language filter and the near-duplicate stage removes documents; the dedup stages shorten texts, and a
+document that loses all of its text stays as an empty one. The last stage gives the packed pieces with their token ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.common import Scratch
+from textloom.llm.langid import language_filter
 from textloom.llm.line_dedup import line_dedup
+from textloom.llm.packing import pack
 from textloom.llm.simhash import near_dedup
 from textloom.llm.substring_dedup import substring_dedup
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or in none of the languages that the labelled ones teach, go."""
+    return language_filter(docs)
+
+
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that a document with a smaller doc_id holds go."""
     return line_dedup(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies the document with the smallest doc_id stays."""
     return near_dedup(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in 50-word passages that a document with a smaller doc_id holds go."""
     return substring_dedup(docs)
 
 
-STAGES = [("line_dedup", lines), ("near_dedup", near_copies), ("substring_dedup", passages)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents, with token ids, sequence and place in it."""
+    return pack(docs, with_ids=True)
+
+
+STAGES = [("language_id", language), ("line_dedup", lines), ("near_dedup", near_copies), ("substring_dedup", passages), ("best_fit_packing", packed)]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # fingerprints and token ids are beyond SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

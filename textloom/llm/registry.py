@@ -1,9 +1,13 @@
 """The queries of this subpackage, by the names under which they are registered."""
 
-from . import line_dedup, simhash, substring_dedup
+from . import langid, line_dedup, packing, pieces, quality, simhash, substring_dedup
 
 QUERIES = {
+    "op2_sentencepiece": pieces.query,
+    "op3_quality_classifier": quality.query,
+    "op4_best_fit_packing": packing.query,
     "op5_substring_dedup": substring_dedup.query,
+    "op8_language_id": langid.query,
     "op9_simhash_near_dedup": simhash.query,
     "op10_line_dedup": line_dedup.query,
 }
