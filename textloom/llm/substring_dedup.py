@@ -7,14 +7,15 @@ Recompression: rounds name maximal runs of one symbol and pairs of a "left" and
 on being a bit of its name. Names are 64-bit fingerprints of what they stand for, so all tasks give equal content equal
 names without a shared dictionary, and the rounds run in one pass over a document. Each symbol carries its context: the
 words that decided that it was formed. Wherever these words recur, the symbol recurs. A window owns the symbols whose
-context starts in its first 50 - CONTEXT + 1 words; the highest-level one it owns (smallest name, then first) is its
-anchor, so equal windows have equal anchors, and a word by itself is a symbol of level 0, so each window has one.
+context starts in its first 50 - CONTEXT + 1 words; the longest one it owns (smallest name, then first) is its anchor, so
+equal windows have equal anchors, and a word by itself is a symbol of level 0, so each window has one.
 
-1. Each stretch of windows with one anchor gives a row (name of the anchor, hash of all words of the stretch).
+1. Each stretch of windows with one anchor gives a row (hash of the CONTEXT words from the start of the anchor's context,
+   which the windows hold, as its name; hash of all words of the stretch).
 2. Names that only one document has go. Among stretches of one name that are equal word for word, all but those in the
    smallest doc_id are repeats; copies are never expanded into pairs.
 3. Stretches whose name has several forms are compared window by window, (name, window hash) against the smallest doc_id.
-The hashes that verify are 60 bits of name and 64 bits of independent hash of the words.
+The hashes that verify are two independent ones of 64 bits each.
 
 Defined cases: null, empty and short texts have no window and stay whole; a row with null doc_id neither removes nor
 loses words; rows that share a doc_id don't remove from each other, and rows equal in doc_id and text share their fate;
@@ -90,25 +91,31 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def parse(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(context start, name) of all symbols whose context spans CONTEXT words at most; first marks documents' first words.
+    """(context start, rank) of all symbols whose context spans CONTEXT words at most; first marks documents' first words.
 
-    A name's top 4 bits are 15 less its level, so that the smallest name is one of the highest level.
+    The smallest rank is that of the longest symbol; of equally long ones, that of the smallest name.
     """
     name = words.copy()
     left = np.arange(len(words), dtype=np.int64)
     right = left + 1
-    at, out = [left], [(name >> np.uint64(4)) | (np.uint64(15) << np.uint64(60))]
+    length = np.ones(len(words), np.int64)
+
+    def rank(name: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return (name >> np.uint64(4)) | (np.uint64(15) - np.minimum(length, 15).astype(np.uint64) << np.uint64(60))
+
+    at, out = [left], [rank(name, length)]
     for level in range(1, ROUNDS + 1):
-        # runs: the symbols on both sides decide where a run ends
+        # runs: the next symbol on either side decides where a run ends
         start = np.flatnonzero(np.r_[True, name[1:] != name[:-1]] | first)
-        size = np.diff(np.r_[start, len(name)])
+        end = np.r_[start[1:], len(name)]
+        size = end - start
         name = np.where(size > 1, mix(name[start] * np.uint64(BASE2) + size.astype(np.uint64)), name[start])
-        l0, r0, first = np.minimum.reduceat(left, start), np.maximum.reduceat(right, start), first[start]
-        last = np.r_[first[1:], True]
-        left = np.minimum(l0, np.where(first, -FAR, np.r_[-FAR, l0[:-1]]))
-        right = np.maximum(r0, np.where(last, FAR, np.r_[r0[1:], FAR]))
-        left = np.minimum(left, np.where(last, left, np.r_[l0[1:], FAR]))
-        right = np.maximum(right, np.where(first, right, np.r_[-FAR, r0[:-1]]))
+        head, before, after = first[start], start - 1, np.minimum(end, len(first) - 1)
+        last = np.r_[head[1:], True]
+        l0 = np.minimum(np.where(head, -FAR, left[before]), np.where(last, FAR, left[after]))
+        r0 = np.maximum(np.where(head, -FAR, right[before]), np.where(last, FAR, right[after]))
+        left, right = np.minimum(l0, np.minimum.reduceat(left, start)), np.maximum(r0, np.maximum.reduceat(right, start))
+        first, length = head, np.add.reduceat(length, start)
         # pairs of a left and a right symbol; a symbol without partner depends on the neighbour that might have been one
         side = (mix(name + np.uint64(level)) >> np.uint64(17)) & np.uint64(1)
         opens = side == 0
@@ -120,11 +127,12 @@ def parse(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         l1 = np.where(edge, -FAR, np.minimum(left, np.where(to_next, nl, np.where(to_prev, pl, left))))
         r1 = np.where(edge, FAR, np.maximum(right, np.where(to_next, nr, np.where(to_prev, pr, right))))
         joined = np.where(pair, mix(mix(name) + np.r_[name[1:], np.uint64(0)] * np.uint64(BASE)), name)
+        length = length + np.where(pair, np.r_[length[1:], 0], 0)
         keep = ~second
-        name, left, right, first = joined[keep], l1[keep], r1[keep], first[keep]
+        name, left, right, first, length = joined[keep], l1[keep], r1[keep], first[keep], length[keep]
         ok = right - left <= CONTEXT
         at.append(left[ok])
-        out.append((name[ok] >> np.uint64(4)) | (np.uint64(15 - level) << np.uint64(60)))
+        out.append(rank(name[ok], length[ok]))
     return np.concatenate(at), np.concatenate(out)
 
 
@@ -134,9 +142,9 @@ def anchors(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     starts = np.cumsum(sizes) - sizes
     first = np.zeros(total, bool)
     first[starts[sizes > 0]] = True
-    at, name = parse(words, first)
+    at, rank = parse(words, first)
     best = np.full(total, np.uint64(0xFFFFFFFFFFFFFFFF))
-    np.minimum.at(best, at, name)
+    np.minimum.at(best, at, rank)
     index, width = np.arange(total), 1
     while width < reach:  # leftmost smallest of ever wider spans
         step = min(width, reach - width)
@@ -150,7 +158,8 @@ def anchors(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if not len(window):
         return window, window, best[:0]
     cut = np.flatnonzero(np.r_[True, (index[window[1:]] != index[window[:-1]]) | (np.diff(window) != 1)])
-    return window[cut], np.diff(np.r_[cut, len(window)]), best[index[window[cut]]]
+    at = index[window[cut]]
+    return window[cut], np.diff(np.r_[cut, len(window)]), span_hash(prefix_sums(words, BASE), BASE, at, at + CONTEXT)
 
 
 def chunks(texts: list[bytes]):
@@ -228,7 +237,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     least = looked.groupBy("name", "hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name", "hash", "low")
     single = looked.join(least, ["name", "hash"]).where("low < doc_id").select("doc_id", "chk", "p", F.lit(1).alias("n"))
     whole = placed.where("low < doc_id").select("doc_id", "chk", "p", "n")
-    return scratch.table(whole.union(single).groupBy("doc_id", "chk").agg(F.collect_list(F.struct("p", "n")).alias("spans")), "spans")
+    spans = scratch.table(whole.union(single).groupBy("doc_id", "chk").agg(F.collect_list(F.struct("p", "n")).alias("spans")), "spans")
+    scratch.drop("forms", "placed", "looked")
+    return spans
 
 
 def _crc(column: str):
