@@ -1,0 +1,199 @@
+"""Splitting texts into chunk rows."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import CJK, likely_title, strip, text
+
+
+def fixed(docs: DataFrame, size: int = 700) -> DataFrame:
+    """doc_id, chunk_index, content: consecutive pieces of `size` characters."""
+    n = F.length(text("text"))
+    rows = docs.where(n > 0).select("doc_id", text("text").alias("text"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))).alias("chunk_index"))
+    return rows.select("doc_id", "chunk_index", F.substring(F.col("text"), F.col("chunk_index") * size + 1, F.lit(size)).alias("content"))
+
+
+def sliding(docs: DataFrame, size: int = 700, overlap: int = 100) -> DataFrame:
+    """Pieces of `size` characters that start every size - overlap; the last one ends with the text."""
+    step, n = size - overlap, F.length(text("text"))
+    last = F.when(n <= size, 0).otherwise(F.ceil((n - size) / step).cast("int"))
+    rows = docs.where(n > 0).select("doc_id", text("text").alias("text"), F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
+    return rows.select("doc_id", "chunk_index", F.substring(F.col("text"), F.col("chunk_index") * step + 1, F.lit(size)).alias("content"))
+
+
+def by_parts(docs: DataFrame, parts: Column) -> DataFrame:
+    kept = F.filter(F.transform(parts, strip), lambda x: x != "")
+    return docs.select("doc_id", F.posexplode(kept).alias("chunk_index", "content"))
+
+
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """Between blank lines."""
+    return by_parts(docs, F.split(text("text"), r"\n\s*\n"))
+
+
+def lines(docs: DataFrame) -> DataFrame:
+    return by_parts(docs, F.split(text("text"), "\n"))
+
+
+def headers(docs: DataFrame) -> DataFrame:
+    """Before each Markdown heading; paragraphs where there is none."""
+    t = text("text")
+    return by_parts(docs, F.when(t.rlike(r"(?m)^#{1,6}\s"), F.split(t, r"(?m)(?=^#{1,6}\s)")).otherwise(F.split(t, r"\n\s*\n")))
+
+
+def sentence_parts(c: Column) -> Column:
+    """Sentences with their closing marks."""
+    return F.filter(F.transform(F.regexp_extract_all(c, F.lit("[^。！？.!?\n]+[。！？.!?\n]?"), 0), strip), lambda s: s != "")
+
+
+def sentence_chunks(docs: DataFrame, least: int = 20) -> DataFrame:
+    """Sentences; one of under `least` characters joins the one before it."""
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    rows = docs.select("doc_id", F.posexplode(sentence_parts(text("text"))).alias("pos", "s"))
+    island = F.sum(((F.length("s") >= least) | (F.col("pos") == 0)).cast("int")).over(w)
+    rows = rows.withColumn("island", island).groupBy("doc_id", "island").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("x"))
+    return rows.select("doc_id", (F.col("island") - 1).cast("int").alias("chunk_index"), F.array_join("x.s", " ").alias("content"))
+
+
+def title_sections(docs: DataFrame) -> DataFrame:
+    """doc_id, section, title, body: lines under the last title-like line."""
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    rows = docs.select("doc_id", F.posexplode(F.split(text("text"), "\n")).alias("pos", "line"))
+    rows = rows.withColumn("is_title", likely_title(F.col("line"))).withColumn("section", F.sum(F.col("is_title").cast("int")).over(w))
+    sections = rows.groupBy("doc_id", "section").agg(
+        F.max(F.when(F.col("is_title"), strip(F.col("line")))).alias("title"),
+        F.array_sort(F.collect_list(F.when(~F.col("is_title"), F.struct("pos", "line")))).alias("x"),
+    )
+    return sections.select("doc_id", "section", text("title").alias("title"), strip(F.array_join("x.line", "\n")).alias("body"))
+
+
+def markdown_sections(docs: DataFrame) -> DataFrame:
+    """doc_id, section, level, section_path, body: what stands under each heading, with the path of the headings above."""
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    rows = docs.select("doc_id", F.posexplode(F.split(text("text"), "\n")).alias("pos", "line"))
+    rows = rows.withColumn("fence", F.sum(F.col("line").startswith("```").cast("int")).over(w))
+    level = F.when(F.col("fence") % 2 == 0, F.length(F.regexp_extract("line", r"^(#{1,6})\s+\S", 1))).otherwise(0)
+    rows = rows.withColumn("level", level).withColumn("section", F.sum((F.col("level") > 0).cast("int")).over(w))
+    title = F.when(F.col("level") > 0, F.trim(F.regexp_replace("line", r"^#{1,6}\s+|\s*#*\s*$", "")))
+    sections = (
+        rows.withColumn("title", title).groupBy("doc_id", "section").agg(
+            F.max("level").alias("level"), text(F.max("title")).alias("title"),
+            F.array_sort(F.collect_list(F.when(F.col("level") == 0, F.struct("pos", "line")))).alias("x"),
+        )
+    )
+    order = Window.partitionBy("doc_id").orderBy("section")
+    # the nearest heading above of each smaller level is the last one since which no heading was higher up
+    for n in range(1, 6):
+        cut = F.sum((F.col("level").between(1, n)).cast("int")).over(order)
+        own = F.when(F.col("level") == n, F.col("title"))
+        sections = sections.withColumn(f"g{n}", cut).withColumn(f"h{n}", own)
+    for n in range(1, 6):
+        above = F.max(f"h{n}").over(Window.partitionBy("doc_id", f"g{n}"))
+        sections = sections.withColumn(f"a{n}", F.when(F.col("level") > n, above))
+    path = F.concat_ws(" / ", *[F.col(f"a{n}") for n in range(1, 6)], F.nullif(F.col("title"), F.lit("")))
+    return sections.select("doc_id", "section", "level", path.alias("section_path"), strip(F.array_join("x.line", "\n")).alias("body"))
+
+
+def parents(chunks: DataFrame, group: int = 4) -> DataFrame:
+    """chunks with parent_chunk_id, for documents of more than `group` chunks."""
+    n = F.count("*").over(Window.partitionBy("doc_id"))
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(":parent:"), F.floor(F.col("chunk_index") / group).cast("string"))
+    return chunks.withColumn("parent_chunk_id", F.when(n > group, name).otherwise(""))
+
+
+SEPARATORS = ["\n\n", "\n", "。", "！", "？", ". ", " "]
+
+
+def recursive_split(body: str, target: int, separators: list[str] = SEPARATORS) -> list[str]:
+    """Pieces of `target` characters at most where a separator allows it; one up to 1.3 times as long stays whole."""
+    body = body.strip()
+    if len(body) <= target * 1.3:
+        return [body] if body else []
+    for k, sep in enumerate(separators):
+        if sep in body:
+            out, hold = [], ""
+            for part in body.split(sep):
+                piece = part if not hold else hold + sep + part
+                if len(piece) <= target:
+                    hold = piece
+                    continue
+                if hold:
+                    out.append(hold)
+                hold = ""
+                if len(part) > target:
+                    out += recursive_split(part, target, separators[k + 1 :])
+                else:
+                    hold = part
+            return [p for p in (*out, hold) if p.strip()]
+    return [body[i : i + target] for i in range(0, len(body), target)]
+
+
+def blocks(body: str) -> list[str]:
+    """Markdown blocks: fenced code and pipe tables stay whole, other lines part at blank ones."""
+    out, hold, kind = [], [], ""
+
+    def flush() -> None:
+        if hold and "".join(hold).strip():
+            out.append("\n".join(hold).strip())
+        hold.clear()
+
+    for line in body.split("\n"):
+        if kind == "code":
+            hold.append(line)
+            if line.lstrip().startswith("```"):
+                flush()
+                kind = ""
+            continue
+        now = "code" if line.lstrip().startswith("```") else "table" if re.match(r"^\s*\|.*\|\s*$", line) else "blank" if not line.strip() else "text"
+        if now != kind:
+            flush()
+        kind = now
+        if now != "blank":
+            hold.append(line)
+    flush()
+    return out
+
+
+def pack_blocks(parts: list[str], target: int, overlap: int) -> list[str]:
+    """Joins parts up to the target; each chunk begins with the tail of the one before, cut at a sentence or word."""
+    target, out, hold = max(200, target), [], ""
+    for part in parts:
+        for piece in [part] if part.startswith(("```", "|")) else recursive_split(part, target):
+            if hold and len(hold) + 2 + len(piece) > target:
+                out.append(hold)
+                tail = hold[-overlap:] if overlap else ""
+                cut = re.search(r"[。！？.!?]\s*|\s", tail)
+                tail = tail[cut.end() :] if cut else tail
+                hold = f"{tail}\n\n{piece}" if tail.strip() else piece
+            else:
+                hold = f"{hold}\n\n{piece}" if hold else piece
+    return [*out, hold] if hold.strip() else out
+
+
+def chunk_documents(docs: DataFrame, target: int = 700, overlap: int = 100, most: int = 800) -> DataFrame:
+    """doc_id, chunk_id, chunk_index, section_path, content, parent_chunk_id: the whole chunker, section by section."""
+
+    def run(batches):
+        for pdf in batches:
+            out = [(r.doc_id, r.section, k, r.section_path, c) for r in pdf.itertuples() for k, c in enumerate(pack_blocks(blocks(r.body), target, overlap))]
+            yield pd.DataFrame(out, columns=["doc_id", "section", "part", "section_path", "body"])
+
+    rows = markdown_sections(docs).mapInPandas(run, "doc_id long, section long, part int, section_path string, body string")
+    w = Window.partitionBy("doc_id").orderBy("section", "part")
+    fresh = rows.withColumn("before", F.lag("body").over(w)).where(F.col("before").isNull() | (F.col("before") != F.col("body")))
+    index = (F.row_number().over(w) - 1).alias("chunk_index")
+    content = F.when(F.col("section_path") != "", F.concat(F.lit("["), F.col("section_path"), F.lit("]\n"), F.col("body"))).otherwise(F.col("body")).alias("content")
+    chunks = fresh.select("doc_id", index, "section_path", content).where(F.col("chunk_index") < most)
+    return parents(chunks).withColumn("chunk_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")))
+
+
+def statistics(chunks: DataFrame, method: str) -> DataFrame:
+    """method, count, average, shortest and longest content, share that ends within a sentence."""
+    n = F.length("content")
+    cut = (~F.col("content").rlike(f"[。！？.!?;；:：)\\]{CJK}]\\s*$")).cast("double")
+    return chunks.agg(F.lit(method).alias("method"), F.count("*").alias("chunks"), F.round(F.avg(n), 4).alias("avg_len"), F.min(n).alias("min_len"), F.max(n).alias("max_len"), F.round(F.avg(cut), 6).alias("cut_rate"))
