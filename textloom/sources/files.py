@@ -6,6 +6,7 @@ formats whose libraries may be missing are looked up when a file needs them; wit
 
 from __future__ import annotations
 
+import csv
 import io
 import json
 import re
@@ -118,11 +119,22 @@ def read_documents(spark: SparkSession, path: str, ocr: Callable[[bytes], str] |
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A CSV table: UTF-8, or GBK where the header doesn't decode."""
+    """A CSV table with a header: UTF-8 by Spark's reader, another encoding by decoding whole files; then all columns are strings unless a schema is given."""
     head = spark.read.text(path).limit(1).collect()
-    encoding = "GBK" if head and "�" in head[0][0] else "UTF-8"
-    reader = spark.read.option("header", True).option("encoding", encoding)
-    return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
+    if not head or "\ufffd" not in head[0][0]:
+        reader = spark.read.option("header", True)
+        return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
+
+    def run(batches):
+        for pdf in batches:
+            lines = [(k, line) for data in pdf.content for k, line in enumerate(decode(bytes(data)).splitlines())]
+            yield pd.DataFrame(lines, columns=["n", "line"])
+
+    lines = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "n long, line string")
+    if not schema:
+        names = next(csv.reader([lines.where("n = 0").first().line]))
+        schema = ", ".join(f"`{name}` string" for name in names)
+    return lines.where("n > 0").select(F.from_csv("line", schema).alias("x")).select("x.*")
 
 
 def read_json_column(rows: DataFrame, column: str, keys: list[str]) -> DataFrame:
