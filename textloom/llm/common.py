@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_resident: dict[str, tuple] = {}
 _made: list[tuple[SparkSession, str, str]] = []
 
 
@@ -73,6 +74,9 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
     """mapInArrow in slices of at most `rows` rows; make() builds the worker's state once for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if _resident and make.__module__ not in _resident:
+            _resident.clear()
+            gc.collect()
         each = make()
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
@@ -81,6 +85,14 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
     return df.mapInArrow(run, schema)
 
 
+def resident(module: str, key, make: Callable):
+    """What make() gives, kept in the worker process until another module's operator runs there or the key changes."""
+    if _resident.get(module, (None,))[0] != key:
+        _resident.clear()
+        _resident[module] = (key, make())
+    return _resident[module][1]
+
+
 def raw(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     return column.cast(pa.binary()).to_pylist()

@@ -19,14 +19,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows
+from .common import map_rows, resident
 from .pieces import Memo
 
 SAMPLE = 80  # labelled documents of each language that are learned from
 LANGUAGES = 100  # languages that can be told apart: those with most sampled documents
-VOCABULARY = 12_000  # distinct words a language's automaton holds
+VOCABULARY = 5_000  # distinct words a language's automaton holds
 STRANGE = 0.75  # phrases per letter beyond which a text is in none of the languages
 LETTERS = re.compile(r"[^\W\d_]+").findall
+REMEMBERED = 150_000  # words whose parse a worker keeps, or twice as many
 FIELD = 40  # bits that a language's count has in a sum
 
 
@@ -40,6 +41,7 @@ class SuffixAutomaton:
             last = 0
             for c in word:
                 last = self.extend(last, c)
+        del self.link, self.size  # matching needs the edges only
 
     def extend(self, last: int, c: str) -> int:
         if c in self.edges[last]:
@@ -95,7 +97,7 @@ class Parser:
     def __init__(self, vocabulary: list[tuple[str, list[str]]]):
         self.names = [lang for lang, _ in vocabulary]
         self.automata = [SuffixAutomaton([marked(w) for w in words]) for _, words in vocabulary]
-        self.memo = Memo(self.parse)
+        self.memo = Memo(self.parse, REMEMBERED)
 
     def parse(self, word: str) -> int:
         """Length and phrase counts of a word, in bit fields of one integer."""
@@ -116,16 +118,9 @@ class Parser:
         return self.names[best], (1 / counts[best]) / sum(1 / c for c in counts), counts[best] / length
 
 
-_parsers: dict[int, Parser] = {}
-
-
 def parser(vocabulary: list[tuple[str, list[str]]]) -> Parser:
     """One parser for each vocabulary and worker process."""
-    key = hash(tuple((lang, tuple(words)) for lang, words in vocabulary))
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = Parser(vocabulary)
-    return _parsers[key]
+    return resident(__name__, hash(tuple((lang, tuple(words)) for lang, words in vocabulary)), lambda: Parser(vocabulary))
 
 
 def folds(docs: DataFrame, fold: int = 4):

@@ -38,7 +38,7 @@ from .common import Scratch, fresh_name, map_rows, raw, replace_column
 WINDOW = 50
 CONTEXT = 20
 ROUNDS = 3
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 FAR = 1 << 40
 
 _rng = np.random.default_rng(20240607)
