@@ -25,7 +25,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, resident
 
 MODEL = "piece_bpe_32k.model"
 NORMAL, CONTROL, BYTE = 1, 3, 6
@@ -56,16 +56,20 @@ def fields(data: bytes):
 
 
 class Memo(dict):
-    """Remembers what `make` gives for a key; forgets all when it holds `limit`."""
+    """Remembers what `make` gives for a key: the last `limit` new keys at least, twice as many at most."""
 
     def __init__(self, make, limit: int = REMEMBERED):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
@@ -104,8 +108,9 @@ class PieceCoder:
         apart = not any(re.search(r"[^ ] |\n", p) for p in named)
         self.cut = re.compile(r" *[^ \n]+| +|\n" if apart else r"(?s).+").findall
         self.encoded = Memo(self.encode_part)
-        self.joined = Memo(lambda part: ",".join(map(str, self.encode_part(part))))
-        self.decoded = Memo(self.decode_joined)
+        self.both = Memo(self.code_part, 400_000)
+        self.plain = [p.replace("▁", " ") for p in self.pieces]
+        self.odd = {i for i, k in enumerate(self.kinds) if k != NORMAL}
 
     def merge(self, text: str) -> list[str]:
         """Merging by definition: always the pair of the best score, the first of equals."""
@@ -125,19 +130,19 @@ class PieceCoder:
 
     def split(self, text: str) -> list[str]:
         """The pieces of a text whose characters are all known."""
-        out, at, open_ = [], 0, (2 << len(text)) - 1
-        longest = self.automaton.iter_long
+        out, at, size, open_ = [], 0, len(text), (2 << len(text)) - 1
+        longest, compatible, shorter = self.automaton.iter_long, self.compatible, self.shorter
         piece = next(longest(text, 0))[1]
         while True:
             end = at + len(piece)
-            if open_ >> end & 1 and (not out or self.compatible[out[-1], piece]):
+            if open_ >> end & 1 and (not out or compatible[out[-1], piece]):
                 out.append(piece)
-                at = end
-                if at == len(text):
+                if end == size:
                     return out
+                at = end
                 piece = next(longest(text, at))[1]
                 continue
-            piece = self.shorter[piece]
+            piece = shorter[piece]
             if piece is None:  # nothing goes on from here: the piece before must be shorter
                 open_ &= ~(1 << at)
                 piece = out.pop()
@@ -159,10 +164,12 @@ class PieceCoder:
         return [i for p in self.parts(text) for i in self.encoded[p]]
 
     def decode_part(self, ids: list[int]) -> str:
+        if self.odd.isdisjoint(ids):
+            return "".join([self.plain[i] for i in ids])
         out = []
         for is_byte, run in groupby(ids, lambda i: self.kinds[i] == BYTE):
             if not is_byte:
-                out += [self.pieces[i].replace("▁", " ") if self.kinds[i] == NORMAL else " ⁇ " if i == self.unknown else "" for i in run]
+                out += [self.plain[i] if self.kinds[i] == NORMAL else " ⁇ " if i == self.unknown else "" for i in run]
                 continue
             data = bytes(int(self.pieces[i][3:5], 16) for i in run)
             while data:  # a character, or U+FFFD for one byte that begins none
@@ -178,9 +185,11 @@ class PieceCoder:
                 data = data[size:]
         return "".join(out)
 
-    def decode_joined(self, part: str) -> str:
-        text = self.decode_part([int(i) for i in self.joined[part].split(",")])
-        return part if text == part else text
+    def code_part(self, part: str) -> tuple[str, str]:
+        """Ids joined by commas, and what they decode to."""
+        ids = self.encode_part(part)
+        text = self.decode_part(ids)
+        return ",".join(map(str, ids)), part if text == part else text
 
     def decode(self, ids: list[int]) -> str:
         """Only the space of a first piece is the one that encoding put in front."""
@@ -189,15 +198,9 @@ class PieceCoder:
         return text.removeprefix(self.space) if self.kinds[first] == NORMAL else text
 
 
-_coders: dict[bytes, PieceCoder] = {}
-
-
 def coder(model: bytes) -> PieceCoder:
     """One coder for each model and worker process."""
-    key = hashlib.md5(model).digest()
-    if key not in _coders:
-        _coders[key] = PieceCoder(model)
-    return _coders[key]
+    return resident(__name__, hashlib.md5(model).digest(), lambda: PieceCoder(model))
 
 
 def _model(spark: SparkSession, path: str | None):
@@ -247,11 +250,11 @@ def encode_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, ids_sha, text_sha = [], [], []
             for text in batch.column(1).to_pylist():
-                parts = c.parts(text or "")
-                ids = ",".join(map(c.joined.__getitem__, parts))
+                both = list(map(c.both.__getitem__, c.parts(text or "")))
+                ids = ",".join([x for x, _ in both])
                 n.append(ids.count(",") + 1 if ids else 0)
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                text_sha.append(hashlib.sha256("".join(map(c.decoded.__getitem__, parts)).removeprefix(c.space).encode()).hexdigest())
+                text_sha.append(hashlib.sha256("".join([x for _, x in both]).removeprefix(c.space).encode()).hexdigest())
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
         return each
