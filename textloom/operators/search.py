@@ -11,6 +11,7 @@ import hashlib
 from collections.abc import Callable
 from functools import reduce
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -83,73 +84,102 @@ def filtered(chunks: DataFrame, kb: str | None = None, doc_ids: list | None = No
 
 def vector_search(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", digits: int = 6) -> DataFrame:
     """query_id, key, score: the k best by cosine; ties to the smaller key. Each task keeps its own k best of each query."""
-    kind = dict(chunks.dtypes)[key]
-    schema = f"query_id {dict(queries.dtypes)['query_id']}, {key} {kind}, score double"
     usable = chunks.where(F.size("embedding") > 0).select(key, F.col("embedding").cast("array<double>"))
-    parts = []
-    for rows in in_blocks(queries, ["query_id", "embedding"]):
-        rows = [r for r in rows if r["embedding"]]
-        if not rows:
-            continue
+
+    def scorer(rows: list) -> Callable[[pa.Array], np.ndarray]:
         q = np.array([r["embedding"] for r in rows], dtype=float)
-        names = [r["query_id"] for r in rows]
-        parts.append(usable.mapInArrow(_best(q, names, k, key, digits), schema))
+        length = np.sqrt((q * q).sum(axis=1))
+
+        def score(column: pa.Array) -> np.ndarray:
+            flat = column.flatten().to_numpy()
+            if len(flat) != len(column) * q.shape[1]:
+                raise ValueError("vectors and queries must have one length")
+            v = flat.reshape(-1, q.shape[1])
+            size = np.outer(length, np.sqrt((v * v).sum(axis=1)))
+            return np.round(np.divide(q @ v.T, size, out=np.zeros_like(size), where=size > 0), digits)
+
+        return score
+
+    return _top_k(usable, queries.where(F.size("embedding") > 0).select("query_id", "embedding"), k, key, scorer)
+
+
+def lexical_search(chunks: DataFrame, queries: DataFrame, k: int, terms: int = 12, digits: int = 6) -> DataFrame:
+    """query_id, chunk_id, score: the share of the query's terms that the content holds, k best; none without any.
+
+    One automaton of a block's terms reads each content once.
+    """
+    wanted = queries.select("query_id", lexical_terms(F.col("query"), terms).alias("terms")).where(F.size("terms") > 0)
+    lowered = chunks.select("chunk_id", F.lower(text("content")).alias("content"))
+
+    def scorer(rows: list) -> Callable[[pa.Array], np.ndarray]:
+        number = {t: i for i, t in enumerate(dict.fromkeys(t for r in rows for t in r["terms"]))}
+        automaton = ahocorasick.Automaton()
+        for t, i in number.items():
+            automaton.add_word(t, i)
+        automaton.make_automaton()
+        has = np.zeros((len(rows), len(number)), np.float32)
+        for i, r in enumerate(rows):
+            has[i, [number[t] for t in r["terms"]]] = 1
+        size = has.sum(axis=1, dtype=float)
+
+        def score(column: pa.Array) -> np.ndarray:
+            found = np.zeros((len(column), len(number)), np.float32)
+            for i, content in enumerate(column.to_pylist()):
+                found[i, list({n for _, n in automaton.iter(content)})] = 1
+            share = np.round((has @ found.T).astype(float) / size[:, None], digits)
+            return np.where(share > 0, share, -np.inf)
+
+        return score
+
+    return _top_k(lowered, wanted, k, "chunk_id", scorer)
+
+
+def _top_k(rows: DataFrame, queries: DataFrame, k: int, key: str, scorer: Callable[[list], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
+    """The k best rows (key, column) of each query; scorer(block of queries) gives a function of the column to scores
+    (queries, rows), -inf for none. What a task hands on is k rows a query at most."""
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, {key} {dict(rows.dtypes)[key]}, score double"
+    parts = []
+    for block in in_blocks(queries, queries.columns):
+        if block:
+            parts.append(rows.mapInArrow(_task_top_k([r["query_id"] for r in block], [r.asDict() for r in block], k, key, scorer), schema))
     if not parts:
-        return chunks.sparkSession.createDataFrame([], schema)
+        return rows.sparkSession.createDataFrame([], schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return reduce(DataFrame.union, parts).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
 
 
-def _best(q: np.ndarray, names: list, k: int, key: str, digits: int):
-    """Function of record batches: the best k of each query in a task, with all that tie with the last."""
-
+def _task_top_k(names: list, block: list, k: int, key: str, scorer):
     def run(batches):
-        length = np.sqrt((q * q).sum(axis=1))
-        keys: list = [[] for _ in names]
+        score = scorer(block)
+        keys: list = [np.zeros(0, object)] * len(names)
         best = [np.zeros(0)] * len(names)
         kind = None
-        for batch in batches:
-            kind = batch.column(0).type
-            flat, n = batch.column(1).flatten().to_numpy(), q.shape[1]
-            if not batch.num_rows or len(flat) != batch.num_rows * n:
-                if batch.num_rows:
-                    raise ValueError("vectors and queries must have one length")
-                continue
-            own = batch.column(0).to_pylist()
-            v = flat.reshape(-1, n)
-            size = np.outer(length, np.sqrt((v * v).sum(axis=1)))
-            scores = np.round(np.divide(q @ v.T, size, out=np.zeros_like(size), where=size > 0), digits)
-            for i in range(len(names)):
-                all_ = np.concatenate([best[i], scores[i]])
-                if len(all_) > k:
-                    keep = np.flatnonzero(all_ >= np.partition(all_, -k)[-k])
-                else:
-                    keep = np.arange(len(all_))
-                m = len(best[i])
-                keys[i] = [keys[i][j] if j < m else own[j - m] for j in keep]
-                best[i] = all_[keep]
-                if len(keep) > 4 * k:  # ties: only the smallest keys can be among the k
-                    order = sorted(range(len(keep)), key=lambda j: (-best[i][j], keys[i][j]))[:k]
-                    keys[i], best[i] = [keys[i][j] for j in order], best[i][order]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                kind = batch.column(0).type
+                own = np.array(batch.column(0).to_pylist(), object)
+                for i, row in enumerate(score(batch.column(1))):
+                    if len(best[i]) >= k:
+                        (take,) = np.nonzero(row >= best[i].min())
+                    else:
+                        (take,) = np.nonzero(row > -np.inf)
+                    if not len(take):
+                        continue
+                    s, n = np.concatenate([best[i], row[take]]), np.concatenate([keys[i], own[take]])
+                    if len(s) > k:
+                        (keep,) = np.nonzero(s >= np.partition(s, -k)[-k])
+                        if len(keep) > k:  # ties with the last: the smallest keys
+                            keep = np.array(sorted(keep.tolist(), key=lambda j: (-s[j], n[j]))[:k])
+                        s, n = s[keep], n[keep]
+                    best[i], keys[i] = s, n
         if kind is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, x in zip(names, keys, strict=True) for _ in x]), pa.array([x for y in keys for x in y], kind), pa.array(np.concatenate(best))], names=["query_id", key, "score"])
+            out = [(q, x) for q, ks in zip(names, keys, strict=True) for x in ks]
+            yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in out]), pa.array([x for _, x in out], kind), pa.array(np.concatenate(best))], names=["query_id", key, "score"])
 
     return run
 
 
-def lexical_search(chunks: DataFrame, queries: DataFrame, k: int, terms: int = 12, digits: int = 6) -> DataFrame:
-    """query_id, chunk_id, score: the share of the query's terms that the content has, k best."""
-    spark, parts = chunks.sparkSession, []
-    wanted = queries.select("query_id", lexical_terms(F.col("query"), terms).alias("terms")).where(F.size("terms") > 0)
-    lowered = chunks.select("chunk_id", F.lower(text("content")).alias("content"))
-    for rows in in_blocks(wanted, ["query_id", "terms"]):
-        block = F.broadcast(spark.createDataFrame(rows, wanted.schema))  # BLOCK queries of a dozen terms
-        found = F.size(F.filter("terms", lambda t: F.contains(F.col("content"), t)))
-        parts.append(lowered.join(block, F.exists("terms", lambda t: F.contains(F.col("content"), t))).select("query_id", "chunk_id", F.round(found / F.size("terms"), digits).alias("score")))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return reduce(DataFrame.union, parts).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
-
-
 def bm25(candidates: DataFrame, queries: DataFrame, most_terms: int = 24, most_tokens: int = 160, digits: int = 6) -> DataFrame:
     """query_id, chunk_id, bm25. Statistics are those of each query's candidates (query_id, chunk_id, content)."""
     toks = F.slice(tokens(text("content")), 1, most_tokens)

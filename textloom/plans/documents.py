@@ -164,10 +164,14 @@ def coverage_gaps(t: Tables) -> DataFrame:
     return wanted.join(n, "term", "left").select("item_id", "term", F.coalesce("docs", F.lit(0)).alias("docs"))
 
 
-@query(f"WITH {TF}, s AS (SELECT doc_id, term FROM r WHERE rank <= 8 AND length(term) >= 7) SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS common FROM s a JOIN s b USING (term) WHERE a.doc_id < b.doc_id GROUP BY ALL HAVING count(*) >= 3")
+BENCH_TERMS = """SELECT item_id AS doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{5,}'))) AS term FROM benchmark"""
+
+
+@query(f"WITH s AS ({BENCH_TERMS}) SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS common FROM s a JOIN s b USING (term) WHERE a.doc_id < b.doc_id GROUP BY ALL HAVING count(*) >= 3")
 def doc_overlap(t: Tables) -> DataFrame:
-    terms = facts.term_frequency(t.documents.select("doc_id", "text"), X.tokens(F.col("text")), 8, ["the", "and", "of"])
-    return facts.shared_terms(terms.where(F.length("term") >= 7).select("doc_id", "term"))
+    """Overlap within one collection of sources, as a report has them."""
+    terms = t.benchmark.select(F.col("item_id").alias("doc_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), 0))).alias("term"))
+    return facts.shared_terms(terms)
 
 
 @query("SELECT md5(text) AS h, min(doc_id) AS kept, count(*) AS copies FROM documents GROUP BY ALL HAVING count(*) > 1")
