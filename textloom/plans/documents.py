@@ -79,7 +79,7 @@ def markdown_sections(t: Tables) -> DataFrame:
 @query(f"""WITH {LINES}, f AS (SELECT *, length({STRIP.format(c="line")}) BETWEEN 3 AND 30 AND NOT regexp_matches({STRIP.format(c="line")}, '[。！？；;.!?，,：:]$')
     AND length(regexp_replace({STRIP.format(c="line")}, '[^一-鿿A-Za-z0-9]', '', 'g')) >= length({STRIP.format(c="line")}) * 0.5 AS t FROM ln),
   g AS (SELECT *, sum(t::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM f)
-  SELECT doc_id, section, coalesce(max(CASE WHEN t THEN {STRIP.format(c="line")} END), '') AS title, count(*) FILTER (NOT t) AS body_lines FROM g GROUP BY doc_id, section""")
+  SELECT doc_id, section, coalesce(max(CASE WHEN t THEN {STRIP.format(c="line")} END), '') AS title, count(*) FILTER (NOT t) AS body_lines FROM g GROUP BY doc_id, section""", section="BIGINT")
 def title_sections(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("is_title", X.likely_title(F.col("line")))
     rows = rows.withColumn("section", F.sum(F.col("is_title").cast("int")).over(Window.partitionBy("doc_id").orderBy("pos")))
@@ -105,7 +105,7 @@ def lang_flag(t: Tables) -> DataFrame:
     return t.documents.groupBy(X.language_flag(F.col("text")).alias("flag"), "lang").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT doc_id, len(p) AS n, md5(coalesce(p[1], '')) AS first FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[。！？.!?\\n]+'), lambda x: {STRIP.format(c='x')}), lambda x: length(x) >= 8) AS p FROM documents)")
+@query(f"SELECT doc_id, len(p) AS n, md5(coalesce(p[1], '')) AS first FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[。！？.!?\\n]+'), lambda x: {STRIP.format(c='x')}), lambda x: length(x) >= 8) AS p FROM documents)", n="INT")
 def sent_split(t: Tables) -> DataFrame:
     p = X.plain_sentences(F.col("text"))
     return t.documents.select("doc_id", F.size(p).alias("n"), F.md5(F.coalesce(F.try_element_at(p, F.lit(1)), F.lit(""))).alias("first"))
@@ -124,7 +124,7 @@ def lexical_terms(t: Tables) -> DataFrame:
 @query("""SELECT doc_id, round(0.8 * least(len(l), 40) + 0.25 * least(w, 120) + 1.2 * least(kv, 30) - 0.15 * odd - 1.6 * joined, 6) AS quality FROM (
   SELECT doc_id, l, len(regexp_extract_all(text, '[A-Za-z0-9]{2,}|[一-鿿]')) AS w, len(list_filter(l, lambda x: regexp_matches(x, '^[^:：]{1,30}[:：]\\s*\\S'))) AS kv,
     len(regexp_extract_all(text, '[^\\p{L}\\p{N}\\s.,:;!?()%/&''"-]')) AS odd, len(list_filter(l, lambda x: length(x) >= 18 AND NOT regexp_matches(x, '[ :：]'))) AS joined
-  FROM (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM documents))""")
+  FROM (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM documents))""", quality="DOUBLE")
 def ocr_quality_score(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.round(X.ocr_quality(F.col("text")), 6).alias("quality"))
 
@@ -141,13 +141,13 @@ TF = f"""k AS (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) AS po
   r AS (SELECT doc_id, term, tf, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, first) AS rank FROM tf)"""
 
 
-@query(f"WITH {TF} SELECT * FROM r WHERE rank <= 5")
+@query(f"WITH {TF} SELECT * FROM r WHERE rank <= 5", rank="INT")
 def key_terms(t: Tables) -> DataFrame:
     return facts.term_frequency(t.documents.select("doc_id", "text"), X.tokens(F.col("text")), 5, ["the", "and", "of"])
 
 
 @query("""WITH k AS (SELECT lang, regexp_extract_all(lower(text), '[a-z]{3,}') AS t FROM documents), f AS (SELECT lang, term, count(*) AS tf FROM (SELECT lang, unnest(t) AS term FROM k) GROUP BY ALL)
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY tf DESC, term) AS rank FROM f) WHERE rank <= 20""")
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY tf DESC, term) AS rank FROM f) WHERE rank <= 20""", rank="INT")
 def term_freq(t: Tables) -> DataFrame:
     tf = t.documents.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0)).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("tf"))
     return tf.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("tf"), "term"))).where("rank <= 20")
@@ -195,7 +195,7 @@ def shingle_jaccard_pairs(t: Tables) -> DataFrame:
 FACT = "list_filter(regexp_extract_all(text, '\\d+(?:\\.\\d+)?%?'), lambda x: length(x) >= 2)"
 
 
-@query(f"SELECT doc_id, len(list_distinct({FACT})) AS numbers, len(list_distinct(regexp_extract_all(text, '\\b((?:19|20)\\d{{2}})\\b'))) AS years FROM documents")
+@query(f"SELECT doc_id, len(list_distinct({FACT})) AS numbers, len(list_distinct(regexp_extract_all(text, '\\b((?:19|20)\\d{{2}})\\b'))) AS years FROM documents", numbers="INT", years="INT")
 def numeric_facts(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(facts.numbers(F.col("text"))).alias("numbers"), F.size(facts.years(F.col("text"))).alias("years"))
 
@@ -292,7 +292,7 @@ def page_text(t: Tables) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT source, doc_id, substr(text, 1, greatest(300, 3500 // count(*) OVER (PARTITION BY source))::INT) AS line FROM documents),
-  u AS (SELECT *, sum(length(line)) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM r) SELECT source, doc_id, used FROM u WHERE used <= 3500""")
+  u AS (SELECT *, sum(length(line)) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM r) SELECT source, doc_id, used FROM u WHERE used <= 3500""", used="BIGINT")
 def source_digest(t: Tables) -> DataFrame:
     return records.digest(t.documents.withColumnRenamed("text", "line"), ["source"], ["doc_id"]).select("source", "doc_id", "used")
 

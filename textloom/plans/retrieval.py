@@ -160,7 +160,7 @@ def _scored(t: Tables) -> DataFrame:
     return search.search(search.embedded(chunks(t), "content"), search.embedded(questions(t), "query"), 8, adaptive_k(F.col("query")))
 
 
-@query(f"WITH {CHUNKS}, {LEX}, {EMB}, {FUSED} SELECT query_id, rank, chunk_id, doc_id, vec, bm25, lex, rrf, doc_score FROM final WHERE rank <= 8")
+@query(f"WITH {CHUNKS}, {LEX}, {EMB}, {FUSED} SELECT query_id, rank, chunk_id, doc_id, vec, bm25, lex, rrf, doc_score FROM final WHERE rank <= 8", rank="INT")
 def hybrid_search(t: Tables) -> DataFrame:
     return _scored(t).select("query_id", "rank", "chunk_id", "doc_id", "vec", "bm25", "lex", "rrf", "doc_score")
 
@@ -185,7 +185,7 @@ def rrf_fusion(t: Tables) -> DataFrame:
   o AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rrf DESC, merge_pos) AS rn FROM f),
   d AS (SELECT *, round(sum(CASE WHEN rn <= 3 THEN rrf END) OVER (PARTITION BY query_id, doc_id), 9) AS doc_score FROM o),
   z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_score DESC, doc_id, rn) AS rank FROM d WHERE rn <= 2)
-  SELECT query_id, rank, vec_id, doc_id, doc_score FROM z WHERE rank <= 8""")
+  SELECT query_id, rank, vec_id, doc_id, doc_score FROM z WHERE rank <= 8""", rank="INT")
 def doc_agg_top2(t: Tables) -> DataFrame:
     rows = search.rrf(_signals(t), {"vec": 1.0, "lex": 1.0}).join(t.embeddings.select("vec_id", F.col("label").alias("doc_id")), "vec_id")
     return search.limit_per_doc(rows, 8).select("query_id", "rank", "vec_id", "doc_id", "doc_score")
@@ -201,19 +201,19 @@ def _lists(t: Tables) -> DataFrame:
 
 
 @query(f"""{LISTS}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY pos, subquery) AS n FROM l WHERE pos < 12),
-  o AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY pos, subquery) AS rank FROM f WHERE n = 1) SELECT * FROM o WHERE rank <= 10""")
+  o AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY pos, subquery) AS rank FROM f WHERE n = 1) SELECT * FROM o WHERE rank <= 10""", rank="INT")
 def round_robin(t: Tables) -> DataFrame:
     return search.round_robin(_lists(t), 10)
 
 
 @query(f"""{LISTS}, m AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + subquery)), 9) AS score FROM l WHERE pos < 12 GROUP BY ALL)
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM m) WHERE rank <= 10""")
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM m) WHERE rank <= 10""", rank="INT")
 def multi_query_rrf(t: Tables) -> DataFrame:
     return search.merge_variants(_lists(t).withColumn("variant", F.col("subquery")), 10)
 
 
 @query(f"""{LISTS}, m AS (SELECT query_id, chunk_id, round(sum(CASE WHEN subquery = 0 THEN 1.2 ELSE 1.0 END::DOUBLE / (60 + pos + 1)), 9) AS score FROM l WHERE pos < 12 AND subquery < 2 GROUP BY ALL)
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM m) WHERE rank <= 10""")
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM m) WHERE rank <= 10""", rank="INT")
 def stepback_rrf(t: Tables) -> DataFrame:
     rows = _lists(t).select("query_id", "pos", "chunk_id", "subquery")
     return search.merge_stepback(rows.where("subquery = 0").drop("subquery"), rows.where("subquery = 1").drop("subquery"), 10)
@@ -272,7 +272,7 @@ def context_islands(t: Tables) -> DataFrame:
 @query(f"""{ISLANDS}, n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, first_index) AS segment FROM seg),
   b AS (SELECT query_id, segment, printf('[%d] doc=%s score=%.3f', segment, doc_id::VARCHAR, score) || chr(10) || content AS block FROM n),
   u AS (SELECT *, sum(length(block) + 2) OVER (PARTITION BY query_id ORDER BY segment) AS used FROM b)
-  SELECT query_id, segment, md5(block) AS block_md5 FROM u WHERE used <= 5200""")
+  SELECT query_id, segment, md5(block) AS block_md5 FROM u WHERE used <= 5200""", segment="INT")
 def context_budget(t: Tables) -> DataFrame:
     return context.assemble(_hits(t)).select("query_id", "segment", F.md5("block").alias("block_md5"))
 
@@ -280,7 +280,7 @@ def context_budget(t: Tables) -> DataFrame:
 @query(f"""{HITS}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank) <= 2 AS first FROM h WHERE rank <= 40),
   g AS (SELECT *, sum(first::INT) OVER (PARTITION BY query_id ORDER BY rank) AS taken FROM f),
   o AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY first DESC, rank) AS place FROM g WHERE (first AND taken <= 6) OR (NOT first AND taken < 6))
-  SELECT * FROM o WHERE place <= 10""")
+  SELECT * FROM o WHERE place <= 10""", place="INT")
 def per_doc_backfill(t: Tables) -> DataFrame:
     return context.backfill(_hits(t), 6, 10).select("query_id", "chunk_id", "place")
 
@@ -288,13 +288,13 @@ def per_doc_backfill(t: Tables) -> DataFrame:
 @query(f"""{HITS}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank) = 1 AS own FROM h WHERE rank <= 40),
   g AS (SELECT *, own AND sum(own::INT) OVER (PARTITION BY query_id ORDER BY rank) <= 15 AS lead_ FROM f),
   u AS (SELECT *, count(*) OVER (PARTITION BY query_id) >= 6 AND sum(lead_::INT) OVER (PARTITION BY query_id) >= 3 AS ok FROM g)
-  SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY ok AND lead_ DESC, rank) AS place FROM u""")
+  SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY ok AND lead_ DESC, rank) AS place FROM u""", place="INT")
 def diverse_reorder(t: Tables) -> DataFrame:
     return context.diverse_first(_hits(t)).select("query_id", "chunk_id", "place")
 
 
 @query(f"""{HITS}, p AS (SELECT query_id, rank, chunk_id, trim(substr(content, 1, 80), ' ') AS prefix FROM h WHERE rank <= 40)
-  SELECT query_id, rank, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, prefix ORDER BY rank) AS n FROM p) WHERE n = 1 OR prefix = ''""")
+  SELECT query_id, rank, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, prefix ORDER BY rank) AS n FROM p) WHERE n = 1 OR prefix = ''""", rank="INT")
 def prefix_dedup(t: Tables) -> DataFrame:
     return search.prefix_dedup(_hits(t)).select("query_id", "rank", "chunk_id")
 
@@ -305,7 +305,7 @@ def retrieval_quality(t: Tables) -> DataFrame:
 
 
 @query(f"""{HITS}, l AS (SELECT query_id, rank AS n, printf('【%d】%s (来源: %s)', rank, substr(content, 1, 300), '2024, d' || doc_id) AS line FROM h WHERE rank <= 8),
-  u AS (SELECT *, sum(length(line)) OVER (PARTITION BY query_id ORDER BY n) AS used FROM l) SELECT query_id, n, md5(line) AS line_md5 FROM u WHERE used <= 2000""")
+  u AS (SELECT *, sum(length(line)) OVER (PARTITION BY query_id ORDER BY n) AS used FROM l) SELECT query_id, n, md5(line) AS line_md5 FROM u WHERE used <= 2000""", n="INT")
 def annotated_context(t: Tables) -> DataFrame:
     rows = _hits(t).withColumn("year", F.lit("2024")).withColumn("file", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
     return context.annotate(rows, 8, 300, 2000).select("query_id", "n", F.md5("line").alias("line_md5"))

@@ -13,7 +13,7 @@ from .retrieval import HITS, LISTS, VEC, _hits, _lists, chunks, questions, vecto
 
 @query(f"""{LISTS}, b AS (SELECT query_id, chunk_id, max(score) AS score, min(pos) AS pos FROM l WHERE pos < 12 GROUP BY ALL),
   c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rn FROM b),
-  d AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY pos DESC, chunk_id) AS rank FROM c WHERE rn <= 20) SELECT * FROM d WHERE rank <= 8""")
+  d AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY pos DESC, chunk_id) AS rank FROM c WHERE rn <= 20) SELECT * FROM d WHERE rank <= 8""", rank="INT")
 def cascade_topk(t: Tables) -> DataFrame:
     rows = _lists(t).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"), F.min("pos").alias("pos"))
     return answering.cascade(rows, "score", "pos").select("query_id", "chunk_id", "rank")
@@ -21,7 +21,7 @@ def cascade_topk(t: Tables) -> DataFrame:
 
 @query(f"""{HITS}, o AS (SELECT query_id, chunk_id, rank, CASE WHEN rank % 5 = 0 THEN -rank END AS pos FROM h WHERE rank <= 40),
   p AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY pos IS NULL, pos, rank) AS rank, count(*) OVER (PARTITION BY query_id) AS n FROM o)
-  SELECT query_id, chunk_id, rank, (n - rank + 1)::DOUBLE AS score FROM p""")
+  SELECT query_id, chunk_id, rank, (n - rank + 1)::DOUBLE AS score FROM p""", rank="INT")
 def listwise_order(t: Tables) -> DataFrame:
     hits = _hits(t).select("query_id", "chunk_id", "rank", "score")
     order = hits.where("rank % 5 = 0").select("query_id", "chunk_id", (-F.col("rank")).alias("pos"))
@@ -30,7 +30,7 @@ def listwise_order(t: Tables) -> DataFrame:
 
 @query(f"""{HITS}, k AS (SELECT query_id, doc_id % 3 AS kb_order, rank, doc_id, chunk_id FROM h WHERE rank <= 40),
   f AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY kb_order, rank) AS n FROM k)
-  SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY kb_order, rank) AS place FROM f WHERE n = 1""")
+  SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY kb_order, rank) AS place FROM f WHERE n = 1""", place="INT")
 def multi_kb_merge(t: Tables) -> DataFrame:
     rows = _hits(t).withColumn("kb_order", F.col("doc_id") % 3)
     return answering.merge_bases(rows).select("query_id", "chunk_id", "place")

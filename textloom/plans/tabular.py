@@ -74,7 +74,7 @@ def status_latest(t: Tables) -> DataFrame:
 
 
 @query("""WITH v AS (SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY version DESC) AS rn FROM v)
-  SELECT doc_id, version FROM r WHERE version = 1 OR rn <= 19""")
+  SELECT doc_id, version FROM r WHERE version = 1 OR rn <= 19""", version="INT")
 def retention(t: Tables) -> DataFrame:
     v = t.events.select(F.col("user_id").alias("doc_id"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("version"))
     return records.keep_versions(v)
