@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.metrics import adaptive_k, cosine, dcg
+from ..functions.metrics import adaptive_k, dcg
 from ..functions.text import tokens
 from ..operators import chunking, context, search
 from .catalog import Tables, query
@@ -28,7 +28,7 @@ def vectors(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", "embedding", "label")
 
 
-def vector_questions(t: Tables, every: int = 25) -> DataFrame:
+def vector_questions(t: Tables, every: int = 50) -> DataFrame:
     return vectors(t).where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("query_label"))
 
 
@@ -36,7 +36,7 @@ def vector_questions(t: Tables, every: int = 25) -> DataFrame:
 COS = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2])) / nullif(sqrt(list_sum(list_transform({a}, lambda x: x * x))) * sqrt(list_sum(list_transform({b}, lambda x: x * x))), 0)"
 VEC = f"""
   v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
-  q AS (SELECT vec_id AS query_id, label AS query_label, e AS qe FROM v WHERE vec_id % 25 = 0),
+  q AS (SELECT vec_id AS query_id, label AS query_label, e AS qe FROM v WHERE vec_id % 50 = 0),
   s AS (SELECT query_id, query_label, vec_id, label, round({COS.format(a="qe", b="e")}, 6) AS score FROM q CROSS JOIN v)"""
 CHUNKS = f"""
   c AS (
@@ -165,14 +165,16 @@ def hybrid_search(t: Tables) -> DataFrame:
     return _scored(t).select("query_id", "rank", "chunk_id", "doc_id", "vec", "bm25", "lex", "rrf", "doc_score")
 
 
-SIGNALS = f"""WITH {VEC}, a AS (SELECT query_id, vec_id, score AS vec, round(1.0::DOUBLE / (1 + abs(vec_id - query_id)), 9) AS lex FROM s),
-  p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vec DESC, vec_id) AS merge_pos FROM a),
+SIGNALS = f"""WITH {VEC}, a AS (SELECT query_id, vec_id, score AS vec, round(1.0::DOUBLE / (1 + abs(vec_id - query_id)), 9) AS lex,
+    row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS merge_pos FROM s),
+  p AS (SELECT * FROM a WHERE merge_pos <= 50),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vec DESC, merge_pos) AS r1, row_number() OVER (PARTITION BY query_id ORDER BY lex DESC, merge_pos) AS r2 FROM p)"""
 
 
 def _signals(t: Tables) -> DataFrame:
-    both = vectors(t).select("vec_id", F.col("embedding").cast("array<double>").alias("e")).join(F.broadcast(vector_questions(t).limit(4096)), F.lit(True))
-    rows = both.select("query_id", "vec_id", F.round(cosine(F.col("embedding").cast("array<double>"), F.col("e")), 6).alias("vec"), F.round(1.0 / (1 + F.abs(F.col("vec_id") - F.col("query_id"))), 9).alias("lex"))
+    """The 50 best candidates of each query with a second signal, nearness of ids."""
+    hits = search.vector_search(vectors(t), vector_questions(t), 50, key="vec_id")
+    rows = hits.select("query_id", "vec_id", F.col("score").alias("vec"), F.round(1.0 / (1 + F.abs(F.col("vec_id") - F.col("query_id"))), 9).alias("lex"))
     return rows.withColumn("merge_pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("vec"), "vec_id")))
 
 
@@ -191,13 +193,13 @@ def doc_agg_top2(t: Tables) -> DataFrame:
     return search.limit_per_doc(rows, 8).select("query_id", "rank", "vec_id", "doc_id", "doc_score")
 
 
-LISTS = f"""WITH {VEC}, l AS (SELECT query_id // 100 AS query_id, query_id % 100 // 25 AS subquery, vec_id AS chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS pos FROM s)"""
+LISTS = f"""WITH {VEC}, l AS (SELECT query_id // 200 AS query_id, query_id % 200 // 50 AS subquery, vec_id AS chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS pos FROM s)"""
 
 
 def _lists(t: Tables) -> DataFrame:
     hits = search.vector_search(vectors(t), vector_questions(t), 12, key="vec_id")
     pos = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")) - 1
-    return hits.withColumn("pos", pos).select(F.floor(F.col("query_id") / 100).alias("query_id"), F.floor(F.col("query_id") % 100 / 25).alias("subquery"), F.col("vec_id").alias("chunk_id"), "score", "pos")
+    return hits.withColumn("pos", pos).select(F.floor(F.col("query_id") / 200).alias("query_id"), F.floor(F.col("query_id") % 200 / 50).alias("subquery"), F.col("vec_id").alias("chunk_id"), "score", "pos")
 
 
 @query(f"""{LISTS}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY pos, subquery) AS n FROM l WHERE pos < 12),
