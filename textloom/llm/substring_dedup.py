@@ -224,21 +224,22 @@ def repeats(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "substrings")
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     every = scratch.table(map_rows(given, _stretches, "doc_id long, chk int, p int, n int, name long, hull long"), "every")
-    shared = every.groupBy("name").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("name")
+    # small sides are written, so that both sides of each join are dealt by its key alone and the plan may split a hot one
+    shared = scratch.table(every.groupBy("name").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("name"), "shared")
     some = scratch.table(every.join(shared, "name", "left_semi"), "some")
     forms = scratch.table(some.groupBy("name", "hull").agg(F.min("doc_id").alias("low")), "forms")
-    scratch.drop("every")
-    many = forms.groupBy("name").agg(F.count("*").alias("k")).where("k > 1").select("name")
+    scratch.drop("every", "shared")
+    many = scratch.table(forms.groupBy("name").agg(F.count("*").alias("k")).where("k > 1").select("name"), "many")
     placed = scratch.table(some.join(forms, ["name", "hull"]).select("doc_id", "chk", "p", "n", "name", "low"), "placed")
     scratch.drop("some")
     open_ = placed.where("low = doc_id").join(many, "name", "left_semi").groupBy("doc_id", "chk").agg(F.collect_list(F.struct("p", "n", "name")).alias("spans"))
     keyed = given.withColumn("chk", _crc("text"))
     looked = scratch.table(map_rows(keyed.join(open_, ["doc_id", "chk"]).select("doc_id", "text", "spans"), _windows, "doc_id long, chk int, p int, name long, hash long"), "looked")
-    least = looked.groupBy("name", "hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name", "hash", "low")
+    least = scratch.table(looked.groupBy("name", "hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name", "hash", "low"), "least")
     single = looked.join(least, ["name", "hash"]).where("low < doc_id").select("doc_id", "chk", "p", F.lit(1).alias("n"))
     whole = placed.where("low < doc_id").select("doc_id", "chk", "p", "n")
     spans = scratch.table(whole.union(single).groupBy("doc_id", "chk").agg(F.collect_list(F.struct("p", "n")).alias("spans")), "spans")
-    scratch.drop("forms", "placed", "looked")
+    scratch.drop("forms", "many", "placed", "looked", "least")
     return spans
 
 
