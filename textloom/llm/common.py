@@ -11,6 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+
 _resident: dict[str, tuple] = {}
 _made: list[tuple[SparkSession, str, str]] = []
 
@@ -40,10 +44,21 @@ def _clean() -> None:
             return
 
 
+def prepare(spark: SparkSession) -> None:
+    """Ships the package, and bounds the session's Arrow batches: texts of any length may stand in a row."""
+    ship(spark)
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        value = spark.conf.get(name).lower().rstrip("b")
+        if not value.isdigit() or not 0 < int(value) <= most:
+            spark.conf.set(name, str(most))
+
+
 class Scratch:
     """Written tables of one operator run. They cut lineage and outlive executors; the rest goes at exit."""
 
     def __init__(self, spark: SparkSession, name: str):
+        prepare(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
@@ -72,6 +87,7 @@ class Scratch:
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, rows: int = 512) -> DataFrame:
     """mapInArrow in slices of at most `rows` rows; make() builds the worker's state once for each task."""
+    prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if _resident and make.__module__ not in _resident:
@@ -116,16 +132,17 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of `edges` (u long, v long): a row (u, v) for each node that isn't its component's smallest, v being that.
 
     Alternating large and small stars; each round is a written table, so a lost executor costs one round at most,
-    and every step is an equi-join and a distinct, whose hot keys the adaptive plan splits.
+    and every step is an equi-join of written tables, whose hot keys the adaptive plan may split, and a distinct.
     """
     e = scratch.table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges0")
     mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     turn = 0
     while mark[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        low = scratch.table(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), f"large{turn}")
         e = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
+        e = scratch.table(e, f"middle{turn}")
+        low = scratch.table(e.groupBy("u").agg(F.min("v").alias("m")), f"small{turn}")
         e = e.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
         turn += 1
         e = scratch.table(e, f"edges{turn}")
