@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import text, trigrams
+from . import similar
 
 FIELDS = ["title", "summary", "key_points", "keywords", "conclusion", "prediction", "data"]
 REQUIRED = ["title", "summary", "key_points"]
@@ -89,13 +90,14 @@ def better(a: Column, b: Column) -> Column:
 
 
 def near_duplicates(records: DataFrame, content: str, key: str, least: float = 0.75, block: Callable[[Column], Column] | None = None) -> DataFrame:
-    """key, kept_key: greedy by key within a block, every record joins the first kept one that it resembles.
+    """key, kept_key: greedy by key, every record joins the first kept one that it resembles.
 
-    Blocks are the records' rarest trigram by default, so that a task sees records that share content only.
+    All records are compared, without loss (see similar.py), or those within a block only if one is given.
     """
+    if block is None:
+        return similar.first_kept(records, content, key, least)
     rows = records.select(F.col(key).alias("key"), trigrams(text(content)).alias("grams"))
-    own = block(F.col("grams")) if block else F.array_min(F.transform("grams", lambda g: F.xxhash64(g)))
-    rows = rows.withColumn("block", F.coalesce(own, F.lit(0)))
+    rows = rows.withColumn("block", F.coalesce(block(F.col("grams")), F.lit(0)))
 
     def pick(pdf):
         pdf, kept, out = pdf.sort_values("key"), [], []

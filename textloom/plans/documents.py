@@ -271,7 +271,7 @@ def completeness_score(t: Tables) -> DataFrame:
 
 @query()
 def record_dedup(t: Tables) -> DataFrame:
-    return records.near_duplicates(t.documents.withColumn("head", F.substring("text", 1, 400)), "head", "doc_id")
+    return records.near_duplicates(t.documents, "text", "doc_id")
 
 
 @query("""WITH p AS (SELECT doc_id, unnest(l) AS para, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
