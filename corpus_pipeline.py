@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from textloom.llm.common import Scratch
 from textloom.llm.langid import language_filter
 from textloom.llm.line_dedup import line_dedup
+from textloom.llm.near_copies import near_dedup
 from textloom.llm.packing import pack
-from textloom.llm.simhash import near_dedup
 from textloom.llm.substring_dedup import substring_dedup
 
 
@@ -27,7 +27,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest doc_id stays."""
+    """Of each component of near copies (five-word shingles, similarity 0.8) the document with the smallest doc_id stays."""
     return near_dedup(docs)
 
 
