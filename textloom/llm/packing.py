@@ -32,6 +32,7 @@ from .common import Scratch, map_rows
 CAPACITY = 1024
 CLOSING = 2
 RANKS = "byte_bpe_50k.tiktoken"
+SPECIAL = {"<|endoftext|>": 50256}  # added tokens, which a text's characters give as with tokenizers
 
 _encodings: dict[int, tiktoken.Encoding] = {}
 
@@ -41,7 +42,7 @@ def encoding(ranks: bytes) -> tiktoken.Encoding:
     key = zlib.crc32(ranks)
     if key not in _encodings:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        _encodings[key] = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+        _encodings[key] = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=SPECIAL)
     return _encodings[key]
 
 
@@ -67,7 +68,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = [[] for _ in range(8)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(enc.encode_to_numpy(text) if text else np.zeros(0, np.uint32), np.uint32(CLOSING)).astype("<u4")
+                ids = np.append(enc.encode_to_numpy(text, allowed_special="all") if text else np.zeros(0, np.uint32), np.uint32(CLOSING)).astype("<u4")
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     part = ids[start : start + length]
                     row = (doc, k, start, length, zlib.crc32(part.tobytes()), task, int(seen[length]), part.view(np.int32) if with_ids else None)

@@ -21,12 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_rows
-from .packing import encoding, read_ranks
+from .packing import SPECIAL, encoding, read_ranks
 from .pieces import Memo
 
 BLOCK = 32
-CONTEXT = 4
+CONTEXT = 16  # more than an added token has characters
 PATTERN = regex.compile(public_tokenizers.PATTERN)
+ADDED = "|".join(map(regex.escape, SPECIAL))
+#: PATTERN for texts with added tokens, which end whatever stands before them as the end of the text would.
+AROUND = regex.compile(rf"{ADDED}|'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?(?:(?!{ADDED})[^\s\p{{L}}\p{{N}}])+|\s+(?={ADDED})|\s+(?!\S)|\s+")
 REMEMBERED_CHARS = 64
 
 
@@ -35,7 +38,7 @@ class Counter:
 
     def __init__(self, ranks: bytes):
         self.encode = encoding(ranks).encode_ordinary
-        self.memo = Memo(lambda t: len(self.encode(t)))
+        self.memo = Memo(lambda t: 1 if t in SPECIAL else len(self.encode(t)))
 
     def __call__(self, part: str) -> int:
         return self.memo[part] if len(part) <= REMEMBERED_CHARS else len(self.encode(part))
@@ -125,7 +128,7 @@ class TokenTree:
                 bounds[pos - at + shift] = k
             pos += len(old[k])
         parts, n, here = old[:keep], counts[:keep], 0
-        for m in PATTERN.finditer(text):
+        for m in pattern(text).finditer(text):
             if here in bounds and here >= start - at + len(new):
                 k = bounds[here]
                 return parts + old[k:], n + counts[k:]
@@ -138,8 +141,12 @@ class TokenTree:
         return (parts, n) if at_end else None
 
 
+def pattern(text: str) -> regex.Pattern:
+    return AROUND if any(t in text for t in SPECIAL) else PATTERN
+
+
 def split(text: str | None) -> list[str]:
-    return PATTERN.findall(text or "")
+    return pattern(text or "").findall(text or "")
 
 
 def trees(docs: DataFrame, path: str | None = None) -> DataFrame:
