@@ -43,7 +43,7 @@ def grams(s: str) -> np.ndarray:
 def width(n: int) -> int:
     """Bits of the sketch of a set of n."""
     bits = NARROW
-    while bits < n and bits < WIDE:
+    while bits < 2 * n and bits < WIDE:
         bits *= 2
     return bits
 
