@@ -1,6 +1,7 @@
 """The corpus operators on small tables: edge cases, and brute force where SQL can't say it."""
 
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -397,8 +398,60 @@ def test_language_held_out(spark):
     found = langid.query(spark, "/root/testdata/sf0.01").join(rows.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     assert (found.lang == found.lang_pred).mean() >= 0.97
     p = langid.Parser(langid.learn(rows))
-    assert p.predict(None)[:2] == p.predict(" 12 !?")[:2] == ("und", 0.0)
-    assert langid.Parser([]).predict("words")[0] == "und"
+    assert [x[:2] for x in p.predict([None, "", " 12 !?", "² ½", "Ⅻ"])] == [("und", 0.0)] * 5
+    assert langid.Parser(langid.Models({})).predict(["words"])[0][0] == "und"
+
+
+def brute_phrases(text, learned):
+    at = n = 0
+    while at < len(text):
+        size = next((k for k in range(len(text) - at, 1, -1) if any(text[at : at + k] in x for x in learned)), 1)
+        at, n = at + size, n + 1
+    return n
+
+
+def plain(text):
+    return " " + "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower()) + " "
+
+
+@pytest.mark.parametrize("segment", [7, 512])
+def test_language_by_brute_force(monkeypatch, segment):
+    """Phrase counts and predictions against longest matches by search, across segments, also of learned and repeated texts."""
+    monkeypatch.setattr(langid, "SEGMENT", segment)
+    rng = random.Random(segment)
+    words = {lang: ["".join(rng.choices(letters, k=rng.randint(1, 7))) for _ in range(40)] for lang, letters in (("a", "abcde"), ("b", "bcdef"), ("c", "éxyz漢"))}
+    learned = {lang: [" ".join(rng.choices(w, k=60)) for _ in range(3)] for lang, w in words.items()}
+    texts = [" ".join(rng.choices(w, k=rng.randint(1, 40))) for w in words.values() for _ in range(6)] + [learned["a"][0], learned["c"][1] * 2, "q" * 40, "Ab-12 CD", "abcde" * 10]
+    p = langid.Parser(langid.Models(learned))
+    want = []
+    for t in texts:
+        x = " ".join(plain(t).split())
+        x = f" {x} "
+        sizes = {lang: [" " + " ".join(plain(y).split()) + " " for y in learned[lang]] for lang in learned}
+        want.append([brute_phrases(x, sizes[lang]) for lang in sorted(sizes)])
+    assert p.counts([langid.normal(t)[0] for t in texts]).tolist() == want
+    bits = np.array(want) * np.array(p.models.bits)
+    assert [x[0] for x in p.predict(texts)] == ["abc"[k] for k in bits.argmin(axis=1)]
+
+
+def test_many_languages_and_long_words(spark):
+    """120 languages of 50-letter words are all learned, each by its own text."""
+    rng = random.Random(5)
+    rows, want = [], {}
+    for k in range(120):
+        alphabet = [chr(0x4E00 + 20 * k + j) for j in range(12)]
+        words = ["".join(rng.choices(alphabet, k=50)) for _ in range(4)]
+        rows += [(2 * k, " ".join(words), f"l{k:03}"), (2 * k + 1, " ".join(reversed(words)), None)]
+        want |= {2 * k: f"l{k:03}", 2 * k + 1: f"l{k:03}"}
+    found = langid.predictions(docs(spark, rows), langid.learn(docs(spark, rows), held_fold=None))
+    assert {r.doc_id: r.lang_pred for r in found.collect()} == want
+
+
+def test_language_of_odd_rows(spark):
+    learned = [(k, "the words of one tongue are here", "en") for k in range(100, 110)] + [(k, "les mots de notre langue sont ici", "fr") for k in range(110, 120)] + [(20, None, "fr"), (None, "words", "en"), (21, "unlabelled", None)]
+    rows = docs(spark, [*ODD, *learned, (30, "ici notre langue")])
+    found = {r.doc_id: (r.lang_pred, r.lang_score) for r in langid.predictions(rows, langid.learn(rows)).collect()}
+    assert [found[k] for k in (1, 2, 3, 20)] == [("und", 0.0)] * 4 and found[30][0] == "fr" and found[5][0] in ("en", "fr") and 0 < found[30][1] <= 1
 
 
 def test_language_filter_rejects(spark):
