@@ -10,6 +10,7 @@ import sentencepiece
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from textloom.llm import langid, line_dedup, media, packing, pieces, quality, simhash, substring_dedup, token_counts, topk
 from textloom.llm.common import Scratch, components
@@ -229,6 +230,35 @@ def test_substrings_by_brute_force(spark, letters):
         assert (digest[d].n_words, digest[d].n_removed, " ".join(found[d].text.split())) == (n, gone, kept)
 
 
+def test_words_that_polynomial_hashes_confuse(spark):
+    """A Thue-Morse word and its complement collide under any polynomial modulo 2^64; nothing repeats here."""
+    x = "a"
+    for _ in range(10):
+        x += x.translate(str.maketrans("ab", "ba"))
+    y = x.translate(str.maketrans("ab", "ba"))
+    run = [f"w{k}" for k in range(30)]
+    rows = [(1, " ".join([*run, x, *run])), (2, " ".join([*run, y, *run])), (3, " ".join([*run, y, *run[:-1], "other"]))]
+    digest = by_id(substring_dedup.substring_dedup_digest(docs(spark, rows)))
+    assert {d: (r.n_words, r.n_removed) for d, r in digest.items()} == {1: (61, 0), 2: (61, 0), 3: (61, 60)}
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    """Rows equal in doc_id and text are judged once; names that the operators use may stand in the table."""
+    passage = " ".join(f"w{k}" for k in range(70))
+    line = "a line of ten characters or more"
+    rows = [(1, passage + "\n" + line)] * 30 + [(2, f"x {passage}\n{line}")] * 30 + [(2, passage[:-4] + " y")] + [(None, passage)] * 2
+    table = docs(spark, rows)
+    for name in ("repeat_spans", "repeat_doc", "repeat_chk", "lost_keys_id", "lost_doc", "kept_id", "used_id", "lang_bits", "lang_pred"):
+        table = table.withColumn(name, F.lit(7))
+    out = substring_dedup.substring_dedup(table)
+    assert out.columns == table.columns and sorted((r.doc_id or 0, " ".join(r.text.split()), r.repeat_chk) for r in out.collect()) == sorted(
+        [(0, passage, 7)] * 2 + [(1, f"{passage} {line}", 7)] * 30 + [(2, "x", 7)] * 30 + [(2, "y", 7)]
+    )
+    out = line_dedup.line_dedup(table)
+    assert out.columns == table.columns and sorted((r.doc_id or 0, r.text) for r in out.collect()) == sorted([(0, passage)] * 2 + [(1, f"{passage}\n{line}")] * 30 + [(2, f"x {passage}")] * 30 + [(2, passage[:-4] + " y")])
+    assert simhash.near_dedup(table).columns == table.columns and langid.language_filter(table).columns == table.columns
+
+
 def test_equal_windows_have_equal_anchors():
     r = np.random.default_rng(5)
     for letters in (2, 4, 30):

@@ -122,6 +122,17 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of df and none of those before has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def replace_column(batch: pa.RecordBatch, name: str, values: pa.Array, drop: tuple[str, ...] = ()) -> pa.RecordBatch:
     """The batch with one column exchanged and some left out."""
     names = [n for n in batch.schema.names if n not in drop]

@@ -10,30 +10,33 @@ words that decided that it was formed. Wherever these words recur, the symbol re
 context starts in its first 50 - CONTEXT + 1 words; the longest one it owns (smallest name, then first) is its anchor, so
 equal windows have equal anchors, and a word by itself is a symbol of level 0, so each window has one.
 
-1. Each stretch of windows with one anchor gives a row (hash of the CONTEXT words from the start of the anchor's context,
-   which the windows hold, as its name; hash of all words of the stretch).
+1. Each stretch of windows with one anchor gives a row: as its name that of the CONTEXT words from the start of the
+   anchor's context, which the windows hold, and as its form a hash of all its words.
 2. Names that only one document has go. Among stretches of one name that are equal word for word, all but those in the
    smallest doc_id are repeats; copies are never expanded into pairs.
 3. Stretches whose name has several forms are compared window by window, (name, window hash) against the smallest doc_id.
-The hashes that verify are two independent ones of 64 bits each.
+
+Names only bring candidates together, so that two contents might share one without harm. What decides is the 128-bit
+BLAKE2 hash, under a key drawn for each run, of the words themselves, joined by single spaces.
 
 Defined cases: null, empty and short texts have no window and stay whole; a row with null doc_id neither removes nor
-loses words; rows that share a doc_id don't remove from each other, and rows equal in doc_id and text share their fate;
-an empty table gives an empty result; other columns pass through.
+loses words; rows that share a doc_id don't remove from each other, and rows equal in doc_id and text share their fate (they
+are judged once); an empty table gives an empty result; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
+import secrets
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh_name, map_rows, raw, replace_column
+from .common import Scratch, fresh_names, map_rows, raw, replace_column
 
 WINDOW = 50
 CONTEXT = 20
@@ -41,11 +44,8 @@ ROUNDS = 3
 CHUNK = 1 << 19
 FAR = 1 << 40
 
-_rng = np.random.default_rng(20240607)
-BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
-SPACE = np.zeros(256, bool)
-SPACE[[32, *range(9, 14)]] = True
 BASE, BASE2 = 0x9E3779B97F4A7C13, 0xC2B2AE3D27D4EB4B
+SEED = 42  # that of Spark's xxhash64
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -79,15 +79,25 @@ def prefix_sums(values: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in turn, and the number of words of each text."""
-    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    word = ~SPACE[data]
-    edge = np.flatnonzero(np.diff(np.r_[False, word]))  # a space ends the buffer: starts and ends alternate
-    start, end = edge[::2], edge[1::2]
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    upto = np.searchsorted(start, ends)
-    return span_hash(prefix_sums(BYTE[data], BASE), BASE, start, end), np.diff(np.r_[0, upto])
+class Words:
+    """The words of some texts in turn: their names, and keyed hashes of the words from one to another."""
+
+    def __init__(self, texts: list[bytes]):
+        split = [t.split() for t in texts]
+        flat = [w for words in split for w in words]
+        self.sizes = np.array([len(words) for words in split], np.int64)
+        self.names = np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, len(flat))
+        self.joined = b" ".join(flat)
+        size = np.fromiter(map(len, flat), np.int64, len(flat))
+        self.ends = np.cumsum(size + 1) - 1
+        self.starts = self.ends - size
+
+    def digests(self, first: np.ndarray, n: np.ndarray, key: bytes) -> np.ndarray:
+        """Rows of two 64-bit halves: the hash of the n words from `first` on."""
+        joined, made = self.joined, []
+        for a, b in zip(self.starts[first].tolist(), self.ends[first + n - 1].tolist(), strict=True):
+            made.append(hashlib.blake2b(joined[a:b], digest_size=16, key=key).digest())
+        return np.frombuffer(b"".join(made), "<i8").reshape(-1, 2)
 
 
 def parse(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,78 +185,82 @@ def chunks(texts: list[bytes]):
 
 
 def _check(text: bytes) -> int:
-    return zlib.crc32(text) - (1 << 31)
+    """Tells texts of one doc_id apart, as xxhash64 does in Spark."""
+    found = xxhash.xxh64_intdigest(text, SEED)
+    return found - (found >> 63 << 64)
+
+
+def _rows(parts: list[tuple], fields: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = [pa.array(np.concatenate(c), k) for c, k in zip(zip(*parts, strict=True), fields.values(), strict=True)] if parts else [pa.array([], k) for k in fields.values()]
+    return pa.RecordBatch.from_arrays(columns, names=list(fields))
+
+
+STRETCH = {"doc_id": pa.int64(), "chk": pa.int64(), "p": pa.int32(), "n": pa.int32(), "name": pa.int64(), "f1": pa.int64(), "f2": pa.int64()}
+LOOKED = {"doc_id": pa.int64(), "chk": pa.int64(), "p": pa.int32(), "name": pa.int64(), "f1": pa.int64(), "f2": pa.int64()}
 
 
-def _stretches():
+def _stretches(key: bytes):
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, texts = batch.column(0).to_pylist(), raw(batch.column(1))
-        pairs = [(d, t) for d, t in zip(ids, texts, strict=True) if d is not None and t and len(t) >= 2 * WINDOW - 1]
-        out = [[] for _ in range(6)]
+        pairs = [(d, t) for d, t in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True) if d is not None and t and len(t) >= 2 * WINDOW - 1]
+        out = []
         for a, b in chunks([t for _, t in pairs]):
-            part = pairs[a:b]
-            words, sizes = word_hashes([t for _, t in part])
-            if len(words) < WINDOW:
+            words = Words([t for _, t in pairs[a:b]])
+            if len(words.names) < WINDOW:
                 continue
-            p, n, name = anchors(words, sizes)
-            starts = np.cumsum(sizes) - sizes
-            doc = np.searchsorted(starts + sizes, p, side="right")
-            hull = span_hash(prefix_sums(words, BASE2), BASE2, p, p + n + WINDOW - 1)
-            cols = (np.array([d for d, _ in part])[doc], np.array([_check(t) for _, t in part])[doc], p - starts[doc], n, name.view(np.int64), hull.view(np.int64))
-            for o, c in zip(out, cols, strict=True):
-                o.append(c)
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(o) if o else [], k) for o, k in zip(out, kinds, strict=True)], names=["doc_id", "chk", "p", "n", "name", "hull"])
+            p, n, name = anchors(words.names, words.sizes)
+            starts = np.cumsum(words.sizes) - words.sizes
+            doc = np.searchsorted(starts + words.sizes, p, side="right")
+            form = words.digests(p, n + WINDOW - 1, key)
+            out.append((np.array([d for d, _ in pairs[a:b]])[doc], np.array([_check(t) for _, t in pairs[a:b]])[doc], p - starts[doc], n, name.view(np.int64), form[:, 0], form[:, 1]))
+        return _rows(out, STRETCH)
 
     return each
 
 
-def _windows():
-    """Rows (doc_id, text, spans): each window of the spans, with its hash."""
+def _windows(key: bytes):
+    """Rows (doc_id, chk, text, spans): each window of the spans, with its hash."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [[] for _ in range(5)]
-        for doc, text, spans in zip(batch.column(0).to_pylist(), raw(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            words, _ = word_hashes([text])
+        out = []
+        for doc, chk, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw(batch.column(2)), batch.column(3).to_pylist(), strict=True):
             n = np.array([s["n"] for s in spans])
             p = np.repeat(np.array([s["p"] for s in spans]) - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            cols = (np.full(len(p), doc), np.full(len(p), _check(text)), p, np.repeat(np.array([s["name"] for s in spans], np.int64), n), span_hash(prefix_sums(words, BASE2), BASE2, p, p + WINDOW).view(np.int64))
-            for o, c in zip(out, cols, strict=True):
-                o.append(c)
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(o) if o else [], k) for o, k in zip(out, kinds, strict=True)], names=["doc_id", "chk", "p", "name", "hash"])
+            form = Words([text]).digests(p, np.full(len(p), WINDOW), key)
+            out.append((np.full(len(p), doc), np.full(len(p), chk), p, np.repeat(np.array([s["name"] for s in spans], np.int64), n), form[:, 0], form[:, 1]))
+        return _rows(out, LOOKED)
 
     return each
 
 
+def _schema(fields: dict[str, pa.DataType]) -> str:
+    return ", ".join(f"{name} {'int' if kind == pa.int32() else 'long'}" for name, kind in fields.items())
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, chk, spans array of (p, n)): the windows p..p+n-1 that start in a smaller doc_id too. chk tells texts of one doc_id apart."""
-    scratch = Scratch(docs.sparkSession, "substrings")
+    scratch, key = Scratch(docs.sparkSession, "substrings"), secrets.token_bytes(16)
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    every = scratch.table(map_rows(given, _stretches, "doc_id long, chk int, p int, n int, name long, hull long"), "every")
+    every = scratch.table(map_rows(given, lambda: _stretches(key), _schema(STRETCH)), "every")
     # small sides are written, so that both sides of each join are dealt by its key alone and the plan may split a hot one
     shared = scratch.table(every.groupBy("name").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("name"), "shared")
     some = scratch.table(every.join(shared, "name", "left_semi"), "some")
-    forms = scratch.table(some.groupBy("name", "hull").agg(F.min("doc_id").alias("low")), "forms")
+    forms = scratch.table(some.groupBy("name", "f1", "f2").agg(F.min("doc_id").alias("low")), "forms")
     scratch.drop("every", "shared")
     many = scratch.table(forms.groupBy("name").agg(F.count("*").alias("k")).where("k > 1").select("name"), "many")
-    placed = scratch.table(some.join(forms, ["name", "hull"]).select("doc_id", "chk", "p", "n", "name", "low"), "placed")
+    placed = scratch.table(some.join(forms, ["name", "f1", "f2"]).select("doc_id", "chk", "p", "n", "name", "low"), "placed")
     scratch.drop("some")
-    open_ = placed.where("low = doc_id").join(many, "name", "left_semi").groupBy("doc_id", "chk").agg(F.collect_list(F.struct("p", "n", "name")).alias("spans"))
-    keyed = given.withColumn("chk", _crc("text"))
-    looked = scratch.table(map_rows(keyed.join(open_, ["doc_id", "chk"]).select("doc_id", "text", "spans"), _windows, "doc_id long, chk int, p int, name long, hash long"), "looked")
-    least = scratch.table(looked.groupBy("name", "hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name", "hash", "low"), "least")
-    single = looked.join(least, ["name", "hash"]).where("low < doc_id").select("doc_id", "chk", "p", F.lit(1).alias("n"))
+    open_ = placed.where("low = doc_id").join(many, "name", "left_semi").groupBy("doc_id", "chk").agg(F.collect_set(F.struct("p", "n", "name")).alias("spans"))
+    open_ = scratch.table(open_, "open")  # written, so that its size is known
+    keyed = given.withColumn("chk", F.xxhash64("text")).join(open_, ["doc_id", "chk"]).dropDuplicates(["doc_id", "chk"])
+    looked = scratch.table(map_rows(keyed.select("doc_id", "chk", "text", "spans"), lambda: _windows(key), _schema(LOOKED)), "looked")
+    least = scratch.table(looked.groupBy("name", "f1", "f2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name", "f1", "f2", "low"), "least")
+    single = looked.join(least, ["name", "f1", "f2"]).where("low < doc_id").select("doc_id", "chk", "p", F.lit(1).alias("n"))
     whole = placed.where("low < doc_id").select("doc_id", "chk", "p", "n")
-    spans = scratch.table(whole.union(single).groupBy("doc_id", "chk").agg(F.collect_list(F.struct("p", "n")).alias("spans")), "spans")
-    scratch.drop("forms", "many", "placed", "looked", "least")
+    spans = scratch.table(whole.union(single).groupBy("doc_id", "chk").agg(F.collect_set(F.struct("p", "n")).alias("spans")), "spans")
+    scratch.drop("forms", "many", "placed", "open", "looked", "least")
     return spans
 
 
-def _crc(column: str):
-    return (F.crc32(F.col(column).cast("binary")) - F.lit(1 << 31)).cast("int")
-
-
 def covered(n_words: int, spans: list[dict] | None) -> np.ndarray:
     """Which words the windows of the spans cover."""
     edge = np.zeros(n_words + 1, np.int64)
@@ -257,14 +271,12 @@ def covered(n_words: int, spans: list[dict] | None) -> np.ndarray:
 
 
 def _judged(docs: DataFrame) -> tuple[DataFrame, str]:
-    name = fresh_name(docs, "repeat_spans")
-    found = repeats(docs).select(F.col("doc_id").alias(name + "_id"), F.col("chk").alias(name + "_chk"), F.col("spans").alias(name))
-    on = (docs["doc_id"] == found[name + "_id"]) & (_crc_of(docs["text"]) == found[name + "_chk"])
-    return docs.join(found, on, "left").drop(name + "_id", name + "_chk"), name
-
-
-def _crc_of(column):
-    return (F.crc32(column.cast("string").cast("binary")) - F.lit(1 << 31)).cast("int")
+    """docs with a column of spans. Texts without any go their way; only the others need meet theirs."""
+    name, doc, chk = fresh_names(docs, "repeat_spans", "repeat_doc", "repeat_chk")
+    found = repeats(docs).select(F.col("doc_id").alias(doc), F.col("chk").alias(chk), F.col("spans").alias(name))
+    on = (docs["doc_id"] == found[doc]) & (F.xxhash64(docs["text"].cast("string")) == found[chk])
+    plain = docs.join(found.select(doc, chk), on, "left_anti").withColumn(name, F.lit(None).cast(found.schema[name].dataType))
+    return plain.union(docs.join(found, on).drop(doc, chk)), name
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
