@@ -1,14 +1,16 @@
-"""The pipeline's near copies against all pairs in Python."""
+"""The pipeline's near copies against all pairs in Python: SimHash links first, then similar sets among what it leaves."""
 
 import pytest
 
 import corpus_pipeline
-from textloom.llm import near_copies
+from textloom.llm import near_copies, simhash
 
-from .test_ops import docs
+from .test_ops import brute_components, docs
 
 
 def brute(rows):
+    found = brute_components([(d, simhash.fingerprint((t or "").encode())) for d, t in rows])
+    rows = [(d, t) for d, t in rows if found[d] == d]  # what SimHash leaves
     sets = {}
     for d, t in rows:
         w = (t or "").lower().split()
@@ -27,6 +29,7 @@ def test_all_near_copies(spark, monkeypatch, longest):
     """Copies at more than two bits go too, with lists short and long."""
     monkeypatch.setattr(near_copies, "LIST", longest)
     monkeypatch.setattr(near_copies, "FREQUENT", 1)
+    monkeypatch.setattr(near_copies, "BLOCK", 4)
     found = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 400")
     rows = [(r.doc_id, r.text) for r in found.select("doc_id", "text").collect()] + [(1000, None), (1001, " ")]
     base = [f"w{k}" for k in range(60)]

@@ -1,10 +1,10 @@
 """The pipeline against its stages run by hand on Python values."""
 
 import corpus_pipeline
-from textloom.llm import simhash
 
 from ..conftest import SF
-from .test_ops import brute_components, brute_substrings
+from .test_near_copies import brute
+from .test_ops import brute_substrings
 
 
 def test_pipeline(spark):
@@ -28,8 +28,7 @@ def test_pipeline(spark):
     for d, t in before:
         kept[d] = "\n".join(x for x in t.split("\n") if len(key(x)) < 10 or owner[key(x)] >= d)
     assert {r.doc_id: r.text for r in made["line_dedup"].collect()} == kept
-    prints = [(d, simhash.fingerprint(t.encode())) for d, t in kept.items()]
-    stay = {d for d, low in brute_components(prints).items() if d == low}
+    stay = brute(list(kept.items()))
     assert {r.doc_id for r in made["near_dedup"].collect()} == stay
     want = brute_substrings([(d, kept[d]) for d in stay])
     assert {r.doc_id: " ".join(r.text.split()) for r in made["substring_dedup"].collect()} == {d: x[2] for d, x in want.items()}

@@ -1,11 +1,13 @@
-"""Near copies by the Jaccard similarity of their word shingles: a prefix filter for candidates, the sets to verify.
+"""The wider pass of SimHash near-dedup: near copies whose fingerprints lie farther apart than an exact grid join can reach.
 
-A document is the set of 64-bit hashes of its runs of `WORDS` words (all its words, if fewer); documents of one set are one
-node. Under any order of the shingles, two sets of similarity `LEAST` share one of their first n - ceil(LEAST * n) + 1
-elements, so nodes that share such an element are all the candidates. The order is by hash, those that are frequent in a
-sample last, which keeps the lists of an element short but drops nothing. Parity sketches (see operators/similar.py) exclude
-pairs that differ in too many elements, and the whole sets of the others are compared. A list of up to `LIST` nodes gives all its pairs.
-A longer one is first compared with its smallest node, and then gives the pairs whose nodes aren't linked yet.
+Documents that SimHash links are one already (simhash.py). Among those that stay, a document is the set of 64-bit hashes of
+its runs of `WORDS` words (all its words, if fewer); documents of one set are one node. Nodes of Jaccard similarity `LEAST`
+link. Under any order of the shingles, two such sets share one of their first n - ceil(LEAST * n) + 1 elements, so nodes that
+share such an element are all the candidates. The order is by hash, those that are frequent in a sample last, which keeps
+the lists of an element short but drops nothing. Parity sketches (see operators/similar.py) exclude pairs that differ in too
+many elements, and the whole sets of the others are compared. A list of up to `LIST` nodes gives all its pairs. A longer one
+is first compared with its smallest node, its centre. Where nodes of one centre aren't linked then, they are dealt in blocks
+of about `BLOCK`, blocks meet by twos in units of work of bounded size, and a unit gives only pairs that sketches allow.
 
 Defined cases: wordless and null texts are copies of each other; a row without doc_id is no node; rows sharing a doc_id are
 one node each by set.
@@ -21,10 +23,12 @@ from pyspark.sql import functions as F
 
 from ..operators.similar import folded, most_apart, sketch
 from .common import Scratch, components, fresh_name, map_rows, raw
+from .simhash import near_duplicates
 
 WORDS = 5
 LEAST = 0.8
 LIST = 64
+BLOCK = 256
 SAMPLED = 16  # one node of so many is asked for frequent shingles
 FREQUENT = 8  # times that it occurs in the sample
 MOST = 100_000  # frequent shingles that the driver gets
@@ -97,14 +101,68 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return map_rows(pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b"), make, "u long, v long")
 
 
-def near_copies(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
-    """doc_id, h, component_id long for every row of docs."""
+def apart(sketches: list[bytes], n: np.ndarray, others: list[bytes], m: np.ndarray, least: float) -> np.ndarray:
+    """Which sets (rows) and others (columns) may be similar, by their sizes and sketches."""
+    out = np.zeros((len(n), len(m)), bool)
+    most = most_apart(n[:, None], m[None, :], least)
+    widths, other_widths = np.array(list(map(len, sketches))), np.array(list(map(len, others)))
+    for w in np.unique(widths):
+        for v in np.unique(other_widths):
+            a, b, bits = np.flatnonzero(widths == w), np.flatnonzero(other_widths == v), 8 * int(min(w, v))
+            x, y = np.stack([folded(sketches[k], bits) for k in a]), np.stack([folded(others[k], bits) for k in b])
+            differ = np.zeros((len(a), len(b)), np.int32)
+            for word in range(x.shape[1]):
+                differ += np.bitwise_count(x[:, word][:, None] ^ y[:, word][None, :])
+            out[np.ix_(a, b)] = differ <= most[np.ix_(a, b)]
+    return out
+
+
+def _units(least: float):
+    """Input (unit, mine, rep, n, low, sketch), sorted by unit: pairs of unlinked nodes, one of which is in the first block if two meet."""
+
+    def pairs(x):
+        rep, n, low, mine = (np.array([r[k] for r in x]) for k in ("rep", "n", "low", "mine"))
+        a = np.flatnonzero(mine == mine.min())
+        b = a if mine.min() == mine.max() else np.flatnonzero(mine != mine.min())
+        ok = apart([x[k]["sketch"] for k in a], n[a], [x[k]["sketch"] for k in b], n[b], least) & (low[a][:, None] != low[b][None, :])
+        i, j = np.nonzero(ok)
+        u, v = rep[a][i], rep[b][j]
+        keep = (u < v) if a is b else np.ones(len(u), bool)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)[keep]), pa.array(np.maximum(u, v)[keep])], names=["u", "v"])
+
+    def run(batches):
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and row["unit"] != held[0]["unit"]:
+                    yield pairs(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield pairs(held)
+
+    return run
+
+
+def _unlinked(members: DataFrame, nodes: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """Pairs (u, v) of members (centre, rep, n, low) of one centre that have different `low` and that sketches don't exclude."""
+    sizes = scratch.table(members.groupBy("centre").agg(F.count("*").alias("k"), F.min("low").alias("a"), F.max("low").alias("b")).where("a < b").select("centre", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "sizes")
+    dealt = members.join(sizes, "centre").withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    dealt = dealt.join(nodes.select("rep", "sketch"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    unit = F.struct("centre", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    rows = dealt.select(unit.alias("unit"), "mine", "rep", "n", "low", "sketch").repartition("unit").sortWithinPartitions("unit")
+    return rows.mapInArrow(_units(least), "u long, v long").distinct()
+
+
+def near_copies(docs: DataFrame, words: int = WORDS, least: float = LEAST, among: DataFrame | None = None) -> DataFrame:
+    """doc_id, h, component_id long for every row of docs, or for those whose doc_id is in `among`."""
     scratch = Scratch(docs.sparkSession, "near_copies")
     some = _sets(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0), words, lambda s: s.tolist(), "array<long>")
     top = some.dropDuplicates(["h"]).select(F.explode("data").alias("s")).groupBy("s").agg(F.count("*").alias("k")).where(F.col("k") >= FREQUENT).orderBy(F.desc("k"), "s").limit(MOST)
     frequent = np.sort(np.array([r[0] for r in top.collect()], np.int64))
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
-    prints = scratch.table(_sets(docs, words, lambda s: prefix(s, sent.value, least), "array<long>"), "prints")
+    given = docs.select("doc_id", "text")
+    prints = scratch.table(_sets(given if among is None else given.join(among.select("doc_id"), "doc_id", "left_semi"), words, lambda s: prefix(s, sent.value, least), "array<long>"), "prints")
     nodes = scratch.table(prints.where("doc_id IS NOT NULL").groupBy("h").agg(F.min(F.struct("doc_id", "n", "sketch", "data")).alias("x")).select("h", F.col("x.doc_id").alias("rep"), "x.n", "x.sketch", "x.data"), "nodes")
     lists = nodes.select(F.explode("data").alias("s"), "rep", "n").withColumn("k", F.count("*").over(Window.partitionBy("s"))).where("k > 1")
     lists = scratch.table(lists.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("rep", "n"))).alias("xs")), "lists")
@@ -116,15 +174,11 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> Da
     pairs = scratch.table(first.distinct(), "pairs")
     likely = scratch.table(_possible(pairs, nodes, least), "likely")
     edges = scratch.table(_verified(likely, _whole(docs, nodes, likely, words, scratch, "used"), least), "links")
-    members = scratch.table(long.select("s", F.explode("xs").alias("x")).select("s", "x.rep", "x.n"), "members")
+    members = scratch.table(long.select(F.element_at("xs", 1)["rep"].alias("centre"), F.explode("xs").alias("x")).select("centre", "x.rep", "x.n").distinct(), "members")
     if members.limit(1).count():
         stars = components(edges, scratch).select(F.col("u").alias("rep"), F.col("v").alias("low"))
-        named = scratch.table(members.join(stars, "rep", "left").select("s", F.struct("rep", "n", F.coalesce("low", "rep").alias("low")).alias("x")), "named")
-        mixed = named.groupBy("s").agg(F.min("x.low").alias("a"), F.max("x.low").alias("b")).where("a < b").select(F.col("s").alias("m"))
-        named = scratch.table(named.join(mixed, F.col("s") == F.col("m"), "left_semi"), "mixed")
-        rest = named.select("s", F.col("x").alias("p")).join(named.select("s", F.col("x").alias("q")), "s").where("p.low <> q.low")
-        rest = scratch.table(pair(rest).distinct().join(pairs, ["u", "v"], "left_anti"), "rest")
-        rest = scratch.table(_possible(rest, nodes, least), "likely_rest")
+        named = scratch.table(members.join(stars, "rep", "left").select("centre", "rep", "n", F.coalesce("low", "rep").alias("low")), "named")
+        rest = scratch.table(_unlinked(named, nodes, least, scratch).join(pairs, ["u", "v"], "left_anti"), "rest")
         edges = scratch.table(edges.union(_verified(rest, _whole(docs, nodes, rest, words, scratch, "used_rest"), least)), "all_links")
     stars = components(edges, Scratch(docs.sparkSession, "near_copies")).select(F.col("u").alias("rep"), F.col("v").alias("low"))
     named = nodes.join(stars, "rep", "left").select("h", F.coalesce("low", "rep").alias("component_id"))
@@ -142,7 +196,10 @@ def _whole(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, scra
 
 
 def near_dedup(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
-    """docs with one document of each component: the one whose doc_id is smallest. Rows without doc_id stay."""
+    """docs with one document of each group: the smallest doc_id of what SimHash links, then of near copies among these. Rows without doc_id stay."""
+    scratch = Scratch(docs.sparkSession, "near_dedup")
+    first = scratch.table(near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct(), "first")
+    kept = scratch.table(near_copies(docs, words, least, first).where("doc_id = component_id").select("doc_id").distinct(), "kept")
     name = fresh_name(docs, "kept_id")
-    kept = near_copies(docs, words, least).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = kept.withColumnRenamed("doc_id", name)
     return docs.join(kept, docs["doc_id"] == kept[name], "left_semi").union(docs.where("doc_id IS NULL"))
