@@ -2,6 +2,11 @@
 
 Nothing but the language filter and the near-duplicate stage removes documents; the dedup stages shorten texts, and a
 document that loses all of its text stays as an empty one. The last stage gives the packed pieces with their token ids.
+
+Defined cases, for all stages: an empty table gives an empty result; further columns pass through, whatever their names; a
+null text has no letters, so it goes in the first stage; a row without doc_id neither makes others lose anything nor loses
+anything itself; of equal texts and lines the smallest doc_id keeps its own; rows that repeat share their fate in the dedup
+stages, and both stay.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (five-word shingles, similarity 0.8) the document with the smallest doc_id stays."""
+    """Of each group that SimHash links, and then of near copies among these (five-word shingles, similarity 0.8), the smallest doc_id stays."""
     return near_dedup(docs)
 
 
