@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.similar import folded, most_apart, sketch
+from ..operators.similar import folded, most_apart
 from .common import Scratch, components, fresh_name, map_rows, raw
 from .simhash import near_duplicates
 
@@ -29,6 +29,7 @@ WORDS = 5
 LEAST = 0.8
 LIST = 64
 BLOCK = 256
+NARROW, WIDE = 512, 1 << 17  # bits of sketches; in between twice the size of the set at least
 SAMPLED = 16  # one node of so many is asked for frequent shingles
 FREQUENT = 8  # times that it occurs in the sample
 MOST = 100_000  # frequent shingles that the driver gets
@@ -42,6 +43,13 @@ def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.array([digest(p, SEED) for p in parts], "<u8")).view("<i8")
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the numbers of elements that end in the same bits."""
+    bits = min(max(NARROW, 1 << (2 * len(s)).bit_length()), WIDE)
+    odd = np.bincount(s & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
 def prefix(s: np.ndarray, frequent: np.ndarray, least: float) -> np.ndarray:
     """The elements of which similar sets share one."""
     n = len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1
@@ -104,17 +112,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def apart(sketches: list[bytes], n: np.ndarray, others: list[bytes], m: np.ndarray, least: float) -> np.ndarray:
     """Which sets (rows) and others (columns) may be similar, by their sizes and sketches."""
     out = np.zeros((len(n), len(m)), bool)
+    sizes = (n[:, None] >= least * m[None, :] - 1e-9) & (m[None, :] >= least * n[:, None] - 1e-9)
     most = most_apart(n[:, None], m[None, :], least)
     widths, other_widths = np.array(list(map(len, sketches))), np.array(list(map(len, others)))
     for w in np.unique(widths):
         for v in np.unique(other_widths):
             a, b, bits = np.flatnonzero(widths == w), np.flatnonzero(other_widths == v), 8 * int(min(w, v))
             x, y = np.stack([folded(sketches[k], bits) for k in a]), np.stack([folded(others[k], bits) for k in b])
+            if not sizes[np.ix_(a, b)].any():
+                continue
             differ = np.zeros((len(a), len(b)), np.int32)
             for word in range(x.shape[1]):
                 differ += np.bitwise_count(x[:, word][:, None] ^ y[:, word][None, :])
             out[np.ix_(a, b)] = differ <= most[np.ix_(a, b)]
-    return out
+    return out & sizes
 
 
 def _units(least: float):
