@@ -93,13 +93,10 @@ def dropped_keys(docs: DataFrame, batches: int = BATCHES, scratch: Scratch | Non
 
 
 def _judged(docs: DataFrame, batches: int) -> tuple[DataFrame, str]:
-    """docs with a column of lost keys. Texts that lose none go their way; only the others need meet theirs."""
+    """docs with a column of lost keys."""
     name, doc = fresh_names(docs, "lost_keys", "lost_doc")
-    scratch = Scratch(docs.sparkSession, "lines")
-    lost = scratch.table(dropped_keys(docs, batches, scratch).select(F.col("doc_id").alias(doc), F.col("keys").alias(name)), "lost")
-    on = docs["doc_id"] == lost[doc]
-    plain = docs.join(lost.select(doc), on, "left_anti").withColumn(name, F.lit(None).cast(lost.schema[name].dataType))
-    return plain.union(docs.join(lost, on).drop(doc)), name
+    lost = dropped_keys(docs, batches).select(F.col("doc_id").alias(doc), F.col("keys").alias(name))
+    return docs.join(lost, docs["doc_id"] == lost[doc], "left").drop(doc), name
 
 
 def keep_lines(text: bytes | None, lost: list[bytes] | None) -> tuple[list[bytes], int]:

@@ -10,10 +10,11 @@ words that decided that it was formed. Wherever these words recur, the symbol re
 context starts in its first 50 - CONTEXT + 1 words; the longest one it owns (smallest name, then first) is its anchor, so
 equal windows have equal anchors, and a word by itself is a symbol of level 0, so each window has one.
 
-1. Each stretch of windows with one anchor gives a row: as its name that of the CONTEXT words from the start of the
-   anchor's context, which the windows hold, and as its form a hash of all its words.
-2. Names that only one document has go. Among stretches of one name that are equal word for word, all but those in the
-   smallest doc_id are repeats; copies are never expanded into pairs.
+1. Each stretch of windows with one anchor gives a row. Its name is that of the CONTEXT words from the start of the anchor's
+   context, which the windows hold.
+2. Names that only one document has go. The texts of what stays, each once, give the stretches' forms: hashes of all their
+   words. Among stretches of one name and form all but those in the smallest doc_id are repeats; copies are never expanded
+   into pairs.
 3. Stretches whose name has several forms are compared window by window, (name, window hash) against the smallest doc_id.
 
 Names only bring candidates together, so that two contents might share one without harm. What decides is the 128-bit
@@ -43,6 +44,7 @@ CONTEXT = 20
 ROUNDS = 3
 CHUNK = 1 << 19
 FAR = 1 << 40
+FEW = 500_000  # keys, of 16 bytes each, up to which they are broadcast
 
 BASE, BASE2 = 0x9E3779B97F4A7C13, 0xC2B2AE3D27D4EB4B
 SEED = 42  # that of Spark's xxhash64
@@ -79,16 +81,16 @@ def prefix_sums(values: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
+name = xxhash.xxh3_64_intdigest  # of a word; not more than a name, see above
+
+
 class Words:
-    """The words of some texts in turn: their names, and keyed hashes of the words from one to another."""
-
-    def __init__(self, texts: list[bytes]):
-        split = [t.split() for t in texts]
-        flat = [w for words in split for w in words]
-        self.sizes = np.array([len(words) for words in split], np.int64)
-        self.names = np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, len(flat))
-        self.joined = b" ".join(flat)
-        size = np.fromiter(map(len, flat), np.int64, len(flat))
+    """Keyed hashes of a text's words from one to another."""
+
+    def __init__(self, text: bytes):
+        words = text.split()
+        self.joined = b" ".join(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
         self.ends = np.cumsum(size + 1) - 1
         self.starts = self.ends - size
 
@@ -195,28 +197,44 @@ def _rows(parts: list[tuple], fields: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=list(fields))
 
 
-STRETCH = {"doc_id": pa.int64(), "chk": pa.int64(), "p": pa.int32(), "n": pa.int32(), "name": pa.int64(), "f1": pa.int64(), "f2": pa.int64()}
+STRETCH = {"doc_id": pa.int64(), "chk": pa.int64(), "p": pa.int32(), "n": pa.int32(), "name": pa.int64()}
+FORM = STRETCH | {"f1": pa.int64(), "f2": pa.int64()}
 LOOKED = {"doc_id": pa.int64(), "chk": pa.int64(), "p": pa.int32(), "name": pa.int64(), "f1": pa.int64(), "f2": pa.int64()}
 
 
-def _stretches(key: bytes):
+def _stretches():
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         pairs = [(d, t) for d, t in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True) if d is not None and t and len(t) >= 2 * WINDOW - 1]
         out = []
         for a, b in chunks([t for _, t in pairs]):
-            words = Words([t for _, t in pairs[a:b]])
-            if len(words.names) < WINDOW:
+            split = [t.split() for _, t in pairs[a:b]]
+            sizes = np.array([len(words) for words in split], np.int64)
+            names = np.fromiter((name(w) for words in split for w in words), np.uint64, int(sizes.sum()))
+            if len(names) < WINDOW:
                 continue
-            p, n, name = anchors(words.names, words.sizes)
-            starts = np.cumsum(words.sizes) - words.sizes
-            doc = np.searchsorted(starts + words.sizes, p, side="right")
-            form = words.digests(p, n + WINDOW - 1, key)
-            out.append((np.array([d for d, _ in pairs[a:b]])[doc], np.array([_check(t) for _, t in pairs[a:b]])[doc], p - starts[doc], n, name.view(np.int64), form[:, 0], form[:, 1]))
+            p, n, found = anchors(names, sizes)
+            starts = np.cumsum(sizes) - sizes
+            doc = np.searchsorted(starts + sizes, p, side="right")
+            out.append((np.array([d for d, _ in pairs[a:b]])[doc], np.array([_check(t) for _, t in pairs[a:b]])[doc], p - starts[doc], n, found.view(np.int64)))
         return _rows(out, STRETCH)
 
     return each
 
 
+def _forms(key: bytes):
+    """Rows (doc_id, chk, text, spans): each span with the hash of its words."""
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for doc, chk, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+            p, n, names = (np.array([s[k] for s in spans], np.int64) for k in ("p", "n", "name"))
+            form = Words(text).digests(p, n + WINDOW - 1, key)
+            out.append((np.full(len(p), doc), np.full(len(p), chk), p, n, names, form[:, 0], form[:, 1]))
+        return _rows(out, FORM)
+
+    return each
+
+
 def _windows(key: bytes):
     """Rows (doc_id, chk, text, spans): each window of the spans, with its hash."""
 
@@ -225,7 +243,7 @@ def _windows(key: bytes):
         for doc, chk, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw(batch.column(2)), batch.column(3).to_pylist(), strict=True):
             n = np.array([s["n"] for s in spans])
             p = np.repeat(np.array([s["p"] for s in spans]) - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            form = Words([text]).digests(p, np.full(len(p), WINDOW), key)
+            form = Words(text).digests(p, np.full(len(p), WINDOW), key)
             out.append((np.full(len(p), doc), np.full(len(p), chk), p, np.repeat(np.array([s["name"] for s in spans], np.int64), n), form[:, 0], form[:, 1]))
         return _rows(out, LOOKED)
 
@@ -240,27 +258,37 @@ def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, chk, spans array of (p, n)): the windows p..p+n-1 that start in a smaller doc_id too. chk tells texts of one doc_id apart."""
     scratch, key = Scratch(docs.sparkSession, "substrings"), secrets.token_bytes(16)
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    every = scratch.table(map_rows(given, lambda: _stretches(key), _schema(STRETCH)), "every")
+    every = scratch.table(map_rows(given, _stretches, _schema(STRETCH)), "every")
     # small sides are written, so that both sides of each join are dealt by its key alone and the plan may split a hot one
     shared = scratch.table(every.groupBy("name").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("name"), "shared")
-    some = scratch.table(every.join(shared, "name", "left_semi"), "some")
-    forms = scratch.table(some.groupBy("name", "f1", "f2").agg(F.min("doc_id").alias("low")), "forms")
+    some = every.join(shared, "name", "left_semi").groupBy("doc_id", "chk").agg(F.collect_set(F.struct("p", "n", "name")).alias("spans"))
+    some = scratch.table(some, "some")
     scratch.drop("every", "shared")
+    held = matched(given.withColumn("chk", F.xxhash64("text")), some, ["doc_id", "chk"], scratch, "held_ids").dropDuplicates(["doc_id", "chk"])
+    held = scratch.table(held.select("doc_id", "chk", "text", "spans"), "held")
+    formed = scratch.table(map_rows(held, lambda: _forms(key), _schema(FORM)), "formed")
+    forms = scratch.table(formed.groupBy("name", "f1", "f2").agg(F.min("doc_id").alias("low")), "forms")
     many = scratch.table(forms.groupBy("name").agg(F.count("*").alias("k")).where("k > 1").select("name"), "many")
-    placed = scratch.table(some.join(forms, ["name", "f1", "f2"]).select("doc_id", "chk", "p", "n", "name", "low"), "placed")
-    scratch.drop("some")
-    open_ = placed.where("low = doc_id").join(many, "name", "left_semi").groupBy("doc_id", "chk").agg(F.collect_set(F.struct("p", "n", "name")).alias("spans"))
-    open_ = scratch.table(open_, "open")  # written, so that its size is known
-    keyed = given.withColumn("chk", F.xxhash64("text")).join(open_, ["doc_id", "chk"]).dropDuplicates(["doc_id", "chk"])
-    looked = scratch.table(map_rows(keyed.select("doc_id", "chk", "text", "spans"), lambda: _windows(key), _schema(LOOKED)), "looked")
+    placed = scratch.table(formed.join(forms, ["name", "f1", "f2"]).select("doc_id", "chk", "p", "n", "name", "low"), "placed")
+    scratch.drop("some", "formed")
+    open_ = placed.where("low = doc_id").join(many, "name", "left_semi").groupBy("doc_id", "chk").agg(F.collect_list(F.struct("p", "n", "name")).alias("spans"))
+    texts = held.select("doc_id", "chk", "text").join(scratch.table(open_, "open"), ["doc_id", "chk"])
+    looked = scratch.table(map_rows(texts, lambda: _windows(key), _schema(LOOKED)), "looked")
     least = scratch.table(looked.groupBy("name", "f1", "f2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name", "f1", "f2", "low"), "least")
     single = looked.join(least, ["name", "f1", "f2"]).where("low < doc_id").select("doc_id", "chk", "p", F.lit(1).alias("n"))
     whole = placed.where("low < doc_id").select("doc_id", "chk", "p", "n")
     spans = scratch.table(whole.union(single).groupBy("doc_id", "chk").agg(F.collect_set(F.struct("p", "n")).alias("spans")), "spans")
-    scratch.drop("forms", "many", "placed", "open", "looked", "least")
+    scratch.drop("held", "held_ids", "forms", "many", "placed", "open", "looked", "least")
     return spans
 
 
+def matched(texts: DataFrame, found: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:
+    """texts joined with `found`, a written table. If that has few rows, their keys go to the texts, and only texts that match are moved."""
+    if found.count() <= FEW:
+        texts = texts.join(F.broadcast(scratch.table(found.select(*keys), name)), keys, "left_semi")
+    return texts.join(found, keys)
+
+
 def covered(n_words: int, spans: list[dict] | None) -> np.ndarray:
     """Which words the windows of the spans cover."""
     edge = np.zeros(n_words + 1, np.int64)
@@ -271,12 +299,16 @@ def covered(n_words: int, spans: list[dict] | None) -> np.ndarray:
 
 
 def _judged(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a column of spans. Texts without any go their way; only the others need meet theirs."""
+    """docs with a column of spans. If few texts have any, only these are moved to meet them."""
+    scratch = Scratch(docs.sparkSession, "spans")
     name, doc, chk = fresh_names(docs, "repeat_spans", "repeat_doc", "repeat_chk")
     found = repeats(docs).select(F.col("doc_id").alias(doc), F.col("chk").alias(chk), F.col("spans").alias(name))
-    on = (docs["doc_id"] == found[doc]) & (F.xxhash64(docs["text"].cast("string")) == found[chk])
-    plain = docs.join(found.select(doc, chk), on, "left_anti").withColumn(name, F.lit(None).cast(found.schema[name].dataType))
-    return plain.union(docs.join(found, on).drop(doc, chk)), name
+    on = (docs["doc_id"] == F.col(doc)) & (F.xxhash64(docs["text"].cast("string")) == F.col(chk))
+    if found.count() > FEW:
+        return docs.join(found, on, "left").drop(doc, chk), name
+    ids = F.broadcast(scratch.table(found.select(doc, chk), "ids"))
+    plain = docs.join(ids, on, "left_anti").withColumn(name, F.lit(None).cast(found.schema[name].dataType))
+    return plain.union(docs.join(ids, on, "left_semi").join(found, on).drop(doc, chk)), name
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
