@@ -1,6 +1,8 @@
 """The corpus operators on small tables: edge cases, and brute force where SQL can't say it."""
 
+import hashlib
 import random
+import time
 import unicodedata
 import zlib
 
@@ -84,9 +86,27 @@ def test_top_k_ties_and_bad_vectors(spark):
     assert topk.top_k(df.where("false"), df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1.0, 2.0**20, 3.0e19])
+def test_top_k_of_large_scores(spark, monkeypatch, scale):
+    """Also where scores need all 64 bits, or more than these: the kth scores are found, and few pairs are kept."""
+    r = random.Random(7)
+    rows = [(i, [r.choice([-1, 1]) * r.random() * scale * 1.2 for _ in range(2)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [int(np.floor(1024 * x)) for x in v] for i, v in rows}
+    want = set()
+    for q in (0, 100, 200, 300):
+        score = {i: max(-topk.MOST, min(topk.MOST, sum(a * b for a, b in zip(whole[q], v)))) for i, v in whole.items() if i != q}
+        want |= {(q, rank, i, score[i]) for rank, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:10], 1)}
+    found = topk.top_k(df, df.where("vec_id % 100 = 0"))
+    assert {tuple(x) for x in found.collect()} == want
+    ids = np.array([0, 100])
+    kth, need = topk.kth_scores(topk.usable(df), ids, np.floor(1024 * np.array([rows[0][1], rows[100][1]])), 10, topk._longest(topk.usable(df)))
+    assert kth.tolist() == [min(x[3] for x in want if x[0] == q) for q in ids]
+
+
 def test_products_beyond_doubles():
     a = np.array([[2.0**40, 1.0]])
-    assert topk.products(a, a)[0, 0] == (1 << 63) - 1
+    assert topk.products(a, a)[0, 0] == topk.MOST
     b = np.array([[2.0**30, 3.0]])
     assert topk.products(b, b)[0, 0] == (1 << 60) + 9
 
@@ -112,6 +132,32 @@ def test_decode_any_ids(ids):
         assert pieces.coder(MODEL).decode(ids) == LIBRARY.decode(ids)
 
 
+def test_long_unbroken_text():
+    """Two million characters without a place to cut, in linear time; short ones against the library, of which none is remembered."""
+    r = random.Random(3)
+    long = "".join(r.choices("abcdefghijklmnopqrstuvwxyz漢字é", k=2_000_000))
+    c = pieces.PieceCoder(MODEL)
+    start = time.process_time()
+    ids = c.encode(long)
+    assert time.process_time() - start < 20 and c.decode(ids) == long
+    assert c.encode(long[:20_000]) == LIBRARY.encode(long[:20_000])
+    assert not c.encoded and all(len(k) <= pieces.LONGEST for k in c.both)
+
+
+def test_pieces_digest_like_the_library(spark):
+    """The registered digest of every document and of odd rows."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    want = {}
+    for d, t in [*rows.collect(), *((x[0], x[1]) for x in ODD)]:
+        ids = LIBRARY.encode(t or "")
+        want[d, hashlib.sha256((t or "").encode()).hexdigest()] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(LIBRARY.decode(ids).encode()).hexdigest())
+    both = rows.union(docs(spark, ODD).select("doc_id", "text"))
+    texts = {(d, hashlib.sha256((t or "").encode()).hexdigest()) for d, t in both.collect()}
+    assert texts == set(want)
+    found = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in pieces.encode_digest(both).collect()}
+    assert found == {(d, *x) for (d, _), x in want.items()}
+
+
 def test_pieces_of_documents(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet")
     found = {r.doc_id: r.ids for r in pieces.encode(rows).collect()}
@@ -377,6 +423,23 @@ def test_media_round_trip(texts):
     assert sizes.tolist() == [max(1, -(-len(t) // 192)) for t in texts]
 
 
+def test_media_digest_by_hand(spark):
+    """The registered digest against payloads padded here; the stored bytes give them back."""
+    rows = [*ODD, (8, "a" * 192), (9, "b" * 193), (10, "")]
+    made = media.media_digest(docs(spark, rows)).collect()
+    assert len(made) == len(rows)
+    by_text = {}
+    for d, t in rows:
+        raw = (t or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 or (192 if not raw else 0))
+        by_text[d, len(raw)] = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), media.write_all([raw])[0])
+    for r in made:
+        n, sha, tail, stored = by_text[r.doc_id, r.n_bytes]
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) == (n, sha, tail, len(stored), hashlib.sha256(stored).hexdigest())
+    same_text = [(r.media_sha256, r.media_bytes, r.feature) for r in made if r.doc_id in (1, 3, 10)]
+    assert len(set(same_text)) == 1
+
+
 def test_clips(spark):
     text = "a" * 192 * 12 + "\x7f" * 192 * 12
     found = media.clips(media.files(docs(spark, [(1, text), (2, None)]))).orderBy("doc_id", "clip").collect()
@@ -498,6 +561,24 @@ def test_quality_held_out(spark):
     assert found.score.between(0, 1).all()
 
 
+def test_quality_by_brute_force(spark):
+    """Scores against averaged vectors and softmax computed anew; copies of labelled rows teach once."""
+    rng = random.Random(2)
+    good, bad = "fine clean prose".split(), "spam spam buy".split()
+    rows = [(k, " ".join(rng.choices(good if k % 2 else bad, k=12))) for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    weights = quality.learn(docs(spark, rows), labels)
+    again = quality.learn(docs(spark, rows * 3), labels.union(labels))
+    assert (weights == again).all()
+    found = {r.doc_id: r.score for r in quality.scores(docs(spark, rows + [(100, None), (101, "")]), weights).collect()}
+    for d, t in rows + [(100, ""), (101, "")]:
+        ids = [quality.EVERY] + [i for w in t.encode().split() for i in quality.features(w)]
+        words = t.split()
+        ids += [quality.AGAIN for a, b in zip(words, words[1:]) if a == b]
+        assert abs(found[d] - 1 / (1 + np.exp(-np.mean(weights[ids])))) < 1e-9
+    assert np.mean([(found[k] >= 0.5) == (k % 2 == 1) for k in range(60)]) > 0.95
+
+
 def test_quality_without_labels(spark):
     rows, labels = docs(spark, [(1, "a"), (2, None)]), spark.createDataFrame([(1, None), (None, 1), (2, 1)], "doc_id long, quality int")
     assert quality.learn(rows, labels.where("false")).sum() == 0

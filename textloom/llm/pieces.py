@@ -30,6 +30,7 @@ from .common import map_rows, resident
 MODEL = "piece_bpe_32k.model"
 NORMAL, CONTROL, BYTE = 1, 3, 6
 REMEMBERED = 300_000
+LONGEST = 64  # longer keys are made anew each time, which bounds what a worker remembers in bytes
 
 
 def fields(data: bytes):
@@ -56,13 +57,15 @@ def fields(data: bytes):
 
 
 class Memo(dict):
-    """Remembers what `make` gives for a key: the last `limit` new keys at least, twice as many at most."""
+    """Remembers what `make` gives for a key of up to `longest` elements: the last `limit` new keys at least, twice as many at most."""
 
-    def __init__(self, make, limit: int = REMEMBERED):
+    def __init__(self, make, limit: int = REMEMBERED, longest: int = LONGEST):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.make(key)
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -130,12 +133,12 @@ class PieceCoder:
 
     def split(self, text: str) -> list[str]:
         """The pieces of a text whose characters are all known."""
-        out, at, size, open_ = [], 0, len(text), (2 << len(text)) - 1
+        out, at, size, failed = [], 0, len(text), bytearray((len(text) >> 3) + 1)
         longest, compatible, shorter = self.automaton.iter_long, self.compatible, self.shorter
         piece = next(longest(text, 0))[1]
         while True:
             end = at + len(piece)
-            if open_ >> end & 1 and (not out or compatible[out[-1], piece]):
+            if not failed[end >> 3] >> (end & 7) & 1 and (not out or compatible[out[-1], piece]):
                 out.append(piece)
                 if end == size:
                     return out
@@ -144,7 +147,7 @@ class PieceCoder:
                 continue
             piece = shorter[piece]
             if piece is None:  # nothing goes on from here: the piece before must be shorter
-                open_ &= ~(1 << at)
+                failed[at >> 3] |= 1 << (at & 7)
                 piece = out.pop()
                 at -= len(piece)
 

@@ -26,6 +26,7 @@ K = 10
 BLOCK = 1024
 BINS = 1024
 EXACT = 1 << 53
+MOST = (1 << 63) - 1024  # scores beyond what a long holds count as this one
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -50,7 +51,16 @@ def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
         return (queries @ vectors.T).astype(np.int64)
     whole = [[int(x) for x in v] for v in vectors.tolist()]
     out = [[sum(a * b for a, b in zip(map(int, q), v, strict=True)) for v in whole] for q in queries.tolist()]
-    return np.clip(np.array(out, object), -(1 << 63) + 1, (1 << 63) - 1).astype(np.int64).reshape(len(queries), len(vectors))
+    return np.clip(np.array(out, object), -MOST, MOST).astype(np.int64).reshape(len(queries), len(vectors))
+
+
+def unsigned(scores: np.ndarray) -> np.ndarray:
+    """Scores as unsigned numbers in the same order, so that no difference of two of them overflows."""
+    return scores.view(np.uint64) ^ np.uint64(1 << 63)
+
+
+def signed(keys: np.ndarray) -> np.ndarray:
+    return (keys ^ np.uint64(1 << 63)).view(np.int64)
 
 
 def _batches(batch: pa.RecordBatch, dim: int):
@@ -61,16 +71,16 @@ def _batches(batch: pa.RecordBatch, dim: int):
 
 
 def _count_pass(candidates: DataFrame, sent, k: int) -> DataFrame:
-    """(q, bin, n): scores in the bins of each query's range, without bins under the task's own kth."""
+    """(q, bin, n): scores (unsigned) in the bins of each query's range, without bins under the task's own kth."""
 
     def run(batches):
         ids, queries, lo, step = sent.value
         table = np.zeros((len(ids), BINS + 1), np.int64)  # the last bin is above the range
         for batch in batches:
             for own, vectors in _batches(batch, queries.shape[1]):
-                scores = products(queries, vectors)
-                bins = np.minimum((scores - lo[:, None]) // step[:, None], BINS)
-                ok = (bins >= 0) & (own[None, :] != ids[:, None])
+                scores = unsigned(products(queries, vectors))
+                ok = (scores >= lo[:, None]) & (own[None, :] != ids[:, None])
+                bins = np.minimum((scores - lo[:, None]) // step[:, None], np.uint64(BINS)).astype(np.int64)
                 flat = (np.arange(len(ids))[:, None] * (BINS + 1) + bins)[ok]
                 table += np.bincount(flat, minlength=table.size).reshape(table.shape)
         above = table[:, ::-1].cumsum(axis=1)[:, ::-1] - table
@@ -80,36 +90,35 @@ def _count_pass(candidates: DataFrame, sent, k: int) -> DataFrame:
     return candidates.mapInArrow(run, "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
 
 
-def _range(candidates: DataFrame, queries: np.ndarray) -> np.ndarray:
-    """A bound of each query's scores: its length times that of the longest candidate."""
-    longest = candidates.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.floor(x * SCALE).cast("double") * F.floor(x * SCALE).cast("double")))).first()[0] or 0.0
-    bound = np.sqrt((queries * queries).sum(axis=1) * longest) * (1 + 1e-9) + 2
-    return np.minimum(bound, float(1 << 62))
+def _longest(candidates: DataFrame) -> float:
+    """The largest squared length of a candidate, which bounds all scores."""
+    return candidates.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.floor(x * SCALE).cast("double") * F.floor(x * SCALE).cast("double")))).first()[0] or 0.0
 
 
-def kth_scores(candidates: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def kth_scores(candidates: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, longest: float) -> tuple[np.ndarray, np.ndarray]:
     """The kth highest score of each query, and how many of those that tie with it belong to the k."""
-    bound = _range(candidates, queries).astype(np.int64)
-    lo, hi, need = -bound, bound + 1, np.full(len(ids), k, np.int64)
-    while (hi - lo > 1).any():
-        step = np.maximum(-(-(hi - lo) // BINS), 1)
+    bound = np.minimum(np.sqrt((queries * queries).sum(axis=1)) * np.sqrt(longest) * (1 + 1e-9) + 2, float(MOST)).astype(np.int64)
+    lo, hi, need = unsigned(-bound), unsigned(bound), np.full(len(ids), k, np.int64)  # both ends belong to the range
+    least = lo.copy()
+    while (hi > lo).any():
+        step = (hi - lo) // np.uint64(BINS) + np.uint64(1)
         sent = candidates.sparkSession.sparkContext.broadcast((ids, queries, lo, step))
         found = _count_pass(candidates, sent, k)
         above = Window.partitionBy("q").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
         sums = found.withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0)))
         rows = sums.where(f"above < {k} AND above + n >= {k}").collect()  # a row for each query of the block
         fewer = np.ones(len(ids), bool)
-        new_lo, new_hi = lo.copy(), lo + 1
+        new_lo, new_hi = lo.copy(), lo.copy()
         for r in rows:
             fewer[r.q] = False
-            at = lo[r.q] + r.bin * step[r.q]
-            new_lo[r.q], new_hi[r.q], need[r.q] = at, min(at + step[r.q], hi[r.q]), k - r.above
+            new_lo[r.q] = lo[r.q] + np.uint64(r.bin) * step[r.q]
+            new_hi[r.q] = new_lo[r.q] + min(step[r.q] - np.uint64(1), hi[r.q] - new_lo[r.q])
+            need[r.q] = k - r.above
         need[fewer] = k  # under k candidates: all of them count
-        new_lo[fewer] = -bound[fewer]
-        new_hi[fewer] = new_lo[fewer] + 1
+        new_lo[fewer] = new_hi[fewer] = least[fewer]
         lo, hi = new_lo, new_hi
         sent.unpersist()
-    return lo, need
+    return signed(lo), need
 
 
 def _keep_pass(candidates: DataFrame, sent, schema: str) -> DataFrame:
@@ -144,12 +153,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK
     dealt = asked.withColumn("dim", F.size("embedding")).withColumn("part", F.pmod(F.xxhash64("vec_id"), parts))
     blocks = scratch.table(dealt.withColumn("block", F.floor(number / block)), "queries")
     schema = "query_id long, vec_id long, score long"
-    kept = spark.createDataFrame([], schema)
+    kept, longest = spark.createDataFrame([], schema), _longest(candidates)
     for part, dim, number in blocks.select("part", "dim", "block").distinct().orderBy("part", "dim", "block").toLocalIterator():
         rows = blocks.where((F.col("part") == part) & (F.col("dim") == dim) & (F.col("block") == number)).orderBy("vec_id").toArrow()
         ids = rows["vec_id"].to_numpy()  # `block` queries at most
         _, wanted = integers(rows["embedding"].combine_chunks(), dim)
-        kth, need = kth_scores(candidates, ids, wanted, k)
+        kth, need = kth_scores(candidates, ids, wanted, k, longest)
         sent = spark.sparkContext.broadcast((ids, wanted, kth, need))
         kept = kept.union(scratch.table(_keep_pass(candidates, sent, schema), f"kept-{part}-{dim}-{number}"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
