@@ -1,4 +1,4 @@
-"""The pipeline's near copies against all pairs in Python: SimHash links first, then similar sets among what it leaves."""
+"""The pipeline's near copies against all pairs in Python: what SimHash's links and similar sets connect."""
 
 import pytest
 
@@ -9,19 +9,18 @@ from .test_ops import brute_components, docs
 
 
 def brute(rows):
-    found = brute_components([(d, simhash.fingerprint((t or "").encode())) for d, t in rows])
-    rows = [(d, t) for d, t in rows if found[d] == d]  # what SimHash leaves
+    """The smallest doc_id of each group that both relations connect."""
+    low = brute_components([(d, simhash.fingerprint((t or "").encode())) for d, t in rows])
+    find = lambda d: d if low[d] == d else find(low[d])
     sets = {}
     for d, t in rows:
         w = (t or "").lower().split()
         sets[d] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
-    low = {d: d for d in sets}
-    find = lambda d: d if low[d] == d else find(low[d])
     for a in sets:
         for b in sets:
             if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and find(a) != find(b):
                 low[max(find(a), find(b))] = min(find(a), find(b))
-    return {d for d in sets if low[d] == d}
+    return {d for d in sets if find(d) == d}
 
 
 @pytest.mark.parametrize("longest", [64, 3])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows
+from .common import Scratch, map_rows
 
 SAMPLE = 80  # labelled documents of each language that are learned from, the first by a hash of doc_id
 LEARNED = 200_000  # characters of all languages after which no further document is learned from; documents are taken whole
@@ -309,6 +309,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, held_fold: int | None = 2, lear
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     ids = usable.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
     picked = ids.withColumn("k", F.dense_rank().over(order)).where(F.col("k") <= sample).select("lang", "doc_id", "h").distinct()
+    picked = Scratch(docs.sparkSession, "languages").table(picked, "picked")  # `sample` rows a language: written, so that their size is known
     texts = usable.join(picked, ["lang", "doc_id"]).groupBy("lang", "doc_id", "h").agg(F.min("text").alias("text"))
     sized = texts.withColumn("before", F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)))
     languages = max(1, picked.select("lang").distinct().count())

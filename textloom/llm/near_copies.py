@@ -1,8 +1,8 @@
 """The wider pass of SimHash near-dedup: near copies whose fingerprints lie farther apart than an exact grid join can reach.
 
-Documents that SimHash links are one already (simhash.py). Among those that stay, a document is the set of 64-bit hashes of
-its runs of `WORDS` words (all its words, if fewer); documents of one set are one node. Nodes of Jaccard similarity `LEAST`
-link. Under any order of the shingles, two such sets share one of their first n - ceil(LEAST * n) + 1 elements, so nodes that
+Groups are what both relations connect: SimHash's links (simhash.py), and similarity. For the latter a document is the set
+of 64-bit hashes of its runs of `WORDS` words (all its words, if fewer); documents of one set are one node. Nodes of Jaccard
+similarity `LEAST` link. Under any order of the shingles, two such sets share one of their first n - ceil(LEAST * n) + 1 elements, so nodes that
 share such an element are all the candidates. The order is by hash, those that are frequent in a sample last, which keeps
 the lists of an element short but drops nothing. Parity sketches (see operators/similar.py) exclude pairs that differ in too
 many elements, and the whole sets of the others are compared. A list of up to `LIST` nodes gives all its pairs. A longer one
@@ -33,6 +33,7 @@ NARROW, WIDE = 512, 1 << 17  # bits of sketches; in between twice the size of th
 SAMPLED = 16  # one node of so many is asked for frequent shingles
 FREQUENT = 8  # times that it occurs in the sample
 MOST = 100_000  # frequent shingles that the driver gets
+FEW = 1_000_000  # ids, of 8 bytes each, up to which they are broadcast
 SEED = 42
 
 
@@ -165,16 +166,17 @@ def _unlinked(members: DataFrame, nodes: DataFrame, least: float, scratch: Scrat
     return rows.mapInArrow(_units(least), "u long, v long").distinct()
 
 
-def near_copies(docs: DataFrame, words: int = WORDS, least: float = LEAST, among: DataFrame | None = None) -> DataFrame:
-    """doc_id, h, component_id long for every row of docs, or for those whose doc_id is in `among`."""
+def near_copies(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
+    """doc_id, h, component_id long for every row of docs."""
     scratch = Scratch(docs.sparkSession, "near_copies")
     some = _sets(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0), words, lambda s: s.tolist(), "array<long>")
     top = some.dropDuplicates(["h"]).select(F.explode("data").alias("s")).groupBy("s").agg(F.count("*").alias("k")).where(F.col("k") >= FREQUENT).orderBy(F.desc("k"), "s").limit(MOST)
     frequent = np.sort(np.array([r[0] for r in top.collect()], np.int64))
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
-    given = docs.select("doc_id", "text")
-    prints = scratch.table(_sets(given if among is None else given.join(among.select("doc_id"), "doc_id", "left_semi"), words, lambda s: prefix(s, sent.value, least), "array<long>"), "prints")
+    prints = scratch.table(_sets(docs, words, lambda s: prefix(s, sent.value, least), "array<long>"), "prints")
+    names = scratch.table(prints.select("doc_id", "h"), "names")
     nodes = scratch.table(prints.where("doc_id IS NOT NULL").groupBy("h").agg(F.min(F.struct("doc_id", "n", "sketch", "data")).alias("x")).select("h", F.col("x.doc_id").alias("rep"), "x.n", "x.sketch", "x.data"), "nodes")
+    scratch.drop("prints")
     lists = nodes.select(F.explode("data").alias("s"), "rep", "n").withColumn("k", F.count("*").over(Window.partitionBy("s"))).where("k > 1")
     lists = scratch.table(lists.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("rep", "n"))).alias("xs")), "lists")
     near = (F.col("p.n") >= least * F.col("q.n") - 1e-9) & (F.col("q.n") >= least * F.col("p.n") - 1e-9) & (F.col("p.rep") < F.col("q.rep"))
@@ -193,7 +195,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = LEAST, among
         edges = scratch.table(edges.union(_verified(rest, _whole(docs, nodes, rest, words, scratch, "used_rest"), least)), "all_links")
     stars = components(edges, Scratch(docs.sparkSession, "near_copies")).select(F.col("u").alias("rep"), F.col("v").alias("low"))
     named = nodes.join(stars, "rep", "left").select("h", F.coalesce("low", "rep").alias("component_id"))
-    return prints.join(named, "h", "left").select("doc_id", "h", "component_id")
+    return names.join(named, "h", "left").select("doc_id", "h", "component_id")
 
 
 def _whole(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, scratch: Scratch, name: str) -> DataFrame:
@@ -207,10 +209,13 @@ def _whole(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, scra
 
 
 def near_dedup(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
-    """docs with one document of each group: the smallest doc_id of what SimHash links, then of near copies among these. Rows without doc_id stay."""
+    """docs with one document, the smallest doc_id, of each group that SimHash's links and near copies connect. Rows without doc_id stay."""
     scratch = Scratch(docs.sparkSession, "near_dedup")
-    first = scratch.table(near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct(), "first")
-    kept = scratch.table(near_copies(docs, words, least, first).where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    name = fresh_name(docs, "kept_id")
-    kept = kept.withColumnRenamed("doc_id", name)
-    return docs.join(kept, docs["doc_id"] == kept[name], "left_semi").union(docs.where("doc_id IS NULL"))
+    first = near_duplicates(docs).where("doc_id IS NOT NULL").select("doc_id", F.col("component_id").alias("a")).distinct()
+    second = near_copies(docs, words, least).where("doc_id IS NOT NULL").select("doc_id", F.col("component_id").alias("b")).distinct()
+    both = scratch.table(first.join(second, "doc_id"), "both")
+    stars = components(both.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch).select(F.col("u").alias("a"), F.col("v").alias("low"))
+    low = both.join(stars, "a", "left").groupBy("doc_id").agg(F.max(F.coalesce("low", "a")).alias("low"))  # a doc_id goes if all of its texts have a smaller one
+    name = fresh_name(docs, "gone_id")
+    gone = scratch.table(low.where("low < doc_id").select(F.col("doc_id").alias(name)), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= FEW else gone, docs["doc_id"] == gone[name], "left_anti")
