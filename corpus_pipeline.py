@@ -32,7 +32,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that SimHash links, and then of near copies among these (five-word shingles, similarity 0.8), the smallest doc_id stays."""
+    """Of each group that SimHash links and near copies (five-word shingles, similarity 0.8) connect, the smallest doc_id stays."""
     return near_dedup(docs)
 
 
