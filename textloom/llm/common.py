@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -40,8 +41,8 @@ def _clean() -> None:
             if table:
                 spark.sql(f"DROP TABLE IF EXISTS {table}")
             _delete(spark, path)
-        except Exception:  # noqa: BLE001 - the session may be gone at exit
-            return
+        except Exception:  # noqa: BLE001 - the session may be gone at exit, or this table
+            continue
 
 
 def prepare(spark: SparkSession) -> None:
@@ -85,6 +86,15 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def _release() -> None:
+    """Gives freed memory back to the system, as the worker may stay idle beside others for long."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps what it likes
+        pass
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, rows: int = 512) -> DataFrame:
     """mapInArrow in slices of at most `rows` rows; make() builds the worker's state once for each task."""
     prepare(df.sparkSession)
@@ -97,6 +107,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 yield each(batch.slice(at, rows))
+        _release()
 
     return df.mapInArrow(run, schema)
 
