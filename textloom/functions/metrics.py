@@ -42,7 +42,7 @@ def character_error_rate(prediction: Column, truth: Column) -> Column:
 
 def line_accuracy(prediction: Column, truth: Column) -> Column:
     """Share of the true lines that the prediction has."""
-    lines = lambda c: F.filter(F.transform(F.split(c, "\n"), F.trim), lambda x: x != "")
+    lines = lambda c: F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     want = lines(truth)
     return F.when(F.size(want) == 0, F.lit(0.0)).otherwise(F.size(F.filter(want, lambda x: F.array_contains(lines(prediction), x))) / F.size(want))
 
@@ -75,3 +75,9 @@ def context_budget(section_type: Column, target_words: Column, cap: Column) -> C
     """Characters of context for a section, by kind and length."""
     base = F.when(section_type == "data", 2000).when(section_type == "experiment_setup", 1800).when(section_type == "analysis", 1500).when(section_type == "review", 800).otherwise(1200)
     return F.greatest(F.lit(400), F.least((base * (1 + 0.5 * target_words / 8000)).cast("int"), (cap * 0.3).cast("int")))
+
+
+def float_list(c: Column) -> Column:
+    """Numbers of an array of strings; none at all if one of them isn't a number."""
+    made = F.transform(c, lambda x: x.try_cast("double"))
+    return F.when(c.isNull() | F.exists(made, lambda x: x.isNull()), F.array().cast("array<double>")).otherwise(made)

@@ -12,6 +12,11 @@ def text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def bound(c: Column, f) -> Column:
+    """f of c as a variable: what a function over elements says of c is then worked out once, not for each element."""
+    return F.transform(F.array(c), f)[0]
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
@@ -79,11 +84,30 @@ def words(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]{2,})"), 1))
 
 
+def pieces(c: Column, n: int) -> Column:
+    """Runs of n characters, in order; none of a shorter text."""
+    cut = lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substr(s, i, F.lit(n)))
+    return bound(c, lambda s: F.when(F.length(s) >= n, cut(s)).otherwise(F.array().cast("array<string>")))
+
+
 def trigrams(c: Column) -> Column:
-    """Distinct three-character pieces of the text without punctuation and spaces."""
-    s = F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", "")
-    grams = F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substr(s, i, F.lit(3)))
-    return F.when(F.length(s) < 3, F.array_compact(F.array(F.when(s != "", s)))).otherwise(F.array_distinct(grams))
+    """Distinct three-character pieces of the text without punctuation and spaces; a shorter one is its own."""
+    plain = F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", "")
+    return bound(plain, lambda s: F.when(F.length(s) < 3, F.array_compact(F.array(F.when(s != "", s)))).otherwise(F.array_distinct(pieces(s, 3))))
+
+
+def fingerprint(c: Column) -> Column:
+    """Distinct three-character pieces of the text without punctuation, and `W:` pairs of neighbouring words of two characters or more."""
+    s = F.lower(squash(text(c)))
+    grams = pieces(F.regexp_replace(s, r"[^\p{L}\p{N}_]+", ""), 3)
+    own = F.filter(F.split(s, " "), lambda w: F.length(w) >= 2)
+    pairs = bound(own, lambda ws: F.zip_with(ws, F.slice(ws, 2, 1 << 30), lambda a, b: F.concat(F.lit("W:"), a, F.lit("|"), b)))  # null behind the last
+    return F.array_distinct(F.array_compact(F.concat(grams, pairs)))
+
+
+def similarity_tokens(c: Column) -> Column:
+    """Lower-case words of two characters or more and single CJK characters, distinct."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text(c)), F.lit(f"[a-z0-9]{{2,}}|[{CJK}]"), 0))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -159,14 +183,94 @@ def upload_problem(name: Column, size: Column, suffixes: list[str], most: int =
     )
 
 
+# Words of approximation in front of a figure, and units behind it.
+APPROXIMATE = ["约", "大约", "近", "超过", "不足", "至少", "最多"]
+UNITS = ["元", "美元", "亿", "万", "%", "％", "个", "人", "家", "次", "倍", "吨", "公斤", "千米", "公里", "米", "小时", "天", "年", "月"]
+STREETS = ["st", "street", "ave", "avenue", "road", "rd", "blvd", "drive", "lane", "washington", "suite"]
+# End of the fixed values.
+
+
 def normalize_number(c: Column) -> Column:
-    """A figure without words of approximation in front and units behind."""
-    return F.regexp_replace(F.regexp_replace(strip(c), "^(约|近|超过|超|达到|达|大约|about|over|nearly)\\s*", ""), r"\s*(%|％|倍|万|亿|个|次|元|年|percent)+$", "")
+    """A figure without a word of approximation in front and a unit behind."""
+    bare = F.regexp_replace(strip(text(c)), rf"^(?:{'|'.join(APPROXIMATE)})\s*", "")
+    return strip(F.regexp_replace(bare, rf"\s*[万亿千百]?\s*(?:{'|'.join(UNITS)})?$", ""))
+
+
+def form_text(c: Column, field: bool = False) -> Column:
+    """A form's text with separators as blanks and digits apart from letters; names of fields in capitals."""
+    s = F.regexp_replace(F.regexp_replace(text(c), r"\s+", " "), r"^[ \-:;,]+|[ \-:;,]+$", "")
+    s = F.regexp_replace(s, r"[_/\\|-]+", " ")
+    s = F.regexp_replace(s, "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])", " ")
+    s = F.trim(F.regexp_replace(s, r"\s+", " "))
+    return F.regexp_replace(F.upper(s), r"^[ \-:;,]+|[ \-:;,]+$", "") if field else s
+
+
+def addresses(c: Column, most: int = 3) -> Column:
+    """Lines of 12 characters or more with a number of three digits and a word of streets, with blanks behind their marks."""
+    lines = F.transform(F.split(text(c), "\r?\n"), squash)
+    street = lambda x: F.exists(F.array(*map(F.lit, STREETS)), lambda w: F.contains(F.lower(x), w))
+    found = F.filter(lines, lambda x: (F.length(x) >= 12) & x.rlike("[0-9]{3,}") & street(x))
+    apart = lambda x: F.regexp_replace(F.regexp_replace(x, r"([,.;:])(?=\S)", "$1 "), r"\b([A-Z])\.\s*([A-Z])\.", "$1. $2.")
+    towards = lambda x: F.regexp_replace(x, r"\b([NSEW])\.\s*([NSEW])\.\s+([A-Z])", "$1. $2., $3")
+    neat = F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(towards(apart(x)), r"\s+", " "), "^[ ,]+|[ ,]+$", ""))
+    return F.slice(F.array_distinct(neat), 1, most)
+
+
+def keywords(c: Column, most: int = 18) -> Column:
+    """CJK pairs and words of a question, then its technical terms, once each whatever their case."""
+    runs = F.regexp_extract_all(text(c), F.lit(f"[{CJK}]+|[\\p{{L}}\\p{{N}}&&[^{CJK}]]+"), 0)
+    pairs = lambda r: F.when(F.length(r) < 2, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2))))
+    cut = F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^[{CJK}]"), pairs(r)).otherwise(F.array(r))))
+    found = F.filter(F.concat(cut, F.regexp_extract_all(text(c), F.lit("[A-Za-z0-9_-]{2,}"), 0)), lambda x: F.length(x) >= 2)
+    return F.slice(first_of_each(found, F.lower), 1, most)
+
+
+def first_of_each(found: Column, key=lambda x: x) -> Column:
+    """Elements whose key no element before them has."""
+    return bound(found, lambda xs: bound(F.transform(xs, lambda x: key(x)), lambda ks: F.filter(xs, lambda x, i: F.array_position(ks, key(x)) == i + 1)))
+
+
+def last_index(c: Column, mark: str) -> Column:
+    """Where a mark stands last, from 0; -1 if nowhere."""
+    at = F.position(F.lit(mark[::-1]), F.reverse(c))
+    return F.when(at == 0, F.lit(-1)).otherwise(F.length(c) - at + 1 - len(mark))
+
+
+def cut_block(c: Column, most: int = 900) -> Column:
+    """A text of `most` characters at most: cut behind the last sentence or line if that lies beyond 60 % of it."""
+    head = F.substring(c, 1, most)
+    at = F.greatest(*[last_index(head, m) for m in ("。", ".\n", ".\r", "\n")])
+    short = F.when(at > most * 0.6, F.concat(F.substring(head, F.lit(1), at + 1), F.lit("\n…"))).otherwise(F.concat(head, F.lit("…")))
+    return F.when(F.length(c) > most, short).otherwise(c)
+
+
+def key_entities(c: Column) -> Column:
+    """What a paraphrase keeps: figures with units, runs of capitals, and words of change with their figure."""
+    figures = F.regexp_extract_all(c, F.lit(r"\d+(?:\.\d+)?\s*(?:[万亿千百]?辆?|[%％]|[A-Za-z/]+)?"), 0)
+    capitals = F.regexp_extract_all(c, F.lit(r"(?<![A-Za-z])[A-Z]{2,}(?:\d+)?(?![A-Za-z])"), 0)
+    change = F.regexp_extract_all(c, F.lit(r"(?:同比|环比|增长|下降|提升|减少)\s*(?:\d+(?:\.\d+)?\s*%?)?"), 0)
+    least = lambda found, n: F.filter(F.transform(found, strip), lambda x: F.length(x) >= n)
+    return F.array_distinct(F.concat(least(figures, 2), capitals, least(change, 3)))
+
+
+def merge_lines(a: Column, b: Column, most: int = 80) -> Column:
+    """Lines of a text and then those of another, once each whatever their case and blanks; one alone as it is."""
+    a, b = strip(text(a)), strip(text(b))
+    lines = F.filter(F.transform(F.split(F.concat(a, F.lit("\n"), b), "\r?\n"), strip), lambda x: F.length(x) >= 2)
+    once = first_of_each(lines, lambda x: F.lower(F.regexp_replace(x, r"\s+", " ")))
+    return F.when(a == "", b).when(b == "", a).otherwise(F.array_join(F.slice(once, 1, most), "\n"))
+
+
+def best_text(*texts: Column) -> Column:
+    """The text of the best OCR quality, the first of equals; '' without any."""
+    found = F.filter(F.transform(F.array(*texts), lambda x: strip(F.coalesce(x, F.lit("")))), lambda x: x != "")
+    ranked = F.transform(found, lambda x, i: F.struct(ocr_quality(x).alias("q"), (-i).alias("at"), x.alias("x")))
+    return F.coalesce(F.array_max(ranked)["x"], F.lit(""))
 
 
 def ocr_quality(c: Column) -> Column:
     """Lines, words and key-value lines count for a text; odd characters and long unspaced lines against it."""
-    lines = F.filter(F.transform(F.split(c, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     n_words = F.regexp_count(c, F.lit(f"[A-Za-z0-9]{{2,}}|[{CJK}]"))
     pairs = F.size(F.filter(lines, lambda x: x.rlike(r"^[^:：]{1,30}[:：]\s*\S")))
     odd = F.regexp_count(c, F.lit(r"[^\p{L}\p{N}\s.,:;!?()%/&'\"-]"))

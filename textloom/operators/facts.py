@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip, text
+from ..functions.text import first_of_each, strip, text
 
 NUMBER = r"\d+(?:\.\d+)?%?"
 YEAR = r"(?:19|20)\d{2}"
@@ -35,6 +35,36 @@ def unsupported_organisations(claims: DataFrame, sources: DataFrame, n: int = 4)
     return claims.withColumn("p", prefix).join(sources.select("id", prefix.alias("p")).distinct(), ["id", "p"], "left_anti").drop("p")
 
 
+# Forms of figures, institutions and years in claims and in materials.
+CLAIMED = r"\d+(?:\.\d+)?\s*[万亿千百]?\s*(?:元|美元|亿|万|%|％|个|人|家|次|倍)"
+STATED = [
+    r"\d+(?:\.\d+)?\s*[万亿千百]?\s*(?:元|美元|亿|万|%|％|个|人|家|次|倍|吨|公斤|千米|公里|米|小时|天|年|月)", r"\d+(?:\.\d+)?\s*%", r"(?:约|大约|近|超过|不足|至少|最多)\s*\d+(?:\.\d+)?",
+]
+CLAIMED_ORGS = ["[一-鿿]{2,16}(?:公司|集团|大学|银行|医院|研究所|中心)", "[一-鿿]{2,8}(?:有限|股份)公司"]
+STATED_ORGS = [
+    "[一-鿿]{2,16}(?:公司|集团|大学|学院|研究所|研究院|中心|部门|委员会|协会|基金会|医院|银行|证券|保险|基金|科技|技术|网络|数据|人工智能|机器人)", "[一-鿿]{2,8}(?:有限|股份|责任|合资|独资)公司",
+]
+CLAIMED_YEAR, STATED_YEAR = r"(?:19|20|21)\d{2}", r"(?:19|20|21)\d{2}(?:[-—–/](?:19|20|21)?\d{2})?"
+# End of the fixed values.
+
+
+def found_in(c: Column, patterns: list[str], least: int = 2, most: int = 1 << 20) -> Column:
+    """Distinct matches of the patterns in turn, of `least` to `most` characters."""
+    every = F.concat(*[F.regexp_extract_all(text(c), F.lit(p), 0) for p in patterns])
+    return F.array_distinct(F.filter(F.transform(every, strip), lambda x: F.length(x).between(least, most)))
+
+
+def cross_check(texts: DataFrame, most: int = 12) -> DataFrame:
+    """doc_id, issues: figures, institutions (by four characters at their front) and years of texts (doc_id, body, materials) that the materials lack."""
+    body, given = F.col("body"), F.col("materials")
+    orgs = found_in(given, STATED_ORGS, 3, 24)
+    near = lambda x: F.exists(orgs, lambda o: F.contains(o, F.substring(x, 1, 4)) | F.contains(x, F.substring(o, 1, 4)))
+    lacks = lambda claims, known, mark: F.transform(F.array_except(claims, known), lambda x: F.concat(F.lit(mark), x))
+    unknown = F.transform(F.filter(found_in(body, CLAIMED_ORGS), lambda x: ~near(x)), lambda x: F.concat(F.lit("机构:"), x))
+    issues = F.concat(lacks(found_in(body, [CLAIMED], 3), found_in(given, STATED), "数字:"), unknown, lacks(found_in(body, [CLAIMED_YEAR]), found_in(given, [STATED_YEAR]), "年份:"))
+    return texts.select("doc_id", F.when((strip(text("body")) == "") | (strip(text("materials")) == ""), F.array().cast("array<string>")).otherwise(F.slice(issues, 1, most)).alias("issues"))
+
+
 def conflicts(claims: DataFrame, least: float = 0.01) -> DataFrame:
     """metric, docs, low, high of metrics (metric, doc_id, value) whose values differ by over `least` of the largest between documents."""
     per = claims.groupBy("metric").agg(F.count_distinct("doc_id").alias("docs"), F.min("value").alias("low"), F.max("value").alias("high"), F.max(F.abs("value")).alias("top"))
@@ -47,23 +77,42 @@ def repeated_values(sections: DataFrame, more_than: int = 3) -> DataFrame:
     return rows.groupBy("doc_id", "fact").agg(F.count_distinct("section").alias("sections")).where(F.col("sections") > more_than)
 
 
+# Forms of comparing claims, and phrases that reports must not use.
+CONTRASTS = {"优于": "(.{5,40})优于(.{5,40})", "高于": "(.{5,40})高于(.{5,40})", "相比更": "(.{5,40})相比(.{5,40})更(.{5,20})"}
+BANNED = ["可验证", "未来可", "未来方向", "未来研究", "未来工作", "后续可", "后续探索", "后续验证", "后续研究", "后续工作"]
+# End of the fixed values.
+
+
 def contrastive(c: Column, most: int = 8) -> Column:
-    """Comparing claims with what stands around them, distinct by both sides."""
-    found = F.regexp_extract_all(c, F.lit("[^。！？\n]{0,10}(?:优于|高于|低于|相比|更)[^。！？\n]{0,10}"), 0)
-    return F.slice(F.array_distinct(F.transform(found, strip)), 1, most)
+    """Comparing claims as structs of kind, left and right; those that agree in the first ten characters of both sides count once."""
+    def claims(kind: str, p: str) -> Column:
+        left, right = (F.transform(F.regexp_extract_all(text(c), F.lit(p), k), strip) for k in (1, 2))
+        return F.zip_with(left, right, lambda a, b: F.struct(F.lit(kind).alias("kind"), a.alias("left"), b.alias("right")))
+
+    found = F.concat(*[claims(kind, p) for kind, p in CONTRASTS.items()])
+    key = lambda x: F.concat(F.substring(x["left"], 1, 10), F.substring(x["right"], 1, 10))
+    return F.slice(first_of_each(found, key), 1, most)
 
 
 def citation_issues(c: Column, least: int = 2, most: int = 20) -> Column:
-    """What is wrong with the citations 【n】 of a text."""
-    ids = F.transform(F.regexp_extract_all(c, F.lit("【(\\d+)】"), 1), lambda x: x.cast("int"))
-    repeated = F.exists(F.split(c, r"\n"), lambda p: F.size(F.array_distinct(F.regexp_extract_all(p, F.lit("【(\\d+)】"), 1))) < F.size(F.regexp_extract_all(p, F.lit("【(\\d+)】"), 1)))
-    return F.array_compact(F.array(
-        F.when(F.size(F.array_distinct(ids)) < least, F.lit("few")),
+    """What is wrong with the citations 【n】 of a section: missing (no mark at all, then nothing else), none, few, repeated
+    (in a paragraph), bare (a reported source without a number in the 20 characters before it), half-width, range, style."""
+    c = text(c)
+    found = F.regexp_extract_all(c, F.lit("【(\\d+)】"), 1)
+    ids = F.array_distinct(F.transform(found, lambda x: x.cast("int")))
+    marks = lambda p: F.regexp_extract_all(p, F.lit("【(\\d+)】"), 1)
+    repeated = F.exists(F.split(c, "\n"), lambda p: F.size(F.array_distinct(marks(p))) < F.size(marks(p)))
+    near = "".join(rf"(?<!【\d{{{n}}}】[\s\S]{{0,{18 - n}}})" for n in range(1, 7))
+    has = c.rlike("【") | c.rlike(r"\[\d+\]")
+    issues = F.array_compact(F.array(
+        F.when(F.size(ids) == 0, F.lit("none")).when(F.size(ids) < least, F.lit("few")),
         F.when(repeated, F.lit("repeated")),
-        F.when(c.rlike(r"\[\d{1,3}\]"), F.lit("half-width")),
+        F.when(c.rlike(near + r"据[^\s，。；\n]{4,40}"), F.lit("bare")),
+        F.when(c.rlike(r"(?<![【\[])\[(\d+)\](?![】\]])"), F.lit("half-width")),
         F.when(F.exists(ids, lambda i: i > most), F.lit("range")),
-        F.when(c.rlike("(参见|见)文献\\s*\\d|资料\\s*\\d+\\s*(显示|指出)"), F.lit("bare")),
+        F.when(F.exists(F.array(*map(F.lit, BANNED)), lambda w: F.contains(c, w)), F.lit("style")),
     ))
+    return F.when(has, issues).otherwise(F.array(F.lit("missing")))
 
 
 def citations(texts: DataFrame) -> DataFrame:
@@ -78,6 +127,59 @@ def renumbered(cites: DataFrame) -> DataFrame:
     return first.select("doc_id", "old_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("first")).alias("new_id"))
 
 
+def renumber_text(texts: DataFrame) -> DataFrame:
+    """texts (doc_id, text) with each 【old】 rewritten to its number by first occurrence, in one pass over the text."""
+    parts = F.split(text("text"), "(?=【\\d+】)|(?<=】)")
+    mark = lambda p: F.regexp_extract(p, "^【(\\d+)】$", 1)
+    ids = F.array_distinct(F.filter(F.transform(parts, mark), lambda x: x != ""))
+    new = F.transform(parts, lambda p: F.when(mark(p) != "", F.concat(F.lit("【"), F.array_position(ids, mark(p)).cast("string"), F.lit("】"))).otherwise(p))
+    return texts.withColumn("text", F.array_join(new, ""))
+
+
+def global_citations(cites: DataFrame) -> DataFrame:
+    """doc_id, local_id, global_id of citations (doc_id, section, local_id, source, chunk_id): one number for each source and chunk, by section and local id."""
+    order = Window.partitionBy("doc_id").orderBy("section", "local_id")
+    rows = cites.withColumn("at", F.row_number().over(order))
+    first = rows.groupBy("doc_id", "source", "chunk_id").agg(F.min("at").alias("first"))
+    named = first.withColumn("global_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("first")))
+    return rows.join(named.drop("first"), ["doc_id", "source", "chunk_id"]).select("doc_id", "section", "local_id", "global_id", "source")
+
+
+def reference_list(cites: DataFrame) -> DataFrame:
+    """doc_id, references: lines 【i】name of the sources (doc_id, global_id, source), each once, without folders and suffixes."""
+    from ..functions.text import file_label
+
+    first = cites.where(F.trim(text("source")) != "").groupBy("doc_id", F.trim("source").alias("source")).agg(F.min("global_id").alias("first"))
+    lines = first.withColumn("i", F.row_number().over(Window.partitionBy("doc_id").orderBy("first")))
+    line = F.concat(F.lit("【"), F.col("i").cast("string"), F.lit("】"), file_label(F.col("source")))
+    return lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", line.alias("line")))), lambda x: x["line"]), "\n").alias("references"))
+
+
+def citation_contexts(texts: DataFrame, before: int = 60, after: int = 100) -> DataFrame:
+    """doc_id, pos, old_id, context: each citation with the characters around it."""
+    c = F.col("text")
+    at = F.aggregate(
+        F.split(c, "(?=【\\d+】)|(?<=】)"), F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<at:int,mark:string>>").alias("out")),
+        lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.when(p.rlike("^【\\d+】$"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), p.alias("mark"))))).otherwise(acc["out"]).alias("out")),
+        lambda acc: acc["out"],
+    )
+    rows = texts.select("doc_id", text("text").alias("text")).select("doc_id", "text", F.posexplode(at).alias("pos", "x"))
+    start = F.greatest(F.lit(1), F.col("x.at") - before)
+    around = F.substring(F.col("text"), start, F.col("x.at") + F.length("x.mark") + after - start)
+    return rows.select("doc_id", "pos", F.regexp_extract("x.mark", "(\\d+)", 1).cast("int").alias("old_id"), F.replace(around, F.lit("\n"), F.lit(" ")).alias("context"))
+
+
+def suspicious_citations(texts: DataFrame, sources: DataFrame) -> DataFrame:
+    """doc_id, pos, old_id, issue: citations without a source (doc_id, old_id, snippet), or whose surroundings share no entity with it."""
+    from ..functions.text import key_entities
+
+    rows = citation_contexts(texts).join(sources.select("doc_id", "old_id", F.replace(text("snippet"), F.lit("\n"), F.lit(" ")).alias("snippet")), ["doc_id", "old_id"], "left")
+    own = key_entities(F.col("snippet"))
+    apart = (F.size(own) > 0) & (F.size(F.array_intersect(own, key_entities(F.col("context")))) == 0)
+    issue = F.when(F.col("snippet").isNull(), "fake_citation").when(apart, "no_entity_overlap")
+    return rows.withColumn("issue", issue).where("issue IS NOT NULL").select("doc_id", "pos", "old_id", "issue")
+
+
 def fake_citations(cites: DataFrame, known: DataFrame) -> DataFrame:
     """Citations whose id the map (doc_id, old_id) lacks."""
     return cites.join(known.select("doc_id", "old_id").distinct(), ["doc_id", "old_id"], "left_anti")

@@ -11,37 +11,60 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..functions.text import strip, text
+from ..functions.text import bound, strip, text
 
 
-def cluster_rows(items: DataFrame, least: float = 6.0, share: float = 0.7) -> DataFrame:
-    """items with row: sorted by centre, a gap of over `share` of the median height starts a row."""
+def running_groups(values: list[float], limit: float) -> list[int]:
+    """A number for each of the sorted values: that of the first group whose mean is within the limit, else a new one."""
+    means: list[float] = []
+    sizes: list[int] = []
+    out = []
+    for v in values:
+        at = next((k for k, m in enumerate(means) if abs(v - m) <= limit), len(means))
+        if at == len(means):
+            means.append(v)
+            sizes.append(1)
+        else:
+            means[at], sizes[at] = (means[at] * sizes[at] + v) / (sizes[at] + 1), sizes[at] + 1
+        out.append(at)
+    return out
+
+
+def cluster_rows(items: DataFrame, least: float = 6.0, share: float = 0.7, alone: float = 10.0) -> DataFrame:
+    """items with row: by centres, within `share` of the median gap between them (gaps of a pixel don't count; `alone` without
+    any). A row of one or two items right above or below one of three or more joins it, as headings over several columns do."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(cy=(pdf.top + pdf.bottom) / 2).sort_values(["cy", "left"], kind="stable")
-        height = (pdf.bottom - pdf.top).median() if len(pdf) else 0
-        limit, row, centre, n, rows = max(least, height * share), -1, 0.0, 0, []
-        for cy in pdf.cy:
-            if row < 0 or abs(cy - centre) > limit:
-                row, centre, n = row + 1, cy, 1
+        gaps = sorted(g for g in np.diff(pdf.cy.to_numpy()) if g > 1.0)
+        limit = max(least, gaps[len(gaps) // 2] * share) if gaps else alone
+        pdf["row"] = running_groups(pdf.cy.tolist(), limit)
+        joined: dict[int, int] = {}
+        before: tuple[int, float, int] | None = None  # row, centre and items of the row above
+        for row, own in pdf.groupby("row", sort=True):
+            centre, n = own.cy.mean(), len(own)
+            if before and centre - before[1] <= 2.5 * limit and (before[2] <= 2) != (n <= 2) and max(before[2], n) >= 3:
+                joined[row] = before[0]
+                before = (before[0], (before[1] * before[2] + centre * n) / (before[2] + n), before[2] + n)
             else:
-                centre, n = (centre * n + cy) / (n + 1), n + 1
-            rows.append(row)
-        return pdf.drop(columns="cy").assign(row=rows)
+                joined[row] = before[0] + 1 if before else 0
+                before = (joined[row], centre, n)
+        return pdf.assign(row=pdf.row.map(joined)).drop(columns="cy")
 
     return items.groupBy("page").applyInPandas(run, StructType([*items.schema.fields, StructField("row", LongType())]))
 
 
-def columns(rows: DataFrame, share: float = 0.45) -> DataFrame:
-    """rows with col: boundaries where the gap between left edges is over `share` of the upper-quartile gap."""
+def columns(rows: DataFrame, share: float = 0.45, least: float = 10.0) -> DataFrame:
+    """rows with col: centres within `share` of the upper-quartile gap between them are one column, parted halfway between their means."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        edges = np.sort(pdf.left.unique())
-        gaps = np.diff(edges)
-        wide = gaps[gaps > 5]
-        limit = max(12.0, float(np.quantile(wide, 0.75)) * share) if len(wide) else np.inf
-        cuts = edges[1:][gaps > limit]
-        return pdf.assign(col=np.searchsorted(cuts, pdf.left.to_numpy(), side="right"))
+        centre = ((pdf.left + pdf.right) / 2).to_numpy()
+        found = np.unique(centre)
+        gaps = np.sort(np.diff(found))
+        limit = max(least, gaps[int(len(gaps) * 0.75)] * share) if len(gaps) else least
+        group = np.array(running_groups(found.tolist(), limit))
+        means = np.sort([found[group == k].mean() for k in np.unique(group)])
+        return pdf.assign(col=np.searchsorted((means[1:] + means[:-1]) / 2, centre, side="right"))
 
     return rows.groupBy("page").applyInPandas(run, StructType([*rows.schema.fields, StructField("col", LongType())]))
 
@@ -96,6 +119,26 @@ def table_flags(headers: Column, rows: Column) -> Column:
     return F.struct(ragged.alias("ragged"), empty.alias("empty_header"), (short >= F.greatest(F.lit(3), F.size(headers))).alias("truncated"))
 
 
+def clean_table(rows: Column, most: int = 30) -> Column:
+    """struct headers, rows, ragged, empty_header, truncated: of a raw table's first rows those with any content, blanks squeezed
+    and padded to one width; the first is the header, unless it is empty."""
+    cell = lambda x: F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " "))
+    kept = F.filter(F.transform(F.slice(rows, 1, most), lambda r: F.transform(r, lambda x: cell(x))), lambda r: F.exists(r, lambda x: x != ""))
+
+    def made(t: Column) -> Column:
+        width = F.coalesce(F.array_max(F.transform(t, lambda r: F.size(r))), F.lit(0))
+        full = F.transform(t, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
+        empty = (F.size(t) > 0) & ~F.exists(F.coalesce(F.try_element_at(t, F.lit(1)), F.array().cast("array<string>")), lambda x: x != "")
+        short = F.aggregate(full, F.lit(0), lambda n, r: n + F.size(F.filter(r, lambda x: F.length(x) == 1)))
+        none = F.array().cast("array<string>")
+        return F.struct(
+            F.when(empty | (F.size(t) == 0), none).otherwise(F.try_element_at(full, F.lit(1))).alias("headers"), F.when(empty, full).otherwise(F.slice(full, 2, 1 << 30)).alias("rows"),
+            (F.size(F.array_distinct(F.transform(t, lambda r: F.size(r)))) > 1).alias("ragged"), empty.alias("empty_header"), ((F.size(t) > 0) & (short >= F.greatest(F.lit(3), width))).alias("truncated"),
+        )
+
+    return bound(kept, made)
+
+
 def table_preview(c: Column, rows: int = 8, cols: int = 12) -> Column:
     """Rows of a text table (pipes, # or tabs) as maps from header to cell."""
     lines = F.filter(F.split(text(c), "\n"), lambda x: x.rlike("[|#\t]") & ~x.rlike(r"^[\s|:#-]+$"))
@@ -117,6 +160,51 @@ def form_pairs(lines: DataFrame) -> DataFrame:
     return rows.where("label AND next IS NOT NULL AND NOT next_label").select("doc_id", strip(F.regexp_replace("line", r"[:：]\s*$", "")).alias("field"), strip(F.col("next")).alias("value"))
 
 
+# Labels of forms that stand without a colon.
+LABELS = [
+    "TO", "FROM", "DATE", r"FAX NO\.?", "FAX NUMBER", "PHONE NUMBER", "NUMBER OF PAGES INCLUDING COVER SHEET", "SENDER/?PHONE NUMBER", "SPECIAL INSTRUCTIONS", "NOTE", "MANUFACTURER", "BRAND",
+    "TYPE OF PACKINGS", "REPORTING PERIODS", "TEST MARKET GEOGRAPHY", "PRICE POINT", "SALES FORCE INVOLVEMENT", "DISTRIBUTORS.*", "CHAINS.*", "INDEPENDENTS.*", "ADVERTISING.*",
+]
+COMPACT_LABELS = ["TO", "FROM", "DATE", "PHONE", "FAX", "PAGES", "REPORTINGPERIODS", "TESTMARKETGEOGRAPHY", "PRICEPOINT", "SALESFORCEINVOLVEMENT", "DISTRIBUTORS.*", "CHAINS.*", "INDEPENDENTS.*", "ADVERTISING.*", "TYPEOFPACKINGS", "MANUFACTURER", "BRAND"]
+# End of the fixed values.
+
+
+def _form_lines(texts: DataFrame) -> DataFrame:
+    rows = texts.select("doc_id", F.posexplode(F.transform(F.split(text("text"), "\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))).alias("pos", "line"))
+    return rows.where("line <> ''")
+
+
+def _first_pairs(pairs: DataFrame, most: int) -> DataFrame:
+    """doc_id, n, field, value: the first of pairs that differ by case only, `most` a document."""
+    once = F.row_number().over(Window.partitionBy("doc_id", F.lower("field"), F.lower("value")).orderBy("pos"))
+    kept = pairs.where("field <> '' AND value <> ''").withColumn("k", once).where("k = 1")
+    return kept.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))).where(F.col("n") <= most).select("doc_id", "n", "field", "value")
+
+
+def section_pairs(texts: DataFrame, most: int = 10, chars: int = 260) -> DataFrame:
+    """doc_id, n, field, value: a line that ends with a colon, or is a known label, takes the lines up to the next one, until they have `chars`."""
+    rows = _form_lines(texts)
+    label = F.col("line").rlike(r"(?i)^[A-Z][A-Z0-9 .&()/\-]{2,}[:：]$") | F.replace(F.col("line"), F.lit(" "), F.lit("")).rlike(f"(?i)^(?:{'|'.join(COMPACT_LABELS)})[:：]?$")
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    rows = rows.withColumn("label", label).withColumn("part", F.sum(F.col("label").cast("int")).over(order)).where("part > 0")
+    used = F.sum(F.when(~F.col("label"), F.length("line") + 1).otherwise(0)).over(Window.partitionBy("doc_id", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("used", F.coalesce(used, F.lit(0)) - 1).where((F.col("used") < chars) | F.col("label"))
+    field = F.max(F.when(F.col("label"), F.trim(F.regexp_replace("line", "[:：]+$", ""))))
+    value = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("label"), F.struct("pos", "line")))), lambda x: x["line"]), " ")
+    return _first_pairs(rows.groupBy("doc_id", "part").agg(F.min("pos").alias("pos"), field.alias("field"), value.alias("value")), most)
+
+
+def reading_order_pairs(texts: DataFrame, most: int = 12) -> DataFrame:
+    """doc_id, n, field, value: what stands behind a line's first colon, or on the next line if nothing does or the line is a known label."""
+    rows = _form_lines(texts).withColumn("next", F.lead("line").over(Window.partitionBy("doc_id").orderBy("pos")))
+    colon = F.contains("line", F.lit(":"))
+    behind = F.trim(F.regexp_extract("line", "^[^:]*:(.*)$", 1))
+    known = F.col("line").rlike(f"(?i)^(?:{'|'.join(LABELS)})[:：]?$")
+    field = F.when(colon, F.concat(F.trim(F.regexp_extract("line", "^([^:]*):", 1)), F.lit(":"))).when(known, F.col("line"))
+    value = F.when(colon & (behind != ""), behind).otherwise(F.coalesce("next", F.lit("")))
+    return _first_pairs(rows.select("doc_id", "pos", field.alias("field"), value.alias("value")).where(F.length("field") >= 2), most)
+
+
 def merge_pairs(sources: DataFrame, caps: dict[str, int]) -> DataFrame:
     """Pairs (doc_id, kind, pos, field, value) of several kinds in the order of `caps`: the first of equal fields and values, each kind capped."""
     order = F.create_map(*[x for k, name in enumerate(caps) for x in (F.lit(name), F.lit(k))])

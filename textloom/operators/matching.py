@@ -9,11 +9,11 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.text import text
+from ..functions.text import jaccard, similarity_tokens, text
 
 
 @F.pandas_udf(DoubleType())
@@ -22,6 +22,11 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
+def text_similarity(a: str, b: str) -> Column:
+    """The larger of the Jaccard similarity of words and CJK characters and the ratio of matching blocks."""
+    return F.greatest(jaccard(similarity_tokens(F.col(a)), similarity_tokens(F.col(b))), ratio(F.trim(text(a)), F.trim(text(b))))
+
+
 def best_headings(keys: DataFrame, headings: DataFrame, by: list[str], least: float = 0.35) -> DataFrame:
     """by, key, heading, score: the heading nearest to each template key; .3 more if one holds the other; none under `least`."""
     pairs = keys.join(headings, by)

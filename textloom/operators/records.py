@@ -89,6 +89,101 @@ def better(a: Column, b: Column) -> Column:
     return F.when(score(b) >= score(a), F.lit("b")).otherwise(F.lit("a"))
 
 
+def merge_similar(records: DataFrame, by: str = "task_id", least: float = 0.82, points: int = 7) -> DataFrame:
+    """Records of a task (a bounded group: its files) merged in order: each joins the first kept one that it resembles.
+
+    records: by, order_index, file, title, summary, key_points (array), data (string or null). Similarity is the larger of
+    the Jaccard similarity of words and CJK characters and the ratio of matching blocks, over title, summary and the first
+    five key points; records without any of these stay. The better of two (see `better`) gives the fields, the other one
+    what is missing; key points of both add up. Gives by, order_index (of the first), title, summary, key_points, data, files.
+    """
+    import re
+    from difflib import SequenceMatcher
+
+    def full(value) -> bool:
+        return value is not None and len(value) > 0
+
+    def basis(r: dict) -> str:
+        return " ".join([(r["title"] or "").strip(), (r["summary"] or "").strip(), " ".join(map(str, list(r["key_points"] if r["key_points"] is not None else [])[:5]))]).strip()
+
+    def alike(a: str, b: str) -> float:
+        x, y = (set(re.findall(r"[a-z0-9]{2,}|[\u4e00-\u9fff]", s.lower())) for s in (a, b))
+        words = len(x & y) / len(x | y) if x | y else 0.0
+        return words if words >= least else max(words, SequenceMatcher(None, a, b).ratio())
+
+    def worth(r: dict) -> float:
+        shown = [(r["title"] or "").strip(), (r["summary"] or "").strip(), r["key_points"]]
+        return 3 * all(map(full, shown)) + sum(map(full, [*shown, r["data"]])) + min(len(shown[1]) / 200, 1.0)
+
+    def merge(pdf):
+        kept: list[dict] = []
+        for r in pdf.sort_values("order_index").to_dict("records"):
+            r["files"], own = [r["file"]] if r["file"] else [], basis(r)
+            place = next((k for k, o in enumerate(kept) if own and basis(o) and alike(own, basis(o)) >= least), None)
+            if place is None:
+                kept.append(r)
+                continue
+            old = kept[place]
+            good, weak = (r, old) if worth(r) >= worth(old) else (old, r)
+            made = dict(good) | {c: good[c] if full(good[c]) else weak[c] for c in ("title", "summary", "data")}
+            both = [str(x).strip() for o in (old, r) for x in (o["key_points"] if o["key_points"] is not None else [])]
+            kept[place] = made | {"order_index": old["order_index"], "files": list(dict.fromkeys([*old["files"], *r["files"]])), "key_points": list(dict.fromkeys(x for x in both if x))[:points]}
+        return type(pdf)(kept, columns=[by, "order_index", "title", "summary", "key_points", "data", "files"])
+
+    kinds = dict(records.dtypes)
+    schema = f"{by} {kinds[by]}, order_index {kinds['order_index']}, title string, summary string, key_points array<string>, data string, files array<string>"
+    return records.groupBy(by).applyInPandas(merge, schema)
+
+
+def create_tasks(tasks: DataFrame, rows: DataFrame, now: float) -> DataFrame:
+    """tasks (task_id, ..., created_at, updated_at) with new ones; of those that exist only updated_at changes."""
+    fresh = rows.withColumns({"created_at": F.lit(now), "updated_at": F.lit(now)}).join(tasks.select("task_id"), "task_id", "left_anti")
+    known = tasks.join(rows.select("task_id", F.lit(True).alias("seen__")).distinct(), "task_id", "left")
+    kept = known.withColumn("updated_at", F.when(F.col("seen__"), F.lit(now)).otherwise(F.col("updated_at"))).select(*tasks.columns)
+    return kept.unionByName(fresh, allowMissingColumns=True)
+
+
+def list_versions(versions: DataFrame) -> DataFrame:
+    """Versions of each document and kind in order, with their file names."""
+    return versions.withColumn("file", F.concat_ws("_v", "kind", F.col("version").cast("string"))).orderBy("doc_id", "kind", "version")
+
+
+def register_bases(registry: DataFrame, names: DataFrame) -> DataFrame:
+    """Marker rows (kb) for bases that have none yet."""
+    return names.select("kb").distinct().join(registry.select("kb"), "kb", "left_anti")
+
+
+def base_stats(chunks: DataFrame, registry: str = "__registry__") -> DataFrame:
+    """kb, docs, chunks of each base; documents that only mark a base (ids that begin with `registry`) count as neither."""
+    own = chunks.where(~F.col("doc_id").cast("string").startswith(registry))
+    return own.groupBy("kb").agg(F.count_distinct("doc_id").alias("docs"), F.count("*").alias("chunks"))
+
+
+def next_version(versions: DataFrame) -> DataFrame:
+    """doc_id, kind, next: one more than the largest version."""
+    return versions.groupBy("doc_id", "kind").agg((F.max("version") + 1).alias("next"))
+
+
+def select_version(versions: DataFrame, chosen: DataFrame) -> DataFrame:
+    """versions with selected: of a document and kind that `chosen` (doc_id, kind, version) names one existing version of, that one only."""
+    want = chosen.join(versions.select("doc_id", "kind", "version"), ["doc_id", "kind", "version"], "left_semi").select("doc_id", "kind", F.col("version").alias("want__"))
+    rows = versions.join(want, ["doc_id", "kind"], "left")
+    return rows.withColumn("selected", F.when(F.col("want__").isNotNull(), F.col("version") == F.col("want__")).otherwise(F.coalesce("selected", F.lit(False)))).drop("want__")
+
+
+def list_tasks(status: DataFrame, chats: DataFrame, hidden: tuple[str, ...] = ("template", "kb")) -> DataFrame:
+    """task_id, status, stage, message, updated_at, has_chat: tasks with a status, the newest first; hidden folders are none."""
+    rows = latest(status.where(~F.col("task_id").startswith(".") & ~F.col("task_id").isin(*hidden)), ["task_id"], ["updated_at"])
+    rows = rows.join(chats.select("task_id").distinct().withColumn("has_chat", F.lit(True)), "task_id", "left")
+    return rows.select("task_id", text("status").alias("status"), text("stage").alias("stage"), F.substring(text("message"), 1, 120).alias("message"), "updated_at", F.coalesce("has_chat", F.lit(False)).alias("has_chat")).orderBy(F.desc("updated_at"), "task_id")
+
+
+def better_quality(a: Column, b: Column) -> Column:
+    """Whether b (struct filled, ratio) is at least as good as a: by filled fields, then by their share."""
+    n = lambda x, f: F.coalesce(x[f].cast("double"), F.lit(0.0))
+    return F.when(n(a, "filled") != n(b, "filled"), n(b, "filled") > n(a, "filled")).otherwise(n(b, "ratio") >= n(a, "ratio"))
+
+
 def near_duplicates(records: DataFrame, content: str, key: str, least: float = 0.75, block: Callable[[Column], Column] | None = None) -> DataFrame:
     """key, kept_key: greedy by key, every record joins the first kept one that it resembles.
 

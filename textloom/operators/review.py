@@ -18,7 +18,23 @@ SECTION_TYPES = {
     "data": ["实验", "数据", "结果", "性能", "评估", "测试", "指标", "统计", "对比", "比较", "精度", "准确率", "召回率", "F1", "BLEU", "ROUGE", "消融", "参数", "配置", "超参数", "训练", "推理", "延迟", "吞吐", "baseline", "基线", "对比实验", "定量", "数值", "百分比"],
     "analysis": ["讨论", "分析", "展望", "启示", "建议", "未来", "趋势", "影响", "意义", "价值", "优劣", "权衡", "局限", "不足", "改进方向", "综合", "解读", "思考", "反思", "启示", "对策", "路径"],
 }
-CONNECTORS = ["接下来", "下面", "此外", "因此", "综上", "总之", "然而", "同时", "下一节", "下文"]
+CONNECTORS = ["接下来", "下面", "下一", "进一步", "在此基础", "基于以上", "承接", "前述", "综上所", "在此背景", "另一方"]
+SEVERITIES = {  # the first that holds; 中 without any
+    "(虚假|编造|伪造|完全不?存在|严重错误|数据错误|虚构)": "严重",
+    "(无依据|找不到|未在.*中[发出]现|无来源|缺乏证据|证据不足)": "轻微",
+    "(推测|推断|可能不?准确|疑似|待核实|需确认|无法验证)": "轻微",
+    "(夸大|过度|过于绝对|不够精确|模糊|笼统)": "轻微",
+    "(部分.*错误|细节.*问题|表述.*不准确|轻微.*偏差)": "轻微",
+}
+REMEDIES = {  # the first whose word occurs
+    "数据": "用源材料中的具体数据替换当前表述，或标注为「估算值」",
+    "推测": "添加限定词（如「可能」「据分析」），或引用源材料中的相关观点作为支撑",
+    "夸大": "使用源材料中的原始措辞，避免程度副词（如「显著」「大幅」）",
+    "缺失": "从知识库检索补充该部分内容，或标注为「待补充」",
+    "错误": "直接更正为源材料中的准确信息",
+}
+REMEDY = "对照源材料修改或删除无依据内容"
+FINAL_MARKS = ["Final Answer:", "Final answer:", "FINAL ANSWER:", "最终答案：", "答案：", "回答：", "结论："]
 # End of the fixed values.
 
 
@@ -78,14 +94,56 @@ def patch_unverified(c: Column, claims: Column, mark: str = "[数据待核实]")
     return F.aggregate(order, c, lambda acc, x: F.regexp_replace(acc, quote(x), F.lit(mark.replace("$", r"\$"))))
 
 
-def heuristic_critic(sections: DataFrame, sources: DataFrame, most: int = 4) -> DataFrame:
-    """doc_id, fact: figures of a text's first ten sentences that its sources lack, `most` of them."""
-    from ..functions.text import sentences
+GENERIC = ["A", "An", "The", "Several", "English", "British", "American", "Original", "Radio", "Television", "Film", "Movie", "Actor", "Actress", "BBC", "He", "She", "They", "It", "This", "That", "These", "Those"]  # fixed: words that are no entity
+
+
+def heuristic_critic(sections: DataFrame, most: int = 4, first: int = 10) -> DataFrame:
+    """doc_id, n, kind, what: of texts with their materials (doc_id, body, materials) the first unsupported figure, else capitalised
+    name, of each of the first sentences, `most` in all."""
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9\s]+", " "))
+    sentences = F.filter(F.transform(F.split(text("body"), r"[。！？.!?](?!\d)\s*"), strip), lambda s: s != "")
+    rows = sections.select("doc_id", text("materials").alias("materials"), F.posexplode(F.slice(sentences, 1, first)).alias("pos", "s"))
+    figure = F.filter(F.regexp_extract_all("s", F.lit(r"\b\d[\d,\.:%-]*\b"), 0), lambda x: ~F.contains(F.col("materials"), x))
+    own = F.filter(F.regexp_extract_all("s", F.lit(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2}\b"), 0), lambda x: ~F.forall(F.split(x, r"\s+"), lambda w: w.isin(GENERIC)))
+    name = F.filter(own, lambda x: (F.length(plain(x)) >= 4) & ~F.contains(F.col("known"), plain(x)))
+    rows = rows.withColumn("known", plain(F.col("materials"))).select("doc_id", "pos", F.try_element_at(figure, F.lit(1)).alias("figure"), F.try_element_at(name, F.lit(1)).alias("name"))
+    found = rows.select("doc_id", "pos", F.when(F.col("figure").isNotNull(), "figure").otherwise("entity").alias("kind"), F.coalesce("figure", "name").alias("what")).where("what IS NOT NULL")
+    return found.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))).where(F.col("n") <= most).select("doc_id", "n", "kind", "what")
+
+
+def critic_lines(answers: DataFrame) -> DataFrame:
+    """id, n, type, location, description, severity of a critic's lines `## … | type | location | description | severity` (中 without the last)."""
+    rows = answers.select("id", F.posexplode(F.split(text("answer"), "\r?\n")).alias("n", "line")).where(F.trim("line").startswith("##") & F.contains("line", F.lit("|")))
+    parts = F.transform(F.split("line", r"\|"), strip)
+    part = lambda k, default="": F.coalesce(F.try_element_at(parts, F.lit(k)), F.lit(default))
+    return rows.where(F.size(parts) >= 4).select("id", "n", part(2).alias("type"), part(3).alias("location"), part(4).alias("description"), part(5, "中").alias("severity"))
+
+
+def wanted_searches(answer: Column) -> Column:
+    """Queries of a critic's last line `@@SEARCH: a, b`."""
+    last = F.regexp_extract(text(answer), r"(?is).*(?:^|\n)\s*@@SEARCH:([^\n]*)", 1)
+    return F.filter(F.transform(F.split(last, ","), strip), lambda q: q != "")
+
+
+DIMENSIONS = ["relevance", "faithfulness", "coherence", "completeness"]
+
+
+def judge_scores(answer: Column) -> Column:
+    """struct of the four scores, 0 to 1, of a judge's JSON answer: {"scores": {name: {"score": 1..5}}}, or name: 1..5; 0 where it has none."""
+    body = F.regexp_extract(text(answer), r"(?s)(\{.*\})", 1)
+    read = lambda path: F.get_json_object(body, path).cast("double")
+    score = lambda d: F.coalesce(read(f"$.scores.{d}.score"), read(f"$.scores.{d}"), read(f"$.{d}.score"), read(f"$.{d}"), F.lit(0.0)) / 5
+    return F.struct(*[score(d).alias(d) for d in DIMENSIONS])
+
 
-    rows = sections.select("doc_id", F.posexplode(F.slice(sentences(text("body")), 1, 10)).alias("pos", "s")).select("doc_id", "pos", F.explode(numbers(F.col("s"))).alias("fact"))
-    known = sources.select("doc_id", F.explode(numbers(text("body"))).alias("fact")).distinct()
-    open_ = rows.join(known, ["doc_id", "fact"], "left_anti").groupBy("doc_id", "fact").agg(F.min("pos").alias("pos"))
-    return open_.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "fact"))).where(F.col("n") <= most).select("doc_id", "fact")
+def citation_accuracy(texts: DataFrame) -> DataFrame:
+    """doc_id, total, valid, accuracy of citations (据…) in texts (doc_id, body, sources): valid if half of their words occur in the sources."""
+    cites = F.regexp_extract_all(text("body"), F.lit("[（(]据(.+?)[）)]"), 1)
+    words_of = lambda c: F.regexp_extract_all(F.lower(strip(c)), F.lit(f"[{CJK}\\p{{L}}\\p{{N}}_]{{2,}}"), 0)
+    held = lambda c: F.size(F.filter(words_of(c), lambda w: F.contains(F.col("known"), w)))
+    ok = lambda c: (F.size(words_of(c)) > 0) & (held(c) >= F.greatest(F.lit(1), F.floor(F.size(words_of(c)) / 2).cast("int")))
+    rows = texts.withColumn("known", F.lower(text("sources")))
+    return rows.select("doc_id", F.size(cites).alias("total"), F.size(F.filter(cites, ok)).alias("valid")).withColumn("accuracy", F.when(F.col("total") == 0, 1.0).otherwise(F.round(F.col("valid") / F.col("total"), 6)))
 
 
 def severities(issues: DataFrame) -> DataFrame:
@@ -94,7 +152,17 @@ def severities(issues: DataFrame) -> DataFrame:
 
 
 def severity(issue: Column) -> Column:
-    return F.when(any_of(issue, ["矛盾", "冲突", "虚构", "错误", "伪造"]), "高").when(any_of(issue, ["缺失", "缺少", "不足", "未引用"]), "中").otherwise("低")
+    out = F.lit("中")
+    for pattern, name in reversed(SEVERITIES.items()):
+        out = F.when(text(issue).rlike(pattern), F.lit(name)).otherwise(out)
+    return out
+
+
+def remedy(issue: Column) -> Column:
+    out = F.lit(REMEDY)
+    for word, advice in reversed(REMEDIES.items()):
+        out = F.when(F.contains(text(issue), F.lit(word)), F.lit(advice)).otherwise(out)
+    return out
 
 
 def skip_critic(body: Column, issues: Column) -> Column:
@@ -145,25 +213,39 @@ def plan_lines(answers: DataFrame) -> DataFrame:
     return rows.select("id", "n", part(1, "").alias("task"), part(2, "").alias("needs"), part(3, "中").alias("priority"))
 
 
-def final_answer(c: Column, markers: list[str]) -> Column:
-    """What follows the last of the markers; all if there is none."""
-    pattern = "(?s)^.*(?:" + "|".join(rf"\Q{m}\E" for m in markers) + ")[:：]?"
-    return strip(F.regexp_replace(c, pattern, ""))
+def final_answer(c: Column, markers: list[str] = FINAL_MARKS) -> Column:
+    """What follows the last of the markers; '' if there is none."""
+    pattern = "(?s)^.*(?:" + "|".join(rf"\Q{m}\E" for m in markers) + ")"
+    return F.when(text(c).rlike(pattern), strip(F.regexp_replace(text(c), pattern, ""))).otherwise("")
 
 
 def split_questions(c: Column, most: int = 6, chars: int = 240) -> Column:
-    """Numbered or bulleted questions; lettered options stay with theirs."""
-    marked = F.regexp_replace(text(c), r"(?m)^\s*(?:\d+[.)、]|[-*•])\s*", "\u0001")
-    parts = F.when(F.contains(marked, F.lit("\u0001")), F.split(marked, "\u0001")).otherwise(F.split(marked, r"\n\s*\n"))
-    clean = F.transform(parts, lambda x: F.substring(strip(F.regexp_replace(x, r"\s*\n\s*", " ")), 1, chars))
-    return F.slice(F.filter(clean, lambda x: x != ""), 1, most)
+    """A model's questions, one a line: numbers and bullets go, lines A. to Z. are options of the question before them.
+
+    A blank line ends a question. Without any the whole text is one.
+    """
+    option = lambda x: x.rlike(r"^[A-Z][.)、\s]")
+    bare = lambda x: F.substring(strip(F.regexp_replace(strip(F.regexp_replace(x, r"^[0-9]+[.)、\s]+", "")), r"^[-*]\s+", "")), 1, chars)
+
+    def line(acc: Column, x: Column) -> Column:
+        joins = option(x) & (acc["held"] != "")
+        out = F.when(joins | (acc["held"] == ""), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["held"])))
+        held = F.when(joins, F.concat(acc["held"], F.lit("\n"), x)).when(x == "", "").otherwise(bare(x))
+        return F.struct(out.alias("out"), held.alias("held"))
+
+    zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("held"))
+    lines = F.transform(F.split(text(c), "\r?\n"), strip)
+    found = F.aggregate(lines, zero, line, lambda acc: F.when(acc["held"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["held"]))))
+    whole = F.substring(strip(text(c)), 1, chars)
+    return F.when(F.size(found) > 0, F.slice(found, 1, most)).when(whole != "", F.array(whole)).otherwise(F.array().cast("array<string>"))
 
 
 def transitions(sections: DataFrame) -> DataFrame:
     """doc_id, order_index, has_transition: whether the section before ends with a connecting word in its last two sentences."""
     w = Window.partitionBy("doc_id").orderBy("order_index")
     rows = sections.withColumn("before", F.lag("body").over(w))
-    last = F.array_join(F.slice(F.reverse(F.filter(F.split(text("before"), "[。！？.!?\n]+"), lambda s: F.trim(s) != "")), 1, 2), " ")
+    parts = F.split(strip(text("before")), r"[。！？\n](?=\s*\S)")
+    last = F.array_join(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - 1), F.lit(2)), "")
     return rows.select("doc_id", "order_index", any_of(last, CONNECTORS).alias("has_transition"))
 
 
@@ -181,6 +263,16 @@ def replace_section(sections: DataFrame, new: DataFrame) -> DataFrame:
     return sections.join(n, ["doc_id", "order_index"], "left").withColumn("body", F.coalesce(F.nullif(F.trim("new__"), F.lit("")), "body")).drop("new__")
 
 
+def regenerate(sections: DataFrame, targets: DataFrame, new: DataFrame) -> DataFrame:
+    """Sections (doc_id, order_index, level, title, body) with new bodies (doc_id, order_index, body) for targets (doc_id,
+    order_index) and what stands under them; others keep theirs, as do those whose new body is empty."""
+    ends = subtree_end(sections).join(targets, ["doc_id", "order_index"]).select("doc_id", F.col("order_index").alias("from__"), F.coalesce("end_index", F.lit(1 << 30)).alias("to__"))
+    spans = ends.groupBy("doc_id").agg(F.collect_list(F.struct("from__", "to__")).alias("spans__"))
+    within = F.exists(F.coalesce("spans__", F.array().cast("array<struct<from__:int,to__:int>>")), lambda s: (F.col("order_index") >= s["from__"]) & (F.col("order_index") < s["to__"]))
+    rows = sections.join(new.select("doc_id", "order_index", F.col("body").alias("new__")), ["doc_id", "order_index"], "left").join(spans, "doc_id", "left")
+    return rows.withColumn("body", F.when(within, F.coalesce(F.nullif(F.trim("new__"), F.lit("")), "body")).otherwise(F.col("body"))).select(*sections.columns)
+
+
 def changed_sections(old: DataFrame, new: DataFrame) -> DataFrame:
     """title, change: added, modified or removed, by the hash of the body."""
     a, b = old.select("doc_id", "title", F.md5("body").alias("a")), new.select("doc_id", "title", F.md5("body").alias("b"))
@@ -199,16 +291,24 @@ def resolve_kb(messages: DataFrame, names: DataFrame) -> DataFrame:
 
 def retrieval_metrics(found: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """query_id, recall, precision, mrr, ndcg at k of ranked documents against relevant ones (query_id, doc_id)."""
-    rel = relevant.select("query_id", "doc_id").distinct().withColumn("hit", F.lit(1))
-    n = rel.groupBy("query_id").agg(F.count("*").alias("n"))
-    rows = found.where(F.col("rank") <= k).join(rel, ["query_id", "doc_id"], "left")
-    got = rows.groupBy("query_id").agg(
-        F.count_distinct(F.when(F.col("hit") == 1, F.col("doc_id"))).alias("g"), F.count_distinct("doc_id").alias("d"),
-        F.max(F.when(F.col("hit") == 1, 1.0 / F.col("rank"))).alias("mrr"), F.sum(F.when(F.col("hit") == 1, 1.0 / F.log2(F.col("rank") + 1))).alias("dcg"),
+    hits = found.join(relevant.select("query_id", "doc_id").distinct().withColumn("hit", F.lit(True)), ["query_id", "doc_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    return judged_metrics(hits, relevant.groupBy("query_id").agg(F.count_distinct("doc_id").alias("n"), F.count("*").alias("listed")), k)
+
+
+def judged_metrics(hits: DataFrame, totals: DataFrame, k: int) -> DataFrame:
+    """query_id, recall, precision, mrr, ndcg of hits (query_id, rank, doc_id, hit) and totals (query_id, n relevant documents, listed entries).
+
+    A document that is found twice gains twice, and the ideal has as many gains as entries are listed, so ndcg may exceed 1;
+    mrr takes the first relevant rank wherever it is.
+    """
+    top = (F.col("rank") <= k) & F.col("hit")
+    got = hits.groupBy("query_id").agg(
+        F.count_distinct(F.when(top, F.col("doc_id"))).alias("g"), F.count_distinct(F.when(F.col("rank") <= k, F.col("doc_id"))).alias("d"),
+        F.max(F.when(F.col("hit"), 1.0 / F.col("rank"))).alias("mrr"), F.sum(F.when(top, 1.0 / F.log2(F.col("rank") + 1))).alias("dcg"),
     )
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("listed"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1))
     r = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
-    return n.join(got, "query_id", "left").select("query_id", r(F.col("g") / F.col("n")).alias("recall"), r(F.col("g") / F.col("d")).alias("precision"), r(F.col("mrr")).alias("mrr"), r(F.col("dcg") / ideal).alias("ndcg"))
+    return totals.join(got, "query_id", "left").select("query_id", r(F.col("g") / F.col("n")).alias("recall"), r(F.col("g") / F.nullif(F.col("d"), F.lit(0))).alias("precision"), r(F.col("mrr")).alias("mrr"), r(F.col("dcg") / ideal).alias("ndcg"))
 
 
 def pipeline(rows: DataFrame, steps: list, parallel: bool = False) -> DataFrame:

@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.text import lexical_terms, text, tokens
+from ..functions.metrics import cosine
+from ..functions.text import fingerprint, lexical_terms, text, tokens
 
 BLOCK = 1024
 K1, B = 1.2, 0.75
@@ -141,16 +143,18 @@ def _top_k(rows: DataFrame, queries: DataFrame, k: int, key: str, scorer: Callab
     parts = []
     for block in in_blocks(queries, queries.columns):
         if block:
-            parts.append(rows.mapInArrow(_task_top_k([r["query_id"] for r in block], [r.asDict() for r in block], k, key, scorer), schema))
+            sent = rows.sparkSession.sparkContext.broadcast([r.asDict() for r in block])  # BLOCK queries at most
+            parts.append(rows.mapInArrow(_task_top_k(sent, to_arrow_type(queries.schema["query_id"].dataType), k, key, scorer), schema))
     if not parts:
         return rows.sparkSession.createDataFrame([], schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return reduce(DataFrame.union, parts).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
 
 
-def _task_top_k(names: list, block: list, k: int, key: str, scorer):
+def _task_top_k(sent, id_kind: pa.DataType, k: int, key: str, scorer):
     def run(batches):
-        score = scorer(block)
+        block = sent.value
+        names, score = [r["query_id"] for r in block], scorer(block)
         keys: list = [np.zeros(0, object)] * len(names)
         best = [np.zeros(0)] * len(names)
         kind = None
@@ -175,7 +179,7 @@ def _task_top_k(names: list, block: list, k: int, key: str, scorer):
                     best[i], keys[i] = s, n
         if kind is not None:
             out = [(q, x) for q, ks in zip(names, keys, strict=True) for x in ks]
-            yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in out]), pa.array([x for _, x in out], kind), pa.array(np.concatenate(best))], names=["query_id", key, "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in out], id_kind), pa.array([x for _, x in out], kind), pa.array(np.concatenate(best))], names=["query_id", key, "score"])
 
     return run
 
@@ -222,25 +226,32 @@ def limit_per_doc(hits: DataFrame, k: int, score: str = "rrf", per_doc: int = 2,
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rn")
 
 
-def search(chunks: DataFrame, queries: DataFrame, k: int = 8, rrf_k: Column | float = 60.0, weights: dict[str, float] | None = None, candidates: int | None = None, vec_queries: DataFrame | None = None) -> DataFrame:
-    """Hybrid search: vector and lexical candidates, BM25 over them, fused ranks, two chunks a document."""
+def search(chunks: DataFrame, queries: DataFrame, k: int = 8, rrf_k: Column | float = 60.0, weights: dict[str, float] | None = None, candidates: int | None = None, vec_queries: DataFrame | None = None, plain: DataFrame | None = None) -> DataFrame:
+    """Hybrid search: vector and lexical candidates, BM25 over them, fused ranks, two chunks a document.
+
+    `plain` are the chunks without embeddings, from which the other legs read, so that vectors are made once.
+    """
     n = candidates or min(max(30, 10 * k), 160)
+    plain = chunks if plain is None else plain
     vec = vector_search(chunks, vec_queries if vec_queries is not None else queries, n)
-    both = merged(vec, lexical_search(chunks, queries, n))
-    full = both.join(chunks.select("chunk_id", "doc_id", "chunk_index", "section_path", "content"), "chunk_id")
+    both = merged(vec, lexical_search(plain, queries, n))
+    full = both.join(plain.select("chunk_id", "doc_id", "chunk_index", "section_path", "content"), "chunk_id")
     scored = full.join(bm25(full, queries), ["query_id", "chunk_id"]).join(queries.select("query_id", "query"), "query_id")
     fused = rrf(scored, weights or {"vec": 1.0, "bm25": 1.0, "lex": 1.0}, rrf_k).drop("query")
     return limit_per_doc(fused, k)
 
 
-def hierarchical(chunks: DataFrame, summaries: DataFrame, queries: DataFrame, k: int = 8, docs: int = 3) -> DataFrame:
-    """Vector search within the `docs` documents whose summaries score best; in all chunks for queries without any."""
+def hierarchical(chunks: DataFrame, summaries: DataFrame, queries: DataFrame, k: int = 8, docs: int = 3, digits: int = 6) -> DataFrame:
+    """query_id, chunk_id, score, doc_id, rank: vector search within the `docs` documents whose summaries score best, by an
+    equi-join on the document, so that all of their chunks take part; in all chunks for queries without any there."""
     coarse = vector_search(summaries, queries, docs).join(summaries.select("chunk_id", "doc_id"), "chunk_id").select("query_id", "doc_id").distinct()
-    fine = vector_search(chunks, queries, 4000).join(chunks.select("chunk_id", "doc_id"), "chunk_id")
-    routed = fine.join(coarse, ["query_id", "doc_id"], "left_semi")
-    rest = fine.join(routed.select("query_id").distinct(), "query_id", "left_anti")
+    asked = coarse.join(queries.select("query_id", F.col("embedding").cast("array<double>").alias("asked")), "query_id")
+    within = chunks.where(F.size("embedding") > 0).join(asked, "doc_id")
+    routed = within.select("query_id", "chunk_id", F.round(cosine(F.col("asked"), F.col("embedding")), digits).alias("score"), "doc_id")
+    left = queries.join(routed.select("query_id").distinct(), "query_id", "left_anti")
+    flat = vector_search(chunks, left, k, digits=digits).join(chunks.select("chunk_id", "doc_id"), "chunk_id").select("query_id", "chunk_id", "score", "doc_id")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return routed.unionByName(rest).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return routed.unionByName(flat).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def round_robin(lists: DataFrame, k: int) -> DataFrame:
@@ -287,10 +298,13 @@ def title_boost(hits: DataFrame, factor: float = 0.1) -> DataFrame:
     return hits.withColumn("score", F.when((t != "") & (matched > 0), F.col("score") * (1 + factor * F.least(matched, F.lit(4.0)))).otherwise(F.col("score")))
 
 
-def mmr(hits: DataFrame, k: int = 8, weight: float = 0.4, most: int = 240) -> DataFrame:
-    """Maximal marginal relevance within a query: .5 for a selected hit of the same document, .3 of the same top section."""
+def mmr(hits: DataFrame, k: int = 8, weight: float = 0.4) -> DataFrame:
+    """Maximal marginal relevance within a query: .5 for a selected hit of the same document, .3 of the same top section.
+
+    A query's hits are what a search gave, a bounded group.
+    """
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    top = hits.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
+    top = hits.withColumn("rn", F.row_number().over(w))
 
     def pick(pdf):
         pdf = pdf.sort_values("rn").reset_index(drop=True)
@@ -311,24 +325,22 @@ def mmr(hits: DataFrame, k: int = 8, weight: float = 0.4, most: int = 240) -> Da
     return top.groupBy("query_id").applyInPandas(pick, f"query_id {kinds['query_id']}, rank int, chunk_id {kinds['chunk_id']}, doc_id {kinds['doc_id']}, score double")
 
 
-def drop_similar(hits: DataFrame, least: float = 0.55, most: int = 240) -> DataFrame:
-    """Greedy within a query: a hit whose trigrams overlap an earlier kept one by `least` or more goes."""
-    from ..functions.text import trigrams
-
-    w = Window.partitionBy("query_id").orderBy("rank")
-    rows = hits.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).select("query_id", "rank", "chunk_id", trigrams(text("content")).alias("grams"))
+def drop_similar(hits: DataFrame, least: float = 0.55) -> DataFrame:
+    """Greedy within a query, by falling score: a hit whose fingerprint overlaps a kept one's by `least` or more goes; rank is the new order."""
+    rows = hits.select("query_id", "rank", "chunk_id", "score", fingerprint(F.col("content")).alias("grams"))
 
     def pick(pdf):
-        pdf, kept, keep = pdf.sort_values("rank"), [], []
+        pdf, kept, keep = pdf.sort_values(["score", "rank"], ascending=[False, True], kind="stable"), [], []
         for grams in map(set, pdf.grams):
-            ok = not any(len(grams & g) >= least * len(grams | g) for g in kept if grams or g)
+            ok = not (grams and any(len(grams & g) >= least * len(grams | g) for g in kept if g))
             keep.append(ok)
             if ok:
                 kept.append(grams)
-        return pdf[keep][["query_id", "rank", "chunk_id"]]
+        pdf = pdf[keep]
+        return pdf.assign(rank=range(1, len(pdf) + 1))[["query_id", "rank", "chunk_id"]]
 
     kinds = dict(hits.dtypes)
-    return rows.groupBy("query_id").applyInPandas(pick, f"query_id {kinds['query_id']}, rank {kinds['rank']}, chunk_id {kinds['chunk_id']}")
+    return rows.groupBy("query_id").applyInPandas(pick, f"query_id {kinds['query_id']}, rank int, chunk_id {kinds['chunk_id']}")
 
 
 def prefix_dedup(hits: DataFrame, n: int = 80) -> DataFrame:

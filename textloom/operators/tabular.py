@@ -8,17 +8,62 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+BINS = 4096  # of a pass that narrows the place of a median
+FEW = 65_536  # values in a bin from which on they are looked at one by one
+
+
 def melted(df: DataFrame, columns: list[str]) -> DataFrame:
     """name, value of every numeric cell, in one pass."""
     return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select("x.*").where("value IS NOT NULL")
 
 
+def order_statistics(df: DataFrame, wanted: dict[str, tuple[float, float, list[int]]]) -> dict[str, list[float]]:
+    """Values at given ranks (from 0) of columns with their low and high: {column: (low, high, ranks)}.
+
+    Each pass counts the values of all open ranges in BINS bins; a range shrinks to the bin of its rank until few distinct
+    values are left in it, which are then counted. Counts are all that is shuffled or sent to the driver.
+    """
+    open_ = {(c, r): (lo, hi, r) for c, (lo, hi, ranks) in wanted.items() for r in ranks}
+    found: dict[tuple[str, int], float] = {}
+    while open_:
+        names = list(dict.fromkeys((c, lo, hi) for (c, _), (lo, hi, _) in open_.items()))
+        cell = lambda at, c, lo, hi: F.when(F.col(c).cast("double").between(lo, hi), F.struct(F.lit(at).alias("at"), F.least(F.lit(BINS - 1), F.floor((F.col(c).cast("double") - lo) / (max(hi - lo, 5e-324) / BINS))).cast("int").alias("bin"), F.col(c).cast("double").alias("v")))
+        rows = df.select(F.explode(F.array_compact(F.array(*[cell(at, *x) for at, x in enumerate(names)]))).alias("x")).select("x.*")
+        bins: dict[int, list] = {}
+        for r in rows.groupBy("at", "bin").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():  # BINS rows for each open range
+            bins.setdefault(r.at, []).append((r.bin, r.n, r.lo, r.hi))
+        small: dict[tuple[str, int], tuple[float, float, int]] = {}
+        for (c, rank), (lo, hi, left) in list(open_.items()):
+            for _, n, low, high in sorted(bins[names.index((c, lo, hi))]):
+                if left < n:
+                    break
+                left -= n
+            del open_[c, rank]
+            if low == high:
+                found[c, rank] = low
+            elif n <= FEW or (low, high) == (lo, hi):
+                small[c, rank] = (low, high, left)
+            else:
+                open_[c, rank] = (low, high, left)
+        for (c, rank), (low, high, left) in small.items():
+            values = df.select(F.col(c).cast("double").alias("v")).where(F.col("v").between(low, high)).groupBy("v").agg(F.count("*").alias("n")).orderBy("v")
+            for r in values.toLocalIterator():
+                if left < r.n:
+                    found[c, rank] = r.v
+                    break
+                left -= r.n
+    return {c: [found[c, r] for r in ranks] for c, (_, _, ranks) in wanted.items()}
+
+
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """name, n, mean, median, sd, low, high, rounded to two digits."""
-    return melted(df, columns).groupBy("name").agg(
-        F.count("*").alias("n"), F.round(F.avg("value"), 2).alias("mean"), F.round(F.expr("percentile(value, 0.5)"), 2).alias("median"),
-        F.round(F.stddev_samp("value"), 2).alias("sd"), F.min("value").alias("low"), F.max("value").alias("high"),
-    )
+    """name, n, mean, median, sd, low, high, rounded to two digits: one aggregate over all columns, medians by counting."""
+    v = lambda c: F.col(c).cast("double")
+    row = df.agg(*[x for c in columns for x in (F.count(c).alias(f"n {c}"), F.avg(v(c)).alias(f"mean {c}"), F.stddev_samp(v(c)).alias(f"sd {c}"), F.min(v(c)).alias(f"low {c}"), F.max(v(c)).alias(f"high {c}"))]).first()
+    full = [c for c in columns if row[f"n {c}"]]
+    middle = order_statistics(df, {c: (row[f"low {c}"], row[f"high {c}"], sorted({(row[f"n {c}"] - 1) // 2, row[f"n {c}"] // 2})) for c in full})
+    rows = [(c, row[f"n {c}"], row[f"mean {c}"], sum(middle[c]) / len(middle[c]), row[f"sd {c}"], row[f"low {c}"], row[f"high {c}"]) for c in full]
+    out = df.sparkSession.createDataFrame(rows, "name string, n long, mean double, median double, sd double, low double, high double")
+    return out.select("name", "n", *[F.round(c, 2).alias(c) for c in ("mean", "median", "sd")], "low", "high")
 
 
 def trend(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import query as Q
 from ..functions import text as X
 from ..operators import chunking, facts, records
 from .catalog import Tables, query
-from .retrieval import CHUNKS, chunks, first_distinct
+from .retrieval import CHUNKS, SENTS, chunks, first_distinct
 
 STRIP = "regexp_replace(regexp_replace({c}, '^\\s+', ''), '\\s+$', '')"
 
@@ -79,11 +79,9 @@ def markdown_sections(t: Tables) -> DataFrame:
 @query(f"""WITH {LINES}, f AS (SELECT *, length({STRIP.format(c="line")}) BETWEEN 3 AND 30 AND NOT regexp_matches({STRIP.format(c="line")}, '[。！？；;.!?，,：:]$')
     AND length(regexp_replace({STRIP.format(c="line")}, '[^一-鿿A-Za-z0-9]', '', 'g')) >= length({STRIP.format(c="line")}) * 0.5 AS t FROM ln),
   g AS (SELECT *, sum(t::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM f)
-  SELECT doc_id, section, coalesce(max(CASE WHEN t THEN {STRIP.format(c="line")} END), '') AS title, count(*) FILTER (NOT t) AS body_lines FROM g GROUP BY doc_id, section""", section="BIGINT")
+  SELECT doc_id, section, coalesce(max(CASE WHEN t THEN {STRIP.format(c="line")} END), '') AS title, md5({STRIP.format(c="coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT t), '')")}) AS h FROM g GROUP BY doc_id, section""", section="BIGINT")
 def title_sections(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("is_title", X.likely_title(F.col("line")))
-    rows = rows.withColumn("section", F.sum(F.col("is_title").cast("int")).over(Window.partitionBy("doc_id").orderBy("pos")))
-    return rows.groupBy("doc_id", "section").agg(F.coalesce(F.max(F.when(F.col("is_title"), X.strip(F.col("line")))), F.lit("")).alias("title"), F.count(F.when(~F.col("is_title"), 1)).alias("body_lines"))
+    return chunking.title_sections(t.documents).select("doc_id", "section", "title", F.md5("body").alias("h"))
 
 
 NORM = "regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t]+\\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')"
@@ -111,9 +109,10 @@ def sent_split(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(p).alias("n"), F.md5(F.coalesce(F.try_element_at(p, F.lit(1)), F.lit(""))).alias("first"))
 
 
-@query()
+@query(f"SELECT doc_id, len({SENTS.format(c='text')})::INT AS n, md5(coalesce({SENTS.format(c='text')}[-1], '')) AS last FROM documents")
 def sentences(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.size(X.sentences(F.col("text"))).alias("n"))
+    s = X.sentences(F.col("text"))
+    return t.documents.select("doc_id", F.size(s).alias("n"), F.md5(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(""))).alias("last"))
 
 
 @query(f"SELECT doc_id, array_to_string({first_distinct('r', 12)}, ' ') AS terms FROM (SELECT doc_id, regexp_extract_all(lower(text), '[一-鿿a-z0-9]{{2,}}') AS r FROM documents)")
@@ -153,25 +152,23 @@ def term_freq(t: Tables) -> DataFrame:
     return tf.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("tf"), "term"))).where("rank <= 20")
 
 
-@query("""WITH terms AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(list_slice(regexp_extract_all(lower(text), '[a-z]{6,}'), 1, 5)) AS term FROM benchmark)),
+@query("""WITH terms AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS term FROM benchmark)),
   k AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS term FROM documents)),
   n AS (SELECT term, count(*) AS docs FROM k GROUP BY term)
   SELECT item_id, term, coalesce(docs, 0) AS docs FROM terms LEFT JOIN n USING (term)""")
 def coverage_gaps(t: Tables) -> DataFrame:
-    wanted = t.benchmark.select("item_id", F.explode(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), 0), 1, 5)).alias("term")).distinct()
+    wanted = t.benchmark.select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), 0)).alias("term")).distinct()
     have = t.documents.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), 0))).alias("term"))
     n = have.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("docs"))
     return wanted.join(n, "term", "left").select("item_id", "term", F.coalesce("docs", F.lit(0)).alias("docs"))
 
 
-BENCH_TERMS = """SELECT item_id AS doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{5,}'))) AS term FROM benchmark"""
-
-
-@query(f"WITH s AS ({BENCH_TERMS}) SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS common FROM s a JOIN s b USING (term) WHERE a.doc_id < b.doc_id GROUP BY ALL HAVING count(*) >= 3")
+@query("""WITH d AS (SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text), s AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]{5,}|[a-z]{14,}'))) AS term FROM d)
+  SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS common FROM s a JOIN s b USING (term) WHERE a.doc_id < b.doc_id GROUP BY ALL HAVING count(*) >= 3""")
 def doc_overlap(t: Tables) -> DataFrame:
-    """Overlap within one collection of sources, as a report has them."""
-    terms = t.benchmark.select(F.col("item_id").alias("doc_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), 0))).alias("term"))
-    return facts.shared_terms(terms)
+    """Different texts, each by its smallest doc_id, that share three long numbers or words; exact_dedup has who holds a text."""
+    one = t.documents.groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    return facts.shared_terms(one.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]{5,}|[a-z]{14,}"), 0))).alias("term")))
 
 
 @query("SELECT md5(text) AS h, min(doc_id) AS kept, count(*) AS copies FROM documents GROUP BY ALL HAVING count(*) > 1")
@@ -200,11 +197,12 @@ def numeric_facts(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(facts.numbers(F.col("text"))).alias("numbers"), F.size(facts.years(F.col("text"))).alias("years"))
 
 
-@query(f"""WITH f AS (SELECT DISTINCT conv_id AS id, role, fact FROM (SELECT conv_id, role, unnest({FACT}) AS fact FROM conversations))
-  SELECT id, fact FROM f a WHERE role = 'assistant' AND NOT EXISTS (SELECT 1 FROM f b WHERE b.role = 'user' AND b.id = a.id AND b.fact = a.fact)""")
+@query(f"""WITH f AS (SELECT DISTINCT lang AS id, coalesce(quality, 1) AS quality, fact FROM (SELECT doc_id, lang, unnest({FACT}) AS fact FROM documents) LEFT JOIN labels USING (doc_id))
+  SELECT id, fact FROM f a WHERE quality = 0 AND NOT EXISTS (SELECT 1 FROM f b WHERE b.quality = 1 AND b.id = a.id AND b.fact = a.fact)""")
 def unsupported_numbers(t: Tables) -> DataFrame:
-    rows = t.conversations.select(F.col("conv_id").alias("id"), "role", F.explode(facts.numbers(F.col("text"))).alias("fact")).distinct()
-    return facts.unsupported(rows.where("role = 'assistant'").select("id", "fact"), rows.where("role = 'user'").select("id", "fact"))
+    """Figures of documents labelled as poor that no other document of their language has."""
+    rows = t.documents.select("doc_id", F.col("lang").alias("id"), F.explode(facts.numbers(F.col("text"))).alias("fact")).join(t.labels, "doc_id", "left").select("id", F.coalesce("quality", F.lit(1)).alias("quality"), "fact").distinct()
+    return facts.unsupported(rows.where("quality = 0").select("id", "fact"), rows.where("quality = 1").select("id", "fact"))
 
 
 @query(f"""WITH l AS (SELECT doc_id, unnest(p) AS text, generate_subscripts(p, 1) - 1 AS section FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
@@ -232,38 +230,17 @@ def kv_pairs(t: Tables) -> DataFrame:
     return facts.key_values(t.documents).select("doc_id", "pos", "field", F.md5("value").alias("v"))
 
 
-@query("""SELECT page_id, CASE WHEN regexp_matches(v, '^[\\w.+-]+@[\\w-]+(\\.[\\w-]+)+$') THEN 'EMAIL' WHEN regexp_matches(v, '\\d{4}[-/.年]\\d{1,2}([-/.月]\\d{1,2}日?)?|^\\d{1,2}[/-]\\d{1,2}[/-]\\d{2,4}$') THEN 'DATE'
-    WHEN regexp_matches(v, '^\\+?[\\d()\\s-]{7,20}$') THEN 'PHONE' WHEN regexp_matches(v, '[$¥€￥]\\s*\\d|\\d\\s*(元|万元|USD|RMB|CNY)|^\\d+(,\\d{3})*\\.\\d{2}$') THEN 'AMOUNT'
-    WHEN regexp_matches(v, '\\d+.*(?i:street|st\\.|road|rd\\.|avenue|ave|blvd|suite|floor)|[省市区县路街号]') THEN 'ADDRESS' WHEN regexp_matches(v, '^([A-Z][a-z]+([ -][A-Z][a-z.]+){1,3}|[一-鿿]{2,4})$') THEN 'NAME' ELSE 'TEXT' END AS kind
-  FROM (SELECT page_id, regexp_replace(regexp_replace(split_part(url, '/', -1), '^\\s+', ''), '\\s+$', '') AS v FROM pages)""")
-def field_types(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", Q.field_type(F.split_part("url", F.lit("/"), F.lit(-1))).alias("kind"))
-
-
-@query(f"""WITH {LINES}, h AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INT AS order_index, length(regexp_extract(line, '^(#+)', 1))::INT AS level, trim(regexp_replace(line, '^#+\\s+', ''), ' ') AS title
-    FROM ln WHERE regexp_matches(line, '^#{{1,6}}\\s+\\S'))
-  SELECT a.*, coalesce((SELECT max_by(b.title, b.order_index) FROM h b WHERE b.doc_id = a.doc_id AND b.order_index < a.order_index AND b.level < a.level
-      AND NOT EXISTS (SELECT 1 FROM h c WHERE false)), '') AS parent_title FROM h a""")
-def outline_parse(t: Tables) -> DataFrame:
-    return facts.outline(t.documents)
-
-
-@query()
-def heading_numbers(t: Tables) -> DataFrame:
-    return facts.numbered(facts.outline(t.documents))
-
-
 def _records(t: Tables) -> DataFrame:
     lines = F.split("text", "\n")
     return t.documents.join(t.labels, "doc_id", "left").select(
-        "doc_id", "source", F.substring(F.element_at(lines, 1), 1, 60).alias("title"), F.when(F.col("quality") == 1, F.substring("text", 1, 200)).alias("summary"),
+        "doc_id", "source", F.element_at(lines, 1).alias("title"), F.when(F.col("quality") == 1, F.col("text")).alias("summary"),
         F.when(F.size(lines) > 2, F.slice(lines, 2, 3)).alias("key_points"), F.slice(X.words(F.col("text")), 1, 5).alias("keywords"),
         F.when(F.col("toxic") == 0, F.element_at(lines, -1)).alias("conclusion"), F.lit("").alias("prediction"), F.lit(None).cast("array<map<string,string>>").alias("data"),
     )
 
 
-@query("""WITH r AS (SELECT doc_id, (quality = 1)::INT AS s, (len(string_split(text, chr(10))) > 2)::INT AS k, (len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{2,}'))) > 0)::INT AS w, (toxic = 0 AND trim(string_split(text, chr(10))[-1], ' ') <> '')::INT AS c,
-    (trim(substr(string_split(text, chr(10))[1], 1, 60), ' ') <> '')::INT AS t FROM documents LEFT JOIN labels USING (doc_id))
+@query("""WITH r AS (SELECT doc_id, (quality = 1 AND trim(text, ' ') <> '')::INT AS s, (len(string_split(text, chr(10))) > 2)::INT AS k, (len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{2,}'))) > 0)::INT AS w, (toxic = 0 AND trim(string_split(text, chr(10))[-1], ' ') <> '')::INT AS c,
+    (trim(string_split(text, chr(10))[1], ' ') <> '')::INT AS t FROM documents LEFT JOIN labels USING (doc_id))
   SELECT doc_id, (t + coalesce(s, 0) + k + w + coalesce(c, 0))::INT AS filled, round((t + coalesce(s, 0) + k + w + coalesce(c, 0)) / 7, 4) AS ratio, t = 1 AND coalesce(s, 0) = 1 AND k = 1 AS required_ok FROM r""")
 def completeness_score(t: Tables) -> DataFrame:
     return records.completeness(_records(t)).select("doc_id", "filled", "ratio", "required_ok")
@@ -295,8 +272,3 @@ def page_text(t: Tables) -> DataFrame:
   u AS (SELECT *, sum(length(line)) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM r) SELECT source, doc_id, used FROM u WHERE used <= 3500""", used="BIGINT")
 def source_digest(t: Tables) -> DataFrame:
     return records.digest(t.documents.withColumnRenamed("text", "line"), ["source"], ["doc_id"]).select("source", "doc_id", "used")
-
-
-@query()
-def contrastive_claims(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.size(facts.contrastive(F.col("text"))).alias("claims"), F.size(facts.citation_issues(F.col("text"))).alias("issues"))

@@ -10,22 +10,7 @@ from ..functions import query as Q
 from ..functions import text as X
 from .catalog import Tables, query
 
-FOLD = "regexp_replace(substr(text, 1, 40), '[^ -~]', '', 'g')"
-
-
-@query("""SELECT item_id, regexp_matches(text, '\\d') AS has_numbers, regexp_matches(text, '[A-Z]{2,}|[A-Z]+/[A-Z]+') AS has_tech, 0.5::DOUBLE AS concreteness, length(text)::INT AS length,
-  CASE WHEN regexp_matches(text, '\\d') OR regexp_matches(text, '[A-Z]{2,}|[A-Z]+/[A-Z]+') THEN 30 WHEN length(text) > 60 THEN 96 ELSE 60 END AS k FROM benchmark""")
-def query_profile(t: Tables) -> DataFrame:
-    p = Q.profile(F.col("text"))
-    return t.benchmark.select("item_id", p["has_numbers"].alias("has_numbers"), p["has_tech_terms"].alias("has_tech"), p["concreteness"].alias("concreteness"), p["length"].alias("length"), M.adaptive_k(F.col("text")).alias("k"))
-
-
-@query("""SELECT conv_id, turn, 'fact_lookup' AS kind, CASE WHEN text = '' THEN 'general_chat' WHEN regexp_matches(text, '[?？]') THEN 'question_report' WHEN length(text) <= 60 THEN 'question_report' ELSE 'general_chat' END AS intent
-  FROM (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS text FROM conversations WHERE role = 'user')""")
-def question_flags(t: Tables) -> DataFrame:
-    return t.conversations.where("role = 'user'").select("conv_id", "turn", Q.classify(F.col("text")).alias("kind"), Q.intent(F.col("text"), F.lit(True), F.lit(False)).alias("intent"))
-
-
+ASCII = "regexp_replace({c}, '[^ -~\\n]', '', 'g')"  # the SQL engine measures edits in bytes
 PAIRS = "p AS (SELECT conv_id, u.text AS a, s.text AS b FROM conversations u JOIN conversations s USING (conv_id) WHERE u.role = 'user' AND s.role = 'assistant' AND s.turn = u.turn + 1)"
 
 
@@ -52,24 +37,22 @@ def set_prf(t: Tables) -> DataFrame:
     return _pairs(t).groupBy("conv_id").agg(F.round(both / F.greatest(F.sum(F.size(x)), F.lit(1)), 6).alias("precision_"), F.round(both / F.greatest(F.sum(F.size(y)), F.lit(1)), 6).alias("recall"))
 
 
-NEXT = f"n AS (SELECT doc_id, {FOLD} AS a, lead({FOLD}) OVER (ORDER BY doc_id) AS b FROM documents WHERE lang = 'en')"
+FOLDED = f"{PAIRS}, e AS (SELECT conv_id, {ASCII.format(c='a')} AS a, {ASCII.format(c='b')} AS b FROM p)"
 
 
-def _next(t: Tables) -> DataFrame:
-    """ASCII heads of neighbouring documents, by an equi-join on the number."""
-    fold = F.regexp_replace(F.substring("text", 1, 40), "[^ -~]", "")
-    rows = t.documents.select("doc_id", fold.alias("a"))
-    return rows.join(rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id")
+def _folded(t: Tables) -> DataFrame:
+    return _pairs(t).select("conv_id", *[F.regexp_replace(c, "[^ -~\n]", "").alias(c) for c in ("a", "b")])
 
 
-@query(f"""SELECT x.doc_id, round(1 - levenshtein(lower(trim(a, ' ')), lower(trim(b, ' '))) / greatest(length(trim(a, ' ')), length(trim(b, ' ')), 1), 6) AS anls FROM (SELECT doc_id, {FOLD} AS a FROM documents) x JOIN (SELECT doc_id - 1 AS doc_id, {FOLD} AS b FROM documents) y USING (doc_id)""")
+@query(f"""WITH {FOLDED} SELECT conv_id, round(avg(1 - levenshtein(lower(trim(a, ' ')), lower(trim(b, ' '))) / greatest(length(trim(a, ' ')), length(trim(b, ' ')), 1)), 6) AS anls FROM e GROUP BY conv_id""")
 def anls(t: Tables) -> DataFrame:
-    return _next(t).select("doc_id", F.round(M.anls(F.col("a"), F.array("b")), 6).alias("anls"))
+    """Answers against what was asked, whole turns."""
+    return _folded(t).groupBy("conv_id").agg(F.round(F.avg(M.anls(F.col("a"), F.array("b"))), 6).alias("anls"))
 
 
-@query(f"""SELECT x.doc_id, round(levenshtein(a, b) / greatest(length(b), 1), 6) AS cer FROM (SELECT doc_id, {FOLD} AS a FROM documents) x JOIN (SELECT doc_id - 1 AS doc_id, {FOLD} AS b FROM documents) y USING (doc_id)""")
+@query(f"""WITH {FOLDED} SELECT conv_id, round(avg(levenshtein(a, b) / greatest(length(b), 1)), 6) AS cer FROM e GROUP BY conv_id""")
 def cer(t: Tables) -> DataFrame:
-    return _next(t).select("doc_id", F.round(M.character_error_rate(F.col("a"), F.col("b")), 6).alias("cer"))
+    return _folded(t).groupBy("conv_id").agg(F.round(F.avg(M.character_error_rate(F.col("a"), F.col("b"))), 6).alias("cer"))
 
 
 @query("""SELECT doc_id, CASE WHEN toxic > 0 THEN round(0.4 * quality + 0.6 * toxic, 3) ELSE round(quality, 3) END::DOUBLE AS blended, quality >= 0.6 AND 1 - toxic >= 0.5 AS passed FROM labels""")

@@ -14,14 +14,14 @@ SIZE = 700
 
 
 def chunks(t: Tables) -> DataFrame:
-    rows = chunking.fixed(t.documents, SIZE).join(t.documents.select("doc_id", F.col("source").alias("kb")), "doc_id")
+    rows = chunking.fixed(t.documents.select("doc_id", "text", F.col("source").alias("kb")), SIZE, ("kb",))
     name = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"))
     return rows.select("kb", "doc_id", "chunk_index", name.alias("chunk_id"), F.lit("").alias("section_path"), "content")
 
 
 def questions(t: Tables) -> DataFrame:
-    """The first sentence of each benchmark text."""
-    return t.benchmark.select(F.col("item_id").alias("query_id"), F.substring(F.regexp_extract("text", r"^([^.\n]*)", 1), 1, 120).alias("query"))
+    """Each benchmark text is a question."""
+    return t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def vectors(t: Tables) -> DataFrame:
@@ -42,8 +42,12 @@ CHUNKS = f"""
   c AS (
     SELECT kb, doc_id, i AS chunk_index, doc_id || ':' || i AS chunk_id, substr(text, i * {SIZE} + 1, {SIZE}) AS content
     FROM (SELECT source AS kb, doc_id, text, unnest(range(0, (length(text) - 1) // {SIZE} + 1))::INT AS i FROM documents WHERE length(text) > 0)),
-  q AS (SELECT item_id AS query_id, substr(regexp_extract(text, '^([^.\\n]*)', 1), 1, 120) AS query FROM benchmark)"""
-TERMS = "list_slice(({distinct}), 1, {n})"
+  q AS (SELECT item_id AS query_id, text AS query FROM benchmark)"""
+#: Sentences of {c}: marks are put where the engine's pattern looks around, which this SQL can't.
+SENTS = (
+    "list_filter(list_transform(string_split(regexp_replace(regexp_replace({c}, '([。！？；\\n])\\s*', '\\1' || chr(1), 'g'), '([.!?;])\\s+([A-Z一-鿿])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), "
+    "lambda x: regexp_replace(regexp_replace(x, '^\\s+', ''), '\\s+$', '')), lambda x: length(x) >= 3)"
+)
 
 
 def first_distinct(list_: str, n: int) -> str:
@@ -157,7 +161,8 @@ def bm25_scores(t: Tables) -> DataFrame:
 
 
 def _scored(t: Tables) -> DataFrame:
-    return search.search(search.embedded(chunks(t), "content"), search.embedded(questions(t), "query"), 8, adaptive_k(F.col("query")))
+    rows = chunks(t)
+    return search.search(search.embedded(rows, "content"), search.embedded(questions(t), "query"), 8, adaptive_k(F.col("query")), plain=rows)
 
 
 @query(f"WITH {CHUNKS}, {LEX}, {EMB}, {FUSED} SELECT query_id, rank, chunk_id, doc_id, vec, bm25, lex, rrf, doc_score FROM final WHERE rank <= 8", rank="INT")
@@ -233,15 +238,14 @@ def min_max_norm(t: Tables) -> DataFrame:
     return search.min_max(search.best_per_chunk(_lists(t)))
 
 
-HITS = f"""WITH {CHUNKS}, h AS (SELECT doc_id % 10 AS query_id, doc_id, chunk_index, chunk_id, content, row_number() OVER (PARTITION BY doc_id % 10 ORDER BY length(content) DESC, chunk_id) AS rank,
-    round(1.0::DOUBLE / (1 + doc_id % 7 + chunk_index), 6) AS score FROM c)"""
+HITS = f"""WITH {CHUNKS}, {LEX}, h AS (SELECT query_id, doc_id, chunk_index, chunk_id, content, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM lex JOIN c USING (chunk_id))"""
 
 
 def _hits(t: Tables, most: int = 40) -> DataFrame:
-    """Stand-in hits: long chunks of documents by the last digit of their number."""
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.length("content")), "chunk_id"))
-    rows = chunks(t).withColumn("query_id", F.col("doc_id") % 10).withColumn("rank", rank).where(F.col("rank") <= most)
-    return rows.withColumn("score", F.round(1.0 / (1 + F.col("doc_id") % 7 + F.col("chunk_index")), 6))
+    """The best hits of every question by lexical search over all chunks."""
+    rows = chunks(t)
+    found = search.lexical_search(rows, questions(t), most).join(rows, "chunk_id")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")))
 
 
 @query(f"{HITS} SELECT h.query_id, h.chunk_id AS center_id, c.doc_id, c.chunk_index, c.chunk_id FROM h JOIN c ON c.doc_id = h.doc_id AND abs(c.chunk_index - h.chunk_index) <= 2 AND c.chunk_index <> h.chunk_index WHERE rank <= 40")
@@ -295,10 +299,12 @@ def diverse_reorder(t: Tables) -> DataFrame:
     return context.diverse_first(_hits(t)).select("query_id", "chunk_id", "place")
 
 
-@query(f"""{HITS}, p AS (SELECT query_id, rank, chunk_id, trim(substr(content, 1, 80), ' ') AS prefix FROM h WHERE rank <= 40)
-  SELECT query_id, rank, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, prefix ORDER BY rank) AS n FROM p) WHERE n = 1 OR prefix = ''""", rank="INT")
+@query(f"""WITH {CHUNKS}, p AS (SELECT kb AS query_id, doc_id, chunk_index, trim(substr(content, 1, 80), ' ') AS prefix FROM c)
+  SELECT query_id, doc_id, chunk_index FROM (SELECT *, row_number() OVER (PARTITION BY query_id, prefix ORDER BY doc_id, chunk_index) AS n FROM p) WHERE n = 1 OR prefix = ''""")
 def prefix_dedup(t: Tables) -> DataFrame:
-    return search.prefix_dedup(_hits(t)).select("query_id", "rank", "chunk_id")
+    """All chunks of a base, in document order."""
+    rows = chunks(t).withColumn("query_id", F.col("kb")).withColumn("rank", F.struct("doc_id", "chunk_index"))
+    return search.prefix_dedup(rows).select("query_id", "doc_id", "chunk_index")
 
 
 @query(f"""{HITS} SELECT query_id, coalesce(list_sort(list(score), 'DESC')[3], 0) >= 0.5 OR (count(*) >= 5 AND avg(score) >= 0.2 AND count(DISTINCT doc_id) >= 2) AS ok FROM h WHERE rank <= 40 GROUP BY query_id""")
@@ -313,9 +319,22 @@ def annotated_context(t: Tables) -> DataFrame:
     return context.annotate(rows, 8, 300, 2000).select("query_id", "n", F.md5("line").alias("line_md5"))
 
 
-@query()
+MMR = f"""{HITS}, s1 AS (SELECT query_id, chunk_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rn FROM h WHERE rank <= 40)"""
+
+
+def _mmr_sql(k: int) -> str:
+    """Maximal marginal relevance step by step: each adds the hit that is best against those chosen so far."""
+    out = f"{MMR}, t1 AS (SELECT *, 1 AS place FROM s1 WHERE rn = 1)"
+    for n in range(2, k + 1):
+        out += f""", t{n} AS (SELECT * FROM t{n - 1} UNION ALL SELECT query_id, chunk_id, doc_id, score, rn, {n} FROM (
+          SELECT s.*, row_number() OVER (PARTITION BY s.query_id ORDER BY 0.4::DOUBLE * s.score - 0.6::DOUBLE * CASE WHEN EXISTS (SELECT 1 FROM t{n - 1} x WHERE x.query_id = s.query_id AND x.doc_id = s.doc_id) THEN 0.5::DOUBLE ELSE 0::DOUBLE END DESC, s.rn) AS z
+          FROM s1 s WHERE NOT EXISTS (SELECT 1 FROM t{n - 1} x WHERE x.query_id = s.query_id AND x.chunk_id = s.chunk_id)) WHERE z = 1)"""
+    return out + f" SELECT query_id, place AS rank, chunk_id, doc_id, score FROM t{k}"
+
+
+@query(_mmr_sql(4), rank="INT")
 def mmr(t: Tables) -> DataFrame:
-    return search.mmr(_hits(t), 8)
+    return search.mmr(_hits(t), 4)
 
 
 @query()
@@ -323,12 +342,19 @@ def greedy_near_dup(t: Tables) -> DataFrame:
     return search.drop_similar(_hits(t))
 
 
-@query()
+@query(f"""{HITS}, x AS (SELECT query_id, chunk_id, {SENTS.format(c="content")} AS sents FROM h WHERE rank <= 40), p AS (SELECT query_id, chunk_id, sents, unnest(sents) AS s, generate_subscripts(sents, 1) AS pos FROM x),
+  k AS (SELECT *, len(list_distinct(list_transform({TOK.format(c="s")}, lambda t: substr(t, 1, 32)))) AS sc FROM p), b AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY sc DESC, pos) AS rn FROM k)
+  SELECT query_id, chunk_id, md5(array_to_string(sents[greatest(pos - 1, 1):pos + 1], ' ')) AS snippet, sc AS sentence_score FROM b WHERE rn = 1""", sentence_score="INT")
 def best_sentences(t: Tables) -> DataFrame:
-    return context.best_sentences(_hits(t), F.size(F.array_distinct(tokens(F.col("s")))))
+    return context.best_sentences(_hits(t), F.size(F.array_distinct(tokens(F.col("s"))))).withColumn("snippet", F.md5("snippet"))
 
 
-@query()
+HIER = f"""WITH {CHUNKS}, {EMB.split("  vec AS")[0].rstrip().rstrip(",")}, x AS (SELECT query_id, chunk_id, doc_id, chunk_index, round(coalesce({COS.format(a="qe.e", b="ce.e")}, 0), 6) AS score FROM qe CROSS JOIN ce JOIN c USING (chunk_id) WHERE list_sum(qe.e) > 0),
+  co AS (SELECT DISTINCT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rn FROM x WHERE chunk_index = 0) WHERE rn <= 3)
+  SELECT query_id, chunk_id, score, doc_id, rank FROM (SELECT x.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM x SEMI JOIN co USING (query_id, doc_id)) WHERE rank <= 8"""
+
+
+@query(HIER, rank="INT")
 def search_hierarchical(t: Tables) -> DataFrame:
     rows = search.embedded(chunks(t), "content")
     return search.hierarchical(rows, rows.where("chunk_index = 0"), search.embedded(questions(t), "query"), 8)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import answering, facts, matching, records, review, search
 from .catalog import Tables, query
-from .retrieval import HITS, LISTS, VEC, _hits, _lists, chunks, questions, vector_questions, vectors
+from .retrieval import HITS, LISTS, TOK, VEC, _hits, _lists, chunks, questions, vector_questions, vectors
 
 
 @query(f"""{LISTS}, b AS (SELECT query_id, chunk_id, max(score) AS score, min(pos) AS pos FROM l WHERE pos < 12 GROUP BY ALL),
@@ -106,12 +106,13 @@ def critic_skip(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", review.skip_critic(F.col("text"), F.regexp_count("text", F.lit(r"\d"))).alias("skip"))
 
 
-@query("""WITH x AS (SELECT d.doc_id % 40 AS id, list_slice(regexp_extract_all(lower(b.text), '[a-z]{4,}'), 1, 6) AS terms, lower(d.text) AS body FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40),
+@query("""WITH x AS (SELECT b.item_id AS id, regexp_extract_all(lower(b.text), '[a-z]{4,}') AS terms, lower(d.text) AS body FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
   s AS (SELECT id, list_slice(terms, 1, 3) AS f, body FROM x)
   SELECT id, round(avg((len(list_filter(f, lambda t: contains(body, t))) >= greatest(1, len(f) // 2))::INT), 6) AS coverage FROM s GROUP BY id""")
 def aspect_coverage(t: Tables) -> DataFrame:
-    b = t.benchmark.select(F.col("item_id").alias("id"), F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0), 1, 6).alias("terms"))
-    return review.aspect_coverage(t.documents.select((F.col("doc_id") % 40).alias("id"), F.lower("text").alias("body")).join(b, "id"))
+    """Documents are dealt to all items."""
+    b = t.benchmark.select(F.col("item_id").alias("id"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0).alias("terms"))
+    return review.aspect_coverage(t.documents.select((F.col("doc_id") % t.benchmark.count()).alias("id"), F.lower("text").alias("body")).join(b, "id"))
 
 
 @query(f"""WITH {VEC}, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE vec_id <> query_id),
@@ -120,11 +121,14 @@ def aspect_coverage(t: Tables) -> DataFrame:
   SELECT query_id, round(coalesce(g / n, 0), 6) AS recall, round(coalesce(g / d, 0), 6) AS precision, round(coalesce(mrr, 0), 6) AS mrr,
     round(coalesce(dcg / list_sum(list_transform(range(1, least(n, 5) + 1), lambda i: 1.0::DOUBLE / log2(i + 1))), 0), 6) AS ndcg FROM n LEFT JOIN g USING (query_id)""")
 def retrieval_metrics(t: Tables) -> DataFrame:
+    """Vectors of a question's own label are relevant: they are counted by label, not listed."""
+    asked = vector_questions(t).select("query_id", "query_label")
     hits = search.vector_search(vectors(t), vector_questions(t), 6, key="vec_id").where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    found = hits.select("query_id", rank.alias("rank"), F.col("vec_id").alias("doc_id"))
-    rel = vector_questions(t).select("query_id", F.col("query_label").alias("label")).join(vectors(t).select("vec_id", "label"), "label").where("vec_id <> query_id")
-    return review.retrieval_metrics(found, rel.select("query_id", F.col("vec_id").alias("doc_id")), 5)
+    judged = hits.withColumn("rank", rank).where("rank <= 5").join(vectors(t).select("vec_id", "label"), "vec_id").join(asked, "query_id")
+    n = vectors(t).groupBy(F.col("label").alias("query_label")).agg((F.count("*") - 1).alias("n"))
+    totals = asked.join(n, "query_label").where("n > 0").select("query_id", "n", F.col("n").alias("listed"))
+    return review.judged_metrics(judged.select("query_id", "rank", F.col("vec_id").alias("doc_id"), (F.col("label") == F.col("query_label")).alias("hit")), totals, 5)
 
 
 @query("SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 5 = 0 THEN 'fixed' END, o_orderstatus) AS o_orderstatus FROM orders")
@@ -133,19 +137,13 @@ def point_update(t: Tables) -> DataFrame:
     return records.fill_missing(t.orders.select("o_orderkey", "o_orderstatus"), new, "o_orderkey", "o_orderstatus")
 
 
-@query("SELECT conv_id, turn, len(list_filter(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: regexp_replace(x, '\\s+', '', 'g') <> ''))::INT AS n FROM conversations WHERE role = 'user' AND NOT regexp_matches(text, '(?m)^\\s*(?:\\d+[.)、]|[-*•])\\s*')")
-def question_split(t: Tables) -> DataFrame:
-    rows = t.conversations.where("role = 'user'").where(~F.col("text").rlike(r"(?m)^\s*(?:\d+[.)、]|[-*•])\s*"))
-    return rows.select("conv_id", "turn", F.size(review.split_questions(F.col("text"))).alias("n"))
-
-
-@query("""WITH p AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(substr(text, 1, 200)), '[a-z0-9]{2,}')) AS a, list_distinct(regexp_extract_all(lower(substr(text, 201, 800)), '[a-z0-9]{2,}')) AS b FROM documents)
+@query("""WITH p AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[a-z0-9]{2,}')) AS a, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS b FROM documents)
   SELECT doc_id, CASE WHEN j >= 0.3 THEN '充足' WHEN j >= 0.1 THEN '有限' ELSE '无' END AS coverage FROM (
     SELECT doc_id, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS j FROM p)""")
 def knowledge_coverage(t: Tables) -> DataFrame:
-    points = t.documents.select("doc_id", F.substring("text", 1, 200).alias("point"))
-    bodies = t.documents.select("doc_id", F.substring("text", 201, 800).alias("body"))
-    return review.point_coverage(points, bodies).select("doc_id", "coverage")
+    """The first line of each document against the whole of it."""
+    points = t.documents.select("doc_id", F.element_at(F.split("text", "\n"), 1).alias("point"))
+    return review.point_coverage(points, t.documents.select("doc_id", F.col("text").alias("body"))).select("doc_id", "coverage")
 
 
 @query("SELECT p_partkey, substr(p_name, 1, 4) AS prefix, position(substr(p_name, 1, 4) IN p_name || ' ' || p_type || ' ' || p_brand || ' and a text that is long enough to count as substance') > 0 AS found FROM part")
@@ -160,54 +158,74 @@ def top_per_group(t: Tables) -> DataFrame:
     return t.customer.select(F.col("c_mktsegment").alias("kind"), "c_custkey", F.row_number().over(w).alias("place")).where("place <= 5")
 
 
-def _kb(t: Tables) -> tuple[DataFrame, DataFrame]:
-    return search.embedded(chunks(t), "content"), search.embedded(questions(t), "query")
+def _kb(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = chunks(t)
+    return search.embedded(rows, "content"), search.embedded(questions(t), "query"), rows
 
 
 @query()
 def search_adaptive(t: Tables) -> DataFrame:
-    return answering.search_adaptive(*_kb(t))
+    rows, asked, plain = _kb(t)
+    return answering.search_adaptive(rows, asked, plain=plain)
 
 
 @query()
 def search_expanded(t: Tables) -> DataFrame:
-    rows, asked = _kb(t)
-    subs = search.embedded(asked.drop("embedding").select("query_id", F.posexplode(F.filter(F.array(F.substring("query", 1, 40), F.substring("query", 41, 80)), lambda x: x != "")).alias("subquery", "query")), "query")
-    return answering.search_expanded(rows, subs)
+    rows, asked, plain = _kb(t)
+    subs = search.embedded(asked.drop("embedding").select("query_id", F.posexplode(F.filter(F.split("query", "(?<=[.!?])\\s+"), lambda x: x != "")).alias("subquery", "query")), "query")
+    return answering.search_expanded(rows, subs, plain=plain)
 
 
 @query()
 def search_small_to_big(t: Tables) -> DataFrame:
-    return answering.search_small_to_big(*_kb(t))
+    rows, asked, plain = _kb(t)
+    return answering.search_small_to_big(rows, asked, plain=plain)
 
 
-@query()
+SPLIT = "list_filter(regexp_split_to_array(lower({c}), '\\s+'), lambda x: x <> '')"
+
+
+@query(f"""{HITS}, p AS (SELECT *, trim(substr(content, 1, 80), ' ') AS prefix FROM h WHERE rank <= 40), u AS (SELECT *, row_number() OVER (PARTITION BY query_id, prefix ORDER BY rank) AS n FROM p),
+  v AS (SELECT query_id, rank, chunk_id, content FROM u WHERE n = 1 OR prefix = ''), w AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS hits FROM v),
+  s AS (SELECT w.query_id, rank, chunk_id, hits, CASE WHEN hits > 8 THEN len(list_intersect(list_distinct({SPLIT.format(c="query")}), list_distinct({SPLIT.format(c="content")}))) / greatest(1, len(list_distinct({SPLIT.format(c="query")}))) END AS m FROM w JOIN q USING (query_id)),
+  x AS (SELECT s.*, coalesce(m, l.score) AS score FROM s JOIN lex l USING (query_id, chunk_id)),
+  y AS (SELECT *, min(score) OVER z AS lo, max(score) OVER z AS hi, count(*) OVER z AS n FROM x WINDOW z AS (PARTITION BY query_id)),
+  o AS (SELECT query_id, chunk_id, rank AS old, round(CASE WHEN n < 2 OR hi = lo THEN score ELSE (score - lo) / (hi - lo) END, 6) AS score FROM y)
+  SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old) AS rank, chunk_id, score FROM o) WHERE rank <= 8""", rank="INT")
 def rerank_lexical(t: Tables) -> DataFrame:
-    """Reranking with an injected model: here the share of the query's words that a content has."""
+    """Reranking with an injected model: here the share of the question's words that a content has."""
 
     def model(asked: str, contents: list[str]) -> list[float]:
         terms = set(asked.lower().split())
         return [len(terms & set(c.lower().split())) / max(1, len(terms)) for c in contents]
 
-    rows = _hits(t).withColumn("query", F.lit("the and of that")).select("query_id", "rank", "chunk_id", "content", "query", "score")
+    rows = _hits(t).join(questions(t), "query_id").select("query_id", "rank", "chunk_id", "content", "query", "score")
     return answering.rerank(rows, model, 8).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
-@query()
+PLAIN = "list_filter(list_transform(regexp_split_to_array({c}, '[。！？.!?\\n]+'), lambda x: regexp_replace(regexp_replace(x, '^\\s+', ''), '\\s+$', '')), lambda x: length(x) >= 8)"
+CUT = "list_distinct(list_transform(" + TOK + ", lambda t: substr(t, 1, 32)))"
+
+
+@query(f"""{HITS}, e AS (SELECT query_id, rank, {PLAIN.format(c="content")} AS p FROM h WHERE rank <= 40), x AS (SELECT query_id, rank, unnest(p) AS sentence, generate_subscripts(p, 1) AS pos FROM e),
+  s AS (SELECT x.*, len(list_intersect({CUT.format(c="sentence")}, {CUT.format(c="query")})) AS score FROM x JOIN q USING (query_id)),
+  n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank, pos) AS n FROM s WHERE score > 0), u AS (SELECT *, sum(length(sentence)) OVER (PARTITION BY query_id ORDER BY n) AS used FROM n)
+  SELECT query_id, n, md5(sentence) AS sentence FROM u WHERE used <= 1500""", n="INT")
 def compressed_context(t: Tables) -> DataFrame:
-    return answering.compress(_hits(t).withColumn("query", F.lit("the and of that")))
+    return answering.compress(_hits(t).join(questions(t), "query_id")).withColumn("sentence", F.md5("sentence"))
 
 
-@query()
+@query(f"{HITS} SELECT query_id, least(count(*), 6)::INT AS n, min(rank) FILTER (rank <= 6)::INT AS first FROM h WHERE rank <= 40 GROUP BY query_id")
 def answer_citations(t: Tables) -> DataFrame:
-    return answering.answer_citations(_hits(t)).select("query_id", F.size("citations").alias("n"))
+    return answering.answer_citations(_hits(t)).select("query_id", F.size("citations").alias("n"), F.col("citations")[0]["rank"].alias("first"))
 
 
 @query()
 def fuzzy_headings(t: Tables) -> DataFrame:
-    heads = t.part.select((F.col("p_size") % 5).alias("t"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("heading"))
-    keys = t.part.select((F.col("p_size") % 5).alias("t"), F.col("p_type").alias("key")).distinct()
-    return matching.best_headings(keys, heads, ["t"])
+    """Parts of one brand and size are the headings of a template."""
+    heads = t.part.select("p_brand", "p_size", F.col("p_partkey").alias("pos"), F.col("p_name").alias("heading"))
+    keys = t.part.select("p_brand", "p_size", F.col("p_type").alias("key")).distinct()
+    return matching.best_headings(keys, heads, ["p_brand", "p_size"])
 
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '【(\\d+)】'))::INT AS cites, regexp_matches(text, '\\[\\d{1,3}\\]') AS half FROM documents")

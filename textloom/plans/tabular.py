@@ -24,9 +24,13 @@ def trend_halves(t: Tables) -> DataFrame:
     return tabular.trend(rows, ["l_suppkey"], "o", "l_extendedprice")
 
 
-@query("SELECT 'l_extendedprice' AS anchor, 'l_quantity' AS name, round(corr(l_extendedprice, l_quantity), 6) AS r FROM lineitem HAVING abs(corr(l_extendedprice, l_quantity)) > 0.3")
+CORR = " UNION ALL ".join(f"SELECT '{a}' AS anchor, var_samp({a}) AS v, '{b}' AS name, corr({a}, {b}) AS r FROM lineitem" for a in COLUMNS for b in COLUMNS if a != b)
+
+
+@query(f"SELECT anchor, name, round(r, 6) AS r FROM ({CORR}) QUALIFY v = max(v) OVER ()")
 def corr_top(t: Tables) -> DataFrame:
-    return tabular.correlations(t.lineitem, COLUMNS)
+    """All columns against the one of the largest variance."""
+    return tabular.correlations(t.lineitem, COLUMNS, -1.0)
 
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS name, '{s}' AS side, (row_number() OVER ())::INT AS rank, p_partkey AS key, {c}::DOUBLE AS value FROM (SELECT * FROM part ORDER BY {c} {o}, p_partkey LIMIT 3)" for c in ("p_size", "p_retailprice") for s, o in (("top", "DESC"), ("bottom", "ASC"))))

@@ -48,21 +48,32 @@ def _xml_text(data: bytes, part: str, mark: str) -> list[str]:
 
 
 def _docx(data: bytes) -> str:
-    return "\n".join(_xml_text(data, r"word/document\.xml", "}p"))
+    """Paragraphs and tables in the order of the document; a table's cells are joined by bars."""
+    said = lambda node: "".join(t.text or "" for t in node.iter() if t.tag.endswith("}t")).strip()
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        root = ElementTree.fromstring(z.read("word/document.xml"))
+    body = next((x for x in root.iter() if x.tag.endswith("}body")), root)
+    lines = []
+    for child in body:
+        if child.tag.endswith("}tbl"):
+            lines += [" | ".join(said(c) for c in row if c.tag.endswith("}tc")) for row in child if row.tag.endswith("}tr")]
+        else:
+            lines += [said(p) for p in child.iter() if p.tag.endswith("}p")]
+    return "\n".join(x for x in lines if x.strip(" |"))
 
 
 def _pptx(data: bytes) -> str:
     return "\n".join(_xml_text(data, r"ppt/slides/slide\d+\.xml", "}p"))
 
 
-def _xlsx(data: bytes) -> str:
+def _xlsx(data: bytes, sheet_rows: int = SHEET_ROWS) -> str:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in si.iter() if t.tag.endswith("}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if si.tag.endswith("}si")]
         lines = []
         for name in sorted(n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))[:SHEETS]:
-            rows = [r for r in ElementTree.fromstring(z.read(name)).iter() if r.tag.endswith("}row")][:SHEET_ROWS]
+            rows = [r for r in ElementTree.fromstring(z.read(name)).iter() if r.tag.endswith("}row")][:sheet_rows]
             for row in rows:
                 cells = []
                 for c in (c for c in row if c.tag.endswith("}c")):
@@ -81,7 +92,7 @@ def _pdf(data: bytes) -> str:
     return "\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(data)).pages)
 
 
-def parse(kind: str, data: bytes, ocr: Callable[[bytes], str] | None = None) -> str:
+def parse(kind: str, data: bytes, ocr: Callable[[bytes], str] | None = None, sheet_rows: int = SHEET_ROWS) -> str:
     if kind == "docx":
         return _docx(data)
     if kind == "pptx":
@@ -89,9 +100,9 @@ def parse(kind: str, data: bytes, ocr: Callable[[bytes], str] | None = None) ->
     if kind == "pdf":
         return _pdf(data)
     if kind == "excel" and data[:2] == b"PK":
-        return _xlsx(data)
+        return _xlsx(data, sheet_rows)
     if kind == "excel":
-        return "\n".join(line.replace(",", " | ") for line in decode(data).splitlines()[:SHEET_ROWS])
+        return "\n".join(line.replace(",", " | ") for line in decode(data).splitlines()[:sheet_rows])
     if kind == "image":
         if ocr is None:
             raise ValueError("no OCR provider is given")
@@ -99,8 +110,8 @@ def parse(kind: str, data: bytes, ocr: Callable[[bytes], str] | None = None) ->
     return decode(data)
 
 
-def read_documents(spark: SparkSession, path: str, ocr: Callable[[bytes], str] | None = None) -> DataFrame:
-    """path, kind, text, error of every file below a folder."""
+def read_documents(spark: SparkSession, path: str, ocr: Callable[[bytes], str] | None = None, sheet_rows: int = SHEET_ROWS) -> DataFrame:
+    """path, kind, text, error of every file below a folder. Of a workbook's first five sheets `sheet_rows` rows each are read: 200 for a base, 10 for a preview."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", file_type(F.col("path")).alias("kind"), "content")
 
     def run(batches):
@@ -108,7 +119,7 @@ def read_documents(spark: SparkSession, path: str, ocr: Callable[[bytes], str] |
             texts, errors = [], []
             for kind, data in zip(pdf.kind, pdf.content, strict=True):
                 try:
-                    texts.append(parse(kind, bytes(data), ocr).replace("\x00", ""))
+                    texts.append(parse(kind, bytes(data), ocr, sheet_rows).replace("\x00", ""))
                     errors.append(None)
                 except Exception as e:  # noqa: BLE001 - a broken file must not end the job; its row says what was wrong
                     texts.append("")
@@ -160,6 +171,44 @@ def read_kb(spark: SparkSession, path: str, kb: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("kb") == kb)
 
 
+def page_ranges(pages: DataFrame, size: int = 8, most: int = 30_000, plain: int = 20_000) -> DataFrame:
+    """doc_id, text of pages (doc_id, page from 1, text). Up to `size` pages are joined until they have `plain` characters. Of longer
+    documents ranges of `size` pages share `most`, 1000 at least each; a range ends with the page that fills its share, and pages are marked."""
+    from pyspark.sql import Window
+
+    n = F.max("page").over(Window.partitionBy("doc_id"))
+    rows = pages.where(F.length("text") > 0).withColumn("long", n > size).withColumn("ranges", F.ceil(n / size))
+    part = F.when(F.col("long"), F.floor((F.col("page") - 1) / size)).otherwise(0)
+    share = F.when(F.col("long"), F.greatest(F.lit(1000), F.floor(most / F.col("ranges")))).otherwise(plain)
+    before = F.sum(F.length("text")).over(Window.partitionBy("doc_id", "part").orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumns({"part": part, "share": share}).withColumn("before", F.coalesce(before, F.lit(0))).where("before < share")
+    line = F.when(F.col("long"), F.concat(F.lit("[Page "), F.col("page").cast("string"), F.lit("] "), "text")).otherwise(F.col("text"))
+    return rows.select("doc_id", "page", line.alias("line")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
+def search_source(queries: DataFrame, provider: Callable[[str], list[dict]], most: int = 8) -> DataFrame:
+    """query_id, pos, title, url, snippet from an injected remote search; a failing one gives no rows."""
+    kind = dict(queries.dtypes)["query_id"]
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for q, asked in zip(pdf.query_id, pdf["query"], strict=True):
+                try:
+                    found = provider(asked) or []
+                except Exception:  # noqa: BLE001 - a search that fails must not end the job
+                    found = []
+                out += [(q, k, str(a.get("title") or ""), str(a.get("url") or ""), str(a.get("snippet") or "")) for k, a in enumerate(found[:most])]
+            yield pd.DataFrame(out, columns=["query_id", "pos", "title", "url", "snippet"])
+
+    return queries.select("query_id", "query").mapInPandas(run, f"query_id {kind}, pos int, title string, url string, snippet string")
+
+
+def cache_key(*columns: str):
+    """One key of several columns: content and options of what is cached."""
+    return F.md5(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in columns]))
+
+
 def cached(rows: DataFrame, key: str, cache: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Results (md5, value) from a cache table where it has them, made for the other rows."""
     keyed = rows.withColumn("md5", F.md5(key))

@@ -53,3 +53,26 @@ def sessions(events: DataFrame, ts: str = "ts", gap: str = "30 minutes", late: s
     """Sessions of each user: events no more than `gap` apart."""
     rows = events.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
     return rows.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def control_state(events: DataFrame) -> DataFrame:
+    """task_id, state: running, paused or cancelled by the last pause, resume or cancel event; a cancelled task stays so."""
+    rows = events.where(F.col("kind").isin("pause", "resume", "cancel"))
+    last = F.max_by("kind", F.struct("updated_at", "seq"))
+    state = F.when(F.max(F.col("kind") == "cancel"), "cancelled").when(last == "pause", "paused").otherwise("running")
+    return rows.groupBy("task_id").agg(state.alias("state"))
+
+
+def stop_when(query: StreamingQuery, cancelled: Callable[[], bool], every: float = 0.5) -> bool:
+    """Waits for a query to end, and stops it as soon as `cancelled` says so; whether it was stopped."""
+    while not query.awaitTermination(every):
+        if cancelled():
+            query.stop()
+            return True
+    return False
+
+
+def assembled(tokens: DataFrame) -> DataFrame:
+    """task_id, section, text: a model's pieces of text (task_id, section, seq, piece) put together; repeated pieces of one seq count once."""
+    first = tokens.groupBy("task_id", "section", "seq").agg(F.min("piece").alias("piece"))
+    return first.groupBy("task_id", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "piece"))), lambda x: x["piece"]), "").alias("text"))
