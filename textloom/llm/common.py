@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 
 BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+FILE_ROWS = 50_000  # of small tables, whose many rounds would else leave a file and a task for each partition
 
 _resident: dict[str, tuple] = {}
 _made: list[tuple[SparkSession, str, str]] = []
@@ -62,9 +63,11 @@ class Scratch:
         prepare(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def table(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-        """Writes df as Parquet and reads it back; with `by` partitioned on disk by that column."""
+    def table(self, df: DataFrame, name: str, by: str | None = None, rows: int | None = None) -> DataFrame:
+        """Writes df as Parquet and reads it back; with `by` partitioned on disk by that column, with a bound of its rows in files that this many need."""
         path, schema = f"{self.root}/{name}", df.schema
+        if rows is not None:
+            df = df.coalesce(max(4, rows // FILE_ROWS))
         writer = df.write.mode("overwrite")
         (writer.partitionBy(by) if by else writer).parquet(path)
         _made.append((self.spark, "", path))
@@ -160,14 +163,15 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     turn = 0
     while mark[0]:
+        keep = lambda df, name, rows=2 * mark[0]: scratch.table(df, f"{name}{turn}", rows=rows)  # noqa: B023, E731 - a node for each end of an edge at most
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = scratch.table(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), f"large{turn}")
-        e = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        e = scratch.table(e, f"middle{turn}")
-        low = scratch.table(e.groupBy("u").agg(F.min("v").alias("m")), f"small{turn}")
+        low = keep(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "large")
+        e = keep(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "middle")
+        low = keep(e.groupBy("u").agg(F.min("v").alias("m")), "small")
         e = e.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
         turn += 1
-        e = scratch.table(e, f"edges{turn}")
+        e = keep(e, "edges")
+        scratch.drop(f"large{turn - 1}", f"middle{turn - 1}", f"small{turn - 1}", f"edges{turn - 1}")
         was, mark = mark, e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if was == mark:
             break

@@ -166,8 +166,8 @@ def _unlinked(members: DataFrame, nodes: DataFrame, least: float, scratch: Scrat
     return rows.mapInArrow(_units(least), "u long, v long").distinct()
 
 
-def near_copies(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
-    """doc_id, h, component_id long for every row of docs."""
+def near_links(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, rep) for every row of docs, rep being the smallest doc_id of its set, and the links (u, v) of similar sets' reps."""
     scratch = Scratch(docs.sparkSession, "near_copies")
     some = _sets(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0), words, lambda s: s.tolist(), "array<long>")
     top = some.dropDuplicates(["h"]).select(F.explode("data").alias("s")).groupBy("s").agg(F.count("*").alias("k")).where(F.col("k") >= FREQUENT).orderBy(F.desc("k"), "s").limit(MOST)
@@ -189,13 +189,18 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> Da
     edges = scratch.table(_verified(likely, _whole(docs, nodes, likely, words, scratch, "used"), least), "links")
     members = scratch.table(long.select(F.element_at("xs", 1)["rep"].alias("centre"), F.explode("xs").alias("x")).select("centre", "x.rep", "x.n").distinct(), "members")
     if members.limit(1).count():
-        stars = components(edges, scratch).select(F.col("u").alias("rep"), F.col("v").alias("low"))
+        stars = components(edges, Scratch(docs.sparkSession, "near_stars")).select(F.col("u").alias("rep"), F.col("v").alias("low"))
         named = scratch.table(members.join(stars, "rep", "left").select("centre", "rep", "n", F.coalesce("low", "rep").alias("low")), "named")
         rest = scratch.table(_unlinked(named, nodes, least, scratch).join(pairs, ["u", "v"], "left_anti"), "rest")
         edges = scratch.table(edges.union(_verified(rest, _whole(docs, nodes, rest, words, scratch, "used_rest"), least)), "all_links")
-    stars = components(edges, Scratch(docs.sparkSession, "near_copies")).select(F.col("u").alias("rep"), F.col("v").alias("low"))
-    named = nodes.join(stars, "rep", "left").select("h", F.coalesce("low", "rep").alias("component_id"))
-    return names.join(named, "h", "left").select("doc_id", "h", "component_id")
+    return names.join(nodes.select("h", "rep"), "h", "left").select("doc_id", "h", "rep"), edges
+
+
+def near_copies(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
+    """doc_id, h, component_id long for every row of docs."""
+    names, edges = near_links(docs, words, least)
+    stars = components(edges, Scratch(docs.sparkSession, "near_components")).select(F.col("u").alias("rep"), F.col("v").alias("low"))
+    return names.join(stars, "rep", "left").select("doc_id", "h", F.coalesce("low", "rep").alias("component_id"))
 
 
 def _whole(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, scratch: Scratch, name: str) -> DataFrame:
@@ -212,9 +217,10 @@ def near_dedup(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> Dat
     """docs with one document, the smallest doc_id, of each group that SimHash's links and near copies connect. Rows without doc_id stay."""
     scratch = Scratch(docs.sparkSession, "near_dedup")
     first = near_duplicates(docs).where("doc_id IS NOT NULL").select("doc_id", F.col("component_id").alias("a")).distinct()
-    second = near_copies(docs, words, least).where("doc_id IS NOT NULL").select("doc_id", F.col("component_id").alias("b")).distinct()
-    both = scratch.table(first.join(second, "doc_id"), "both")
-    stars = components(both.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch).select(F.col("u").alias("a"), F.col("v").alias("low"))
+    names, edges = near_links(docs, words, least)
+    both = scratch.table(first.join(names.where("doc_id IS NOT NULL").select("doc_id", "rep").distinct(), "doc_id"), "both")
+    # a doc_id names its group under either relation, so that links of both connect the same nodes
+    stars = components(both.select(F.col("a").alias("u"), F.col("rep").alias("v")).union(edges.select("u", "v")), scratch).select(F.col("u").alias("a"), F.col("v").alias("low"))
     low = both.join(stars, "a", "left").groupBy("doc_id").agg(F.max(F.coalesce("low", "a")).alias("low"))  # a doc_id goes if all of its texts have a smaller one
     name = fresh_name(docs, "gone_id")
     gone = scratch.table(low.where("low < doc_id").select(F.col("doc_id").alias(name)), "gone")
