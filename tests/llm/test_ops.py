@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 import sentencepiece
 import public_tokenizers
+import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -225,7 +226,6 @@ def test_packed_ids_like_tokenizers(spark):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     rows = spark.read.parquet(f"{SF}/documents.parquet")
     packed = packing.pack(rows, with_ids=True)
     found = packed.orderBy("doc_id", "piece").collect()
@@ -405,6 +405,19 @@ def test_components(spark):
     assert {(r.u, r.v) for r in found.collect()} == {(2, 1), (3, 1), (4, 1), (11, 10), (12, 10)} | {(k, 100) for k in range(101, 141)}
 
 
+def test_fingerprints_as_registered(spark):
+    """16 hex digits and components of every document and of odd rows, against all pairs in Python."""
+    found = simhash.query(spark, SF).collect()
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    prints = {r.doc_id: simhash.fingerprint((r.text or "").encode()) for r in rows}
+    low = brute_components(list(prints.items()))
+    assert {(r.doc_id, r.fingerprint, r.component_id) for r in found} == {(d, f"{p:016x}", low[d]) for d, p in prints.items()}
+    odd = {(r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in simhash.near_duplicates(docs(spark, ODD)).collect()}
+    known = [(d, simhash.fingerprint((t or "").encode())) for d, t in ODD if d is not None]
+    low = brute_components(list(dict(known).items()))
+    assert {x for x in odd if x[0] is not None} == {(d, p, low[d]) for d, p in known}
+
+
 def test_near_dedup_keeps_one(spark):
     text = "the quick brown fox jumps over the lazy dog and runs away from the farm " * 5
     out = simhash.near_dedup(docs(spark, [(4, text), (2, text), (9, text.upper()), (1, "another text"), (None, text)]))
@@ -464,6 +477,21 @@ def test_edits_like_counting_anew(text, edits):
         assert tree.parts() == token_counts.split(text) and tree.count == sum(map(counter, tree.parts()))
 
 
+def test_odd_rows_have_their_tokens(spark):
+    """Null, empty, repeated and long texts: packed pieces and counted trees against the library."""
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(d, t) for d, t in ODD if d != 5] + [(5, "x" * 3000)]
+    size = lambda t: len(library.encode(t or "", add_special_tokens=False).ids)
+    got = packing.pack(docs(spark, rows)).collect()
+    pieces_of = lambda d: sorted((r.piece, r.start, r.length) for r in got if r.doc_id == d)
+    for d, t in rows:
+        cuts = packing.cut(size(t) + 1, packing.CAPACITY)
+        assert pieces_of(d) == sorted([(k, a, n) for k, (a, n) in enumerate(cuts)] * sum(x == d for x, _ in rows))
+    counted = token_counts.apply_edits(token_counts.redactions(token_counts.trees(docs(spark, rows)))).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in counted) == sorted((d or 0, size(t)) for d, t in rows)
+    assert all(r.n_tokens_edited == size(r.text) for r in counted)
+
+
 def test_edits_touch_little(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet")
     out = token_counts.apply_edits(token_counts.redactions(token_counts.trees(rows))).collect()
