@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import sentences, text
+from ..functions.text import clip, sentences, strip, text
 
 
 def neighbours(hits: DataFrame, chunks: DataFrame, window: int = 1) -> DataFrame:
@@ -45,14 +45,15 @@ def backfill(hits: DataFrame, base_k: int, k: int, per_doc: int = 2) -> DataFram
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("first", "taken")
 
 
-def islands(hits: DataFrame) -> DataFrame:
-    """Adjacent chunks of a document become one segment with the best score."""
+def islands(hits: DataFrame, gap: str = "\n", chars: int | None = None) -> DataFrame:
+    """Adjacent chunks of a document become one segment with the best score and the first one's section; contents are joined, clipped before if `chars` says so."""
     w = Window.partitionBy("query_id", "doc_id").orderBy("chunk_index")
     start = F.coalesce((F.col("chunk_index") - F.lag("chunk_index").over(w) > 1).cast("int"), F.lit(1))
-    rows = hits.withColumn("start", start).withColumn("island", F.sum("start").over(w))
+    content = F.col("content") if chars is None else clip(strip(text("content")), chars)
+    rows = hits.withColumn("content", content).withColumn("start", start).withColumn("island", F.sum("start").over(w))
     return rows.groupBy("query_id", "doc_id", "island").agg(
-        F.min("chunk_index").alias("first_index"), F.max("chunk_index").alias("last_index"), F.max("score").alias("score"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda x: x["content"]), "\n").alias("content"),
+        F.min("chunk_index").alias("first_index"), F.max("chunk_index").alias("last_index"), F.max("score").alias("score"), F.min_by("section_path", "chunk_index").alias("section_path"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda x: x["content"]), gap).alias("content"),
     )
 
 
@@ -62,12 +63,13 @@ def prefix_budget(rows: DataFrame, by: list[str], order: list, size: Column, mos
     return rows.withColumn("used", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where(F.col("used") <= most)
 
 
-def assemble(hits: DataFrame, most: int = 5200) -> DataFrame:
-    """query_id, segment, block: segments under a header line, best first, within the character budget."""
+def assemble(hits: DataFrame, most: int = 5200, chars: int = 900) -> DataFrame:
+    """query_id, segment, block: segments under a header line, best first, within the character budget; chunks are clipped to `chars`."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "first_index")
-    rows = islands(hits).withColumn("segment", F.row_number().over(w))
-    head = F.format_string("[%d] doc=%s score=%.3f\n", F.col("segment"), F.col("doc_id").cast("string"), F.col("score"))
-    rows = rows.select("query_id", "segment", F.concat(head, text("content")).alias("block"))
+    rows = islands(hits, "\n\n", chars).withColumn("segment", F.row_number().over(w))
+    section = F.coalesce(F.nullif(strip(text("section_path")), F.lit("")), F.lit("-"))
+    head = F.format_string("[%d] doc=%s section=%s score=%.3f\n", F.col("segment"), F.col("doc_id").cast("string"), section, F.col("score"))
+    rows = rows.select("query_id", "segment", strip(F.concat(head, text("content"))).alias("block"))
     return prefix_budget(rows, ["query_id"], ["segment"], F.length("block") + 2, most).select("query_id", "segment", "block")
 
 

@@ -234,3 +234,40 @@ def shared_terms(terms: DataFrame, least: int = 3) -> DataFrame:
     """doc_a, doc_b, common: documents with `least` common terms or more, by an equi-join on the term."""
     a, b = terms.select(F.col("doc_id").alias("doc_a"), "term"), terms.select(F.col("doc_id").alias("doc_b"), "term")
     return a.join(b, "term").where("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.count("*").alias("common")).where(F.col("common") >= least)
+
+
+def term_occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, docs, times: in how many texts (doc_id, text) a term stands, and how often (overlaps too), also within words. Terms are a
+    stated set; one automaton of a block of them reads each text once, and a task hands on a row for each term it met."""
+    import ahocorasick
+    import pyarrow as pa
+
+    from .search import in_blocks
+
+    parts = []
+    for block in in_blocks(terms.select("term").where("term <> ''").distinct(), ["term"]):
+        sent = docs.sparkSession.sparkContext.broadcast([r["term"] for r in block])
+
+        def run(batches, sent=sent):
+            automaton = ahocorasick.Automaton()
+            for t in sent.value:
+                automaton.add_word(t, t)
+            counts: dict[str, list[int]] = {}
+            if sent.value:
+                automaton.make_automaton()
+                for batch in batches:
+                    for body in batch.column(0).to_pylist():
+                        met: dict[str, int] = {}
+                        for _, t in automaton.iter(body):
+                            met[t] = met.get(t, 0) + 1
+                        for t, k in met.items():
+                            own = counts.setdefault(t, [0, 0])
+                            own[0] += 1
+                            own[1] += k
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], names=["term", "docs", "times"])
+
+        parts.append(docs.select(F.lower(text("text")).alias("text")).mapInArrow(run, "term string, docs long, times long"))
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.union(more)
+    return found.groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("times").alias("times"))

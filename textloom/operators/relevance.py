@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.metrics import coherence
-from ..functions.text import CJK, pieces, strip, text
+from ..functions.metrics import blend, coherence
+from ..functions.text import CJK, jaccard, pieces, strip, text
+from .review import judge_scores
 
 
 def terms(c: Column) -> Column:
@@ -100,3 +101,24 @@ def tfidf_retrieval(chunks: DataFrame, queries: DataFrame, most: int = 2000) ->
     per = both.withColumn("rank", rank).groupBy("query_id").agg(F.sum(F.col("hit").cast("int")).alias("n"), *[F.sum((F.col("hit") & (F.col("rank") <= k)).cast("int")).alias(f"h{k}") for k in (3, 5)], F.max(F.when(F.col("hit"), 1.0 / F.col("rank"))).alias("mrr"))
     share = lambda k: F.round(F.col(f"h{k}") / F.least(F.col("n"), F.lit(k)), 6).alias(f"recall{k}")
     return per.where("n > 0").select("query_id", share(3), share(5), F.round("mrr", 6).alias("mrr"))
+
+
+def paragraph_coherence(docs: DataFrame, toks, shortest: int = 20, low: float = 0.15, high: float = 0.70) -> DataFrame:
+    """doc_id, pairs, score, least, most, in_range: Jaccard similarity of neighbouring lines of over `shortest` characters, pairs with a wordless one left out; 0 without any."""
+    lines = F.filter(F.transform(F.split(text("text"), "\n"), strip), lambda x: F.length(x) > shortest)
+    rows = docs.select("doc_id", F.posexplode(lines).alias("pos", "line")).withColumn("a", toks(F.col("line")))
+    rows = rows.withColumn("b", F.lead("a").over(Window.partitionBy("doc_id").orderBy("pos"))).where((F.size("a") > 0) & (F.size("b") > 0)).withColumn("j", jaccard(F.col("a"), F.col("b")))
+    per = rows.groupBy("doc_id").agg(F.count("*").alias("pairs"), F.avg("j").alias("mean"), F.round(F.min("j"), 3).alias("least"), F.round(F.max("j"), 3).alias("most"))
+    mean, zero = F.coalesce("mean", F.lit(0.0)), F.lit(0.0)
+    out = docs.select("doc_id").distinct().join(per, "doc_id", "left")
+    return out.select("doc_id", F.coalesce("pairs", F.lit(0)).alias("pairs"), F.round(mean, 6).alias("score"), F.coalesce("least", zero).alias("least"), F.coalesce("most", zero).alias("most"), mean.between(low, high).alias("in_range"))
+
+
+def evaluate(texts: DataFrame, weight: float = 0.4) -> DataFrame:
+    """doc_id and four scores of texts (doc_id, content, prompt, faithful, covered, judge): rules (pair relevance, shares of
+    supported facts and covered topics, coherence of `##` sections) blended with a judge's JSON answer where there is one."""
+    sections = texts.select("doc_id", F.posexplode(F.filter(F.split(text("content"), r"(?m)(?=^##\s)"), lambda x: strip(x) != "")).alias("order_index", "body"))
+    flow = section_coherence(sections).select("doc_id", F.col("coherence").alias("flow"))
+    rows = texts.join(flow, "doc_id", "left").withColumn("j", judge_scores(F.col("judge")))
+    rule = {"relevance": pair_relevance(text("content"), text("prompt")), "faithfulness": F.col("faithful"), "coherence": F.coalesce("flow", F.lit(1.0)), "completeness": F.col("covered")}
+    return rows.select("doc_id", *[blend(c, F.col("j")[name], weight).alias(name) for name, c in rule.items()])

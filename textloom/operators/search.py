@@ -216,14 +216,15 @@ def rrf(scored: DataFrame, signals: dict[str, float], k: Column | float = 60.0,
     return scored.withColumn("rrf", F.round(total, digits))
 
 
-def limit_per_doc(hits: DataFrame, k: int, score: str = "rrf", per_doc: int = 2, top: int = 3) -> DataFrame:
-    """Documents by the sum of their `top` best chunks, `per_doc` chunks of each, k in all; rank is doc-major."""
+def limit_per_doc(hits: DataFrame, k: int, score: str = "rrf", per_doc: int = 2, top: int = 3, least: int = 3) -> DataFrame:
+    """Documents by the sum of their `top` best chunks, `per_doc` chunks of each, k in all; rank is doc-major. Under `least` hits only their score counts."""
     own = Window.partitionBy("query_id", "doc_id").orderBy(F.desc(score), "merge_pos")
-    rows = hits.withColumn("rn", F.row_number().over(own))
+    few = F.count("*").over(Window.partitionBy("query_id")) < least
+    rows = hits.withColumn("rn", F.row_number().over(own)).withColumn("few", few)
     total = F.round(F.sum(F.when(F.col("rn") <= top, F.col(score))).over(Window.partitionBy("query_id", "doc_id")), 9)
-    rows = rows.withColumn("doc_score", total).where(F.col("rn") <= per_doc)
-    order = Window.partitionBy("query_id").orderBy(F.desc("doc_score"), "doc_id", "rn")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rn")
+    rows = rows.withColumn("doc_score", total).where(F.col("few") | (F.col("rn") <= per_doc))
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.when(F.col("few"), F.col(score)).otherwise(F.col("doc_score"))), F.when(F.col("few"), F.col("merge_pos")), "doc_id", "rn")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rn", "few")
 
 
 def search(chunks: DataFrame, queries: DataFrame, k: int = 8, rrf_k: Column | float = 60.0, weights: dict[str, float] | None = None, candidates: int | None = None, vec_queries: DataFrame | None = None, plain: DataFrame | None = None) -> DataFrame:

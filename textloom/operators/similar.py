@@ -155,6 +155,19 @@ def _verify(least: float):
 
 def first_kept(records: DataFrame, content: str, key: str, least: float) -> DataFrame:
     """key, kept_key: in order of key, a record joins the first kept one of similarity `least`, or is kept."""
+    return _greedy(*_linked(records, content, key, least))
+
+
+def pairs(records: DataFrame, content: str, key: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of similar texts with different trigram sets, each named by the smallest key of its set, and (key, rep) of all records."""
+    rows, nodes, edges = _linked(records, content, key, least)
+    name = lambda side: nodes.select(F.col("id").alias(side), F.col("rep").alias(f"{side}_key"))
+    named = edges.join(name("a"), "a").join(name("b"), "b")
+    return named.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b")), rows.join(nodes.select("h", "rep"), "h").select("key", "rep")
+
+
+def _linked(records: DataFrame, content: str, key: str, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with the names of their sets, a node for each set, and the links of similar ones."""
     spark = records.sparkSession
     rows = written(sets(records, content, key, False))
     nodes = rows.groupBy("h").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("data").alias("data"))
@@ -181,7 +194,7 @@ def first_kept(records: DataFrame, content: str, key: str, least: float) -> Data
         edges = written(pairs.groupBy("unit").cogroup(given.groupBy("of")).applyInPandas(_verify(least), "a long, b long"))
     else:
         edges = spark.createDataFrame([], "a long, b long")
-    return _greedy(rows, nodes, edges)
+    return rows, nodes, edges
 
 
 def _greedy(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..functions import query as Q
 from ..functions import text as X
-from ..operators import answering, chunking, drafts, facts, layout, matching, records, relevance, review, search, tabular
+from ..operators import answering, chunking, context, drafts, facts, layout, matching, records, relevance, review, search, similar, tabular
 from .catalog import Tables, query
 from .evaluation import PAIRS
 
@@ -851,3 +851,43 @@ def token_stream_cases(t: Tables) -> DataFrame:
     from ..streaming import events
 
     return events.assembled(table(t, "task_id string, section string, seq long, piece string", [("a", "s", 2, "two"), ("a", "s", 1, "one "), ("a", "s", 2, "two")]))
+
+
+@expect("kb VARCHAR", [("b",)])
+def register_base_cases(t: Tables) -> DataFrame:
+    return records.register_bases(table(t, "kb string", [("a",)]), table(t, "kb string", [("a",), ("b",), ("b",)]))
+
+
+@expect("term VARCHAR, docs BIGINT, times BIGINT", [("ab", 2, 3), ("abc", 1, 1)])
+def term_occurrence_cases(t: Tables) -> DataFrame:
+    """Terms within words count, and ones that overlap."""
+    return facts.term_occurrences(table(t, "doc_id int, text string", [(1, "xABcab"), (2, "ab"), (3, None)]), table(t, "term string", [("ab",), ("abc",), ("zz",), ("",)]))
+
+
+@expect("a INT, b INT", [(1, 3)])
+def similar_pair_cases(t: Tables) -> DataFrame:
+    """1 and 2 have one set; 3 differs in a letter."""
+    base = "the annual report on revenue and profit of the whole company group in detail"
+    rows = [(1, base), (2, base.upper()), (3, base + "s"), (4, "something else entirely")]
+    return similar.pairs(table(t, "id int, text string", rows), "text", "id", 0.75)[0]
+
+
+@expect("query_id INT, rank INT, chunk_id VARCHAR", [(1, 1, "b"), (1, 2, "a"), (2, 1, "c"), (2, 2, "d"), (2, 3, "f")])
+def document_limit_cases(t: Tables) -> DataFrame:
+    """Two hits stand by score though both are of one document; of three or more each document gives two, the one with the larger sum first."""
+    rows = [(1, "x", "a", 0.1, 2), (1, "x", "b", 0.2, 1), (2, "x", "c", 0.5, 1), (2, "x", "d", 0.4, 2), (2, "x", "e", 0.3, 3), (2, "y", "f", 0.6, 4)]
+    return search.limit_per_doc(table(t, "query_id int, doc_id string, chunk_id string, rrf double, merge_pos int", rows), 3).select("query_id", "rank", "chunk_id")
+
+
+@expect("query_id INT, segment INT, block VARCHAR", [(1, 1, "[1] doc=x section=S score=0.900\none\n\ntwo"), (1, 2, "[2] doc=y section=- score=0.500\n" + "z" * 900 + "…")])
+def assemble_cases(t: Tables) -> DataFrame:
+    """Neighbours join under the better score and the first one's section; a long chunk is clipped."""
+    rows = [(1, "x", 3, 0.4, "S", " one "), (1, "x", 4, 0.9, "T", "two"), (1, "y", 0, 0.5, None, "z" * 950)]
+    return context.assemble(table(t, "query_id int, doc_id string, chunk_index int, score double, section_path string, content string", rows))
+
+
+@expect("doc_id INT, relevance DOUBLE, faithfulness DOUBLE, coherence DOUBLE, completeness DOUBLE", [(1, 1.0, 0.92, 0.0, 0.5), (2, 1.0, 0.5, 1.0, 1.0)])
+def evaluate_cases(t: Tables) -> DataFrame:
+    """.4 of the rule and .6 of the judge where he says something; repeated sections don't cohere."""
+    rows = [(1, "## alpha beta\n## beta alpha", "alpha", 0.8, 0.5, '{"faithfulness": 5}'), (2, "人工智能", "人工智能", 0.5, 1.0, None)]
+    return relevance.evaluate(table(t, "doc_id int, content string, prompt string, faithful double, covered double, judge string", rows))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import query as Q
 from ..functions import text as X
-from ..operators import chunking, facts, records
+from ..operators import chunking, facts, records, relevance, similar
 from .catalog import Tables, query
 from .retrieval import CHUNKS, SENTS, chunks, first_distinct
 
@@ -148,19 +148,18 @@ def key_terms(t: Tables) -> DataFrame:
 @query("""WITH k AS (SELECT lang, regexp_extract_all(lower(text), '[a-z]{3,}') AS t FROM documents), f AS (SELECT lang, term, count(*) AS tf FROM (SELECT lang, unnest(t) AS term FROM k) GROUP BY ALL)
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY tf DESC, term) AS rank FROM f) WHERE rank <= 20""", rank="INT")
 def term_freq(t: Tables) -> DataFrame:
+    """The commonest words of each language's documents."""
     tf = t.documents.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0)).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("tf"))
     return tf.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("tf"), "term"))).where("rank <= 20")
 
 
-@query("""WITH terms AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS term FROM benchmark)),
-  k AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS term FROM documents)),
-  n AS (SELECT term, count(*) AS docs FROM k GROUP BY term)
+@query("""WITH terms AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS term FROM benchmark), u AS (SELECT DISTINCT term FROM terms),
+  n AS (SELECT term, count(*) AS docs, CAST(sum((length(x) - length(replace(x, term, ''))) // length(term)) AS BIGINT) AS times FROM u JOIN (SELECT lower(text) AS x FROM documents) ON contains(x, term) GROUP BY term)
   SELECT item_id, term, coalesce(docs, 0) AS docs FROM terms LEFT JOIN n USING (term)""")
 def coverage_gaps(t: Tables) -> DataFrame:
+    """In how many documents the terms of each item stand, also within words."""
     wanted = t.benchmark.select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), 0)).alias("term")).distinct()
-    have = t.documents.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), 0))).alias("term"))
-    n = have.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("docs"))
-    return wanted.join(n, "term", "left").select("item_id", "term", F.coalesce("docs", F.lit(0)).alias("docs"))
+    return wanted.join(facts.term_occurrences(t.documents, wanted), "term", "left").select("item_id", "term", F.coalesce("docs", F.lit(0)).alias("docs"))
 
 
 @query("""WITH d AS (SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text), s AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]{5,}|[a-z]{14,}'))) AS term FROM d)
@@ -176,17 +175,10 @@ def exact_dedup(t: Tables) -> DataFrame:
     return t.documents.groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("kept"), F.count("*").alias("copies")).where("copies > 1")
 
 
-SHINGLE = """g AS (SELECT item_id, list_distinct(list_transform(range(1, length(s) - 1), lambda i: substr(s, i::INT, 3))) AS g FROM (SELECT item_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', '', 'g') AS s FROM benchmark) WHERE length(s) >= 3)"""
-
-
-@query(f"WITH {SHINGLE} SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 6) AS jaccard FROM g a JOIN g b ON a.item_id < b.item_id WHERE len(list_intersect(a.g, b.g)) >= 0.3 * len(list_distinct(list_concat(a.g, b.g)))")
+@query()
 def shingle_jaccard_pairs(t: Tables) -> DataFrame:
-    """Pairs by an equi-join on the shingle; the overlap is counted, not recomputed."""
-    g = t.benchmark.select("item_id", X.trigrams(F.col("text")).alias("g")).withColumn("n", F.size("g"))
-    one = g.select("item_id", "n", F.explode("g").alias("s"))
-    both = one.select(F.col("item_id").alias("a"), F.col("n").alias("na"), "s").join(one.select(F.col("item_id").alias("b"), F.col("n").alias("nb"), "s"), "s").where("a < b")
-    c = both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    return c.select("a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("j")).where("j >= 0.3").select("a", "b", F.round("j", 6).alias("jaccard"))
+    """Documents of similar trigram sets, each set by its smallest doc_id; record_dedup has who holds a set."""
+    return similar.pairs(t.documents, "text", "doc_id", 0.75)[0]
 
 
 FACT = "list_filter(regexp_extract_all(text, '\\d+(?:\\.\\d+)?%?'), lambda x: length(x) >= 2)"
@@ -251,14 +243,13 @@ def record_dedup(t: Tables) -> DataFrame:
     return records.near_duplicates(t.documents, "text", "doc_id")
 
 
-@query("""WITH p AS (SELECT doc_id, unnest(l) AS para, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
-  w AS (SELECT doc_id, pos, list_distinct(regexp_extract_all(lower(para), '[a-z0-9]{2,}')) AS a FROM p),
-  n AS (SELECT doc_id, a, lead(a) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM w)
-  SELECT doc_id, count(*) AS pairs, round(avg(CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END), 6) AS overlap FROM n WHERE b IS NOT NULL GROUP BY doc_id""")
+@query(f"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {STRIP.format(c='x')}), lambda x: length(x) > 20) AS l FROM documents),
+  w AS (SELECT doc_id, pos, list_distinct(regexp_extract_all(lower(para), '[a-z0-9]{{2,}}')) AS a FROM (SELECT doc_id, unnest(l) AS para, generate_subscripts(l, 1) AS pos FROM l)),
+  n AS (SELECT doc_id, a, lead(a) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM w), j AS (SELECT doc_id, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS j FROM n WHERE len(a) > 0 AND len(b) > 0),
+  p AS (SELECT doc_id, count(*) AS pairs, avg(j) AS m, min(j) AS lo, max(j) AS hi FROM j GROUP BY doc_id)
+  SELECT d.doc_id, coalesce(pairs, 0) AS pairs, round(coalesce(m, 0), 6) AS score, round(coalesce(lo, 0), 3) AS least, round(coalesce(hi, 0), 3) AS most, coalesce(m, 0) BETWEEN 0.15 AND 0.7 AS in_range FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN p USING (doc_id)""")
 def coherence_jaccard(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "para")).withColumn("a", X.words(F.col("para")))
-    rows = rows.withColumn("b", F.lead("a").over(Window.partitionBy("doc_id").orderBy("pos"))).where("b IS NOT NULL")
-    return rows.groupBy("doc_id").agg(F.count("*").alias("pairs"), F.round(F.avg(X.jaccard(F.col("a"), F.col("b"))), 6).alias("overlap"))
+    return relevance.paragraph_coherence(t.documents, X.words)
 
 
 @query("""SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g'), ' ') AS title,

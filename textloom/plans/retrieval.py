@@ -276,7 +276,8 @@ def context_islands(t: Tables) -> DataFrame:
 
 
 @query(f"""{ISLANDS}, n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, first_index) AS segment FROM seg),
-  b AS (SELECT query_id, segment, printf('[%d] doc=%s score=%.3f', segment, doc_id::VARCHAR, score) || chr(10) || content AS block FROM n),
+  t AS (SELECT query_id, doc_id, island, string_agg(regexp_replace(regexp_replace(content, '^\\s+', ''), '\\s+$', ''), chr(10) || chr(10) ORDER BY chunk_index) AS body FROM i GROUP BY ALL),
+  b AS (SELECT query_id, segment, regexp_replace(printf('[%d] doc=%s section=%s score=%.3f', segment, doc_id::VARCHAR, '-', score) || chr(10) || body, '\\s+$', '') AS block FROM n JOIN t USING (query_id, doc_id, island)),
   u AS (SELECT *, sum(length(block) + 2) OVER (PARTITION BY query_id ORDER BY segment) AS used FROM b)
   SELECT query_id, segment, md5(block) AS block_md5 FROM u WHERE used <= 5200""", segment="INT")
 def context_budget(t: Tables) -> DataFrame:

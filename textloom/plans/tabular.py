@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import records, tabular
+from ..sources import files
 from .catalog import Tables, query
+from .retrieval import chunks
 
 COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -51,8 +53,7 @@ def chart_lines(t: Tables) -> DataFrame:
 
 @query("SELECT source AS kb, count(DISTINCT doc_id) AS docs, CAST(sum((length(text) - 1) // 700 + 1) AS BIGINT) AS chunks FROM documents WHERE length(text) > 0 GROUP BY 1")
 def kb_stats(t: Tables) -> DataFrame:
-    n = F.floor((F.length("text") - 1) / 700) + 1
-    return t.documents.where(F.length("text") > 0).groupBy(F.col("source").alias("kb")).agg(F.count_distinct("doc_id").alias("docs"), F.sum(n).alias("chunks"))
+    return records.base_stats(chunks(t))
 
 
 @query("SELECT DISTINCT source AS kb FROM documents")
@@ -127,4 +128,5 @@ def events_daily(t: Tables) -> DataFrame:
 
 @query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS INT) // 10 AS bucket, count(*) AS n FROM events GROUP BY ALL")
 def json_props(t: Tables) -> DataFrame:
-    return t.events.groupBy("event_type", F.floor(F.get_json_object("props", "$.k").cast("int") / 10).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+    rows = files.read_json_column(t.events, "props", ["k"])
+    return rows.groupBy("event_type", F.floor(F.col("k").cast("int") / 10).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
