@@ -359,8 +359,11 @@ def brute_components(pairs, least=2):
 
 
 @pytest.mark.parametrize("cell", [1, 1024])
-def test_links_by_brute_force(spark, monkeypatch, cell):
-    """With cells of one fingerprint all go through the exact second grid."""
+@pytest.mark.parametrize("sampled", [64, 1])
+def test_links_by_brute_force(spark, monkeypatch, cell, sampled):
+    """With cells of one fingerprint all go through the exact second grid, by way of the first one or, if the sample has all, at once."""
+    monkeypatch.setattr(simhash, "SAMPLED", sampled)
+    monkeypatch.setattr(simhash, "CELL", cell)
     r = random.Random(cell)
     base, fps = [r.getrandbits(64) for _ in range(6)], []
     for b in base:
@@ -371,21 +374,10 @@ def test_links_by_brute_force(spark, monkeypatch, cell):
             fps.append(x)
     rows = [(k * 7 % 151, x - (1 << 64) if x >> 63 else x) for k, x in enumerate(fps)]
     monkeypatch.setattr(simhash, "fingerprints", lambda d: d.select("doc_id", "fp"))
-    monkeypatch.setattr(simhash, "_links", _with_cell(cell))
     found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, fp long"))
     assert {x.doc_id: x.component_id for x in found.collect()} == brute_components(rows)
 
 
-def _with_cell(cell):
-    original = simhash._links
-
-    def run(batches):
-        simhash.CELL = cell
-        return original(batches)
-
-    return run
-
-
 def test_fingerprint_like_spark(spark):
     """Words, shingles and hashes by Spark's own functions."""
     from pyspark.sql import functions as F

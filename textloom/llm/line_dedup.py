@@ -25,6 +25,7 @@ from .common import Scratch, fresh_names, map_rows, raw, replace_column
 MIN_CHARS = 10
 BATCHES = 4
 FANOUT = 2
+BUCKET_ROWS = 4_000_000  # lines for each bucket of a run, if there are more than the shuffle's partitions would give
 
 
 def line_key(line: bytes) -> bytes | None:
@@ -83,7 +84,8 @@ def dropped_keys(docs: DataFrame, batches: int = BATCHES, scratch: Scratch | Non
     number = sum((F.col("doc_id") > c).cast("int") for c in cuts) if cuts else F.lit(0)
     keyed = map_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _keys, "doc_id long, key binary")
     lines = scratch.table(keyed.withColumn("batch", number), "lines", by="batch")
-    store, lost = LineRuns(scratch, int(spark.conf.get("spark.sql.shuffle.partitions"))), None
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.count() // BUCKET_ROWS)
+    store, lost = LineRuns(scratch, buckets), None
     for k in range(len(cuts) + 1):
         gone = scratch.table(store.add(lines.where(F.col("batch") == k).select("doc_id", "key")), f"lost{k}")
         lost = gone if lost is None else lost.union(gone)

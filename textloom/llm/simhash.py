@@ -28,6 +28,8 @@ from .common import Scratch, components, fresh_name, map_rows, raw
 
 BITS = 2
 CELL = 1024
+WHOLE = 1 << 62  # no cell of the second grid is dealt again
+SAMPLED = 64  # one fingerprint of so many tells which cells are large
 SEED = 42
 GROUPS = [range(0, 6), range(6, 11), range(11, 16), range(16, 21), range(21, 26), range(26, 32)]
 FREE = list(combinations(range(6), 2))
@@ -130,50 +132,54 @@ def linked(group: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> tuple[np.ndarr
     return rep[keep], best[keep]
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Input sorted by (cell, key). Rows: hot = false, (u, v) a link; hot = true, a row (cell, fp, rep) of a cell over CELL."""
-    hold, full = None, None
+def _links(most: int):
+    """Input sorted by (cell, key). Rows: hot = false, (u, v) a link; hot = true, a row (cell, fp, rep) of a cell of over `most`."""
 
-    def links(x):
-        g = np.cumsum(np.r_[0, (x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1])])
-        u, v = linked(g, x[2].view(np.uint64), x[3])
-        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(u), bool)), pa.array(np.zeros(len(u), np.int32)), pa.array(u), pa.array(v)], names=["hot", "cell", "u", "v"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold, full = None, None
 
-    def hot(x):
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(x[0]), bool)), pa.array(x[0]), pa.array(x[2]), pa.array(x[3])], names=["hot", "cell", "u", "v"])
+        def links(x):
+            g = np.cumsum(np.r_[0, (x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1])])
+            u, v = linked(g, x[2].view(np.uint64), x[3])
+            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(u), bool)), pa.array(np.zeros(len(u), np.int32)), pa.array(u), pa.array(v)], names=["hot", "cell", "u", "v"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x = [batch.column(k).to_numpy() for k in range(4)]
-        if full is not None:
-            same = (x[0] == full[0]) & (x[1] == full[1])
-            yield hot([y[same] for y in x])
-            x = [y[~same] for y in x]
-            if not len(x[0]):
+        def hot(x):
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(x[0]), bool)), pa.array(x[0]), pa.array(x[2]), pa.array(x[3])], names=["hot", "cell", "u", "v"])
+
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            full = None
+            x = [batch.column(k).to_numpy() for k in range(4)]
+            if full is not None:
+                same = (x[0] == full[0]) & (x[1] == full[1])
+                yield hot([y[same] for y in x])
+                x = [y[~same] for y in x]
+                if not len(x[0]):
+                    continue
+                full = None
+            if hold is not None:
+                x = [np.concatenate(y) for y in zip(hold, x, strict=True)]
+            cut = np.flatnonzero(np.r_[True, (x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1])])
+            sizes = np.diff(np.r_[cut, len(x[0])])
+            big = np.repeat(sizes > most, sizes)
+            if big.any():
+                yield hot([y[big] for y in x])
+                if big[-1]:
+                    full = (x[0][-1], x[1][-1])
+            tail = np.zeros(len(big), bool)
+            tail[cut[-1] :] = not big[-1]
+            mid = ~big & ~tail
+            if mid.any():
+                yield links([y[mid] for y in x])
+            hold = [y[tail] for y in x] if tail.any() else None
         if hold is not None:
-            x = [np.concatenate(y) for y in zip(hold, x, strict=True)]
-        cut = np.flatnonzero(np.r_[True, (x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1])])
-        sizes = np.diff(np.r_[cut, len(x[0])])
-        big = np.repeat(sizes > CELL, sizes)
-        if big.any():
-            yield hot([y[big] for y in x])
-            if big[-1]:
-                full = (x[0][-1], x[1][-1])
-        tail = np.zeros(len(big), bool)
-        tail[cut[-1] :] = not big[-1]
-        mid = ~big & ~tail
-        if mid.any():
-            yield links([y[mid] for y in x])
-        hold = [y[tail] for y in x] if tail.any() else None
-    if hold is not None:
-        yield links(hold)
-
-
-def _dealt(df: DataFrame) -> DataFrame:
-    return df.repartition("cell", "key").sortWithinPartitions("cell", "key", "fp").mapInArrow(_links, "hot boolean, cell int, u long, v long")
+            yield links(hold)
+
+    return run
+
+
+def _dealt(df: DataFrame, most: int) -> DataFrame:
+    return df.repartition("cell", "key").sortWithinPartitions("cell", "key", "fp").mapInArrow(_links(most), "hot boolean, cell int, u long, v long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -181,9 +187,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.table(fingerprints(docs), "prints")
     nodes = scratch.table(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "nodes")
-    found = scratch.table(_dealt(map_rows(nodes, _cells, SCHEMA, 8192)), "found")
+    cells = map_rows(nodes, _cells, SCHEMA, 8192)
+    # cells that a sample shows to be large go to the second grid at once, so that no task has to read one whole
+    seen = map_rows(nodes.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLED)) == 0), _cells, SCHEMA, 8192)
+    large = scratch.table(seen.groupBy("cell", "key").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLED > CELL).select("cell", "key"), "large")
+    any_large = bool(large.limit(1).count())
+    found = scratch.table(_dealt(cells.join(large, ["cell", "key"], "left_anti") if any_large else cells, CELL), "found")
     hot = found.where("hot").select("cell", F.col("u").alias("fp"), F.col("v").alias("rep"))
-    edges = found.where("NOT hot").select("u", "v").union(_dealt(map_rows(hot, _subcells, SCHEMA, 8192)).select("u", "v"))
+    if any_large:
+        hot = hot.union(cells.join(large, ["cell", "key"], "left_semi").select("cell", "fp", "rep"))
+    edges = found.where("NOT hot").select("u", "v").union(_dealt(map_rows(hot, _subcells, SCHEMA, 8192), WHOLE).select("u", "v"))
     stars = components(edges, scratch).select(F.col("u").alias("rep"), F.col("v").alias("low"))
     named = nodes.join(stars, "rep", "left").select("fp", F.coalesce("low", "rep").alias("component_id"))
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
