@@ -221,13 +221,27 @@ def key_values(texts: DataFrame, most: int = 10) -> DataFrame:
 
 
 def term_frequency(texts: DataFrame, toks: Column, most: int, stop: list[str] | None = None) -> DataFrame:
-    """doc_id, term, tf, rank: frequent terms, ties to the earlier one."""
-    rows = texts.select("doc_id", F.posexplode(toks).alias("pos", "term")).where(F.length("term") >= 2)
-    if stop:
-        rows = rows.where(~F.col("term").isin(stop))
-    tf = rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.min("pos").alias("first"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("tf"), "first"))
-    return tf.withColumn("rank", rank).where(F.col("rank") <= most).drop("first")
+    """doc_id, term, tf, rank: each row's frequent terms of two characters or more, ties to the earlier one. A row is counted where it lies, without a shuffle."""
+    import pyarrow as pa
+
+    kind, unwanted = dict(texts.dtypes)["doc_id"], frozenset(stop or ())
+
+    def run(batches):
+        for batch in batches:
+            at, terms, tf, rank = [], [], [], []
+            for k, found in enumerate(batch.column(1).to_pylist()):
+                counts: dict[str, int] = {}
+                for t in found or ():
+                    if len(t) > 1 and t not in unwanted:
+                        counts[t] = counts.get(t, 0) + 1
+                best = sorted(counts.items(), key=lambda x: -x[1])[:most]  # stable: the earlier one first
+                at += [k] * len(best)
+                terms += [t for t, _ in best]
+                tf += [n for _, n in best]
+                rank += range(1, len(best) + 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(terms, pa.string()), pa.array(tf, pa.int64()), pa.array(rank, pa.int32())], names=["doc_id", "term", "tf", "rank"])
+
+    return texts.select("doc_id", toks.alias("toks")).mapInArrow(run, f"doc_id {kind}, term string, tf long, rank int")
 
 
 def shared_terms(terms: DataFrame, least: int = 3) -> DataFrame:
