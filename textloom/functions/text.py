@@ -298,6 +298,28 @@ def table_markdown(headers: Column, rows: Column) -> Column:
     return F.when(width > 0, F.array_join(F.concat(F.array(line(headers), rule), F.transform(rows, line)), "\n")).otherwise(F.lit(""))
 
 
+def hash_table(c: Column) -> Column:
+    """A pipe table of a text whose cells are parted by #; lines without cells go, shorter ones are padded."""
+    rows = F.filter(F.transform(F.split(text(c), "\n"), lambda x: F.filter(F.transform(F.split(x, "#"), strip), lambda y: y != "")), lambda r: F.size(r) > 0)
+    body = lambda t: F.when(F.size(t) > 1, F.slice(t, 2, 1 << 30)).otherwise(F.array(F.array().cast("array<string>")))
+    return bound(rows, lambda t: F.when(F.size(t) > 0, table_markdown(F.coalesce(F.try_element_at(t, F.lit(1)), F.array().cast("array<string>")), body(t))).otherwise(F.lit("")))
+
+
+def skips_render(template: Column, changed: Column, drawn: bool = False) -> Column:
+    """Whether a template needs no rendering: nothing changed, or none of its placeholders did; one without any, or one that is drawn by a program, is rendered."""
+    keys = placeholders(text(template))
+    untouched = (F.size(keys) > 0) & ~F.arrays_overlap(keys, changed) & F.lit(not drawn)
+    return (F.size(changed) == 0) | untouched
+
+
+def skill_calls(c: Column) -> Column:
+    """Calls of skills in a model's JSON answer, one object or a list of them, as structs of skill and args (JSON text); none if it doesn't parse."""
+    body = F.regexp_extract(F.regexp_replace(text(c), "(?m)^```[A-Za-z]*[ \t]*$", ""), r"(?s)(\[.*\]|\{.*\})", 1)
+    listed = F.when(body.startswith("["), body).otherwise(F.concat(F.lit("["), body, F.lit("]")))
+    found = F.from_json(listed, "array<struct<skill:string,args:string>>")
+    return F.filter(F.coalesce(found, F.array().cast("array<struct<skill:string,args:string>>")), lambda x: F.coalesce(x["skill"], F.lit("")) != "")
+
+
 def dedup_line_citations(c: Column) -> Column:
     """Keeps only the first 【n】 with a number in each line."""
 

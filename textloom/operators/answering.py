@@ -225,12 +225,27 @@ def ingest(docs: DataFrame, split: Callable[[DataFrame], DataFrame], embed: Call
     return embed(rows.withColumn("chunk_id", F.concat(F.col("kb"), F.lit("::"), F.col("doc_id").cast("string"), F.lit(":"), F.col("chunk_index").cast("string"))))
 
 
-def sentence_rerank(hits: DataFrame, k: int = 8) -> DataFrame:
-    """query_id, rank, sentence: by shared terms, one more if it has a digit."""
+def fast_enough(sentences_: DataFrame, share: float = 0.5, least: int = 3, good: int = 2) -> DataFrame:
+    """query_id, fast: whether a section's sentences (query_id, score) need no model: half of them, three at least, score `good` or more."""
+    enough = F.sum((F.col("score") >= good).cast("int")) >= F.greatest(F.lit(least), F.ceil(F.count("*") * share))
+    return sentences_.groupBy("query_id").agg(enough.alias("fast"))
+
+
+def search_with_context(chunks: DataFrame, queries: DataFrame, k: int = 8, window: int = 1, plain: DataFrame | None = None) -> DataFrame:
+    """query_id, place, chunk_id, doc_id, chunk_index, is_primary, score: hits of hybrid search with neighbours and siblings, by document and place; what surrounds a hit scores 0."""
+    plain = chunks if plain is None else plain
+    hits = search.search(chunks, queries, k, plain=plain)
+    around = context.with_context(hits, plain, window).join(hits.select("query_id", "chunk_id", F.col("rrf").alias("score")), ["query_id", "chunk_id"], "left")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id", "chunk_index"))
+    return around.select("query_id", place.alias("place"), "chunk_id", "doc_id", "chunk_index", "is_primary", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def sentence_rerank(hits: DataFrame, k: int = 8, scored: bool = True) -> DataFrame:
+    """query_id, rank, sentence: by shared terms, one more if it has a digit; not `scored`, the first ones."""
     rows = hits.select("query_id", "query", F.col("rank").alias("hit"), F.posexplode(plain_sentences(text("content"))).alias("pos", "s"))
     score = F.size(F.array_intersect(F.array_distinct(tokens(F.col("s"))), F.array_distinct(tokens(text("query"))))) + F.col("s").rlike(r"\d").cast("int")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "hit", "pos")
-    return rows.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("s").alias("sentence"), "score")
+    return rows.withColumn("score", score if scored else F.lit(0)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("s").alias("sentence"), "score")
 
 
 def _each(rows: DataFrame, *keys: str) -> DataFrame:

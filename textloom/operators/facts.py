@@ -169,6 +169,20 @@ def citation_contexts(texts: DataFrame, before: int = 60, after: int = 100) -> D
     return rows.select("doc_id", "pos", F.regexp_extract("x.mark", "(\\d+)", 1).cast("int").alias("old_id"), F.replace(around, F.lit("\n"), F.lit(" ")).alias("context"))
 
 
+def citation_distribution(texts: DataFrame) -> DataFrame:
+    """doc_id, marks, ids, top_id, top_share, repeat_paragraphs, placeholders, has_references of texts with citations in either brackets."""
+    mark = r"[【\[](\d+)[】\]]"
+    ids = F.regexp_extract_all(text("text"), F.lit(mark), 1)
+    again = F.filter(F.split(text("text"), "\n\n"), lambda p: F.size(F.array_distinct(F.regexp_extract_all(p, F.lit(mark), 1))) < F.size(F.regexp_extract_all(p, F.lit(mark), 1)))
+    rows = texts.select(
+        "doc_id", ids.alias("found"), F.size(again).alias("repeat_paragraphs"), F.regexp_count(text("text"), F.lit("[（(]材料[暂缺不].*?[）)]")).alias("placeholders"), F.contains(text("text"), F.lit("## 参考文献")).alias("has_references"),
+    )
+    per = rows.select("doc_id", F.explode("found").alias("id")).groupBy("doc_id", F.col("id").cast("int").alias("id")).agg(F.count("*").alias("n"))
+    top = per.groupBy("doc_id").agg(F.max_by("id", F.struct("n", -F.col("id"))).alias("top_id"), F.max("n").alias("n"))
+    out = rows.join(top, "doc_id", "left")
+    return out.select("doc_id", F.size("found").alias("marks"), F.size(F.array_distinct("found")).alias("ids"), "top_id", F.round(F.col("n") / F.size("found"), 6).alias("top_share"), "repeat_paragraphs", "placeholders", "has_references")
+
+
 def suspicious_citations(texts: DataFrame, sources: DataFrame) -> DataFrame:
     """doc_id, pos, old_id, issue: citations without a source (doc_id, old_id, snippet), or whose surroundings share no entity with it."""
     from ..functions.text import key_entities

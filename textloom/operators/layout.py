@@ -216,6 +216,23 @@ def merge_pairs(sources: DataFrame, caps: dict[str, int]) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("o", "pos"))).select("doc_id", "n", "kind", "field", "value")
 
 
+def fuse_pairs(sources: DataFrame, most: int = 16, least: int = 3) -> DataFrame:
+    """doc_id, n, field, value, type of a form's pairs (doc_id, kind, pos, field, value): slots, layout, reading order, sections and
+    plain lines in this order, names and values without separators, each pair once. Layouts of other variants (kind layout2) count
+    where the first layout has fewer than `least` pairs."""
+    from ..functions.query import field_type
+    from ..functions.text import form_text
+
+    kinds = ["slots", "layout", "layout2", "reading", "sections", "lines"]
+    order = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))
+    laid = F.sum((F.col("kind") == "layout").cast("int")).over(Window.partitionBy("doc_id"))
+    rows = sources.withColumn("laid", laid).where((F.col("kind") != "layout2") | (F.col("laid") < least))
+    rows = rows.withColumns({"o": order, "field": form_text(F.col("field"), True), "value": form_text(F.col("value"))}).where("o > 0 AND field <> '' AND value <> ''")
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", F.lower("field"), F.lower("value")).orderBy("o", "pos"))).where("k = 1")
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("o", "pos"))).where(F.col("n") <= most)
+    return rows.select("doc_id", "n", "field", "value", field_type(F.col("field"), F.col("value")).alias("type"))
+
+
 def paired_answers(items: DataFrame) -> DataFrame:
     """doc_id, question, answer: an answer takes the last question that none has taken."""
     w = Window.partitionBy("doc_id").orderBy("pos")

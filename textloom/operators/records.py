@@ -30,6 +30,15 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("rn__", F.row_number().over(w)).where("rn__ = 1").drop("rn__")
 
 
+def repair(records: DataFrame, answers: DataFrame, key: str = "file", required: list[str] = REQUIRED) -> DataFrame:
+    """records in which fields that are missing come from a second extraction (key and fields); what is there stays."""
+    kinds = dict(records.dtypes)
+    new = answers.select(key, *[F.col(f).alias(f"{f}__") for f in required])
+    full = lambda f: F.coalesce(F.size(f) > 0 if kinds[f].startswith("array") else F.trim(text(f)) != "", F.lit(False))
+    rows = records.join(new, key, "left")
+    return rows.withColumns({f: F.when(full(f), F.col(f)).otherwise(F.coalesce(f"{f}__", f)) for f in required}).select(*records.columns)
+
+
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str], order: str = "updated_at") -> DataFrame:
     """table with rows inserted or replaced: the last writer of a key wins, the new rows over old ones of the same time."""
     both = table.withColumn("new__", F.lit(0)).unionByName(rows.withColumn("new__", F.lit(1)), allowMissingColumns=True)

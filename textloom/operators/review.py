@@ -171,6 +171,20 @@ def skip_critic(body: Column, issues: Column) -> Column:
     return (F.length(body) < 200) | (((F.length(body) < 2000) | (h2 < 3)) & (issues == 0))
 
 
+def atomic_facts(content: Column, answer: Column, most: int = 20) -> Column:
+    """Facts that a model lists for a text of 100 characters or more: lines of over five characters, `most` of them."""
+    lines = F.filter(F.transform(F.split(text(answer), "\r?\n"), strip), lambda x: F.length(x) > 5)
+    return F.when(F.length(strip(text(content))) >= 100, F.slice(lines, 1, most)).otherwise(F.array().cast("array<string>"))
+
+
+def open_aspects(aspects: DataFrame, most: int = 3) -> DataFrame:
+    """id, n, terms of the first aspects (id, pos, terms, body) that the body doesn't cover, for a second retrieval."""
+    first = F.slice("terms", 1, 3)
+    need = F.greatest(F.lit(1), F.floor(F.size(first) / 2).cast("int"))
+    rows = aspects.where(F.size(F.filter(first, lambda t: F.contains(F.col("body"), t))) < need)
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("pos"))).where(F.col("n") <= most).select("id", "n", "terms")
+
+
 def verdicts(answers: DataFrame) -> DataFrame:
     """id, n, ok: lines `3. OK` or `3: MISS` of a model's answer; a fact (id, n of facts) without a line is missed."""
     lines = answers.select("id", "facts", F.explode(F.split(text("answer"), "\n")).alias("line"))

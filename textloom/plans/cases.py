@@ -891,3 +891,75 @@ def evaluate_cases(t: Tables) -> DataFrame:
     """.4 of the rule and .6 of the judge where he says something; repeated sections don't cohere."""
     rows = [(1, "## alpha beta\n## beta alpha", "alpha", 0.8, 0.5, '{"faithfulness": 5}'), (2, "人工智能", "人工智能", 0.5, 1.0, None)]
     return relevance.evaluate(table(t, "doc_id int, content string, prompt string, faithful double, covered double, judge string", rows))
+
+
+@expect("id INT, md VARCHAR", [(0, "| Year | Sum |\n| --- | --- |\n| 2023 | 10 |\n| 2024 |  |"), (1, "")])
+def hash_table_cases(t: Tables) -> DataFrame:
+    return each(t, ["Year # Sum\n\n2023#10\n2024", " # "], X.hash_table, "md")
+
+
+@expect("id INT, skips BOOLEAN", [(0, True), (1, False), (2, True), (3, False)])
+def render_cases(t: Tables) -> DataFrame:
+    """Nothing changed; a used key changed; an unused one did; a template without placeholders."""
+    rows = table(t, "id int, t string, c array<string>", [(0, "{{a}}", []), (1, "{{a}}", ["a"]), (2, "{{a}}", ["b"]), (3, "plain", ["b"])])
+    return rows.select("id", X.skips_render(F.col("t"), F.col("c")).alias("skips"))
+
+
+@expect("id INT, calls VARCHAR", [(0, "rag:{\"q\":\"x\"}|chart:"), (1, "rag:"), (2, "")])
+def skill_call_cases(t: Tables) -> DataFrame:
+    texts = ['```json\n[{"skill": "rag", "args": {"q": "x"}}, {"skill": "chart"}, {"x": 1}]\n```', 'call {"skill": "rag"} now', "none"]
+    return each(t, texts, lambda c: F.array_join(F.transform(X.skill_calls(c), lambda x: F.concat(x["skill"], F.lit(":"), F.coalesce(x["args"], F.lit("")))), "|"), "calls")
+
+
+@expect("doc_id INT, marks INT, ids INT, top_id INT, top_share DOUBLE, repeat_paragraphs INT, placeholders INT, has_references BOOLEAN", [(1, 4, 2, 1, 0.75, 1, 1, True), (2, 0, 0, None, None, 0, 0, False)])
+def citation_distribution_cases(t: Tables) -> DataFrame:
+    return facts.citation_distribution(table(t, "doc_id int, text string", [(1, "甲【1】乙[1]\n\n丙【2】（材料暂缺数据）\n\n【1】\n## 参考文献"), (2, None)]))
+
+
+@expect("file VARCHAR, title VARCHAR, summary VARCHAR, points VARCHAR", [("a", "T", "new", "p"), ("b", "B", "S", "x")])
+def repair_cases(t: Tables) -> DataFrame:
+    """Missing fields are filled, others stay; a file without a second answer is as it was."""
+    old = table(t, "file string, title string, summary string, key_points array<string>", [("a", "T", " ", []), ("b", "B", "S", ["x"])])
+    made = records.repair(old, table(t, "file string, title string, summary string, key_points array<string>", [("a", "other", "new", ["p"])]))
+    return made.select("file", "title", "summary", F.array_join("key_points", "|").alias("points"))
+
+
+@expect("id INT, n INT", [(0, 2), (1, 0)])
+def atomic_fact_cases(t: Tables) -> DataFrame:
+    rows = table(t, "id int, c string, a string", [(0, "x" * 100, "这是第一条事实\n短\n这是第二条事实"), (1, "x" * 99, "这是第一条事实")])
+    return rows.select("id", F.size(review.atomic_facts(F.col("c"), F.col("a"))).alias("n"))
+
+
+@expect("id INT, n INT, terms VARCHAR", [(1, 1, "c,d,e,f"), (1, 2, "z")])
+def open_aspect_cases(t: Tables) -> DataFrame:
+    """Half of the first three terms (one at least) must occur: a does, c, d and e don't, nor does z."""
+    rows = [(1, 0, ["a", "b"], "a f"), (1, 1, ["c", "d", "e", "f"], "a f"), (1, 2, ["z"], "a f")]
+    return review.open_aspects(table(t, "id int, pos int, terms array<string>, body string", rows)).select("id", "n", F.array_join("terms", ",").alias("terms"))
+
+
+@expect("doc_id INT, n INT, field VARCHAR, value VARCHAR, type VARCHAR", [(1, 1, "TO", "Ada Lovelace", "NAME"), (1, 2, "TOTAL", "$ 45.20", "AMOUNT"), (1, 3, "NOTE", "late", "TEXT")])
+def form_fusion_cases(t: Tables) -> DataFrame:
+    """Slots first; the same pair of a later source counts once; another variant's layout helps as the first one has a single pair."""
+    rows = [(1, "lines", 0, "to:", "ada lovelace"), (1, "slots", 0, "To", "Ada Lovelace"), (1, "layout", 0, "Total:", "$ 45.20"), (1, "layout2", 0, "Note", "late"), (1, "odd", 0, "x", "y")]
+    return layout.fuse_pairs(table(t, "doc_id int, kind string, pos int, field string, value string", rows))
+
+
+@expect("query_id INT, fast BOOLEAN", [(1, True), (2, False), (3, False)])
+def fast_path_cases(t: Tables) -> DataFrame:
+    """Three of four; two of two are too few; three of seven are under half."""
+    rows = [(1, s) for s in (2, 2, 3, 0)] + [(2, 5), (2, 5)] + [(3, s) for s in (2, 2, 2, 0, 1, 1, 0)]
+    return answering.fast_enough(table(t, "query_id int, score int", rows))
+
+
+@expect("query_id INT, place INT, chunk_id VARCHAR, is_primary BOOLEAN, hit BOOLEAN", [(1, 1, "a", True, True), (1, 2, "b", True, True), (1, 3, "d", False, False), (1, 4, "c", True, True)])
+def context_search_cases(t: Tables) -> DataFrame:
+    """Hits by document and place with the chunk behind b, which two chunks a document keep out of the hits."""
+    chunks, asked = _small(t)
+    more = table(t, "kb string, doc_id int, chunk_id string, chunk_index int, section_path string, content string, embedding array<double>, updated_at timestamp", [("k", 1, "d", 2, "", "nothing here", [0.0, 0.5], None)])
+    found = answering.search_with_context(chunks.union(more), asked, 8)
+    return found.select("query_id", "place", "chunk_id", "is_primary", (F.col("score") > 0).alias("hit"))
+
+
+@expect("doc_id INT, kind VARCHAR, next INT", [(1, "content", 4), (1, "outline", 2)])
+def next_version_cases(t: Tables) -> DataFrame:
+    return records.next_version(table(t, "doc_id int, kind string, version int", [(1, "content", 1), (1, "content", 3), (1, "outline", 1)]))
