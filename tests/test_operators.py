@@ -383,3 +383,14 @@ def test_registry(spark):
     registry.provider(spark, "shout", model)
     spark.createDataFrame([("a",), ("bad",), (None,)], "t string").createOrReplaceTempView("texts")
     assert [r[0] for r in spark.sql("SELECT shout(t) FROM texts").collect()] == ["A", None, ""]
+
+
+def test_jdbc(spark, tmp_path):
+    """A table of an embedded database, read whole and by ranges of a column."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rows = spark.range(100).selectExpr("id", "CAST(id % 7 AS STRING) AS kind")
+    rows.write.format("jdbc").options(url=url, dbtable="chunks", driver=driver).save()
+    whole = files.read_jdbc(spark, url, "chunks", driver=driver)
+    parts = files.read_jdbc(spark, url, "chunks", ("id", 0, 100, 4), driver=driver)
+    assert whole.count() == 100 and parts.rdd.getNumPartitions() == 4 and sorted(r.ID if "ID" in r else r[0] for r in parts.collect()) == list(range(100))
