@@ -90,7 +90,7 @@ def search_small_to_big(chunks: DataFrame, queries: DataFrame, k: int = 8, plain
     best = Window.partitionBy("query_id", "chunk_id").orderBy(F.desc("sc"), "pos")
     rows = rows.withColumn("rn", F.row_number().over(best)).where("rn = 1")
     start = F.greatest(F.col("pos") - 1, F.lit(0))
-    rows = rows.select("query_id", "chunk_id", F.array_join(F.slice("sents", start + 1, F.col("pos") + 2 - start), " ").alias("snippet"), (F.col("sc") * F.col("rrf")).alias("score"))
+    rows = rows.select("query_id", "chunk_id", F.array_join(F.slice("sents", start + 1, F.col("pos") + 2 - start), " ").alias("snippet"), F.round(F.col("sc") * F.col("rrf"), 12).alias("score"))
     once = Window.partitionBy("query_id", F.md5("snippet")).orderBy(F.desc("score"), "chunk_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return rows.withColumn("rn", F.row_number().over(once)).where("rn = 1").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rn")

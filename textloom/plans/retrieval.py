@@ -98,6 +98,20 @@ FUSED = f"""
   final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_score DESC, doc_id, rn) AS rank FROM doc WHERE rn <= 2)"""
 
 
+def fused_sql(questions_: str = "", k: str = K_SQL, candidates: int = 80, lex: str = "", vec: str = "", weights: tuple[str, str, str] = ("1.0::DOUBLE",) * 3, per_doc: int = 2) -> str:
+    """The CTEs of a hybrid search up to `final`: with other questions (CTE q), fusion constant, candidates, weights and hits of a document."""
+    chunks_ = CHUNKS[: CHUNKS.index("  q AS")] + questions_ if questions_ else CHUNKS
+    fused = FUSED.replace(K_SQL, k)
+    for signal, weight in zip(("rv", "rb", "rl"), weights, strict=True):
+        fused = fused.replace(f"1.0::DOUBLE / ({k} + {signal})", f"{weight} / ({k} + {signal})")
+    fused = fused.replace("WHERE rn <= 2)", f"WHERE rn <= {per_doc})")
+    lexical = LEX.replace("WHERE rn <= 80", f"WHERE rn <= {candidates}" if not lex else f"z WHERE rn <= (SELECT {lex} FROM q qq WHERE qq.query_id = z.query_id)")
+    vector = EMB.replace("WHERE rn <= 80", f"WHERE rn <= {candidates}" if not vec else f"WHERE rn <= (SELECT {vec} FROM q qq WHERE qq.query_id = z.query_id)")
+    if vec:
+        vector = vector.replace(")\n    WHERE rn <=", ") z\n    WHERE rn <=")
+    return f"{chunks_}, {lexical}, {vector}, {fused}"
+
+
 @query(f"WITH {VEC} SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s) WHERE rn <= 10")
 def vec_topk_batch(t: Tables) -> DataFrame:
     return search.vector_search(vectors(t), vector_questions(t), 10, key="vec_id")

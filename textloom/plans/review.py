@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import answering, facts, matching, records, review, search
 from .catalog import Tables, query
-from .retrieval import HITS, LISTS, TOK, VEC, _hits, _lists, chunks, questions, vector_questions, vectors
+from .retrieval import HITS, LISTS, SENTS, TOK, VEC, _hits, _lists, chunks, fused_sql, questions, vector_questions, vectors
 
 
 @query(f"""{LISTS}, b AS (SELECT query_id, chunk_id, max(score) AS score, min(pos) AS pos FROM l WHERE pos < 12 GROUP BY ALL),
@@ -163,23 +163,56 @@ def _kb(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     return search.embedded(rows, "content"), search.embedded(questions(t), "query"), rows
 
 
-@query()
+EXACT = "(regexp_matches(query, '\\d') OR regexp_matches(query, '[A-Z]{2,}|[A-Z]+/[A-Z]+'))"
+
+
+def _adaptive_sql(k: int) -> str:
+    """Candidates by kind of question, weights of terms, three chunks a document; then the hits that are best against those chosen, step by step."""
+    special = f"len(list_filter(list_transform({TOK.format(c='query')}, lambda t: substr(t, 1, 32)), lambda t: length(t) BETWEEN 2 AND 6)) >= 3"
+    weight = lambda a, b, c: f"CASE WHEN {special} THEN {a} WHEN {EXACT} THEN {b} WHEN length(query) > 40 THEN {c} ELSE 1.0 END::DOUBLE"
+    out = "WITH " + fused_sql(
+        lex=f"CASE WHEN {EXACT.replace('query', 'qq.query')} THEN {18 * k} ELSE {12 * k} END", vec=f"CASE WHEN {EXACT.replace('query', 'qq.query')} THEN {10 * k} ELSE {15 * k} END",
+        weights=(weight(1.15, 0.95, 1.05), weight(0.9, 1.1, 1.0), weight(0.9, 1.1, 0.95)), per_doc=3,
+    )
+    out += f", s1 AS (SELECT query_id, chunk_id, doc_id, rrf AS score, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id) AS rn FROM final WHERE rank <= {3 * k}), t1 AS (SELECT *, 1 AS place FROM s1 WHERE rn = 1)"
+    for n in range(2, k + 1):
+        out += f""", t{n} AS MATERIALIZED (SELECT * FROM t{n - 1} UNION ALL SELECT query_id, chunk_id, doc_id, score, rn, {n} FROM (
+          SELECT s.*, row_number() OVER (PARTITION BY s.query_id ORDER BY 0.4::DOUBLE * s.score - 0.6::DOUBLE * CASE WHEN EXISTS (SELECT 1 FROM t{n - 1} x WHERE x.query_id = s.query_id AND x.doc_id = s.doc_id) THEN 0.5::DOUBLE ELSE 0::DOUBLE END DESC, s.rn) AS z
+          FROM s1 s WHERE NOT EXISTS (SELECT 1 FROM t{n - 1} x WHERE x.query_id = s.query_id AND x.chunk_id = s.chunk_id)) WHERE z = 1)"""
+    return out + f" SELECT query_id, place AS rank, chunk_id, doc_id, score FROM t{k}"
+
+
+@query(_adaptive_sql(8), rank="INT")
 def search_adaptive(t: Tables) -> DataFrame:
     rows, asked, plain = _kb(t)
     return answering.search_adaptive(rows, asked, plain=plain)
 
 
-@query()
+PARTS = "string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+ASKED = f"""  q AS (SELECT item_id || '/' || (generate_subscripts(p, 1) - 1) AS query_id, unnest(p) AS query FROM (SELECT item_id, list_filter({PARTS}, lambda x: x <> '') AS p FROM benchmark))"""
+
+
+@query(f"""WITH {fused_sql(ASKED, "60")}, l AS (SELECT split_part(query_id, '/', 1)::BIGINT AS query_id, split_part(query_id, '/', 2)::INT AS subquery, chunk_id, rank AS pos FROM final WHERE rank <= 8),
+  f AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY pos, subquery) AS n FROM l)
+  SELECT query_id, rank, chunk_id FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY pos, subquery) AS rank FROM f WHERE n = 1) WHERE rank <= 8""", rank="INT")
 def search_expanded(t: Tables) -> DataFrame:
+    """The sentences of each question as sub-queries."""
     rows, asked, plain = _kb(t)
     subs = search.embedded(asked.drop("embedding").select("query_id", F.posexplode(F.filter(F.split("query", "(?<=[.!?])\\s+"), lambda x: x != "")).alias("subquery", "query")), "query")
     return answering.search_expanded(rows, subs, plain=plain)
 
 
-@query()
+DISTINCT = "list_distinct(list_transform(" + TOK + ", lambda t: substr(t, 1, 32)))"
+
+
+@query(f"""WITH {fused_sql("", "60", 160)}, x AS (SELECT query_id, chunk_id, rrf, query, {SENTS.format(c="content")} AS sents FROM final WHERE rank <= 32),
+  p AS (SELECT *, unnest(sents) AS s, generate_subscripts(sents, 1) AS pos FROM x), k AS (SELECT *, len(list_intersect({DISTINCT.format(c="s")}, {DISTINCT.format(c="query")})) / greatest(len({DISTINCT.format(c="query")}), 1) AS sc FROM p),
+  b AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY sc DESC, pos) AS rn FROM k), n AS (SELECT query_id, chunk_id, array_to_string(sents[greatest(pos - 1, 1):pos + 1], ' ') AS snippet, round(sc * rrf, 12) AS score FROM b WHERE rn = 1),
+  u AS (SELECT *, row_number() OVER (PARTITION BY query_id, md5(snippet) ORDER BY score DESC, chunk_id) AS c FROM n)
+  SELECT query_id, chunk_id, md5(snippet) AS snippet, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM u WHERE c = 1) WHERE rank <= 8""", rank="INT")
 def search_small_to_big(t: Tables) -> DataFrame:
     rows, asked, plain = _kb(t)
-    return answering.search_small_to_big(rows, asked, plain=plain)
+    return answering.search_small_to_big(rows, asked, plain=plain).withColumn("snippet", F.md5("snippet"))
 
 
 SPLIT = "list_filter(regexp_split_to_array(lower({c}), '\\s+'), lambda x: x <> '')"
