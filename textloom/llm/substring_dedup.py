@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import secrets
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -209,7 +209,7 @@ def _stretches():
         for a, b in chunks([t for _, t in pairs]):
             split = [t.split() for _, t in pairs[a:b]]
             sizes = np.array([len(words) for words in split], np.int64)
-            names = np.fromiter((name(w) for words in split for w in words), np.uint64, int(sizes.sum()))
+            names = np.fromiter(map(name, chain.from_iterable(split)), np.uint64, int(sizes.sum()))
             if len(names) < WINDOW:
                 continue
             p, n, found = anchors(names, sizes)
