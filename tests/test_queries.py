@@ -10,13 +10,16 @@ from .conftest import SF
 load()
 
 
+EMPTY = {"doc_overlap", "empty_embeddings", "kv_pairs"}  # nothing of the kind in the smallest tables; the cases of these rules have rows
+
+
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, duck, name):
     df = catalog.QUERIES[name](spark, SF)
     if name in catalog.SQL:
         same(df, duck, catalog.SQL[name])
-    else:
-        assert df.count() >= 0
+    if name not in EMPTY:
+        assert df.limit(1).count() == 1
 
 
 def test_entry(spark):
