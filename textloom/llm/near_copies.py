@@ -171,23 +171,31 @@ def near_links(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> tup
     scratch = Scratch(docs.sparkSession, "near_copies")
     some = _sets(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0), words, lambda s: s.tolist(), "array<long>")
     top = some.dropDuplicates(["h"]).select(F.explode("data").alias("s")).groupBy("s").agg(F.count("*").alias("k")).where(F.col("k") >= FREQUENT).orderBy(F.desc("k"), "s").limit(MOST)
+    top = scratch.table(top.select("s"), "frequent")
     frequent = np.sort(np.array([r[0] for r in top.collect()], np.int64))
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
     prints = scratch.table(_sets(docs, words, lambda s: prefix(s, sent.value, least), "array<long>"), "prints")
     names = scratch.table(prints.select("doc_id", "h"), "names")
     nodes = scratch.table(prints.where("doc_id IS NOT NULL").groupBy("h").agg(F.min(F.struct("doc_id", "n", "sketch", "data")).alias("x")).select("h", F.col("x.doc_id").alias("rep"), "x.n", "x.sketch", "x.data"), "nodes")
     scratch.drop("prints")
-    lists = nodes.select(F.explode("data").alias("s"), "rep", "n").withColumn("k", F.count("*").over(Window.partitionBy("s"))).where("k > 1")
-    lists = scratch.table(lists.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("rep", "n"))).alias("xs")), "lists")
+    places = nodes.select(F.explode("data").alias("s"), F.struct("rep", "n").alias("x"))
+    # frequent shingles are counted before any exchange, and nodes of long lists of these are not moved; others have long lists by chance only
+    heads = scratch.table(places.join(F.broadcast(top), "s", "left_semi").groupBy("s").agg(F.count("*").alias("k"), F.min("x").alias("c")).where("k > 1"), "heads")
+    often = places.join(F.broadcast(heads), "s")
+    by = Window.partitionBy("s")
+    seldom = places.join(F.broadcast(top), "s", "left_anti").withColumn("k", F.count("*").over(by)).withColumn("c", F.min("x").over(by)).where("k > 1")
+    part = F.when(F.col("k") > LIST, F.col("x.rep"))  # a short list is one row, a long one has a row for each node: none is held whole
+    gathered = lambda df: df.groupBy("s", "k", "c", part.alias("part")).agg(F.array_sort(F.collect_list("x")).alias("xs")).select("k", "c", "xs")
+    lists = scratch.table(gathered(seldom).union(gathered(often.where(F.col("k") <= LIST))), "lists")
+    long = scratch.table(often.where(F.col("k") > LIST).select("c", F.array("x").alias("xs")).union(lists.where(F.col("k") > LIST).select("c", "xs")), "long")
     near = (F.col("p.n") >= least * F.col("q.n") - 1e-9) & (F.col("q.n") >= least * F.col("p.n") - 1e-9) & (F.col("p.rep") < F.col("q.rep"))
     pair = lambda df: df.where(near).select(F.col("p.rep").alias("u"), F.col("q.rep").alias("v"))
-    short = lists.where(F.size("xs") <= LIST).select("xs", F.explode("xs").alias("p")).select("p", F.explode("xs").alias("q"))
-    long = lists.where(F.size("xs") > LIST)
-    first = pair(short).union(pair(long.select(F.element_at("xs", 1).alias("p"), F.explode("xs").alias("q"))))
+    short = lists.where(F.col("k") <= LIST).select("xs", F.explode("xs").alias("p")).select("p", F.explode("xs").alias("q"))
+    first = pair(short).union(pair(long.select(F.col("c").alias("p"), F.explode("xs").alias("q"))))
     pairs = scratch.table(first.distinct(), "pairs")
     likely = scratch.table(_possible(pairs, nodes, least), "likely")
     edges = scratch.table(_verified(likely, _whole(docs, nodes, likely, words, scratch, "used"), least), "links")
-    members = scratch.table(long.select(F.element_at("xs", 1)["rep"].alias("centre"), F.explode("xs").alias("x")).select("centre", "x.rep", "x.n").distinct(), "members")
+    members = scratch.table(long.select(F.col("c.rep").alias("centre"), F.explode("xs").alias("x")).select("centre", "x.rep", "x.n").distinct(), "members")
     if members.limit(1).count():
         stars = components(edges, Scratch(docs.sparkSession, "near_stars")).select(F.col("u").alias("rep"), F.col("v").alias("low"))
         named = scratch.table(members.join(stars, "rep", "left").select("centre", "rep", "n", F.coalesce("low", "rep").alias("low")), "named")
