@@ -1,6 +1,6 @@
 """The queries of this subpackage, by the names under which they are registered."""
 
-from . import langid, line_dedup, media, packing, pieces, quality, simhash, substring_dedup, token_counts, topk
+from . import langid, line_dedup, media, packing, pieces, quality, simhash, substring_dedup, token_counts, topk, vector_codes
 
 QUERIES = {
     "op1_exact_topk": topk.query,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_language_id": langid.query,
     "op9_simhash_near_dedup": simhash.query,
     "op10_line_dedup": line_dedup.query,
+    "op11_vector_codes": vector_codes.query,
 }
 
 ORACLES = {
     "op1_exact_topk": topk.ORACLE,
     "op5_substring_dedup": substring_dedup.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
 }
