@@ -1,6 +1,6 @@
 """The queries of this subpackage, by the names under which they are registered."""
 
-from . import html_text, langid, line_dedup, media, packing, pieces, quality, simhash, substring_dedup, token_counts, topk, vector_codes
+from . import html_text, langid, line_dedup, media, packing, pieces, quality, simhash, substring_dedup, token_counts, topk, variants, vector_codes
 
 QUERIES = {
     "op1_exact_topk": topk.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_line_dedup": line_dedup.query,
     "op11_vector_codes": vector_codes.query,
     "op12_html_extraction": html_text.query,
+    "op13_spelling_variants": variants.query,
 }
 
 ORACLES = {
