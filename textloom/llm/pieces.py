@@ -106,6 +106,7 @@ class PieceCoder:
         for p in made:
             self.automaton.add_word(p, p)
         self.automaton.make_automaton()
+        self.longest = max(map(len, made))  # a step of the automaton is given no more, as it costs time in proportion to what it gets
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.ids), None) for p in made}
         self.compatible = Memo(lambda pair: self.merge(pair[0] + pair[1]) == [*pair], 1_000_000)
         apart = not any(re.search(r"[^ ] |\n", p) for p in named)
@@ -134,8 +135,8 @@ class PieceCoder:
     def split(self, text: str) -> list[str]:
         """The pieces of a text whose characters are all known."""
         out, at, size, failed = [], 0, len(text), bytearray((len(text) >> 3) + 1)
-        longest, compatible, shorter = self.automaton.iter_long, self.compatible, self.shorter
-        piece = next(longest(text, 0))[1]
+        longest, compatible, shorter, most = self.automaton.iter_long, self.compatible, self.shorter, self.longest
+        piece = next(longest(text[:most]))[1]
         while True:
             end = at + len(piece)
             if not failed[end >> 3] >> (end & 7) & 1 and (not out or compatible[out[-1], piece]):
@@ -143,7 +144,7 @@ class PieceCoder:
                 if end == size:
                     return out
                 at = end
-                piece = next(longest(text, at))[1]
+                piece = next(longest(text[at : at + most]))[1]
                 continue
             piece = shorter[piece]
             if piece is None:  # nothing goes on from here: the piece before must be shorter
