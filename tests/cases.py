@@ -1,4 +1,4 @@
-"""Queries over small literal tables whose results are worked out by hand: rules of the application that no table of the corpus exercises."""
+"""Rules over small literal tables whose results are worked out by hand. They are tests only, none is a registered query."""
 
 from __future__ import annotations
 
@@ -7,26 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import metrics as M
-from ..functions import query as Q
-from ..functions import text as X
-from ..operators import answering, chunking, context, drafts, facts, layout, matching, records, relevance, review, search, similar, tabular
-from .catalog import Tables, query
-from .evaluation import PAIRS
+from textloom.functions import metrics as M
+from textloom.functions import query as Q
+from textloom.functions import text as X
+from textloom.operators import answering, chunking, context, drafts, facts, layout, matching, records, relevance, review, search, similar, tabular
+from textloom.plans.catalog import Tables, sql_value
 
 Maker = Callable[[Tables], DataFrame]
+CASES: dict[str, tuple[Maker, str]] = {}
 
 
-def sql_value(x) -> str:
-    if x is None:
-        return "NULL"
-    if isinstance(x, bool):
-        return str(x).lower()
-    if isinstance(x, str):
-        return "'" + x.replace("'", "''") + "'"
-    if isinstance(x, list):
-        return "[" + ", ".join(map(sql_value, x)) + "]"
-    return repr(x)
+def query(sql: str):
+    """Adds f(tables) with the SQL of its rows."""
+
+    def add(f: Maker) -> Maker:
+        CASES[f.__name__] = (f, sql)
+        return f
+
+    return add
 
 
 def expect(columns: str, rows: list[tuple]):
@@ -49,14 +47,6 @@ def each(t: Tables, texts: list, f, name: str = "x", kind: str = "string") -> Da
 # questions and messages
 
 
-@query(f"""SELECT item_id, regexp_matches(text, '\\d') AS has_numbers, regexp_matches(text, '[A-Z]{{2,}}|[A-Z]+/[A-Z]+') AS has_tech, c AS concreteness, length(text)::INT AS length,
-  CASE WHEN regexp_matches(text, '\\d') OR regexp_matches(text, '[A-Z]{{2,}}|[A-Z]+/[A-Z]+') THEN 30 WHEN length(text) > 60 THEN 96 WHEN c < 0.3 THEN 84 WHEN c > 0.7 THEN 39 ELSE 60 END AS k
-  FROM (SELECT *, CASE WHEN a + b = 0 THEN 0.5 ELSE b / (a + b) END::DOUBLE AS c FROM (SELECT item_id, text, len(list_filter({sql_value(Q.ABSTRACT)}, lambda w: contains(text, w))) AS a, len(list_filter({sql_value(Q.CONCRETE)}, lambda w: contains(text, w))) AS b FROM benchmark))""")
-def query_profile(t: Tables) -> DataFrame:
-    p = Q.profile(F.col("text"))
-    return t.benchmark.select("item_id", p["has_numbers"].alias("has_numbers"), p["has_tech_terms"].alias("has_tech"), p["concreteness"].alias("concreteness"), p["length"].alias("length"), M.adaptive_k(F.col("text")).alias("k"))
-
-
 @expect("id INT, c DOUBLE, k INT", [(0, 0.0, 84), (1, 1.0, 39), (2, 0.5, 60), (3, 0.5, 30), (4, 0.5, 96)])
 def profile_cases(t: Tables) -> DataFrame:
     texts = ["为什么会有这种趋势", "流程和金额", "天气", "RAG 2024", "天" * 61]
@@ -615,14 +605,6 @@ def pair_fusion_cases(t: Tables) -> DataFrame:
     return layout.merge_pairs(table(t, "doc_id int, kind string, pos int, field string, value string", rows), {"slots": 4, "lines": 4})
 
 
-@query(f"""WITH {PAIRS} SELECT conv_id, round(avg(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END), 6) AS similarity
-  FROM (SELECT conv_id, list_distinct(regexp_extract_all(lower(a), '[a-z0-9]{{2,}}|[一-鿿]')) AS x, list_distinct(regexp_extract_all(lower(b), '[a-z0-9]{{2,}}|[一-鿿]')) AS y FROM p) GROUP BY conv_id""")
-def turn_similarity(t: Tables) -> DataFrame:
-    from .evaluation import _pairs
-
-    return _pairs(t).groupBy("conv_id").agg(F.round(F.avg(X.jaccard(X.similarity_tokens(F.col("a")), X.similarity_tokens(F.col("b")))), 6).alias("similarity"))
-
-
 # what whole tables leave untested
 
 
@@ -830,7 +812,7 @@ def float_list_cases(t: Tables) -> DataFrame:
 @expect("doc_id INT, chars INT, marks INT", [(1, 21001, 0), (2, 9 * 1001 + sum(len(f"[Page {k}] ") for k in range(1, 10)) - 1, 9)])
 def page_range_cases(t: Tables) -> DataFrame:
     """Three long pages stop once 20000 characters are passed; nine pages make two ranges, each with room for all of its pages."""
-    from ..sources import files
+    from textloom.sources import files
 
     pages = [(1, k, "x" * n) for k, n in ((1, 15000), (2, 6000), (3, 10))] + [(2, k, "y" * 1000) for k in range(1, 10)]
     made = files.page_ranges(table(t, "doc_id int, page int, text string", pages))
@@ -839,7 +821,7 @@ def page_range_cases(t: Tables) -> DataFrame:
 
 @expect("task_id VARCHAR, state VARCHAR", [("a", "paused"), ("b", "running"), ("c", "cancelled")])
 def control_cases(t: Tables) -> DataFrame:
-    from ..streaming import events
+    from textloom.streaming import events
 
     rows = [("a", 1, "pause"), ("b", 1, "pause"), ("b", 2, "resume"), ("c", 1, "cancel"), ("c", 2, "resume"), ("c", 3, "section")]
     made = table(t, "task_id string, seq long, kind string", rows).withColumn("updated_at", F.timestamp_seconds(F.col("seq")))
@@ -848,7 +830,7 @@ def control_cases(t: Tables) -> DataFrame:
 
 @expect("task_id VARCHAR, section VARCHAR, text VARCHAR", [("a", "s", "one two")])
 def token_stream_cases(t: Tables) -> DataFrame:
-    from ..streaming import events
+    from textloom.streaming import events
 
     return events.assembled(table(t, "task_id string, section string, seq long, piece string", [("a", "s", 2, "two"), ("a", "s", 1, "one "), ("a", "s", 2, "two")]))
 

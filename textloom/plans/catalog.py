@@ -12,6 +12,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def sql_value(x) -> str:
+    """A Python value as SQL."""
+    if x is None:
+        return "NULL"
+    if isinstance(x, bool):
+        return str(x).lower()
+    if isinstance(x, str):
+        return "'" + x.replace("'", "''") + "'"
+    if isinstance(x, list):
+        return "[" + ", ".join(map(sql_value, x)) + "]"
+    return repr(x)
+
+
 class Tables:
     """Tables of a folder, read when asked for."""
 
