@@ -1,7 +1,6 @@
 """Fuzzy matches between short texts, where a ratio of matching blocks is asked for.
 
-The ratio has no counterpart among built-in functions, so it runs in Arrow batches over candidate pairs. Candidates come
-from an equi-join within a document or task (`by`), whose two sides are its headings, keys or sources.
+The ratio has no counterpart among built-in functions, so it runs in Arrow batches; fuzzy.py finds the pairs that need it.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.text import jaccard, similarity_tokens, text
+from . import fuzzy
 
 
 @F.pandas_udf(DoubleType())
@@ -22,16 +22,6 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf(DoubleType())
-def ratio_above(a: pd.Series, b: pd.Series, cut: pd.Series) -> pd.Series:
-    """The ratio where its cheap bounds (by lengths, then by characters) reach the cut; else 0."""
-    out = []
-    for x, y, least in zip(a, b, cut, strict=True):
-        m = SequenceMatcher(None, x or "", y or "")
-        out.append(m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else 0.0)
-    return pd.Series(out)
-
-
 def text_similarity(a: str, b: str) -> Column:
     """The larger of the Jaccard similarity of words and CJK characters and the ratio of matching blocks."""
     return F.greatest(jaccard(similarity_tokens(F.col(a)), similarity_tokens(F.col(b))), ratio(F.trim(text(a)), F.trim(text(b))))
@@ -39,22 +29,14 @@ def text_similarity(a: str, b: str) -> Column:
 
 def best_headings(keys: DataFrame, headings: DataFrame, by: list[str], least: float = 0.35) -> DataFrame:
     """by, key, heading, score: the heading nearest to each template key; .3 more if one holds the other; none under `least`."""
-    pairs = keys.join(headings, by)
-    holds = F.contains("heading", F.col("key")) | F.contains("key", F.col("heading"))
-    bonus = F.when(holds, 0.3).otherwise(0.0)
-    scored = pairs.withColumn("score", F.round(ratio_above("key", "heading", F.lit(least) - bonus) + bonus, 6))
-    w = Window.partitionBy(*by, "key").orderBy(F.desc("score"), "pos")
-    best = scored.withColumn("rn", F.row_number().over(w)).where((F.col("rn") == 1) & (F.col("score") >= least)).select(*by, "key", "heading", "score")
+    best = fuzzy.best_matches(keys, headings, "key", "heading", by, least, fuzzy.Score(bonus=0.3)).drop("scored")
     return keys.join(best, [*by, "key"], "left")
 
 
 def match_sources(cites: DataFrame, sources: DataFrame, by: list[str], least: float = 0.35) -> DataFrame:
-    """by, cite, source, score: 1 where one holds the other, else the ratio; null source under `least`."""
-    pairs = cites.join(sources, by)
-    holds = F.contains("source", F.col("cite")) | F.contains("cite", F.col("source"))
-    scored = pairs.withColumn("score", F.when(holds, F.lit(1.0)).otherwise(F.round(ratio_above("cite", "source", F.when(holds, 2.0).otherwise(F.lit(least))), 6)))
-    w = Window.partitionBy(*by, "cite").orderBy(F.desc("score"), "pos")
-    best = scored.withColumn("rn", F.row_number().over(w)).where((F.col("rn") == 1) & (F.col("score") >= least)).select(*by, "cite", "source", "score")
+    """by, cite, source, score: 1 where one holds the other, else the ratio; null source under `least`. Of a citation with no better
+    match than one half, the first source that holds one of its words."""
+    best = fuzzy.best_matches(cites, sources, "cite", "source", by, least, fuzzy.Score(whole=1.0, weak=0.5)).drop("scored")
     return cites.join(best, [*by, "cite"], "left")
 
 

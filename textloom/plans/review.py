@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import answering, facts, matching, records, review, search
+from ..operators import answering, facts, fuzzy, matching, records, review, search
 from .catalog import Tables, query
 from .retrieval import HITS, LISTS, SENTS, TOK, VEC, _hits, _lists, chunks, fused_sql, questions, vector_questions, vectors
 
@@ -261,6 +261,13 @@ def fuzzy_headings(t: Tables) -> DataFrame:
     return matching.best_headings(keys, heads, ["p_brand", "p_size"])
 
 
+@query()
+def fuzzy_names(t: Tables) -> DataFrame:
+    """Each type of part against the names of all parts, and how many pairs had to be matched block by block."""
+    names = t.part.select(F.col("p_name").alias("name"), F.col("p_partkey").alias("pos"))
+    return fuzzy.best_matches(t.part.select(F.col("p_type").alias("key")), names, "key", "name", [], 0.35, fuzzy.Score(bonus=0.3))
+
+
 @query("SELECT doc_id, len(regexp_extract_all(text, '【(\\d+)】'))::INT AS cites, regexp_matches(text, '\\[\\d{1,3}\\]') AS half FROM documents")
 def citation_counts(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(F.regexp_extract_all(X.text("text"), F.lit("【(\\d+)】"), 1)).alias("cites"), F.col("text").rlike(r"\[\d{1,3}\]").alias("half"))
