@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .edits import best_similarity, edit_distance
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -25,19 +26,18 @@ def dcg(gain: Column, rank: Column) -> Column:
 
 
 def edit_similarity(a: Column, b: Column) -> Column:
-    """1 - edit distance / longer length, 1 for two empty texts."""
+    """1 - edit distance / longer length, 1 for two empty texts; for short ones (edits.py has long ones)."""
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
 def anls(prediction: Column, answers: Column) -> Column:
     """Best edit similarity to any answer, ignoring case."""
-    best = F.array_max(F.transform(answers, lambda x: edit_similarity(F.lower(F.trim(prediction)), F.lower(F.trim(x)))))
-    return F.coalesce(best, F.lit(0.0))
+    return F.coalesce(best_similarity(F.lower(F.trim(prediction)), F.transform(answers, lambda x: F.lower(F.trim(x)))), F.lit(0.0))
 
 
 def character_error_rate(prediction: Column, truth: Column) -> Column:
-    return F.levenshtein(prediction, truth) / F.greatest(F.length(truth), F.lit(1))
+    return edit_distance(prediction, truth) / F.greatest(F.length(truth), F.lit(1))
 
 
 def line_accuracy(prediction: Column, truth: Column) -> Column:

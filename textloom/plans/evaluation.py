@@ -10,7 +10,8 @@ from ..functions import query as Q
 from ..functions import text as X
 from .catalog import Tables, query, sql_value
 
-ASCII = "regexp_replace({c}, '[^ -~\\n]', '', 'g')"  # the SQL engine measures edits in bytes
+# the SQL engine measures edits in bytes: the letters of more than one that the table holds become control characters
+ONE_BYTE = "translate({c}, 'éèêçñóíäöüßÉÈÊÇÑÓÍÄÖÜ', " + " || ".join(f"chr({k})" for k in (*range(1, 9), *range(14, 27))) + ")"
 PAIRS = "p AS (SELECT conv_id, u.text AS a, s.text AS b FROM conversations u JOIN conversations s USING (conv_id) WHERE u.role = 'user' AND s.role = 'assistant' AND s.turn = u.turn + 1)"
 
 
@@ -37,22 +38,17 @@ def set_prf(t: Tables) -> DataFrame:
     return _pairs(t).groupBy("conv_id").agg(F.round(both / F.greatest(F.sum(F.size(x)), F.lit(1)), 6).alias("precision_"), F.round(both / F.greatest(F.sum(F.size(y)), F.lit(1)), 6).alias("recall"))
 
 
-FOLDED = f"{PAIRS}, e AS (SELECT conv_id, {ASCII.format(c='a')} AS a, {ASCII.format(c='b')} AS b FROM p)"
-
-
-def _folded(t: Tables) -> DataFrame:
-    return _pairs(t).select("conv_id", *[F.regexp_replace(c, "[^ -~\n]", "").alias(c) for c in ("a", "b")])
-
-
-@query(f"""WITH {FOLDED} SELECT conv_id, round(avg(1 - levenshtein(lower(trim(a, ' ')), lower(trim(b, ' '))) / greatest(length(trim(a, ' ')), length(trim(b, ' ')), 1)), 6) AS anls FROM e GROUP BY conv_id""")
+@query(f"""WITH {PAIRS}, e AS (SELECT conv_id, {ONE_BYTE.format(c="lower(trim(a, ' '))")} AS a, {ONE_BYTE.format(c="lower(trim(b, ' '))")} AS b FROM p)
+  SELECT conv_id, round(avg(1 - levenshtein(a, b) / greatest(length(a), length(b), 1)), 6) AS anls FROM e GROUP BY conv_id""")
 def anls(t: Tables) -> DataFrame:
-    """Answers against what was asked, whole turns."""
-    return _folded(t).groupBy("conv_id").agg(F.round(F.avg(M.anls(F.col("a"), F.array("b"))), 6).alias("anls"))
+    """Answers against what was asked, whole turns with all their characters."""
+    return _pairs(t).groupBy("conv_id").agg(F.round(F.avg(M.anls(F.col("a"), F.array("b"))), 6).alias("anls"))
 
 
-@query(f"""WITH {FOLDED} SELECT conv_id, round(avg(levenshtein(a, b) / greatest(length(b), 1)), 6) AS cer FROM e GROUP BY conv_id""")
+@query(f"""WITH {PAIRS}, e AS (SELECT conv_id, {ONE_BYTE.format(c="a")} AS a, {ONE_BYTE.format(c="b")} AS b FROM p)
+  SELECT conv_id, round(avg(levenshtein(a, b) / greatest(length(b), 1)), 6) AS cer FROM e GROUP BY conv_id""")
 def cer(t: Tables) -> DataFrame:
-    return _folded(t).groupBy("conv_id").agg(F.round(F.avg(M.character_error_rate(F.col("a"), F.col("b"))), 6).alias("cer"))
+    return _pairs(t).groupBy("conv_id").agg(F.round(F.avg(M.character_error_rate(F.col("a"), F.col("b"))), 6).alias("cer"))
 
 
 @query("""SELECT doc_id, CASE WHEN toxic > 0 THEN round(0.4 * quality + 0.6 * toxic, 3) ELSE round(quality, 3) END::DOUBLE AS blended, quality >= 0.6 AND 1 - toxic >= 0.5 AS passed FROM labels""")
