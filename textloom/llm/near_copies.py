@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from ..operators.similar import folded, most_apart
 from .common import Scratch, components, fresh_name, map_rows, raw
-from .simhash import near_duplicates
+from .simhash import fingerprint
+from .simhash import links as simhash_links
 
 WORDS = 5
 LEAST = 0.8
@@ -35,13 +36,19 @@ FREQUENT = 8  # times that it occurs in the sample
 MOST = 100_000  # frequent shingles that the driver gets
 FEW = 1_000_000  # ids, of 8 bytes each, up to which they are broadcast
 SEED = 42
+MIX = np.uint64(0x9FB21C651E98DF25)
 
 
 def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
+    """Hashes of runs of words, made of the words' own hashes, each of which is taken once."""
     found = (text or b"").lower().split()
-    parts = map(b" ".join, zip(*(found[k:] for k in range(words)), strict=False)) if len(found) >= words else [b" ".join(found)]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(p, SEED) for p in parts], "<u8")).view("<i8")
+    own = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in found), np.uint64, len(found))
+    run = min(words, len(own))
+    x = np.full(max(1, len(own) - run + 1), run, np.uint64)
+    for k in range(run):
+        x = x * MIX + own[k : len(own) - run + 1 + k]
+    x = (x ^ (x >> np.uint64(32))) * MIX
+    return np.unique(x ^ (x >> np.uint64(29))).view(np.int64)
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -60,19 +67,22 @@ def prefix(s: np.ndarray, frequent: np.ndarray, least: float) -> np.ndarray:
     return np.concatenate([s[~last], s[last]])[:n]
 
 
-def _sets(docs: DataFrame, words: int, make_row, kind: str) -> DataFrame:
-    """doc_id, h (names the set), n, sketch, data."""
+def _sets(docs: DataFrame, words: int, make_row, kind: str, with_print: bool = False) -> DataFrame:
+    """doc_id, h (names the set), n, sketch, data, and SimHash's fingerprint fp if it is asked for."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [shingles(t, words) for t in raw(batch.column(1))]
+            texts = raw(batch.column(1))
+            found = [shingles(t, words) for t in texts]
             own = [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), pa.array(list(map(len, found)), pa.int32()), pa.array(list(map(sketch, found)), pa.binary())]
-            data = pa.array([make_row(s) for s in found], pa.binary() if kind == "binary" else pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([batch.column(0), *own, data], names=["doc_id", "h", "n", "sketch", "data"])
+            own.append(pa.array([make_row(s) for s in found], pa.binary() if kind == "binary" else pa.list_(pa.int64())))
+            if with_print:
+                own.append(pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)))
+            return pa.RecordBatch.from_arrays([batch.column(0), *own], names=["doc_id", "h", "n", "sketch", "data", *(["fp"] * with_print)])
 
         return each
 
-    return map_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, f"doc_id long, h binary, n int, sketch binary, data {kind}")
+    return map_rows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, f"doc_id long, h binary, n int, sketch binary, data {kind}" + ", fp long" * with_print)
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -166,16 +176,16 @@ def _unlinked(members: DataFrame, nodes: DataFrame, least: float, scratch: Scrat
     return rows.mapInArrow(_units(least), "u long, v long").distinct()
 
 
-def near_links(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, h, rep) for every row of docs, rep being the smallest doc_id of its set, and the links (u, v) of similar sets' reps."""
+def near_links(docs: DataFrame, words: int = WORDS, least: float = LEAST, with_print: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, rep, and fp if it is asked for) for every row of docs, rep being the smallest doc_id of its set, and the links (u, v) of similar sets' reps."""
     scratch = Scratch(docs.sparkSession, "near_copies")
     some = _sets(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0), words, lambda s: s.tolist(), "array<long>")
     top = some.dropDuplicates(["h"]).select(F.explode("data").alias("s")).groupBy("s").agg(F.count("*").alias("k")).where(F.col("k") >= FREQUENT).orderBy(F.desc("k"), "s").limit(MOST)
     top = scratch.table(top.select("s"), "frequent")
     frequent = np.sort(np.array([r[0] for r in top.collect()], np.int64))
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
-    prints = scratch.table(_sets(docs, words, lambda s: prefix(s, sent.value, least), "array<long>"), "prints")
-    names = scratch.table(prints.select("doc_id", "h"), "names")
+    prints = scratch.table(_sets(docs, words, lambda s: prefix(s, sent.value, least), "array<long>", with_print), "prints")
+    names = scratch.table(prints.drop("n", "sketch", "data"), "names")
     nodes = scratch.table(prints.where("doc_id IS NOT NULL").groupBy("h").agg(F.min(F.struct("doc_id", "n", "sketch", "data")).alias("x")).select("h", F.col("x.doc_id").alias("rep"), "x.n", "x.sketch", "x.data"), "nodes")
     scratch.drop("prints")
     places = nodes.select(F.explode("data").alias("s"), F.struct("rep", "n").alias("x"))
@@ -201,7 +211,7 @@ def near_links(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> tup
         named = scratch.table(members.join(stars, "rep", "left").select("centre", "rep", "n", F.coalesce("low", "rep").alias("low")), "named")
         rest = scratch.table(_unlinked(named, nodes, least, scratch).join(pairs, ["u", "v"], "left_anti"), "rest")
         edges = scratch.table(edges.union(_verified(rest, _whole(docs, nodes, rest, words, scratch, "used_rest"), least)), "all_links")
-    return names.join(nodes.select("h", "rep"), "h", "left").select("doc_id", "h", "rep"), edges
+    return names.join(nodes.select("h", "rep"), "h", "left"), edges
 
 
 def near_copies(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
@@ -224,11 +234,12 @@ def _whole(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, scra
 def near_dedup(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
     """docs with one document, the smallest doc_id, of each group that SimHash's links and near copies connect. Rows without doc_id stay."""
     scratch = Scratch(docs.sparkSession, "near_dedup")
-    first = near_duplicates(docs).where("doc_id IS NOT NULL").select("doc_id", F.col("component_id").alias("a")).distinct()
-    names, edges = near_links(docs, words, least)
-    both = scratch.table(first.join(names.where("doc_id IS NOT NULL").select("doc_id", "rep").distinct(), "doc_id"), "both")
+    names, edges = near_links(docs, words, least, True)
+    names = scratch.table(names.where("doc_id IS NOT NULL").select("doc_id", "fp", "rep").distinct(), "names")
+    prints, near = simhash_links(names.select("doc_id", "fp"), scratch)
+    both = scratch.table(names.join(prints.select("fp", F.col("rep").alias("a")), "fp").select("doc_id", "rep", "a").distinct(), "both")
     # a doc_id names its group under either relation, so that links of both connect the same nodes
-    stars = components(both.select(F.col("a").alias("u"), F.col("rep").alias("v")).union(edges.select("u", "v")), scratch).select(F.col("u").alias("a"), F.col("v").alias("low"))
+    stars = components(both.select(F.col("a").alias("u"), F.col("rep").alias("v")).union(edges.select("u", "v")).union(near.select("u", "v")), scratch).select(F.col("u").alias("a"), F.col("v").alias("low"))
     low = both.join(stars, "a", "left").groupBy("doc_id").agg(F.max(F.coalesce("low", "a")).alias("low"))  # a doc_id goes if all of its texts have a smaller one
     name = fresh_name(docs, "gone_id")
     gone = scratch.table(low.where("low < doc_id").select(F.col("doc_id").alias(name)), "gone")

@@ -182,10 +182,8 @@ def _dealt(df: DataFrame, most: int) -> DataFrame:
     return df.repartition("cell", "key").sortWithinPartitions("cell", "key", "fp").mapInArrow(_links(most), "hot boolean, cell int, u long, v long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp long, component_id long for every row of docs."""
-    scratch = Scratch(docs.sparkSession, "simhash")
-    prints = scratch.table(fingerprints(docs), "prints")
+def links(prints: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Of (doc_id, fp): fp, rep (the smallest doc_id) of each fingerprint, and links (u, v) of reps that connect what differs in BITS bits."""
     nodes = scratch.table(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "nodes")
     cells = map_rows(nodes, _cells, SCHEMA, 8192)
     # cells that a sample shows to be large go to the second grid at once, so that no task has to read one whole
@@ -196,7 +194,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hot = found.where("hot").select("cell", F.col("u").alias("fp"), F.col("v").alias("rep"))
     if any_large:
         hot = hot.union(cells.join(large, ["cell", "key"], "left_semi").select("cell", "fp", "rep"))
-    edges = found.where("NOT hot").select("u", "v").union(_dealt(map_rows(hot, _subcells, SCHEMA, 8192), WHOLE).select("u", "v"))
+    return nodes, found.where("NOT hot").select("u", "v").union(_dealt(map_rows(hot, _subcells, SCHEMA, 8192), WHOLE).select("u", "v"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp long, component_id long for every row of docs."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    prints = scratch.table(fingerprints(docs), "prints")
+    nodes, edges = links(prints, scratch)
     stars = components(edges, scratch).select(F.col("u").alias("rep"), F.col("v").alias("low"))
     named = nodes.join(stars, "rep", "left").select("fp", F.coalesce("low", "rep").alias("component_id"))
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
