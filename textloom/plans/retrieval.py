@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import adaptive_k, dcg
 from ..functions.text import tokens
-from ..operators import chunking, context, search
+from ..operators import chunking, context, postings, relevance, search
+from ..operators.similar import written
 from .catalog import Tables, query
 
 SIZE = 700
@@ -167,6 +168,30 @@ def lexical_topk(t: Tables) -> DataFrame:
     return search.lexical_search(chunks(t), questions(t), 80)
 
 
+@query(f"WITH {CHUNKS}, {LEX} SELECT * FROM lex")
+def lexical_topk_postings(t: Tables) -> DataFrame:
+    """The same by written trigram postings."""
+    index = postings.TrigramIndex(chunks(t))
+    found = written(index.search(questions(t), 80))
+    index.drop()
+    return found
+
+
+TERMS = "regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
+
+
+@query(f"""WITH {CHUNKS}, tf AS (SELECT chunk_id, term, count(*) AS f FROM (SELECT chunk_id, unnest({TERMS.format(c="content")}) AS term FROM c) GROUP BY ALL),
+  per AS (SELECT term, count(*) AS df, ln((1 + (SELECT count(*) FROM c)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term ORDER BY sum(f) DESC, term LIMIT 2000),
+  w AS (SELECT chunk_id, term, f * idf / sqrt(sum(f * idf * f * idf) OVER (PARTITION BY chunk_id)) AS w FROM tf JOIN per USING (term)),
+  qf AS (SELECT query_id, term, count(*) AS f FROM (SELECT query_id, unnest({TERMS.format(c="query")}) AS term FROM q) GROUP BY ALL),
+  qw AS (SELECT query_id, term, f * idf / sqrt(sum(f * idf * f * idf) OVER (PARTITION BY query_id)) AS w FROM qf JOIN per USING (term)),
+  s AS (SELECT query_id, chunk_id, round(sum(qw.w * w.w), 6) AS score FROM qw JOIN w USING (term) GROUP BY ALL)
+  SELECT query_id, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rn FROM s WHERE score > 0) WHERE rn <= 10""")
+def tfidf_topk(t: Tables) -> DataFrame:
+    """The best chunks of all documents for each benchmark text by TF-IDF."""
+    return relevance.tfidf_top_k(chunks(t), questions(t))[0]
+
+
 @query(f"WITH {CHUNKS}, {LEX}, cand AS (SELECT query_id, chunk_id FROM lex), {BM} SELECT * FROM bm25")
 def bm25_scores(t: Tables) -> DataFrame:
     rows = chunks(t)
