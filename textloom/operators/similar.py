@@ -10,11 +10,12 @@ rest. Work is bounded a unit, but the number of units grows with the square of t
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import text
@@ -24,11 +25,22 @@ NARROW = 512  # bits of the narrowest sketch; wider ones for larger sets
 WIDE = 8192
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one in the warehouse if that is unset (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """df in the shared folder, without lineage."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared")
+    _shared(df.sparkSession)
     return df.checkpoint()
 
 

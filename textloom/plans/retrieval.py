@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import adaptive_k, dcg
 from ..functions.text import tokens
-from ..operators import chunking, context, postings, relevance, search
+from ..operators import cells, chunking, context, postings, relevance, search
 from ..operators.similar import written
 from .catalog import Tables, query
 
@@ -118,6 +118,12 @@ def vec_topk_batch(t: Tables) -> DataFrame:
     return search.vector_search(vectors(t), vector_questions(t), 10, key="vec_id")
 
 
+@query(f"WITH {VEC} SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s) WHERE rn <= 10")
+def vec_topk_cells(t: Tables) -> DataFrame:
+    """The same over a written table of cells, of which bounds rule most out."""
+    return cells.CellTable(vectors(t), "vec_id").search(vector_questions(t), 10)
+
+
 @query(f"WITH {VEC} SELECT query_id, vec_id, score FROM s WHERE query_id = 0 ORDER BY score DESC, vec_id LIMIT 10")
 def vec_topk(t: Tables) -> DataFrame:
     return search.vector_search(vectors(t), vector_questions(t).where("query_id = 0"), 10, key="vec_id")
