@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import text, trigrams
 from . import similar
+from .scan import fresh_names, running
 
 FIELDS = ["title", "summary", "key_points", "keywords", "conclusion", "prediction", "data"]
 REQUIRED = ["title", "summary", "key_points"]
@@ -83,13 +84,16 @@ def needs_summary(messages: DataFrame, most: int = 16, most_tokens: float = 2000
     return per.withColumn("to_summarise", F.when(due, F.greatest(F.col("messages") - keep, F.lit(0))).otherwise(0))
 
 
-def digest(records: DataFrame, by: list[str], order: list, total: int = 3500, least: int = 300) -> DataFrame:
-    """Records' lines with a fair share of the total each, until the total is reached."""
-    n = F.count("*").over(Window.partitionBy(*by))
-    quota = F.greatest(F.lit(least), F.floor(F.lit(total) / n).cast("int"))
-    rows = records.withColumn("line", F.substring(F.col("line"), F.lit(1), quota))
-    used = F.sum(F.length("line")).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("used", used).where(F.col("used") <= total)
+def digest(records: DataFrame, by: list[str], order: list[str], total: int = 3500, least: int = 300) -> DataFrame:
+    """Records' lines with a fair share of the total each, until the total is reached. `order` is total within `by`; a group may lie in several tasks."""
+    names = fresh_names(records, *(f"of_{b}" for b in by), "n")
+    sizes = records.groupBy(*(F.col(b).alias(g) for b, g in zip(by, names, strict=False))).agg(F.count("*").alias(names[-1]))
+    same = F.lit(True)
+    for b, g in zip(by, names, strict=False):
+        same = same & F.col(b).eqNullSafe(F.col(g))
+    quota = F.greatest(F.lit(least), F.floor(F.lit(total) / F.col(names[-1])).cast("int"))
+    rows = records.join(sizes, same).withColumn("line", F.substring(F.col("line"), F.lit(1), quota)).drop(*names)
+    return running(rows, by, order, {"used": F.length("line")}).where(F.col("used") <= total)
 
 
 def better(a: Column, b: Column) -> Column:

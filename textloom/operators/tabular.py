@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import running
 
 BINS = 4096  # of a pass that narrows the place of a median
 FEW = 65_536  # values in a bin from which on they are looked at one by one
@@ -67,13 +68,19 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def trend(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
-    """Mean of the first half of each group's rows against the second: up over 1.05 times, down under 0.95; groups of 3 or more."""
-    w = Window.partitionBy(*by)
-    rows = df.select(*by, F.col(value).cast("double").alias("v"), (F.row_number().over(w.orderBy(order)) - 1).alias("at"), F.count("*").over(w).alias("n")).where("n >= 3")
-    first = F.col("at") < F.floor(F.col("n") / 2)
-    out = rows.groupBy(*by).agg(F.avg(F.when(first, F.col("v"))).alias("a"), F.avg(F.when(~first, F.col("v"))).alias("b"))
+    """Mean of the first half of each group's rows against the second: up over 1.05 times, down under 0.95; groups of 3 or more.
+    A group is counted through over several tasks, and its halves are aggregates; nothing needs it in one place."""
+    named = df.select(*(F.col(b).alias(f"by_{k}") for k, b in enumerate(by)), F.col(order).alias("order"), F.col(value).cast("double").alias("value"))
+    groups = [f"by_{k}" for k in range(len(by))]
+    sizes = named.groupBy(*groups).agg(F.count("*").alias("n")).where("n >= 3").select(*(F.col(g).alias(f"of_{g}") for g in groups), "n")
+    placed = running(named, groups, ["order", "value"], {"place": F.lit(1)})
+    same = F.lit(True)
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"of_{g}"))
+    first = F.col("place") <= F.floor(F.col("n") / 2)
+    out = placed.join(sizes, same).groupBy(*groups).agg(F.avg(F.when(first, F.col("value"))).alias("a"), F.avg(F.when(~first, F.col("value"))).alias("b"))
     kind = F.when(F.col("b") > F.col("a") * 1.05, "up").when(F.col("b") < F.col("a") * 0.95, "down").otherwise("flat")
-    return out.select(*by, kind.alias("trend"), F.round(F.abs(F.col("b") - F.col("a")) / F.greatest(F.abs("a"), F.lit(0.01)) * 100, 2).alias("pct"))
+    return out.select(*(F.col(g).alias(b) for g, b in zip(groups, by, strict=True)), kind.alias("trend"), F.round(F.abs(F.col("b") - F.col("a")) / F.greatest(F.abs("a"), F.lit(0.01)) * 100, 2).alias("pct"))
 
 
 def correlations(df: DataFrame, columns: list[str], least: float = 0.3) -> DataFrame:
