@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import records, tabular
+from ..operators import records, similar, tabular
 from ..sources import files
+from ..streaming import state
 from .catalog import Tables, query
 from .retrieval import chunks
 
@@ -78,6 +79,16 @@ def status_latest(t: Tables) -> DataFrame:
     return records.latest(t.events, ["user_id"], ["ts", "event_id"]).select("user_id", F.col("event_type").alias("status"), F.col("value").alias("progress"))
 
 
+@query("SELECT user_id, max_by(event_type, (ts, event_id)) AS status, max_by(value, (ts, event_id)) AS progress FROM events GROUP BY user_id")
+def status_stream(t: Tables) -> DataFrame:
+    """The same from the events as a stream, the last of each user as keyed state."""
+    rows = t.events.select("user_id", "event_type", "value", "ts", "event_id")
+    stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events.parque[t]").select(rows.columns)  # a pattern may name a file or a folder
+    where = similar.folder(t.spark, "status")
+    state.drain(stream, "user_id", ["ts", "event_id"], where)
+    return state.current(t.spark, where, "user_id").select("user_id", F.col("event_type").alias("status"), F.col("value").alias("progress"))
+
+
 @query("""WITH v AS (SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY version DESC) AS rn FROM v)
   SELECT doc_id, version FROM r WHERE version = 1 OR rn <= 19""", version="INT")
 def retention(t: Tables) -> DataFrame:
