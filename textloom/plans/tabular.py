@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import records, similar, tabular
-from ..sources import files
+from ..sources import files, tables
 from ..streaming import state
 from .catalog import Tables, query
 from .retrieval import chunks
@@ -105,6 +105,21 @@ def upsert_docs(t: Tables) -> DataFrame:
     return records.upsert(old, new, ["doc_id"], "updated")
 
 
+@query("""SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' WHEN o_orderkey % 4 = 0 THEN 'N' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 4 = 0 THEN 0.0 ELSE o_totalprice END AS total
+  FROM orders WHERE (o_orderkey % 3 <> 0 OR o_orderkey % 4 = 0) AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""")
+def merged_batches(t: Tables) -> DataFrame:
+    """Orders as a table that takes batches: two that insert, a compaction, one that replaces, a cascade of deletes, a point update."""
+    rows = t.orders.select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total"))
+    table = tables.KeyedTable(t.spark, similar.folder(t.spark, "orders"), rows.schema, ["o_orderkey", "o_custkey"])
+    table.upsert(rows.where("o_orderkey % 3 = 1"))
+    table.upsert(rows.where("o_orderkey % 3 = 2"))
+    table.compact()
+    table.upsert(rows.where("o_orderkey % 4 = 0").withColumns({"status": F.lit("N"), "total": F.lit(0.0)}))
+    table.delete(t.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey")))
+    table.update(rows.where("o_orderkey % 5 = 0").select("o_orderkey", "o_custkey", F.lit("X").alias("status")), ["status"])
+    return table.read()
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def delete_cascade(t: Tables) -> DataFrame:
     gone = t.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
