@@ -1,3 +1,3 @@
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import documents, evaluation, retrieval, review, tabular  # noqa: F401
+    from . import documents, evaluation, retrieval, review, rules, tabular  # noqa: F401
