@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import query as Q
 from ..functions import text as X
 from ..operators import chunking, facts, records, relevance, similar
+from ..sources import files
 from .catalog import Tables, query
 from .retrieval import CHUNKS, SENTS, chunks, first_distinct
 
@@ -66,6 +67,17 @@ def parent_assign(t: Tables) -> DataFrame:
     return chunking.parents(chunks(t)).select("chunk_id", "parent_chunk_id")
 
 
+@query("""SELECT doc_id, md5(substr(text, 1, 100)) AS value, (SELECT count(DISTINCT text) FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 3 = 0)) AS made FROM documents""")
+def cached_results(t: Tables) -> DataFrame:
+    """A costly result of each text in two runs: the second makes only what the first, over a third of the documents, hasn't."""
+    cache = files.ResultCache(t.spark, similar.folder(t.spark, "results"))
+    make = lambda new: new.select("md5", F.md5(F.substring("input", 1, 100)).alias("value"))
+    docs = t.documents.select("doc_id", "text")
+    cache.get(docs.where("doc_id % 3 = 0"), "text", make, 20_000)
+    found, made = cache.get(docs, "text", make, 20_001)
+    return found.select("doc_id", "value", F.lit(made).cast("long").alias("made"))
+
+
 @query()
 def chunk_documents(t: Tables) -> DataFrame:
     return chunking.chunk_documents(t.documents).select("doc_id", "chunk_id", "chunk_index", "section_path", F.md5("content").alias("h"))

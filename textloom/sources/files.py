@@ -15,10 +15,13 @@ from collections.abc import Callable
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import file_type
+from ..operators.scan import fresh_names
+from ..operators.similar import written
 
 PLAIN_CHARS = 12_000
 SHEETS, SHEET_ROWS = 5, 200
@@ -149,8 +152,12 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
 
 
 def read_json_column(rows: DataFrame, column: str, keys: list[str]) -> DataFrame:
-    """Columns for the keys of a JSON column; what doesn't parse counts as {}."""
-    return rows.withColumns({k: F.get_json_object(F.when(F.try_parse_json(column).isNotNull(), F.col(column)).otherwise("{}"), f"$.{k}") for k in keys})
+    """Columns for the keys of a JSON column, as text; what doesn't parse counts as {}. Each value is parsed once, into a variant."""
+    name = column + "_parsed"
+    while name in rows.columns:
+        name += "_"
+    parsed = rows.withColumn(name, F.try_parse_json(column))
+    return parsed.withColumns({k: F.try_variant_get(name, f"$.{k}", "string") for k in keys}).drop(name)
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, partition: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:
@@ -216,6 +223,54 @@ def cached(rows: DataFrame, key: str, cache: DataFrame, make: Callable[[DataFram
     return known.unionByName(make(keyed.join(cache.select("md5"), "md5", "left_anti")))
 
 
+class ResultCache:
+    """Results of a costly function by the md5 of its input, in a table by day, of which old days are dropped.
+
+    Rows meet the cache in one join on the md5, which Spark may precede by a Bloom filter of the smaller side; the function
+    gets each missing input once, whatever number of rows has it. What it makes is written before it is used, so that a
+    lost job costs what it had not written.
+    """
+
+    SCHEMA = "md5 string, value string, day int"
+
+    def __init__(self, spark: SparkSession, path: str, days: int = 30):
+        self.spark, self.path, self.days = spark, path, days
+
+    def table(self, today: int) -> DataFrame:
+        """md5, value: what is there of the last days."""
+        try:
+            found = self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            found = self.spark.createDataFrame([], self.SCHEMA)
+        return found.where(F.col("day") > today - self.days).groupBy("md5").agg(F.max_by("value", "day").alias("value"))
+
+    def get(self, rows: DataFrame, key: str, make: Callable[[DataFrame], DataFrame], today: int) -> tuple[DataFrame, int]:
+        """rows with `value`, and how many inputs had to be made. make: (md5, input) to (md5, value); a null input has a null value."""
+        (name,) = fresh_names(rows, "md5")
+        keyed = rows.withColumn(name, F.md5(F.col(key).cast("string")))
+        inputs = keyed.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("md5")).agg(F.first(key).alias("input"))
+        new = written(inputs.join(self.table(today).select("md5"), "md5", "left_anti"))
+        n = new.count()
+        if n:
+            make(new).select("md5", "value", F.lit(today).alias("day")).write.mode("append").partitionBy("day").parquet(self.path)
+        have = self.table(today).select(F.col("md5").alias(f"{name}_have"), "value")
+        return keyed.join(have, F.col(name) == F.col(f"{name}_have"), "left").drop(name, f"{name}_have"), n
+
+    def evict(self, today: int) -> list[int]:
+        """Drops the days that are too old, and gives them."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(where):
+            return []
+        days = [int(s.getPath().getName()[4:]) for s in fs.listStatus(where) if s.getPath().getName().startswith("day=")]
+        old = sorted(d for d in days if d <= today - self.days)
+        for d in old:
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/day={d}"), True)
+        return old
+
+
 def merge_tables(tables: DataFrame) -> DataFrame:
     """Tables (doc_id, page, idx, headers, rows): one without headers that continues the page before, as wide, joins it."""
     from pyspark.sql import Window
