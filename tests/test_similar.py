@@ -2,13 +2,17 @@
 
 import random
 
+import pytest
+
 from textloom.functions import text as X
 from textloom.operators import records, similar
 
 
-def test_no_pair_is_lost(spark, monkeypatch):
-    """Near copies whose smallest hashed trigrams differ, sizes on both sides of a block's edge, and chains."""
-    monkeypatch.setattr(similar, "BLOCK", 16)
+@pytest.mark.parametrize("sampled", [1, 1 << 40])
+def test_no_pair_is_lost(spark, monkeypatch, sampled):
+    """Near copies, chains, texts of one set and texts without tokens, with frequent tokens last and by hash alone."""
+    monkeypatch.setattr(similar, "SAMPLED", sampled)
+    monkeypatch.setattr(similar, "FREQUENT", 1)
     rng = random.Random(7)
     words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzäя漢", k=rng.randint(2, 9))) for _ in range(400)]
     rows = [(0, None), (1, ""), (2, "ab"), (3, "A b"), (4, "...")]
@@ -19,7 +23,7 @@ def test_no_pair_is_lost(spark, monkeypatch):
             for at in rng.sample(range(len(base)), max(1, len(base) // 20)):
                 base[at] = rng.choice(words)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    sets = {r[0]: set(r[1]) for r in docs.select("doc_id", X.trigrams(X.text("text"))).collect()}
+    sets = {r[0]: set(r[1]) for r in docs.select("doc_id", X.similarity_tokens(X.text("text"))).collect()}
     want, kept = {}, []
     for d, g in sorted(sets.items()):
         want[d] = next((k for k in kept if len(g & sets[k]) >= 0.75 * len(g | sets[k])), d)

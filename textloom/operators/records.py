@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import text, trigrams
+from ..functions.text import similarity_tokens, text
 from . import similar
 from .scan import fresh_names, running
 
@@ -200,11 +200,12 @@ def better_quality(a: Column, b: Column) -> Column:
 def near_duplicates(records: DataFrame, content: str, key: str, least: float = 0.75, block: Callable[[Column], Column] | None = None) -> DataFrame:
     """key, kept_key: greedy by key, every record joins the first kept one that it resembles.
 
-    All records are compared, without loss (see similar.py), or those within a block only if one is given.
+    Similarity is Jaccard's, of words and CJK characters. All records are compared, without loss (see similar.py), or those within a
+    block (of their tokens) only if one is given. merge_similar has the ratio of matching blocks too.
     """
     if block is None:
         return similar.first_kept(records, content, key, least)
-    rows = records.select(F.col(key).alias("key"), trigrams(text(content)).alias("grams"))
+    rows = records.select(F.col(key).alias("key"), similarity_tokens(text(content)).alias("grams"))
     rows = rows.withColumn("block", F.coalesce(block(F.col("grams")), F.lit(0)))
 
     def pick(pdf):

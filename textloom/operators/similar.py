@@ -1,28 +1,28 @@
-"""Pairs of texts with similar trigram sets, without loss.
-
-Texts of one trigram set are one node. A node has a parity sketch: bit h of it says whether an odd number of its trigrams
-hash to h, so two sketches differ in no more bits than the sets differ in trigrams, and a sketch folds to half its width by
-xor. Sets of similarity `least` have sizes of that ratio at least and a bounded difference: nodes are cut into blocks by
-size, blocks within the ratio meet in one unit of work each, sketches exclude pairs and the sets themselves decide on the
-rest. Work is bounded a unit, but the number of units grows with the square of the nodes.
+"""Pairs of texts with similar sets of tokens, without loss and without comparing all.
+
+A text is the set of its words of two characters or more and its single CJK characters; texts of one set are one node. Of two sets
+of Jaccard similarity `least`, sizes n and m, either shares one of its first n - ceil(least * n) + 1 tokens with those of the other
+under any common order. The order puts tokens that a sample shows to be frequent last, by how frequent they are, and others by
+a hash; so prefixes hold what is rare, and nodes meet by an equi-join on it. Sizes and places of the common token bound what
+two sets can share before their tokens are fetched, and the sets decide. The order changes which pairs meet, never which
+are found.
 """
 
 from __future__ import annotations
 
-import hashlib
 import uuid
+import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import text
+from ..functions.text import similarity_tokens, text
 
-BLOCK = 8192  # nodes in a block, about
-NARROW = 512  # bits of the narrowest sketch; wider ones for larger sets
-WIDE = 8192
+SAMPLED = 16  # one node of so many is asked for frequent tokens
+FREQUENT = 4  # times that a token occurs in the sample
+MOST = 100_000  # frequent tokens that tasks get
 
 
 def _shared(spark: SparkSession) -> str:
@@ -44,125 +44,61 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def grams(s: str) -> np.ndarray:
-    """Distinct trigrams of a stripped text, sorted, each as its three code points of 21 bits."""
-    c = np.frombuffer(s.encode("utf-32-le"), "<u4").astype(np.int64)
-    if len(c) < 3:
-        return np.array([sum(int(x) << 21 * k for k, x in enumerate(c))], np.int64)[: len(c)]
-    return np.unique(c[:-2] | c[1:-1] << 21 | c[2:] << 42)
-
-
-def width(n: int) -> int:
-    """Bits of the sketch of a set of n."""
-    bits = NARROW
-    while bits < 2 * n and bits < WIDE:
-        bits *= 2
-    return bits
-
-
-def sketch(g: np.ndarray) -> bytes:
-    h = g.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(51)
-    bits = width(len(g))
-    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
-
-
 def folded(s: bytes, bits: int) -> np.ndarray:
     words = np.frombuffer(s, "<u8")
     return np.bitwise_xor.reduce(words.reshape(-1, bits // 64), axis=0)
 
 
-def sets(records: DataFrame, content: str, key: str, whole: bool) -> DataFrame:
-    """key, h (names the set), n, and the sketch or the whole set as `data`."""
-    plain = F.regexp_replace(F.lower(text(content)), r"[^\p{L}\p{N}_]+", "")
-    rows = records.select(F.col(key).alias("key"), plain.alias("s"))
-
-    def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                found = [grams(s) for s in part.column("s").to_pylist()]
-                own = [pa.array([hashlib.md5(g.tobytes()).digest() for g in found], pa.binary()), pa.array([len(g) for g in found], pa.int32())]
-                own.append(pa.array([g.tobytes() if whole else sketch(g) for g in found], pa.binary()))
-                yield pa.RecordBatch.from_arrays([part.column("key"), *own], names=["key", "h", "n", "data"])
-
-    return rows.mapInArrow(run, f"key {rows.dtypes[0][1]}, h binary, n int, data binary")
-
-
 def most_apart(n, m, least: float):
     """The largest symmetric difference of sets of n and m with that similarity."""
     return np.floor((1 - least) / (1 + least) * (n + m) + 1e-6)
 
 
-def blocks(histogram: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
-    """(n, m, first, parts): sets of n to m elements share blocks first to first + parts - 1."""
-    out, at, held, lo = [], 0, 0, None
-    for n, k in histogram:
-        if lo is not None and held + k > BLOCK:
-            out.append((lo, last, at, -(-held // BLOCK)))  # noqa: F821 - set with lo
-            at, held, lo = at + -(-held // BLOCK), 0, None
-        lo, last, held = n if lo is None else lo, n, held + k
-    if lo is not None:
-        out.append((lo, last, at, -(-held // BLOCK)))
-    return out
-
-
-def _meet(least: float):
-    """Pairs of a unit that sketches don't exclude: unit, a, b with a < b."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        unit, pdf = pdf.unit.iloc[0], pdf.sort_values("n", kind="stable")
-        left, right = pdf[pdf.side != 1], pdf[pdf.side != 0]
-        out_a, out_b = [], []
-        if len(left) and len(right):
-            bits = min(map(len, pdf.data)) * 8
-            x, y = (np.stack([folded(s, bits) for s in side.data]) for side in (left, right))
-            y = np.ascontiguousarray(y.T)
-            ids, ns, other, ms = left.id.to_numpy(), left.n.to_numpy(), right.id.to_numpy(), right.n.to_numpy()
-            lows, highs = np.searchsorted(ms, np.ceil(least * ns - 1e-6)), np.searchsorted(ms, np.floor(ns / least + 1e-6), "right")
-            alone = bool((pdf.side == 2).all())
-            for k, (lo, hi) in enumerate(zip(lows, highs, strict=True)):
-                lo = max(lo, k + 1) if alone else lo
-                if lo >= hi:
-                    continue
-                apart = np.zeros(hi - lo, np.uint16)
-                for w, word in enumerate(x[k]):
-                    apart += np.bitwise_count(y[w, lo:hi] ^ word)
-                hit = lo + np.flatnonzero(apart <= most_apart(ns[k], ms[lo:hi], least))
-                out_a.append(np.minimum(ids[k], other[hit]))
-                out_b.append(np.maximum(ids[k], other[hit]))
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-        return pd.DataFrame({"unit": np.full(len(a), unit), "a": a, "b": b})
+def _ordered(sent, least: float):
+    """A row for each token of a node's prefix: rep, n, token and its place."""
 
-    return run
+    def run(batches):
+        rank = sent.value
+        for batch in batches:
+            rows, n, x, at = [], [], [], []
+            for k, tokens in enumerate(batch.column(1).to_pylist()):
+                size = len(tokens)
+                first = sorted(tokens, key=lambda t: (rank.get(t, 0), zlib.crc32(t.encode())))[: size - int(np.ceil(least * size - 1e-9)) + 1]
+                rows += [k] * len(first)
+                n += [size] * len(first)
+                x += first
+                at += range(len(first))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(n, pa.int32()), pa.array(x, pa.string()), pa.array(at, pa.int32())], names=["rep", "n", "x", "at"])
 
+    return run
 
-def _verify(least: float):
-    def run(pairs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        if not len(pairs):
-            return pairs[["a", "b"]]
-        order = np.argsort(found.id.to_numpy())
-        ids, data = found.id.to_numpy()[order], [np.frombuffer(d, np.int64) for d in found.data.to_numpy()[order]]
-        size = np.array([len(d) for d in data])
-        start = np.r_[0, np.cumsum(size)]
-        words, flat = np.unique(np.concatenate(data), return_inverse=True)
-        pairs = pairs.sort_values(["a", "b"])
-        i, j = np.searchsorted(ids, pairs.a.to_numpy()), np.searchsorted(ids, pairs.b.to_numpy())
-        keep, mark = np.zeros(len(i), bool), np.zeros(len(words), np.int32)
-        cut = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
-        for lo, hi in zip(cut, np.r_[cut[1:], len(i)], strict=True):
-            mine = flat[start[i[lo]] : start[i[lo] + 1]]
-            mark[mine] = 1
-            for at in range(lo, hi, 1024):
-                part = j[at : min(hi, at + 1024)]
-                own = np.concatenate([flat[start[p] : start[p + 1]] for p in part])
-                both = np.add.reduceat(mark[own], np.r_[0, np.cumsum(size[part])[:-1]])
-                keep[at : at + len(part)] = both >= least * (size[part] + len(mine) - both)
-            mark[mine] = 0
-        return pairs.loc[keep, ["a", "b"]]
 
-    return run
+def sets(records: DataFrame, content: str, key: str) -> DataFrame:
+    """key, h (names the set), tokens."""
+    rows = records.select(F.col(key).alias("key"), F.array_sort(similarity_tokens(text(content))).alias("tokens"))
+    return rows.withColumn("h", F.md5(F.concat_ws(" ", "tokens")))
+
+
+def links(nodes: DataFrame, least: float) -> DataFrame:
+    """(a, b) with a < b: the reps of nodes (rep, tokens) whose sets have the similarity."""
+    spark = nodes.sparkSession
+    full = nodes.where((F.size("tokens") > 0) & F.col("rep").isNotNull()).select("rep", "tokens")
+    seen = full.where(F.pmod(F.xxhash64("rep"), F.lit(SAMPLED)) == 0).select(F.explode("tokens").alias("x")).groupBy("x").agg(F.count("*").alias("k"))
+    top = seen.where(F.col("k") >= FREQUENT).orderBy(F.desc("k"), "x").limit(MOST).collect()
+    sent = spark.sparkContext.broadcast({r["x"]: len(top) - i for i, r in enumerate(top)})  # MOST tokens at most
+    kind = dict(nodes.dtypes)["rep"]
+    prefix = written(full.mapInArrow(_ordered(sent, least), f"rep {kind}, n int, x string, at int"))
+    side = lambda p: prefix.select("x", *(F.col(c).alias(f"{p}_{c}") for c in ("rep", "n", "at")))
+    n, m, needed = F.col("a_n"), F.col("b_n"), least / (1 + least)
+    likely = (
+        (F.col("a_rep") < F.col("b_rep")) & (n >= least * m - 1e-9) & (m >= least * n - 1e-9)
+        & (F.least(n - F.col("a_at"), m - F.col("b_at")) >= needed * (n + m) - 1e-9)  # holds for the first token that both have
+    )
+    pairs = written(side("a").join(side("b"), "x").where(likely).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct())
+    own = lambda k: full.select(F.col("rep").alias(k), F.col("tokens").alias(f"{k}_tokens"))
+    both = F.size(F.array_intersect("a_tokens", "b_tokens"))
+    judged = pairs.join(own("a"), "a").join(own("b"), "b").withColumn("both", both)
+    return written(judged.where(F.col("both") >= least * (F.size("a_tokens") + F.size("b_tokens") - F.col("both")) - 1e-9).select("a", "b"))
 
 
 def first_kept(records: DataFrame, content: str, key: str, least: float) -> DataFrame:
@@ -171,42 +107,17 @@ def first_kept(records: DataFrame, content: str, key: str, least: float) -> Data
 
 
 def pairs(records: DataFrame, content: str, key: str, least: float) -> tuple[DataFrame, DataFrame]:
-    """(a, b) of similar texts with different trigram sets, each named by the smallest key of its set, and (key, rep) of all records."""
+    """(a, b) of similar texts with different sets, each named by the smallest key of its set, and (key, rep) of all records."""
     rows, nodes, edges = _linked(records, content, key, least)
-    name = lambda side: nodes.select(F.col("id").alias(side), F.col("rep").alias(f"{side}_key"))
-    named = edges.join(name("a"), "a").join(name("b"), "b")
-    return named.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b")), rows.join(nodes.select("h", "rep"), "h").select("key", "rep")
+    return edges, rows.join(nodes.select("h", "rep"), "h").select("key", "rep")
 
 
 def _linked(records: DataFrame, content: str, key: str, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows with the names of their sets, a node for each set, and the links of similar ones."""
-    spark = records.sparkSession
-    rows = written(sets(records, content, key, False))
-    nodes = rows.groupBy("h").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("data").alias("data"))
-    nodes = written(nodes.orderBy(F.asc_nulls_last("rep"), "h").withColumn("id", F.monotonically_increasing_id()))
-    histogram = [(r[0], r[1]) for r in nodes.where("n > 0").groupBy("n").agg(F.count("*")).orderBy("n").collect()]  # a row for each size
-    made = blocks(histogram)
-    if made:
-        places = spark.createDataFrame(made, "lo int, hi int, first int, parts int")
-        spans = [(first + p, lo, hi) for lo, hi, first, parts in made for p in range(parts)]
-        units, part = [], []
-        for i, _, hi in spans:
-            for j, lo, _ in spans[i:]:
-                if hi < least * lo - 1e-6:
-                    break
-                units += [(i, len(part), 2)] if i == j else [(i, len(part), 0), (j, len(part), 1)]
-                part.append(None)
-        placed = nodes.join(F.broadcast(places), F.col("n").between(F.col("lo"), F.col("hi"))).select("id", "n", "data", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("block"))
-        dealt = placed.join(F.broadcast(spark.createDataFrame(units, "block int, unit long, side int")), "block").select("unit", "side", "id", "n", "data")
-        pairs = written(dealt.groupBy("unit").applyInPandas(_meet(least), "unit long, a long, b long"))
-        wanted = pairs.select(F.col("unit").alias("of"), F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "h", "rep"), "id")
-        texts = records.join(wanted.select(F.col("rep").alias(key)).distinct(), key, "left_semi")
-        whole = sets(texts, content, key, True).select("h", F.col("key").alias("rep"), "data").dropDuplicates(["h"])
-        given = wanted.join(whole.drop("rep"), "h").select("of", "id", "data")
-        edges = written(pairs.groupBy("unit").cogroup(given.groupBy("of")).applyInPandas(_verify(least), "a long, b long"))
-    else:
-        edges = spark.createDataFrame([], "a long, b long")
-    return rows, nodes, edges
+    """Rows (key, h), a node (h, rep, id) for each set, and the links of similar ones by id, which is rep."""
+    made = sets(records, content, key)
+    nodes = written(made.groupBy("h").agg(F.min("key").alias("rep"), F.first("tokens").alias("tokens")))
+    edges = links(nodes, least)
+    return written(made.select("key", "h")), nodes.select("h", "rep", F.col("rep").alias("id")), edges
 
 
 def _greedy(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

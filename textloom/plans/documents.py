@@ -187,9 +187,11 @@ def exact_dedup(t: Tables) -> DataFrame:
     return t.documents.groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("kept"), F.count("*").alias("copies")).where("copies > 1")
 
 
-@query()
+@query("""WITH t AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{2,}|[一-鿿]'))) AS w FROM documents), s AS (SELECT w, min(doc_id) AS rep FROM t WHERE len(w) > 0 GROUP BY w),
+  e AS (SELECT rep, len(w) AS n, unnest(w) AS x FROM s), p AS (SELECT a.rep AS a, b.rep AS b, a.n AS n, b.n AS m, count(*) AS c FROM e a JOIN e b USING (x) WHERE a.rep < b.rep AND 4 * a.n >= 3 * b.n AND 4 * b.n >= 3 * a.n GROUP BY ALL)
+  SELECT a, b FROM p WHERE 4 * c >= 3 * (n + m - c)""")
 def shingle_jaccard_pairs(t: Tables) -> DataFrame:
-    """Documents of similar trigram sets, each set by its smallest doc_id; record_dedup has who holds a set."""
+    """Documents of similar token sets, each set by its smallest doc_id; record_dedup has who holds a set."""
     return similar.pairs(t.documents, "text", "doc_id", 0.75)[0]
 
 
