@@ -264,6 +264,19 @@ def shared_terms(terms: DataFrame, least: int = 3) -> DataFrame:
     return a.join(b, "term").where("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.count("*").alias("common")).where(F.col("common") >= least)
 
 
+def rare_overlaps(terms: DataFrame, rare: int = 20, least: int = 3) -> DataFrame:
+    """doc_a, doc_b, common: documents that have `least` common terms of those that 2 to `rare` documents hold, from distinct (doc_id, term).
+
+    What makes two texts overlap are terms that few others have; those of many are in all of them. So only lists of `rare`
+    documents are paired, and the pairs grow with the terms, however frequent some are. A term's list is never longer than `rare`.
+    """
+    counted = terms.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n").between(2, rare)).select("term")
+    lists = terms.join(counted, "term").groupBy("term").agg(F.array_sort(F.collect_list("doc_id")).alias("docs"))
+    later = lambda x, i: F.transform(F.slice("docs", i + 2, rare), lambda y: F.struct(x.alias("doc_a"), y.alias("doc_b")))
+    pairs = lists.select(F.explode(F.flatten(F.transform("docs", later))).alias("p")).select("p.*")
+    return pairs.groupBy("doc_a", "doc_b").agg(F.count("*").alias("common")).where(F.col("common") >= least)
+
+
 def term_occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """term, docs, times: in how many texts (doc_id, text) a term stands, and how often (overlaps too), also within words. Terms are a
     stated set; one automaton of a block of them reads each text once, and a task hands on a row for each term it met."""

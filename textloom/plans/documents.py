@@ -174,12 +174,13 @@ def coverage_gaps(t: Tables) -> DataFrame:
     return wanted.join(facts.term_occurrences(t.documents, wanted), "term", "left").select("item_id", "term", F.coalesce("docs", F.lit(0)).alias("docs"))
 
 
-@query("""WITH d AS (SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text), s AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]{5,}|[a-z]{14,}'))) AS term FROM d)
+@query("""WITH d AS (SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text), e AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}|[0-9]{2,}'))) AS term FROM d),
+  s AS (SELECT doc_id, term FROM e JOIN (SELECT term FROM e GROUP BY term HAVING count(*) BETWEEN 2 AND 20) USING (term))
   SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS common FROM s a JOIN s b USING (term) WHERE a.doc_id < b.doc_id GROUP BY ALL HAVING count(*) >= 3""")
 def doc_overlap(t: Tables) -> DataFrame:
-    """Different texts, each by its smallest doc_id, that share three long numbers or words; exact_dedup has who holds a text."""
+    """Different texts, each by its smallest doc_id, that share three terms that few others have; exact_dedup has who holds a text."""
     one = t.documents.groupBy("text").agg(F.min("doc_id").alias("doc_id"))
-    return facts.shared_terms(one.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]{5,}|[a-z]{14,}"), 0))).alias("term")))
+    return facts.rare_overlaps(one.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}|[0-9]{2,}"), 0))).alias("term")))
 
 
 @query("SELECT md5(text) AS h, min(doc_id) AS kept, count(*) AS copies FROM documents GROUP BY ALL HAVING count(*) > 1")
