@@ -53,7 +53,7 @@ def search_adaptive(chunks: DataFrame, queries: DataFrame, k: int = 8, reranker:
     plain = chunks if plain is None else plain
     vec, lex = cut(search.vector_search(chunks, queries, most), "vec_n"), cut(search.lexical_search(plain, queries, most), "lex_n")
     names = ["chunk_id", "doc_id", "chunk_index", "section_path", "content", *(["title"] if "title" in chunks.columns else [])]
-    full = search.merged(vec, lex).join(plain.select(*names), "chunk_id")
+    full = search.with_contents(search.merged(vec, lex), plain.select(*names))
     scored = full.join(search.bm25(full, queries), ["query_id", "chunk_id"]).join(queries.select("query_id", "query"), "query_id")
     fused = search.rrf(scored, weights(F.col("query")), adaptive_k(F.col("query")))
     top = search.limit_per_doc(fused, 3 * k, per_doc=3).withColumn("score", F.col("rrf"))

@@ -21,7 +21,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.metrics import cosine
 from ..functions.text import fingerprint, lexical_terms, text, tokens
+from .similar import written
 
+FEW_HITS = 100_000  # hits, of some dozens of bytes, that are sent to tasks
 BLOCK = 1024
 K1, B = 1.2, 0.75
 
@@ -198,6 +200,13 @@ def bm25(candidates: DataFrame, queries: DataFrame, most_terms: int = 24, most_t
     return docs.select("query_id", "chunk_id").join(scored, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", F.round(F.coalesce("s", F.lit(0.0)), digits).alias("bm25"))
 
 
+def with_contents(hits: DataFrame, plain: DataFrame) -> DataFrame:
+    """hits (a bounded number for each query) with the columns of their chunks, written. Hits are counted; few are sent to the
+    chunks, which are then read where they lie and not moved."""
+    hits = written(hits)
+    return written(plain.join(F.broadcast(hits) if hits.count() <= FEW_HITS else hits, "chunk_id"))
+
+
 def merged(vec: DataFrame, lex: DataFrame) -> DataFrame:
     """Candidates of both searches; a missing score is 0. merge_pos: the vector's ones first."""
     v = vec.select("query_id", "chunk_id", F.col("score").alias("vec"))
@@ -236,7 +245,7 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = 8, rrf_k: Column | fl
     plain = chunks if plain is None else plain
     vec = vector_search(chunks, vec_queries if vec_queries is not None else queries, n)
     both = merged(vec, lexical_search(plain, queries, n))
-    full = both.join(plain.select("chunk_id", "doc_id", "chunk_index", "section_path", "content"), "chunk_id")
+    full = with_contents(both, plain.select("chunk_id", "doc_id", "chunk_index", "section_path", "content"))
     scored = full.join(bm25(full, queries), ["query_id", "chunk_id"]).join(queries.select("query_id", "query"), "query_id")
     fused = rrf(scored, weights or {"vec": 1.0, "bm25": 1.0, "lex": 1.0}, rrf_k).drop("query")
     return limit_per_doc(fused, k)

@@ -202,7 +202,7 @@ def tfidf_topk(t: Tables) -> DataFrame:
 def bm25_scores(t: Tables) -> DataFrame:
     rows = chunks(t)
     hits = search.lexical_search(rows, questions(t), 80)
-    return search.bm25(hits.join(rows.select("chunk_id", "content"), "chunk_id"), questions(t))
+    return search.bm25(search.with_contents(hits, rows.select("chunk_id", "content")), questions(t))
 
 
 def _scored(t: Tables) -> DataFrame:
@@ -289,7 +289,7 @@ HITS = f"""WITH {CHUNKS}, {LEX}, h AS (SELECT query_id, doc_id, chunk_index, chu
 def _hits(t: Tables, most: int = 40) -> DataFrame:
     """The best hits of every question by lexical search over all chunks."""
     rows = chunks(t)
-    found = search.lexical_search(rows, questions(t), most).join(rows, "chunk_id")
+    found = search.with_contents(search.lexical_search(rows, questions(t), most), rows)
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")))
 
 
