@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..functions.text import CJK, likely_title, normalize_text, strip, text
 
 
@@ -171,16 +171,8 @@ def plain_recursive(body: str, target: int, separators: list[str] = PLAIN_SEPARA
 def recursive_chunks(docs: DataFrame, size: int = 500, overlap: int = 0) -> DataFrame:
     """doc_id, chunk_index, content: pieces of the plain recursive splitter with blanks squeezed, each behind the end of the one before."""
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for doc, body in zip(pdf.doc_id, pdf.text, strict=True):
-                pieces = plain_recursive(body or "", size)
-                tails = ["", *(p[-overlap:] if overlap else "" for p in pieces)]
-                out += [(doc, k, re.sub(r"\s+", " ", tail + piece).strip()) for k, (tail, piece) in enumerate(zip(tails, pieces, strict=False))]
-            yield pd.DataFrame(out, columns=["doc_id", "chunk_index", "content"])
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_index int, content string")
+    pieces = tables.function("split_text")(F.col("text").outer(), F.lit(size), F.lit(overlap))
+    return docs.select("doc_id", text("text").alias("text")).lateralJoin(pieces).select("doc_id", F.col("part").alias("chunk_index"), "content")
 
 
 def blocks(body: str) -> list[str]:
@@ -268,15 +260,9 @@ def chunk_documents(docs: DataFrame, target: int = 700, overlap: int = 100, most
     sections = marked.unionByName(plain).where("body <> ''").join(names, "doc_id")
     path = titled_path(F.when(F.col("section_path") == "", F.col("doc_title")).otherwise(F.col("section_path")), F.col("doc_title"))
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                parts = blocks(r.body) if r.markdown else plain_paragraphs(r.body)
-                out += [(r.doc_id, r.section, k, r.section_path, f"{r.section_path}\n{c}".strip()) for k, c in enumerate(pack_blocks(parts, target, overlap))]
-            yield pd.DataFrame(out, columns=["doc_id", "section", "part", "section_path", "content"])
-
-    rows = sections.select("doc_id", "section", path.alias("section_path"), "body", "markdown").mapInPandas(run, "doc_id long, section long, part int, section_path string, content string")
+    made = tables.function("chunk_text")(F.col("body").outer(), F.col("markdown").outer(), F.lit(target), F.lit(overlap))
+    rows = sections.select("doc_id", "section", path.alias("section_path"), "body", "markdown").lateralJoin(made)
+    rows = rows.select("doc_id", "section", "part", "section_path", F.regexp_replace(F.concat("section_path", F.lit("\n"), "content"), r"(?U)^\s+|\s+\z", "").alias("content"))
     w = Window.partitionBy("doc_id").orderBy("section", "part")
     chunks = rows.select("doc_id", (F.row_number().over(w) - 1).alias("chunk_index"), "section_path", "content")
     chunks = chunks if most is None else chunks.where(F.col("chunk_index") < most)
