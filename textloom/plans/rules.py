@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import query as Q
 from ..functions import text as X
-from ..operators import facts, records, relevance
+from ..operators import answering, chunking, drafts, facts, records, relevance
 from ..streaming import events
 from .catalog import Tables, query, sql_value
 from .documents import STRIP
-from .retrieval import questions
+from .retrieval import HITS, LISTS, _hits, _lists
 
 MESSAGE = STRIP.format(c="coalesce(text, '')")
 
@@ -195,3 +195,61 @@ def created_tasks(t: Tables) -> DataFrame:
 def unregistered_bases(t: Tables) -> DataFrame:
     bases = t.documents.select(F.col("source").alias("kb"), "doc_id")
     return records.register_bases(bases.where("doc_id % 97 = 0").select("kb").distinct(), bases)
+
+
+@query(f"""{LISTS}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY subquery, pos) AS n FROM l WHERE pos < 12)
+  SELECT query_id, rank, chunk_id FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY subquery, pos) AS rank FROM f WHERE n = 1) WHERE rank <= 20""", rank="INT")
+def listed_in_turn(t: Tables) -> DataFrame:
+    """Lists of several searches one behind the other."""
+    return answering.ordered_union(_lists(t).withColumn("list", F.col("subquery")))
+
+
+PLAIN_ANSWER = "trim(regexp_replace(lower({c}), '[\\s[:punct:]]+', ' ', 'g'), ' ')"
+
+
+@query(f"""WITH n AS (SELECT count(*) AS n FROM benchmark), k AS (SELECT regexp_extract_all(text, '\\S+') AS w, row_number() OVER (ORDER BY item_id) - 1 AS k FROM benchmark),
+  j AS (SELECT doc_id, {PLAIN_ANSWER.format(c="coalesce(d.text, '')")} AS base, list_slice(w, 1, 8) AS w FROM documents d CROSS JOIN n JOIN k ON k.k = d.doc_id % n.n),
+  c AS (SELECT doc_id, len(w) AS points, len(list_filter(list_transform(w, lambda x: {PLAIN_ANSWER.format(c='x')}), lambda x: length(x) >= 2 AND contains(base, x))) AS covered FROM j)
+  SELECT doc_id AS id, points::INT AS points, covered::INT AS covered, round(covered / greatest(points, 1), 6) AS coverage FROM c""")
+def answers_covered(t: Tables) -> DataFrame:
+    """How many of the first words of its benchmark item each document holds, as answers that a text has to give."""
+    found = t.benchmark.select("item_id", F.slice(F.regexp_extract_all("text", F.lit("\\S+"), 0), 1, 8).alias("w"))
+    items = t.spark.createDataFrame([(k, [[x] for x in r["w"]]) for k, r in enumerate(found.orderBy("item_id").collect())], "k long, gold array<array<string>>")  # the stated set of items
+    n = items.count()
+    return drafts.answer_coverage(t.documents.join(items, F.col("k") == F.pmod(F.col("doc_id"), F.lit(n))).select(F.col("doc_id").alias("id"), X.text("text").alias("content"), "gold"))
+
+
+@query("""SELECT system, count(*) FILTER (clean) AS clean_cases, count(*) FILTER (NOT clean) AS corrupt_cases, round(count(*) FILTER (clean AND passed) / greatest(count(*) FILTER (clean), 1), 4) AS clean_pass_rate,
+  round(count(*) FILTER (NOT clean AND NOT passed) / greatest(count(*) FILTER (NOT clean), 1), 4) AS corrupt_detect_rate,
+  round((count(*) FILTER (clean AND passed) / greatest(count(*) FILTER (clean), 1) + count(*) FILTER (NOT clean AND NOT passed) / greatest(count(*) FILTER (NOT clean), 1)) / 2, 4) AS balanced_score,
+  round(coalesce(sum(issues) FILTER (clean), 0) / greatest(count(*) FILTER (clean), 1), 3) AS issues_clean, round(coalesce(sum(issues) FILTER (NOT clean), 0) / greatest(count(*) FILTER (NOT clean), 1), 3) AS issues_corrupt, round(count(*) FILTER (invalid) / count(*), 4) AS invalid_rate
+  FROM (SELECT source AS system, quality = 1 AS clean, toxic = 0 AS passed, doc_id % 5 AS issues, doc_id % 7 = 0 AS invalid FROM labels JOIN documents USING (doc_id)) GROUP BY system""")
+def critics_by_source(t: Tables) -> DataFrame:
+    """Sources as critics: documents of good quality are the clean cases, those that aren't toxic pass."""
+    rows = t.labels.join(t.documents.select("doc_id", "source"), "doc_id")
+    return drafts.critic_summary(rows.select(
+        F.col("source").alias("system"), F.when(F.col("quality") == 1, "clean").otherwise("corrupt").alias("variant"), (F.col("toxic") == 0).alias("passed"), (F.col("doc_id") % 5).alias("issue_count"), (F.col("doc_id") % 7 == 0).alias("invalid"),
+    ))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(p) AS body, generate_subscripts(p, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL)),
+  s AS (SELECT doc_id, CAST(pos AS VARCHAR) AS title, length(body) AS chars, (doc_id * 31 + pos * 7) % 10 / 10 AS faithfulness FROM l WHERE length(body) >= 50)
+  SELECT doc_id, title, chars, faithfulness, row_number() OVER (PARTITION BY doc_id ORDER BY faithfulness, title) AS place FROM s""", chars="INT", place="INT")
+def weakest_lines(t: Tables) -> DataFrame:
+    """Lines as sections, the ones with the lowest scores first."""
+    lines = t.documents.where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "body")).withColumn("title", F.col("pos").cast("string"))
+    scores = lines.select("doc_id", "title", (F.pmod(F.col("doc_id") * 31 + F.col("pos") * 7, F.lit(10)) / 10).alias("faithfulness"))
+    return drafts.weakest_sections(lines.select("doc_id", "title", "body"), scores)
+
+
+@query(f"{HITS} SELECT query_id, rank, chunk_id, md5(substr(content, 1, 160)) AS snippet FROM h WHERE rank <= 6", rank="INT")
+def citation_snippets(t: Tables) -> DataFrame:
+    """The sources that an answer to each benchmark text would cite, with what they say."""
+    cited = answering.answer_citations(_hits(t).withColumn("section_path", F.lit(""))).select("query_id", F.explode("citations").alias("c"))
+    return cited.select("query_id", "c.rank", "c.chunk_id", F.md5("c.snippet").alias("snippet"))
+
+
+@query()
+def recursive_pieces(t: Tables) -> DataFrame:
+    """Documents by the plain recursive splitter; a test compares the table function in SQL."""
+    return chunking.recursive_chunks(t.documents, 400, 50).select("doc_id", "chunk_index", F.md5("content").alias("h"))
