@@ -6,8 +6,8 @@ the average gives the class; plain stochastic gradient descent in numpy trains v
 is linear, a word adds one number to the score of a document, which is remembered in a table of bounded size.
 
 Defined cases: a null or empty text has only the vector that all documents share, so its score is the learned prior;
-rows without label, doc_id or text teach nothing; with labels of one class or none all scores are that class's share or
-0.5; different labels for one doc_id all teach, equal ones once; of several texts under one doc_id the smallest teaches;
+rows without label, doc_id or text teach nothing; with labels of one class all scores are that class's side of the range
+(0.9975 or 0.0025), with none 0.5; different labels for one doc_id all teach, equal ones once; of several texts under one doc_id the smallest teaches;
 held_out is null where doc_id is; an empty table gives an empty result.
 """
 
