@@ -1,5 +1,6 @@
 """Near duplicates against brute force."""
 
+import pathlib
 import random
 
 import pytest
@@ -30,3 +31,16 @@ def test_no_pair_is_lost(spark, monkeypatch, sampled):
         kept += [d] * (want[d] == d)
     assert 20 < sum(k != v for k, v in want.items()) < 110
     assert {r.key: r.kept_key for r in records.near_duplicates(docs, "text", "doc_id").collect()} == want
+
+
+def test_what_is_written_is_less_than_the_texts(spark):
+    """Token sets were written as plain rows, which took more than their texts do."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(4, 9))) for _ in range(3000)]
+    rows = [(k, " ".join(rng.choices(words, k=600))) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    shared = pathlib.Path(similar.folder(spark, "x").removeprefix("file:")).parent
+    size = lambda: sum(f.stat().st_size for f in shared.rglob("*") if f.is_file())
+    before = size()
+    assert similar.pairs(docs, "text", "doc_id", 0.75)[0].count() == 0
+    assert 0 < size() - before < sum(len(t) for _, t in rows)
