@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -73,6 +76,29 @@ def stop_when(query: StreamingQuery, cancelled: Callable[[], bool], every: float
 
 
 def assembled(tokens: DataFrame) -> DataFrame:
-    """task_id, section, text: a model's pieces of text (task_id, section, seq, piece) put together; repeated pieces of one seq count once."""
-    first = tokens.groupBy("task_id", "section", "seq").agg(F.min("piece").alias("piece"))
-    return first.groupBy("task_id", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "piece"))), lambda x: x["piece"]), "").alias("text"))
+    """task_id, section, text: a model's pieces of text (task_id, section, seq, piece) put together; repeated pieces of one seq count once.
+    Neighbouring pieces of a section move as one row, and once."""
+    rows = tokens.select("task_id", "section", "seq", F.col("piece").cast("string").alias("piece"))
+    kinds = dict(rows.dtypes)
+    runs = rows.mapInArrow(_runs, f"task_id {kinds['task_id']}, section {kinds['section']}, seqs array<{kinds['seq']}>, pieces array<string>")
+    both = F.flatten(F.collect_list(F.arrays_zip("seqs", "pieces")))
+    whole = runs.groupBy("task_id", "section").agg(F.array_sort(F.transform(both, lambda x: F.struct(x["seqs"].alias("seq"), x["pieces"].isNull().alias("none"), x["pieces"].alias("piece")))).alias("p"))
+    first = F.filter("p", lambda x, k: (k == 0) | ~x["seq"].eqNullSafe(F.get("p", k - 1)["seq"]))
+    return whole.select("task_id", "section", F.array_join(F.transform(first, lambda x: x["piece"]), "").alias("text"))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows of one task and section as a row with lists."""
+    for b in batches:
+        if b.num_rows:
+            other = np.zeros(b.num_rows - 1, bool)
+            for c in b.columns[:2]:
+                then, now = c.slice(0, b.num_rows - 1), c.slice(1)
+                differ = pc.fill_null(pc.not_equal(then, now), False)
+                other |= pc.or_(differ, pc.xor(pc.is_null(then), pc.is_null(now))).to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.flatnonzero(other) + 1])
+            at = pa.array(np.append(starts, b.num_rows), pa.int32())
+            one = pa.array(starts)
+            lists = [pa.ListArray.from_arrays(at, c) for c in b.columns[2:]]
+            yield pa.RecordBatch.from_arrays([*(c.take(one) for c in b.columns[:2]), *lists], names=["task_id", "section", "seqs", "pieces"])
+
